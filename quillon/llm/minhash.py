@@ -100,14 +100,15 @@ def _children(node: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[n
 def _branches(reps: DataFrame, threshold: float, trees: int, parents: DataFrame | None = None) -> DataFrame:
     """(rep, node) of the next level: of all representatives, or of those at ``parents``."""
     roots = k.mix(np.arange(1, trees + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
-    rows = reps.select("rep", "tokens") if parents is None else parents.join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "node")
+    first = parents is None
+    rows = reps.select("rep", "tokens") if first else parents.join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "node")
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             rep, tokens = b.column(0).to_numpy(), _matrix(b.column(1), 4 * K, np.uint8).copy().view(np.uint32)
-            if parents is None:
+            if first:
                 parts = [_children(np.full(len(rep), r), tokens, threshold) for r in roots]
             else:
                 parts = [_children(b.column(2).to_numpy().view(np.uint64), tokens, threshold)]
