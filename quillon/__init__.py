@@ -1,0 +1 @@
+"""A document-intelligence and evidence-analytics engine on Spark DataFrames."""
