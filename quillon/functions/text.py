@@ -85,6 +85,10 @@ def content_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
+def acquirer_prompt(question: Column, depth: Column, source_classes: Column) -> Column:
+    return F.concat(F.lit("Depth: "), depth, F.lit("\nSource classes: "), F.array_join(source_classes, ", "), F.lit("\nQuestion: "), question)
+
+
 # HTML
 
 def title(html: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.config import DEFAULT, Config
 from quillon.functions import policy as P
+from quillon.functions import records as R
 
 EMPTY_SOURCE = "named_struct('url', '', 'etld1', '', 'quote', '', 'publication_date', CAST(NULL AS DATE))"
 
@@ -55,6 +56,14 @@ def enrich(claims: DataFrame, cosine=None, contradiction_cosine=None, method=Non
     )
 
 
+def verify(replies: DataFrame, first: str = "first", second: str = "second", **signals) -> DataFrame:
+    """Judged claims of a model's replies: the JSON of the first try, else of the second, else
+    none. The policy is applied to whatever was parsed."""
+    parsed = R.ledger(R.with_retry(F.col(first), F.col(second), '{"claims": []}'))
+    rows = replies.select(*[c for c in replies.columns if c not in (first, second)], F.posexplode(parsed).alias("ord", "c__"))
+    return enrich(rows.select("*", "c__.*").drop("c__"), **signals)
+
+
 def signal_lookup(signals: Column, a: str = "a", b: str = "b", value: str = "cos"):
     """A likeness function over a claim's own array of (a, b, cos) records; unknown pairs are 0."""
 

@@ -97,8 +97,12 @@ def site_crawl(links: DataFrame, pages: DataFrame, seed: str, depth: int = DEFAU
     while frontier and level <= depth and len(results) < limit:
         now = spark.createDataFrame([(u, i) for i, u in enumerate(frontier)], "url string, ord long")
         met = {r["url"]: r["success"] for r in now.select("url").distinct().join(pages.select("url", "success"), "url").limit(limit).collect()}
-        order = Window.partitionBy("url").orderBy("pos", "href")
-        out = now.groupBy("url").agg(F.min("ord").alias("ord")).join(ok.withColumnRenamed("page_url", "url"), "url").withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * limit + len(visited))
+        # enough links of a page for any queue: of each target as many as the cap, of all those
+        # that a full level may have visited meanwhile, and the cap again
+        known = F.col("href").isin(list(visited)) if visited else F.lit(False)
+        out = now.groupBy("url").agg(F.min("ord").alias("ord")).join(ok.withColumnRenamed("page_url", "url").where(~known), "url")
+        out = out.withColumn("same", F.row_number().over(Window.partitionBy("url", "href").orderBy("pos"))).where(F.col("same") <= limit)
+        out = out.withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("pos", "href"))).where(F.col("n") <= limit * (limit + 2))
         following: dict[str, list[str]] = {}
         if level < depth:
             for r in out.orderBy("ord", "n").select("url", "href").collect():

@@ -124,6 +124,16 @@ def latest_page(pages: DataFrame) -> DataFrame:
     return pages.groupBy("url").agg(newest.alias("p__")).select("url", *[f"p__.{c}" for c in rest])
 
 
+def by_id(rows: DataFrame, key: str, column: str = "id") -> DataFrame:
+    """The rows of one key: a session, a page, a chunk."""
+    return rows.where(F.col(column) == key)
+
+
+def crawl_url(pages: DataFrame, url: str) -> DataFrame:
+    """The newest crawled row of one URL."""
+    return pages.where(F.col("url") == url).orderBy(F.desc("crawled_at"), F.desc("page_id")).limit(1)
+
+
 def crawl_many(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """The crawled pages of a list of URLs, in its order; absent pages are failures."""
     return urls.join(pages, "url", "left").withColumn("success", F.coalesce("success", F.lit(False)) if "success" in pages.columns else F.col("page_id").isNotNull())

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Headings and placeholders of the report.
-SECTIONS = ("## Coverage", "## Contradictions", "### Temporal Drift", "## Sources")
+SECTIONS = ("## Coverage", "## Contradictions", "### Factual & Methodological Contradictions", "### Temporal Drift", "## Sources")
 NO_GENUINE = "_No factual or methodological contradictions detected._"
 NO_DRIFT = "_No temporal drift detected._"
 DRIFT_NOTE = "_Informational: the following reflect how the field evolved over time rather than genuine factual conflicts._"
 NO_SOURCES = "_No cited sources._"
-GENUINE_HEADING = "### Factual & Methodological Contradictions"
+COVERAGE, CONTRADICTIONS, GENUINE, DRIFT, SOURCES = SECTIONS
 
 
 def coverage(subtopics: DataFrame, claims: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def render(subtopics: DataFrame, claims: DataFrame, body: str = "", title: str =
     """The report. Its lines are ordered by the cluster; the caller's one document is put together
     on the driver, as the file it becomes is."""
     cover = coverage(subtopics, claims).withColumn("line", coverage_line()).orderBy("ord").select("id", "line", "covered").collect()
-    parts = [f"# {title}", "", SECTIONS[0], "", *[r.line for r in cover]]
+    parts = [f"# {title}", "", COVERAGE, "", *[r.line for r in cover]]
     if missing := [f"`{r.id}`" for r in cover if not r.covered]:
         parts += ["", f"> Coverage gap: no claims gathered for subtopic(s): {', '.join(missing)}"]
     parts.append("\n")
@@ -73,9 +73,9 @@ def render(subtopics: DataFrame, claims: DataFrame, body: str = "", title: str =
     place = F.when(F.col("conflict_type") == "factual", 0).when(F.col("conflict_type") == "methodological", 1).otherwise(2)
     lines = rows.select(place.alias("k"), "rank", contradiction_line().alias("line")).orderBy("k", "rank").collect()
     genuine, drift = [r.line for r in lines if r.k < 2], [r.line for r in lines if r.k == 2]
-    parts += [SECTIONS[1], "", GENUINE_HEADING, *(genuine or [NO_GENUINE]), "", SECTIONS[2], *([DRIFT_NOTE, *drift] if drift else [NO_DRIFT]), "\n"]
+    parts += [CONTRADICTIONS, "", GENUINE, *(genuine or [NO_GENUINE]), "", DRIFT, *([DRIFT_NOTE, *drift] if drift else [NO_DRIFT]), "\n"]
     found = [f"- {r.url}" for r in sources(claims).orderBy("claim_ord", "pos").collect()]
-    parts += [SECTIONS[3], "", *(found or [NO_SOURCES])]
+    parts += [SOURCES, "", *(found or [NO_SOURCES])]
     return "\n".join(parts).rstrip() + "\n"
 
 
@@ -101,10 +101,22 @@ def acceptance(claims: DataFrame) -> DataFrame:
 def drift_section_filled(draft):
     """True where a draft's section on drift holds more than its placeholder."""
     section = F.regexp_extract(draft, r"(?s)### Temporal Drift(.*?)(?:\n## |$)", 1)
-    return F.contains(draft, F.lit(SECTIONS[2])) & ~F.contains(section, F.lit(NO_DRIFT))
+    return F.contains(draft, F.lit(DRIFT)) & ~F.contains(section, F.lit(NO_DRIFT))
+
+
+def plan_summary(plans: DataFrame) -> DataFrame:
+    """Text of a plan for review."""
+    lines = F.transform("subtopics", lambda s: F.format_string("  - [%s] %s (target_evidence=%d)", s["id"], s["question"], s["target_evidence"]))
+    head = F.format_string("depth=%s  subtopics=%d  seed_urls=%d", F.col("depth"), F.size("subtopics"), F.size("seed_urls"))
+    return plans.withColumn("summary", F.concat_ws("\n", F.lit("=== Checkpoint 1: Research Plan ==="), head, lines))
+
+
+def draft_summary(draft):
+    return F.concat(F.lit("=== Checkpoint 2: Draft Report ===\n("), F.length(draft).cast("string"), F.lit(" chars)"))
 
 
 def url_list(urls: DataFrame) -> DataFrame:
-    """Numbered lines of scored URLs for review: ``[i] score etld1 url``."""
+    """Numbered lines of scored URLs for review: ``[i] score  etld1  url``. The list is one
+    subtopic's, whose length the discovery caps bound."""
     n = F.row_number().over(Window.orderBy("ord")) - 1
-    return urls.select("ord", F.format_string("[%d] %s %s %s", n, F.format_string("%.2f", F.col("score")), F.coalesce(F.nullif(F.col("etld1"), F.lit("")), F.lit("?")), F.col("url")).alias("line"))
+    return urls.select("ord", F.format_string("  [%d] %s  %s  %s", n, F.format_string("%.2f", F.col("score")), F.coalesce(F.nullif(F.col("etld1"), F.lit("")), F.lit("?")), F.col("url")).alias("line"))

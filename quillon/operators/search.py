@@ -16,7 +16,7 @@ from quillon.functions import values as V
 from quillon.lineage import kept
 
 #: Pages up to which all pairs are compared.
-EXACT_PAGES = 20_000
+EXACT_PAGES = 5_000
 
 
 def search(chunks: DataFrame, vector: list[float], n: int = DEFAULT.search_results, session: str | None = None, chars: int = DEFAULT.search_chars) -> DataFrame:

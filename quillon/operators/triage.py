@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from quillon.config import DEFAULT, Config
 from quillon.functions import text as T
 
+from . import bm25
+
+
+def heads(pages: DataFrame, query: str) -> DataFrame:
+    """Heads of crawled pages (url, html): title, description, and the BM25 relevance of both to
+    the query's keywords, squashed to [0, 1]; pages that hold no keyword score 0."""
+    rows = pages.groupBy("url").agg(F.min("html").alias("html")).select("url", T.title(F.col("html")).alias("title"), T.description(F.col("html")).alias("description"))
+    found = bm25.scores(rows.withColumn("head__", F.concat_ws(" ", "title", "description")), query, id_column="url", text="head__").select("url", "relevance")
+    return rows.join(found, "url", "left").select("url", F.lit("valid").alias("status"), "title", "description", F.coalesce("relevance", F.lit(0.0)).alias("relevance_score"), F.lit(None).cast("string").alias("error"))
+
+
+def failed_heads(urls: DataFrame, error: str) -> DataFrame:
+    """Heads of a batch that failed as a whole."""
+    return urls.select("url").distinct().select("url", F.lit("failed").alias("status"), F.lit("").alias("title"), F.lit("").alias("description"), F.lit(None).cast("double").alias("relevance_score"), F.lit(error).alias("error"))
+
 
 def scored(urls: DataFrame, heads: DataFrame | None, query: str, config: Config = DEFAULT) -> DataFrame:
     """``urls`` (url, ord) with scores. ``heads``: url, status, title, description,

@@ -666,10 +666,10 @@ def acceptance(s, d):
     return report.acceptance(D.judged(s, d))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '### Temporal Drift' ELSE '## Coverage,## Sources' END AS missing, p_partkey % 3 = 0 AS filled FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '### Temporal Drift' ELSE '## Coverage,### Factual & Methodological Contradictions,## Sources' END AS missing, p_partkey % 3 = 0 AS filled FROM part""")
 def draft_sections(s, d):
     k = F.col("p_partkey") % 3
-    whole = "## Coverage\n\n## Contradictions\n\n### Temporal Drift\n- x\n\n## Sources\n"
+    whole = "## Coverage\n\n## Contradictions\n\n### Factual & Methodological Contradictions\n\n### Temporal Drift\n- x\n\n## Sources\n"
     draft = F.when(k == 0, whole).when(k == 1, whole.replace("### Temporal Drift\n", "")).otherwise("## Contradictions\n### Temporal Drift\n_No temporal drift detected._\n")
     return _parts(s, d).select("p_partkey", F.array_join(report.missing_sections(draft), ",").alias("missing"), report.drift_section_filled(draft).alias("filled"))
 
@@ -713,7 +713,7 @@ def edited_sources(s, d):
     return _parts(s, d).select("p_partkey", F.array_join(F.transform(out["urls"], lambda x: x["url"]), ",").alias("urls"), out["needs_supplemental"].alias("more"), F.array_join(unknown, "|").alias("unknown"))
 
 
-@query("SELECT page_id AS ord, '[' || (row_number() OVER (ORDER BY page_id) - 1) || '] ' || printf('%.2f', page_id % 100 / 100.0) || ' ' || CASE WHEN page_id % 2 = 0 THEN '?' ELSE 'x.org' END || ' ' || url AS line FROM pages")
+@query("SELECT page_id AS ord, '  [' || (row_number() OVER (ORDER BY page_id) - 1) || '] ' || printf('%.2f', page_id % 100 / 100.0) || '  ' || CASE WHEN page_id % 2 = 0 THEN '?' ELSE 'x.org' END || '  ' || url AS line FROM pages")
 def review_list(s, d):
     u = _pages(s, d).select(F.col("page_id").alias("ord"), (F.col("page_id") % 100 / 100.0).alias("score"), F.when(F.col("page_id") % 2 == 0, "").otherwise("x.org").alias("etld1"), "url")
     return report.url_list(u)
@@ -789,7 +789,7 @@ def site_crawl(s, d):
     name = lambda c: F.concat(F.lit("https://h.org/"), F.col(c).cast("string"))
     links = e.select(name("src").alias("page_url"), F.row_number().over(Window.partitionBy("src").orderBy("dst")).alias("pos"), name("dst").alias("href"), F.lit(0.5).alias("intrinsic_score"))
     pages = _parts(s, d).where(F.col("p_partkey") % 13 != 5).select(name("p_partkey").alias("url"), (F.col("p_partkey") % 7 != 3).alias("success"))
-    return graph.site_crawl(links, pages, "https://h.org/1", depth=4, limit=20)
+    return graph.site_crawl(links, pages, "https://h.org/2", depth=4, limit=20)
 
 
 @query()

@@ -5,6 +5,7 @@ Paths of seeds are checked on the driver before anything is read; contents are r
 from __future__ import annotations
 
 import os
+import shutil
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,28 @@ def write_artifact(text: str, folder: str, name: str) -> str:
     return path
 
 
+def stale_exports(folder: str, cutoff: float) -> list[str]:
+    """Names of the folders directly in ``folder`` that were last changed before ``cutoff`` (seconds)."""
+    base = local_path(folder)
+    if not os.path.isdir(base):
+        return []
+    found = [e for e in os.scandir(base) if e.is_dir(follow_symlinks=False)]
+    return sorted(e.name for e in found if e.stat().st_mtime < cutoff)
+
+
+def prune_exports(folder: str, cutoff: float, dry_run: bool = False) -> list[str]:
+    """Delete those folders; one that cannot be deleted is passed over. Returns what went (or would)."""
+    gone = []
+    for name in stale_exports(folder, cutoff):
+        if not dry_run:
+            try:
+                shutil.rmtree(os.path.join(local_path(folder), name))
+            except OSError:
+                continue
+        gone.append(name)
+    return gone
+
+
 def create_session(spark: SparkSession, query: str, now: str) -> DataFrame:
     """The first stage row of a session; ``now`` is a timestamp, never the clock."""
     name = T.session_name(F.lit(query), F.lit(now).cast("timestamp"))

@@ -382,3 +382,51 @@ def test_paths_are_checked(tmp_path):
     assert files.resolve_seed(str(tmp_path), str(tmp_path)) is None
     os.symlink("/etc/hostname", tmp_path / "link")
     assert files.resolve_seed(str(tmp_path), "link") is None
+
+
+def test_verify_degrades(spark):
+    ledger = '{"claims":[{"id":"c1","subtopic_id":"s1","text":"X","status":"kept","sources":[{"url":"u","etld1":"a.com"},{"url":"v","etld1":"b.com"}]}]}'
+    data = [("good", ledger, None), ("second", "timed out", f"```json\n{ledger}\n```"), ("none", "prose", "prose again")]
+    got = C.verify(spark.createDataFrame(data, "run string, first string, second string")).collect()
+    assert sorted((r["run"], r["id"], r["status"]) for r in got) == [("good", "c1", "kept"), ("second", "c1", "kept")]
+
+
+def test_summaries(spark):
+    from quillon.functions import records as R
+    from quillon.functions import text as T
+
+    plan = spark.createDataFrame([('{"subtopics":[{"id":"s1","question":"q?","target_evidence":2}],"depth":"deep","seed_urls":["u"]}',)], "t string").select(R.plan(F.col("t")).alias("p")).select("p.*")
+    assert report.plan_summary(plan).first()["summary"] == "=== Checkpoint 1: Research Plan ===\ndepth=deep  subtopics=1  seed_urls=1\n  - [s1] q? (target_evidence=2)"
+    one = spark.range(1).select(report.draft_summary(F.lit("abc")).alias("d"), T.acquirer_prompt(F.lit("q"), F.lit("deep"), F.array(F.lit("web"), F.lit("academic"))).alias("p")).first()
+    assert one["d"].endswith("(3 chars)") and one["p"] == "Depth: deep\nSource classes: web, academic\nQuestion: q"
+
+
+def test_heads(spark):
+    p = spark.createDataFrame([("a", "<title>Red fox</title>"), ("b", "<title>blue</title>"), ("c", "<title>green</title>")], "url string, html string")
+    got = {r["url"]: r["relevance_score"] for r in triage.heads(p, "the red fox").collect()}
+    assert 0 < got["a"] < 1 and got["b"] == got["c"] == 0.0
+    failed = triage.triage(triage.scored(p.withColumn("ord", F.lit(0)), triage.failed_heads(p, "timeout"), "blue"))
+    assert {r["error"] for r in failed.where("NOT qualified").collect()} == {"timeout"}
+
+
+def test_export_folders(tmp_path):
+    for n, t in (("old", 100), ("new", 900), ("edge", 500)):
+        (tmp_path / n).mkdir()
+        os.utime(tmp_path / n, (t, t))
+    (tmp_path / "file").write_text("x")
+    assert files.prune_exports(str(tmp_path), 500, dry_run=True) == ["old"] and (tmp_path / "old").exists()
+    assert files.prune_exports(str(tmp_path), 500) == ["old"] and sorted(os.listdir(tmp_path)) == ["edge", "file", "new"]
+    assert files.stale_exports(str(tmp_path / "absent"), 500) == []
+
+
+def test_point_lookups(spark):
+    p = spark.createDataFrame([("p1", "u", datetime(2024, 1, 1)), ("p2", "u", datetime(2024, 2, 1)), ("p3", "v", datetime(2024, 3, 1))], "page_id string, url string, crawled_at timestamp")
+    assert ingest.crawl_url(p, "u").first()["page_id"] == "p2" and ingest.by_id(p, "p3", "page_id").count() == 1
+
+
+def test_repeated_links_use_the_budget(spark):
+    s, subs = "https://h.org/", [f"https://h.org/p{i}" for i in range(4)]
+    links = {s: [(subs[0], 0.0)] * 5 + [(subs[1], 0.0)], subs[0]: [(s, 0.0)] * 9 + [(subs[2], 0.0)]}
+    pages = {s: True, **dict.fromkeys(subs, True)}
+    assert [u for u, _, _ in crawl(spark, links, pages, s, limit=4)] == [s, subs[0]]
+    assert [u for u, _, _ in crawl(spark, links, pages, s, limit=20)] == [s, subs[0], subs[1], subs[2]]
