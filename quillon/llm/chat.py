@@ -30,6 +30,8 @@ END = "</turn>"
 LOSS_ROLE = "assistant"
 _ESCAPE = re.compile(r"\\|###|</turn>")
 _UNESCAPE = re.compile(r"\\(\\|###|</turn>)")
+_OPENED = re.compile(r"### (@?)((?:[^\\:]|\\.)*): ", re.S)
+_CLOSED = re.compile(r"(?:\\(?:\\|###|</turn>)|(?!</turn>)[^\\])*", re.S)
 
 
 def escape(text: str) -> str:
@@ -42,7 +44,10 @@ def unescape(text: str) -> str:
 
 
 def mark(role: str | None) -> str:
-    return f"### {escape(role or '').title() if role in ROLES else escape(role or '')}: "
+    """Opening mark of a turn; roles other than the known ones stand behind an @, as they are."""
+    if role in ROLES:
+        return f"### {role.title()}: "
+    return f"### @{escape(role or '').replace(':', chr(92) + ':')}: "
 
 
 def formatted(role: str | None, text: str) -> str:
@@ -52,13 +57,11 @@ def formatted(role: str | None, text: str) -> str:
 def read_formatted(text: str) -> list[tuple[str, str]]:
     """(role, text) of the turns of a formatted conversation."""
     out, at = [], 0
-    opened = re.compile(r"### ((?:[^\\#:]|\\.|#(?!##)|:(?! ))*): ", re.S)
-    closed = re.compile(r"(?:\\(?:\\|###|</turn>)|(?!</turn>)[^\\])*", re.S)
     while at < len(text):
-        head = opened.match(text, at)
-        body = closed.match(text, head.end())
-        role = unescape(head[1])
-        out.append((role.lower() if role.lower() in ROLES and role == role.title() else role, unescape(body[0][:-1])))
+        head = _OPENED.match(text, at)
+        body = _CLOSED.match(text, head.end())
+        role = unescape(head[2].replace("\\:", ":")) if head[1] else head[2].lower()
+        out.append((role, unescape(body[0][:-1])))
         at = body.end() + len(END) + 1
     return out
 
