@@ -205,7 +205,9 @@ def _met(placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     rows = placed.withColumn("block", F.explode_outer(number))
     rows = rows.join(slots.select("sid", "block", "turn", "words"), ["sid", "block"], "left")
     head = F.col("block") * block
-    return rows.withColumns({"lo": F.greatest(F.col("start"), head) - F.col("start"), "hi": F.least(F.col("start") + F.col("size"), head + F.col("words")) - F.col("start")})
+    # a block that no slot takes has no words, and least() would pass over its null
+    hi = F.when(F.col("words").isNotNull(), F.least(F.col("start") + F.col("size"), head + F.col("words")) - F.col("start"))
+    return rows.withColumns({"lo": F.greatest(F.col("start"), head) - F.col("start"), "hi": hi})
 
 
 def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
