@@ -31,7 +31,7 @@ SHARE = 1.5
 MOST = 2
 SEED = 20_240_901
 SHARD_SLOTS = 4096
-PART_ROWS = 50_000
+PART_ROWS = 10_000
 _U = np.uint64
 
 
@@ -203,7 +203,8 @@ def _met(placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     """Rows by block, joined with the slots that take it: lo and hi are words of the row."""
     number = F.when(F.col("size") > 0, F.sequence(F.expr(f"start DIV {block}"), F.expr(f"(start + size - 1) DIV {block}")))
     rows = placed.withColumn("block", F.explode_outer(number))
-    rows = rows.join(slots.select("sid", "block", "turn", "words"), ["sid", "block"], "left")
+    # slots come from a table of a few rows, by which their size must not be guessed
+    rows = rows.join(slots.select("sid", "block", "turn", "words").hint("merge"), ["sid", "block"], "left")
     head = F.col("block") * block
     # a block that no slot takes has no words, and least() would pass over its null
     hi = F.when(F.col("words").isNotNull(), F.least(F.col("start") + F.col("size"), head + F.col("words")) - F.col("start"))
