@@ -11,9 +11,10 @@ probability over 0.99, at any depth; most nodes end at the first level, where it
 
 What is asked for are components, so pairs already in one component need no test. In
 rounds, every document is tested on its full set against its most similar partners (by
-tokens) of other components; the last round tests all pairs that are left. The links so
-confirmed are merged after each round. Sets move only for documents with a similar
-partner, and only through joins.
+tokens) of other components, and the links so confirmed are merged. At last, in each leaf,
+all members that still have a similar partner in another component are tested against each
+other: their sets meet in the leaf, whose size is bounded, so no pairs are given out. Sets
+move only for documents with a similar partner.
 
 Empty and null texts have the empty set and are linked with nothing; documents of fewer than
 five words have one shingle. Null ids take no part: their component is null and they are
@@ -36,8 +37,8 @@ K = 128
 TREES = 10
 LIMIT = 512
 DEPTH = 10
-#: Partners of each document that a round tests; None: all that are left.
-ROUNDS = (1, 4, None)
+#: Partners of each document that a round tests, before leaves are tested in full.
+ROUNDS = (1, 4)
 #: Standard deviations below the threshold at which an estimate still counts.
 SLACK = 4.0
 #: Ids up to which a list of them is sent to all tasks (8 MB); a longer one is joined by shuffle.
@@ -122,7 +123,7 @@ def leaves(reps: DataFrame, threshold: float, trees: int = TREES, limit: int = L
     """node, block, side, rep, n, sketch: documents to be compared. ``block`` 0: all with all;
     else ``side`` 0 with ``side`` 1 of that block."""
     found, now, kept = [], None, []
-    for level in range(depth):
+    for _ in range(depth):
         now = saved(_branches(reps, threshold, trees, now), "branches")
         kept.append(now)
         counts = now.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
@@ -180,42 +181,134 @@ def _compare(n, sketch, comp, side, threshold: float, least: int, top: int | Non
     return i[chosen], j[chosen]
 
 
-def candidates(rows: DataFrame, threshold: float, top: int | None) -> DataFrame:
+def _least(threshold: float) -> int:
+    """Equal tokens below which a pair at the threshold is not to be expected."""
+    return int(np.ceil(K * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / K))))
+
+
+def _by_leaf(batches, columns, work):
+    """Feed whole leaves of sorted batches to ``work`` (a list of columns, node and block first);
+    a leaf that a batch cuts is held until it is whole."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = columns(batch)
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        cut = int(np.argmax((held[0] == held[0][-1]) & (held[1] == held[1][-1])))
+        if cut:
+            yield from work([x[:cut] for x in held])
+            held = [x[cut:].copy() for x in held]
+    if held is not None:
+        yield from work(held)
+
+
+def _cuts(node, block):
+    at = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
+    return zip([0, *at.tolist()], [*at.tolist(), len(node)], strict=True)
+
+
+def _sketched(rows: DataFrame) -> DataFrame:
+    return rows.select("node", "block", "side", "rep", "n", "sketch", "comp").repartition("node", "block").sortWithinPartitions("node", "block", "rep")
+
+
+def _sketch_columns(batch):
+    return [batch.column(i).to_numpy() for i in range(5)] + [_matrix(batch.column(5), K, np.uint8), batch.column(6).to_numpy()]
+
+
+def candidates(rows: DataFrame, threshold: float, top: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, to be tested; ``rows``: leaves with ``comp``."""
-    least = int(np.ceil(K * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / K))))
-    ordered = rows.select("node", "block", "side", "rep", "n", "sketch", "comp").repartition("node", "block").sortWithinPartitions("node", "block", "rep")
+    least = _least(threshold)
 
-    def pairs(node, block, side, rep, n, sketch, comp):
-        cuts = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
-        a_, b_ = [], []
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)], strict=True):
+    def pairs(columns):
+        node, block, side, rep, n, sketch, comp = columns
+        found = []
+        for lo, hi in _cuts(node, block):
             if hi - lo > 1:
                 i, j = _compare(n[lo:hi], sketch[lo:hi], comp[lo:hi], side[lo:hi], threshold, least, top)
-                if len(i):
-                    x, y = rep[lo:hi][i], rep[lo:hi][j]
-                    a_.append(np.minimum(x, y))
-                    b_.append(np.maximum(x, y))
-        if a_:
-            a, b = np.concatenate(a_), np.concatenate(b_)
-            a, b = np.unique(np.stack([a, b]), axis=1)
+                x, y = rep[lo:hi][i], rep[lo:hi][j]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+        if found:
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
+    return _sketched(rows).mapInArrow(lambda batches: _by_leaf(batches, _sketch_columns, pairs), "a long, b long").where("a <> b").distinct()
+
+
+def unresolved(rows: DataFrame, threshold: float) -> DataFrame:
+    """The members of leaves that have a similar partner (by tokens) in another component."""
+    least = _least(threshold)
+
+    def members(columns):
+        node, block, side, rep, n, sketch, comp = columns
+        found = []
+        for lo, hi in _cuts(node, block):
+            if hi - lo > 1:
+                i, j = _compare(n[lo:hi], sketch[lo:hi], comp[lo:hi], side[lo:hi], threshold, least, None)
+                found.append(lo + np.unique(np.concatenate((i, j))))
+        if found:
+            at = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (node, block, side, rep, comp)], names=["node", "block", "side", "rep", "comp"])
+
+    return _sketched(rows).mapInArrow(lambda batches: _by_leaf(batches, _sketch_columns, members), "node long, block int, side int, rep long, comp long")
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of 0/1 matrices."""
+    m = len(sets)
+    out = np.zeros((m, m), np.float32)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = 4096
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (lo, lo + width))
+        part = np.zeros((m, width), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def exhaust(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, from testing all pairs of each leaf's members on their
+    full sets. Only links that join two components within the leaf are given out."""
+    rows = members.join(sets.withColumnRenamed("id", "rep"), "rep").select("node", "block", "side", "rep", "comp", "shingles")
+    rows = rows.repartition("node", "block").sortWithinPartitions("node", "block", "rep")
+
+    def columns(batch):
+        shingles = np.empty(batch.num_rows, object)
+        shingles[:] = [np.frombuffer(x.as_buffer().to_pybytes(), np.uint64) for x in batch.column(5)]
+        return [batch.column(i).to_numpy() for i in range(5)] + [shingles]
+
+    def links(cols):
+        node, block, side, rep, comp, shingles = cols
+        found = []
+        for lo, hi in _cuts(node, block):
+            if hi - lo < 2:
                 continue
-            new = [batch.column(i).to_numpy() for i in (0, 1, 2, 3, 4)] + [_matrix(batch.column(5), K, np.uint8), batch.column(6).to_numpy()]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            last = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
-            cut = int(np.argmax(last))
-            if cut:
-                yield from pairs(*(x[:cut] for x in held))
-                held = [x[cut:].copy() for x in held]
-        if held is not None:
-            yield from pairs(*held)
+            some = list(shingles[lo:hi])
+            n, common = np.array([len(s) for s in some]), _common(some)
+            good = np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1) & (comp[lo:hi][:, None] != comp[lo:hi][None, :])
+            root = {}
+
+            def find(x, root=root):
+                while (up := root.get(x, x)) != x:
+                    x = up
+                return x
 
-    return ordered.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+            for i, j in zip(*np.nonzero(good), strict=True):
+                x, y = find(comp[lo + i]), find(comp[lo + j])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    found.append((rep[lo + i], rep[lo + j]))
+        if found:
+            a, b = np.array(found, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.mapInArrow(lambda batches: _by_leaf(batches, columns, links), "a long, b long")
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame, width: int = 5) -> DataFrame:
@@ -278,25 +371,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     others = members.where("rep <> doc_id").select("doc_id", "n", "f1", "f2")
     reps = saved(named.join(others, ["doc_id", "n", "f1", "f2"], "left_anti").select(F.col("doc_id").alias("rep"), "n", "tokens").dropDuplicates(["rep", "n"]), "reps")
     rows = leaves(reps, threshold, trees, limit, depth)
-    labels = sets = tested = None
+    labels = sets = links = None
+
+    def with_components():
+        if labels is None:
+            return rows.withColumn("comp", F.col("rep"))
+        named = rows.join(labels.select(F.col("id").alias("rep"), F.col("comp").alias("c__")), "rep", "left")
+        return named.withColumn("comp", F.coalesce("c__", "rep")).drop("c__")
+
     for top in ROUNDS:
-        now = rows.withColumn("comp", F.col("rep")) if labels is None else rows.join(labels.select(F.col("id").alias("rep"), F.col("comp").alias("c__")), "rep", "left").withColumn("comp", F.coalesce("c__", "rep"))
-        pairs = candidates(now, threshold, top)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
+        pairs = saved(candidates(with_components(), threshold, top), "pairs")
         if not pairs.limit(1).count():
             break
         if sets is None:
             # the first round names each document that has a similar partner in some leaf
             ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
             sets = saved(shingle_table(docs, saved(ids, "ids"), width), "sets")
-        verdicts = saved(confirm(pairs, sets, percent), "verdicts")
-        tested = verdicts if tested is None else saved(tested.unionByName(verdicts), "tested")
-        links = tested.where("linked")
-        if not links.limit(1).count():
-            continue
+        good = saved(confirm(pairs, sets, percent).where("linked").select("a", "b"), "links")
+        links = good if links is None else links.unionByName(good)
         labels = components(links)
+    if sets is not None:
+        members_left = saved(unresolved(with_components(), threshold), "unresolved")
+        rest = saved(exhaust(members_left, sets, percent), "links")
+        if rest.limit(1).count():
+            labels = components(links.unionByName(rest))
     if sets is not None:
         discard(sets)
     discard(rows, reps)
