@@ -20,7 +20,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterable
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as k
+from .tokencount import byte_alphabet
 
 SEGMENT = 1 << 19
 BLOCK = 512
@@ -107,75 +108,78 @@ class Encoder:
     """Ids of whole texts with a file of the tokenizers library.
 
     The vocabulary's normaliser and splitter never look across ASCII white space, so a
-    text is encoded as its white-space runs; each distinct run goes through the library
-    once while it stays in the bounded cache. ``direct`` is the plain call, for texts
-    that contain a special token and for tests."""
+    text is encoded as its white-space runs. Each distinct run goes through the library
+    once while it stays in a bounded cache: runs of Latin letters by the library's model,
+    others by its whole chain. Both short cuts are taken only if probes show that they give
+    what the plain call (``direct``) gives; texts with a special token take the plain call."""
 
-    CACHE = 600_000
-    MARK = "\x01"
-    _COMBINING = re.compile("[̀-\U0010ffff]")
-    _SPLIT = re.compile("[^\t-\r ]+")
+    #: Runs kept; as many again are kept from before the last turn-over.
+    CACHE = 500_000
+    _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    _PROBES = ("Ab c", "ab", "ÀçÉ", "straße", "Ñandú", "x", "qwertyuiopasdfghjklzxcvbnm")
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-        mark = self.direct(self.MARK)
-        self.mark = mark[0] if len(mark) == 1 else None
-        plain = self.direct("Ab c").tolist() == np.concatenate([self.direct(x) for x in ("ab", "c")]).tolist()
-        #: Only for vocabularies that lower their input and drop white space.
-        self.by_word = self.mark is not None and plain and self.direct(" \n").size == 0
+        self.model = self.tokenizer.model
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
+        joined = lambda t: [i for w in t.split() for i in self.direct(w).tolist()]
+        probes = [*self._PROBES, "it's, l'eau. 3.14! x"]
+        self.by_word = all(self.direct(p).tolist() == joined(p) == self.direct(p.lower()).tolist() for p in probes) and not self.direct(" \n").size
+        self.by_model = self.by_word and all(self._letters(w) == self.direct(w).tobytes() for p in self._PROBES for w in p.split())
+        # a mark at a word's end must not change how the word is cut
+        self.by_stem = self.by_word and all(self.direct(w + m).tolist() == self.direct(w).tolist() + self.direct(m).tolist() for p in self._PROBES for w in p.split() for m in (",", ".,", "?!"))
 
     def direct(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        for a in range(0, len(words), 4096):
-            some = words[a : a + 4096]
-            ids = self.direct(f" {self.MARK} ".join(some))
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(some) - 1:
-                parts = [self.direct(w) for w in some]
+    def _letters(self, word: str) -> bytes:
+        """Ids of a run of Latin letters, as bytes."""
+        raw = word.lower().encode()
+        text = raw.decode() if raw.isascii() else raw.decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _learn(self, run: bytes) -> bytes:
+        word = run.decode()
+        if self.by_model and self._LETTERS.fullmatch(word):
+            return self._letters(word)
+        if self.by_stem:
+            stem = word.rstrip(".,;:!?")
+            if stem != word and stem and self._LETTERS.fullmatch(stem[-1]):
+                return self._get(stem.encode()) + self._get(word[len(stem) :].encode())
+        return self.direct(word).tobytes()
+
+    def _get(self, run: bytes) -> bytes:
+        found = self.cache.get(run)
+        if found is None:
+            found = self.old.get(run)
+            self.cache[run] = found = self._learn(run) if found is None else found
+        return found
+
+    def many(self, texts: list[bytes]) -> list[np.ndarray]:
+        runs: list[list[bytes] | None] = []
+        for raw in texts:
+            if not self.by_word or b"<|" in raw and any(s in raw for s in self.special):
+                runs.append(None)
             else:
-                parts = np.split(ids, cuts)
-                parts = parts[:1] + [p[1:] for p in parts[1:]]
-            self.cache.update(zip(some, [p.tobytes() for p in parts], strict=True))
-
-    def _prepared(self, text: str) -> list[str] | None:
-        if not self.by_word or self.MARK in text or "<|" in text and any(s in text for s in self.special):
-            return None
-        # lowering A-Z ahead is the same where no character combines with another
-        if text.isascii():
-            text = text.lower()
-        elif not self._COMBINING.search(text):
-            text = text.translate(_LOWER)
-        return self._SPLIT.findall(text)
-
-    def many(self, texts: Iterable[str]) -> list[np.ndarray]:
-        runs, plain = [], []
-        for t in texts:
-            words = self._prepared(t)
-            runs.append(words)
-            plain.append(self.direct(t) if words is None else None)
+                # lowering A-Z ahead is the same where no character can combine with another
+                plain = raw.isascii() or int(np.frombuffer(raw, np.uint8).max()) < 0xCC
+                runs.append((raw.lower() if plain else raw).split())
         wanted = set().union(*(r for r in runs if r))
-        if len(self.cache) + 2 * len(wanted) > self.CACHE:
-            self.cache.clear()
-        # marks at a word's end are runs of their own for the splitter, and met again and again
         missing = [w for w in wanted if w not in self.cache]
-        stems = {w: s for w in missing if (s := w.rstrip(".,;:!?")) and s != w and _LETTER(s[-1])}
-        parts = {x for w in missing for x in ((stems[w], w[len(stems[w]) :]) if w in stems else (w,))}
-        self._learn([x for x in parts if x not in self.cache])
-        self.cache.update({w: self.cache[s] + self.cache[w[len(s) :]] for w, s in stems.items()})
+        if len(self.cache) + len(missing) > self.CACHE:
+            self.old, self.cache, missing = self.cache, {}, wanted
+        for w in missing:
+            self._get(w)
         get = self.cache.__getitem__
-        return [p if r is None else np.frombuffer(b"".join(map(get, r)), np.uint32) for r, p in zip(runs, plain, strict=True)]
+        return [self.direct(t.decode()) if r is None else np.frombuffer(b"".join(map(get, r)), np.uint32) for t, r in zip(texts, runs, strict=True)]
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])))
-_LETTER = _LETTERS.__contains__
 _encoders: dict[int, Encoder] = {}
 
 
@@ -217,7 +221,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int, id_co
             _, offsets = k.buffers(b.column(1))
             for lo, hi, _, _ in k.pieces(np.zeros(0, np.uint8), offsets):
                 some = b.slice(lo, hi - lo)
-                for i, c in zip(some.column(0).to_pylist(), coder.many(some.column(1).to_pylist()), strict=True):
+                for i, c in zip(some.column(0).to_pylist(), coder.many(some.column(1).cast(pa.large_binary()).to_pylist()), strict=True):
                     ids.append(i)
                     codes.append(np.concatenate((c, last)))
                     size += len(codes[-1])
