@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +23,18 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` computed once and read from reliable storage from then on."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def ranked(df: DataFrame, order: list, name: str = "rank") -> tuple[DataFrame, int]:
+    """``df`` with each row's rank from 0 in ``order``, and the number of rows. Rows are sorted by
+    ranges and kept, so their places hold; a rank is a row's place in its partition plus the
+    partition's offset. The driver sees one count for each partition, no task sees all rows."""
+    placed = kept(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("at__", F.monotonically_increasing_id())
+    part = F.shiftright("at__", 33)
+    total, offsets = 0, []
+    for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
+        offsets.append((p, total))
+        total += n
+    table = df.sparkSession.createDataFrame(offsets, "p__ long, ahead__ long")
+    placed = placed.withColumn("p__", part).join(F.broadcast(table), "p__")
+    return placed.withColumn(name, F.col("at__").bitwiseAND((1 << 33) - 1) + F.col("ahead__")).drop("at__", "p__", "ahead__"), total

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.lineage import ranked
+
 # Headings and placeholders of the report.
 SECTIONS = ("## Coverage", "## Contradictions", "### Factual & Methodological Contradictions", "### Temporal Drift", "## Sources")
 NO_GENUINE = "_No factual or methodological contradictions detected._"
@@ -30,8 +32,10 @@ def contradictions(claims: DataFrame) -> DataFrame:
     place in the claim."""
     rows = claims.select(F.col("id").alias("claim_id"), F.col("ord").alias("claim_ord"), "text", F.posexplode("contradictions").alias("pos", "c"))
     rows = rows.select("claim_id", "claim_ord", "text", "pos", "c.*")
-    order = Window.partitionBy("conflict_type").orderBy(F.desc("confidence_score"), "claim_ord", "pos")
-    return rows.withColumn("rank", F.row_number().over(order))
+    # there are three buckets, so a window would sort each in one task
+    rows, _ = ranked(rows, ["conflict_type", F.desc("confidence_score"), "claim_ord", "pos"], "place__")
+    first = rows.groupBy("conflict_type").agg(F.min("place__").alias("first__"))
+    return rows.join(F.broadcast(first), "conflict_type").withColumn("rank", F.col("place__") - F.col("first__") + 1).drop("place__", "first__")
 
 
 def sources(claims: DataFrame) -> DataFrame:
@@ -116,7 +120,6 @@ def draft_summary(draft):
 
 
 def url_list(urls: DataFrame) -> DataFrame:
-    """Numbered lines of scored URLs for review: ``[i] score  etld1  url``. The list is one
-    subtopic's, whose length the discovery caps bound."""
-    n = F.row_number().over(Window.orderBy("ord")) - 1
-    return urls.select("ord", F.format_string("  [%d] %s  %s  %s", n, F.format_string("%.2f", F.col("score")), F.coalesce(F.nullif(F.col("etld1"), F.lit("")), F.lit("?")), F.col("url")).alias("line"))
+    """Numbered lines of scored URLs for review: ``[i] score  etld1  url``."""
+    numbered, _ = ranked(urls, ["ord", "url"], "n__")
+    return numbered.select("ord", F.format_string("  [%d] %s  %s  %s", F.col("n__"), F.format_string("%.2f", F.col("score")), F.coalesce(F.nullif(F.col("etld1"), F.lit("")), F.lit("?")), F.col("url")).alias("line"))
