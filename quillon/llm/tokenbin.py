@@ -104,6 +104,14 @@ class Reader:
         return out
 
 
+class _Runs(dict):
+    """Ids of runs; one that is absent is learnt."""
+
+    def __missing__(self, run: bytes) -> bytes:
+        self[run] = found = self.learn(run)
+        return found
+
+
 class Encoder:
     """Ids of whole texts with a file of the tokenizers library.
 
@@ -125,8 +133,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self._fresh()
         self.alphabet = {b: c for c, b in byte_alphabet().items()}
         joined = lambda t: [i for w in t.split() for i in self.direct(w).tolist()]
         probes = [*self._PROBES, "it's, l'eau. 3.14! x"]
@@ -138,46 +146,45 @@ class Encoder:
     def direct(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _model(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
     def _letters(self, word: str) -> bytes:
         """Ids of a run of Latin letters, as bytes."""
         raw = word.lower().encode()
-        text = raw.decode() if raw.isascii() else raw.decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return self._model(raw.decode() if raw.isascii() else raw.decode("latin-1").translate(self.alphabet))
 
     def _learn(self, run: bytes) -> bytes:
+        if (known := self.old.get(run)) is not None:
+            return known
+        if self.by_model and run.isalpha() and run.islower():
+            return self._model(run.decode())
         word = run.decode()
         if self.by_model and self._LETTERS.fullmatch(word):
             return self._letters(word)
         if self.by_stem:
             stem = word.rstrip(".,;:!?")
             if stem != word and stem and self._LETTERS.fullmatch(stem[-1]):
-                return self._get(stem.encode()) + self._get(word[len(stem) :].encode())
+                return self.cache[stem.encode()] + self.cache[word[len(stem) :].encode()]
         return self.direct(word).tobytes()
 
-    def _get(self, run: bytes) -> bytes:
-        found = self.cache.get(run)
-        if found is None:
-            found = self.old.get(run)
-            self.cache[run] = found = self._learn(run) if found is None else found
-        return found
+    def _fresh(self) -> None:
+        self.cache = _Runs()
+        self.cache.learn = self._learn
 
     def many(self, texts: list[bytes]) -> list[np.ndarray]:
-        runs: list[list[bytes] | None] = []
+        if len(self.cache) > self.CACHE:
+            self.old = dict(self.cache)
+            self._fresh()
+        get, out = self.cache.__getitem__, []
         for raw in texts:
             if not self.by_word or b"<|" in raw and any(s in raw for s in self.special):
-                runs.append(None)
-            else:
-                # lowering A-Z ahead is the same where no character can combine with another
-                plain = raw.isascii() or int(np.frombuffer(raw, np.uint8).max()) < 0xCC
-                runs.append((raw.lower() if plain else raw).split())
-        wanted = set().union(*(r for r in runs if r))
-        missing = [w for w in wanted if w not in self.cache]
-        if len(self.cache) + len(missing) > self.CACHE:
-            self.old, self.cache, missing = self.cache, {}, wanted
-        for w in missing:
-            self._get(w)
-        get = self.cache.__getitem__
-        return [self.direct(t.decode()) if r is None else np.frombuffer(b"".join(map(get, r)), np.uint32) for t, r in zip(texts, runs, strict=True)]
+                out.append(self.direct(raw.decode()))
+                continue
+            # lowering A-Z ahead is the same where no character can combine with another
+            plain = raw.isascii() or int(np.frombuffer(raw, np.uint8).max()) < 0xCC
+            out.append(np.frombuffer(b"".join(map(get, (raw.lower() if plain else raw).split())), np.uint32))
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
@@ -192,7 +199,7 @@ def encoder(definition: str) -> Encoder:
 
 
 def crc32(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
 _SEGMENTS = "part int, segment int, n_docs long, n_tokens long, doc_ids array<{id}>, lengths array<long>, payload binary"
@@ -255,7 +262,8 @@ def read_tokens(spark: SparkSession, path: str, id_column: str = "doc_id") -> Da
                 n = np.asarray(b.column("lengths")[i].values, np.int64)
                 reader = Reader(b.column("payload")[i].as_buffer().to_pybytes())
                 ends = np.cumsum(n)
-                crc = [crc32(reader.slice(int(hi - m), int(hi))) for hi, m in zip(ends, n, strict=True)]
+                ids_all = reader.slice(0, len(reader))
+                crc = [crc32(ids_all[hi - m : hi]) for hi, m in zip(ends.tolist(), n.tolist(), strict=True)]
                 whole = lambda name: pa.array(np.full(len(n), b.column(name)[i].as_py(), np.int32))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([ids, whole("part"), whole("segment"), pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())], names=out.names)
 
