@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as k
-from .shared import discard, saved
+from .shared import discard, saved, sized_parts
 
 K = 128
 TREES = 10
@@ -122,16 +122,18 @@ def _branches(reps: DataFrame, threshold: float, trees: int, parents: DataFrame
 def leaves(reps: DataFrame, threshold: float, trees: int = TREES, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
     """node, block, side, rep, n, sketch: documents to be compared. ``block`` 0: all with all;
     else ``side`` 0 with ``side`` 1 of that block."""
-    found, now, kept = [], None, []
+    found, now, kept, left = [], None, [], None
     for _ in range(depth):
-        now = saved(_branches(reps, threshold, trees, now), "branches")
+        # at most two branches of each row
+        now = saved(_branches(reps, threshold, trees, now), "branches", left and 2 * left)
         kept.append(now)
         counts = now.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
-        sized = saved(now.join(counts, "node"), "nodes")
+        sized = saved(now.join(counts, "node"), "nodes", now.count())
         kept.append(sized)
         found.append(sized.where(F.col("c") <= limit).select("node", F.lit(0).alias("block"), F.lit(0).alias("side"), "rep"))
         now = sized.where(F.col("c") > limit)
-        if not now.limit(1).count():
+        left = now.count()
+        if not left:
             break
     else:
         blocks = F.ceil(F.col("c") / limit).cast("int")
@@ -149,7 +151,7 @@ def leaves(reps: DataFrame, threshold: float, trees: int = TREES, limit: int = L
                 packed = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(np.arange(0, (b.num_rows + 1) * K, K, dtype=np.int32)), pa.py_buffer(low)])
                 yield pa.RecordBatch.from_arrays([*b.columns[:5], packed], names=["node", "block", "side", "rep", "n", "sketch"])
 
-    out = saved(rows.select("node", "block", "side", "rep", "n", "tokens").mapInArrow(run, "node long, block int, side int, rep long, n long, sketch binary"), "leaves")
+    out = saved(rows.select("node", "block", "side", "rep", "n", "tokens").mapInArrow(run, "node long, block int, side int, rep long, n long, sketch binary"), "leaves", rows.count())
     discard(*kept)
     return out
 
@@ -344,14 +346,15 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): the smallest id that each end of the links (a, b) reaches, by minima of
     neighbours and jumps to the label's label, until nothing changes."""
-    edges = saved(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
-    labels = saved(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels")
+    edges = saved(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges", 2 * links.count())
+    n = edges.count()
+    labels = saved(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels", n)
     while True:
         seen = labels.select(F.col("u").alias("v"), F.col("l").alias("lv"))
         near = edges.join(seen, "v").groupBy("u").agg(F.min("lv").alias("m"))
         jump = labels.select(F.col("u").alias("l"), F.col("l").alias("ll"))
         new = labels.join(near, "u").join(jump, "l", "left")
-        new = saved(new.select("u", F.least("l", "m", F.coalesce("ll", "l")).alias("l"), (F.least("l", "m", F.coalesce("ll", "l")) < F.col("l")).alias("moved")), "labels")
+        new = saved(new.select("u", F.least("l", "m", F.coalesce("ll", "l")).alias("l"), (F.least("l", "m", F.coalesce("ll", "l")) < F.col("l")).alias("moved")), "labels", n)
         moved = new.where("moved").limit(1).count()
         discard(labels)
         labels = new
@@ -364,13 +367,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     """doc_id, n_shingles, component_id and kept of every document. Linked are documents with
     100 * intersection >= ``percent`` * union of their sets."""
     threshold = percent / 100
-    found = saved(profiles(docs, width), "profiles")
+    n = docs.count()
+    # small splits are read together; splits of the usual size hold more rows than this
+    found = saved(profiles(docs, width), "profiles", n, 5_000)
     named = found.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = named.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    members = saved(named.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "f1", "f2", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    members = saved(named.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "f1", "f2", F.coalesce("rep", "doc_id").alias("rep")), "members", n)
     others = members.where("rep <> doc_id").select("doc_id", "n", "f1", "f2")
-    reps = saved(named.join(others, ["doc_id", "n", "f1", "f2"], "left_anti").select(F.col("doc_id").alias("rep"), "n", "tokens").dropDuplicates(["rep", "n"]), "reps")
+    reps = saved(named.join(others, ["doc_id", "n", "f1", "f2"], "left_anti").select(F.col("doc_id").alias("rep"), "n", "tokens").dropDuplicates(["rep", "n"]), "reps", n, 20_000)
     rows = leaves(reps, threshold, trees, limit, depth)
+    total, n = n, rows.count()
     labels = sets = links = None
 
     def with_components():
@@ -380,19 +386,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
         return named.withColumn("comp", F.coalesce("c__", "rep")).drop("c__")
 
     for top in ROUNDS:
-        pairs = saved(candidates(with_components(), threshold, top), "pairs")
-        if not pairs.limit(1).count():
+        pairs = saved(candidates(with_components(), threshold, top), "pairs", n * top)
+        m = pairs.count()
+        if not m:
             break
         if sets is None:
             # the first round names each document that has a similar partner in some leaf
             ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-            sets = saved(shingle_table(docs, saved(ids, "ids"), width), "sets")
-        good = saved(confirm(pairs, sets, percent).where("linked").select("a", "b"), "links")
+            sets = saved(shingle_table(docs, saved(ids, "ids", 2 * m), width), "sets", total, 5_000)
+        good = saved(confirm(pairs, sets, percent).where("linked").select("a", "b"), "links", m, 10_000)
         links = good if links is None else links.unionByName(good)
         labels = components(links)
     if sets is not None:
-        members_left = saved(unresolved(with_components(), threshold), "unresolved")
-        rest = saved(exhaust(members_left, sets, percent), "links")
+        members_left = saved(unresolved(with_components(), threshold), "unresolved", n)
+        rest = saved(exhaust(members_left, sets, percent), "links", members_left.count(), 1000)
         if rest.limit(1).count():
             labels = components(links.unionByName(rest))
     if sets is not None:
@@ -404,7 +411,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
         out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
     else:
         out = out.withColumn("component_id", F.col("rep"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.coalesce(sized_parts(total, 50_000))
 
 
 ORACLE = r"""

@@ -29,11 +29,13 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again, which cuts the lineage. ``saved_at`` is its path."""
+def saved(df: DataFrame, name: str, rows: int | None = None, each: int = 100_000) -> DataFrame:
+    """Written to the shared folder and read again, which cuts the lineage. ``saved_at`` is its
+    path. Where a bound on its rows is known, it takes no more files than ``each`` rows a file
+    need, however many partitions a shuffle has left."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(sized_parts(rows, each))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
