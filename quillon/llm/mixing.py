@@ -31,6 +31,8 @@ SHARE = 1.5
 MOST = 2
 SEED = 20_240_901
 SHARD_SLOTS = 4096
+#: Smaller splits of the texts are read together.
+SPLIT_ROWS = 5_000
 PART_ROWS = 10_000
 _U = np.uint64
 
@@ -213,7 +215,7 @@ def _met(placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes) of every document."""
-    sizes = saved(with_size(docs.select("doc_id", "source", "text")), "sizes")
+    sizes = saved(with_size(docs.select("doc_id", "source", "text")), "sizes", docs.count(), SPLIT_ROWS)
     sources = saved(targets(sizes), "targets")
     met = _met(_placed(sizes, sources), slot_blocks(draws(sources, seed, block), seed, block), block)
     keys = ["sid", "part", "row", "doc_id", "size", "source_size", "target"]
@@ -226,7 +228,7 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> Da
     any of its words. Taken whole, its text is unchanged; else it is the taken runs of words,
     each as it stands in the text, in order, with a line between runs. n_chars follows the text."""
     keyed = docs.withColumn("tie__", F.xxhash64(F.coalesce("text", F.lit(""))))
-    sizes = saved(with_size(keyed.select("doc_id", "source", F.col("tie__").alias("tie"), "text")), "sizes")
+    sizes = saved(with_size(keyed.select("doc_id", "source", F.col("tie__").alias("tie"), "text")), "sizes", docs.count(), SPLIT_ROWS)
     repeated = sizes.groupBy("doc_id", "tie").count().where("count > 1").limit(1).count()
     sources = saved(targets(sizes), "targets")
     placed = _placed(sizes, sources)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .mixing import with_size
+from .mixing import SPLIT_ROWS, with_size
 from .shared import saved, sized_parts
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -108,5 +108,5 @@ def pack_sizes(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS, group: int
 
 def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     """Packing of the words of ``docs`` (doc_id, text)."""
-    sizes = saved(with_size(docs.select("doc_id", "text")), "sizes")
+    sizes = saved(with_size(docs.select("doc_id", "text")), "sizes", docs.count(), SPLIT_ROWS)
     return pack_sizes(sizes, lengths)

@@ -24,6 +24,8 @@ MAX_HOST_RATE = 0.9
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
+#: Smaller splits of the texts are read together.
+SPLIT_ROWS = 5_000
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -122,7 +124,7 @@ def _bad_hosts(df: DataFrame, host: str, failed: str) -> DataFrame:
 def host_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the five counts, base_failed and kept of every document."""
     found = with_features(docs.select("doc_id", "source", "text"), "text", drop_text=True).withColumn("base_failed", base_failed())
-    found = saved(found, "quality")
+    found = saved(found, "quality", docs.count(), SPLIT_ROWS)
     bad = _bad_hosts(found, "source", "base_failed").withColumn("bad", F.lit(True))
     out = found.join(bad, F.col("source").eqNullSafe(F.col("host")), "left")
     return out.select("doc_id", *FEATURES, "base_failed", (~F.col("base_failed") & F.col("bad").isNull()).alias("kept"))
@@ -131,7 +133,7 @@ def host_rules(docs: DataFrame) -> DataFrame:
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that the rules and their host's verdict keep."""
     counted = with_features(docs.select("source", "text"), "text", drop_text=True).withColumn("base_failed", base_failed())
-    bad = saved(_bad_hosts(counted, "source", "base_failed"), "bad-hosts")
+    bad = saved(_bad_hosts(counted, "source", "base_failed"), "bad-hosts", docs.count())
     rows = with_features(docs, "text", prefix="q__").where(~base_failed("q__")).select(*[f"`{c}`" for c in docs.columns])
     return rows.join(bad, rows["source"].eqNullSafe(bad["host"]), "left_anti")
 
