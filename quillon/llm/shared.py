@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from quillon.lineage import ranked, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-    Where it is unset (tests), a folder of this machine is set as the session's own."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = sc.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["discard", "fresh_dir", "ranked", "saved", "shared_dir", "sized_parts"]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -49,31 +35,6 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, schema: T.StructType | str, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
-def null_long(name: str):
-    return F.lit(None).cast("long").alias(name)
-
-
 def sized_parts(rows: int, each: int) -> int:
     """Groups of about ``each`` rows that ``rows`` rows need."""
     return max(1, -(-rows // each))
-
-
-def ranked(df: DataFrame, order: list, name: str = "rank") -> tuple[DataFrame, int]:
-    """``df`` sorted by ``order`` with each row's rank from 0, and the number of rows. The sorted
-    rows are kept in the shared folder, so their places hold; a rank is a row's place in its
-    partition plus the partition's offset. The driver sees one count for each partition."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint().withColumn("at__", F.monotonically_increasing_id())
-    part = F.shiftright("at__", 33)
-    total, offsets = 0, []
-    for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
-        offsets.append((p, total))
-        total += n
-    table = spark.createDataFrame(offsets, "p__ long, ahead__ long")
-    placed = placed.withColumn("p__", part).join(F.broadcast(table), "p__")
-    return placed.withColumn(name, F.col("at__").bitwiseAND((1 << 33) - 1) + F.col("ahead__")).drop("at__", "p__", "ahead__"), total
