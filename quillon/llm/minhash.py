@@ -151,7 +151,7 @@ def leaves(reps: DataFrame, threshold: float, trees: int = TREES, limit: int = L
                 packed = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(np.arange(0, (b.num_rows + 1) * K, K, dtype=np.int32)), pa.py_buffer(low)])
                 yield pa.RecordBatch.from_arrays([*b.columns[:5], packed], names=["node", "block", "side", "rep", "n", "sketch"])
 
-    out = saved(rows.select("node", "block", "side", "rep", "n", "tokens").mapInArrow(run, "node long, block int, side int, rep long, n long, sketch binary"), "leaves", rows.count())
+    out = saved(rows.select("node", "block", "side", "rep", "n", "tokens").mapInArrow(run, "node long, block int, side int, rep long, n long, sketch binary"), "leaves", rows.count(), 20_000)
     discard(*kept)
     return out
 
@@ -386,7 +386,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
         return named.withColumn("comp", F.coalesce("c__", "rep")).drop("c__")
 
     for top in ROUNDS:
-        pairs = saved(candidates(with_components(), threshold, top), "pairs", n * top)
+        pairs = saved(candidates(with_components(), threshold, top), "pairs", n, 20_000)
         m = pairs.count()
         if not m:
             break
@@ -394,12 +394,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
             # the first round names each document that has a similar partner in some leaf
             ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
             sets = saved(shingle_table(docs, saved(ids, "ids", 2 * m), width), "sets", total, 5_000)
-        good = saved(confirm(pairs, sets, percent).where("linked").select("a", "b"), "links", m, 10_000)
+        good = saved(confirm(pairs, sets, percent).where("linked").select("a", "b"), "links", m, 2_000)
         links = good if links is None else links.unionByName(good)
         labels = components(links)
     if sets is not None:
-        members_left = saved(unresolved(with_components(), threshold), "unresolved", n)
-        rest = saved(exhaust(members_left, sets, percent), "links", members_left.count(), 1000)
+        members_left = saved(unresolved(with_components(), threshold), "unresolved", n, 20_000)
+        rest = saved(exhaust(members_left, sets, percent), "links", members_left.count(), 500)
         if rest.limit(1).count():
             labels = components(links.unionByName(rest))
     if sets is not None:
