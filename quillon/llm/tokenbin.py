@@ -172,6 +172,22 @@ class Encoder:
         self.cache = _Runs()
         self.cache.learn = self._learn
 
+    def texts(self, column: pa.Array) -> list[bytes]:
+        """Texts of a column for ``many``. Where the vocabulary drops white space, a blank goes
+        before each comma or full stop between an ASCII letter and white space (or the text's
+        end): it changes no id, and a word is then one run with and without its mark."""
+        data, offsets = k.buffers(column)
+        if self.by_stem and len(data):
+            after = np.ones(len(data), bool)
+            after[:-1] = _SPACE[data[1:]]
+            after[offsets[1:][offsets[1:] > 0] - 1] = True
+            at = np.flatnonzero(_MARK[data] & after)
+            at = at[(at > 0) & _ALPHA[data[at - 1]]]
+            at = at[offsets[np.searchsorted(offsets, at, "right") - 1] != at]
+            data, offsets = np.insert(data, at, 32), offsets + np.searchsorted(at, offsets)
+        raw, ends = data.tobytes(), offsets.tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
     def many(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.cache) > self.CACHE:
             self.old = dict(self.cache)
@@ -187,6 +203,7 @@ class Encoder:
         return out
 
 
+_SPACE, _MARK, _ALPHA = (np.isin(np.arange(256), list(s)) for s in (b" \t\n\x0b\x0c\r", b",.", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 _encoders: dict[int, Encoder] = {}
 
 
@@ -228,7 +245,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, end_id: int, id_co
             _, offsets = k.buffers(b.column(1))
             for lo, hi, _, _ in k.pieces(np.zeros(0, np.uint8), offsets):
                 some = b.slice(lo, hi - lo)
-                for i, c in zip(some.column(0).to_pylist(), coder.many(some.column(1).cast(pa.large_binary()).to_pylist()), strict=True):
+                for i, c in zip(some.column(0).to_pylist(), coder.many(coder.texts(some.column(1))), strict=True):
                     ids.append(i)
                     codes.append(np.concatenate((c, last)))
                     size += len(codes[-1])
