@@ -56,9 +56,7 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.fresh_dir(spark, "warc")
     written = shared.saved(warc.write_archives(_table(spark, sf_dir, "pages"), path), "archives")
-    # one row for each archive, of which a task writes one
-    files = [(r.file, r.size) for r in written.select("file", "size").collect()]
-    return warc.digest(warc.read_archives(spark, files))
+    return warc.digest(warc.read_archives(written))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

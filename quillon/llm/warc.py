@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import saved
@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, "file string, size long, records long")
 
 
-def starts_in(source, size: int, lo: int, hi: int) -> Iterator[int]:
+def starts_in(source, lo: int, hi: int) -> Iterator[int]:
     """Places in lo..hi-1 where a record's gzip member starts."""
     at, tail = lo, b""
     while at < hi:
@@ -156,12 +156,14 @@ def _member(source, at: int) -> bytes:
     return b"".join(out)
 
 
-def read_archives(spark: SparkSession, files: list[tuple[str, int]], split: int = SPLIT) -> DataFrame:
-    """Records of archives (path, bytes): file, offset, type, url, page_id, digest,
-    payload_length, refers_to and payload (binary; none for revisits)."""
-    ranges = [(f, n, a, min(n, a + split)) for f, n in files for a in range(0, n, split)]
-    table = spark.createDataFrame(ranges, "file string, size long, lo long, hi long")
-    table = table.repartition(max(1, len(ranges)))
+def read_archives(files: DataFrame, split: int = SPLIT) -> DataFrame:
+    """Records of archives (file, size): file, offset, type, url, page_id, digest,
+    payload_length, refers_to and payload (binary; none for revisits). The byte ranges are rows,
+    dealt evenly to as many tasks."""
+    table = files.where("size > 0").select("file", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(split))).alias("lo"), "size")
+    table = table.select("file", "lo", F.least(F.col("lo") + split, "size").alias("hi"))
+    ranges = files.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 0
+    table = table.repartition(max(1, ranges))
     schema = "file string, offset long, type string, url string, page_id string, digest string, payload_length long, refers_to string, payload binary"
 
     def batch(rows):
@@ -172,11 +174,11 @@ def read_archives(spark: SparkSession, files: list[tuple[str, int]], split: int
 
     def run(batches):
         for b in batches:
-            for file, size, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for file, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 store, name = open_fs(file)
                 with store.open_input_file(name) as source:
                     rows, held = [], 0
-                    for at in starts_in(source, size, lo, hi):
+                    for at in starts_in(source, lo, hi):
                         if (parsed := parse(_member(source, at))) is None:
                             continue
                         f, block = parsed
