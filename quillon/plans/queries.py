@@ -242,12 +242,12 @@ def html_text(s, d):
 
 
 @query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1), 1) - 1 AS pos FROM pages)
-SELECT page_id::VARCHAR AS page_id, href, pos::INT AS pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') AND regexp_extract(href, '://([^/?#]*)', 1) <> regexp_extract(url, '://([^/?#]*)', 1) THEN 'external' ELSE 'internal' END AS link_type, '' AS text, 0.0 AS total_score FROM l""")
+SELECT page_id::VARCHAR AS page_id, href, pos::INT AS pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') AND regexp_extract(href, '://([^/?#]*)', 1) <> regexp_extract(url, '://([^/?#]*)', 1) THEN 'external' ELSE 'internal' END AS link_type, '' AS text, 0.0::DOUBLE AS total_score FROM l""")
 def page_links(s, d):
     return ingest.link_rows(_pages(s, d)).select("page_id", "href", "pos", "link_type", "text", "total_score")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size + 0.5 END AS gb FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE (p_size + 0.5)::DOUBLE END AS gb FROM part")
 def gb_figures(s, d):
     line = F.when(F.col("p_size") % 3 == 0, "no figure").otherwise(F.concat(F.lit("used 0.25 GB of "), F.col("p_size").cast("string"), F.lit(".5  GB, 99 MB")))
     return _parts(s, d).select("p_partkey", T.gb_figures(line).alias("gb"))
@@ -493,7 +493,7 @@ def pages_with_chunks(s, d):
     return search.pages_with_chunks(*_store(s, d)).select("id", F.array_join("chroma_doc_ids", ",").alias("ids"))
 
 
-@query("SELECT 4 AS sessions, count(*) AS pages, count(*) FILTER (page_id % 11 <> 0) AS successful_pages, (SELECT count(*) FROM embeddings) AS vectors FROM pages")
+@query("SELECT 4::BIGINT AS sessions, count(*) AS pages, count(*) FILTER (page_id % 11 <> 0) AS successful_pages, (SELECT count(*) FROM embeddings) AS vectors FROM pages")
 def store_stats(s, d):
     pages = ingest.page_rows(D.crawled(s, d))
     return events.store_stats(pages.select("session_id").distinct(), pages, pages, D.table(s, d, "embeddings")).select("sessions", "pages", "successful_pages", "vectors")
@@ -537,7 +537,7 @@ def publication_dates(s, d):
     return _parts(s, d).select("p_partkey", V.publication_date(text, F.when(k != 3, y)).alias("pub"))
 
 
-@query(f"SELECT a.vec_id, round({_cos('a.embedding', 'b.embedding')}, 4) AS similarity, 0.0 AS bad FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query(f"SELECT a.vec_id, round(1 - (1 - {_cos('a.embedding', 'b.embedding')}), 4) AS similarity, 0.0::DOUBLE AS bad FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_values(s, d):
     e = D.table(s, d, "embeddings")
     pairs = e.select("vec_id", "embedding").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
@@ -564,7 +564,7 @@ def json_retry(s, d):
     return D.table(s, d, "events").select("event_id", F.get_json_object(R.with_retry(first, second, '{"k": -1}'), "$.k").cast("long").alias("k"))
 
 
-@query("SELECT p_partkey, p_name AS url, p_size / 10 AS score, '' AS etld1, 0 AS n_also FROM part")
+@query("SELECT p_partkey, p_name AS url, p_size / 10 AS score, '' AS etld1, 0::BIGINT AS n_also FROM part")
 def parsed_urls(s, d):
     one = F.concat(F.lit('{"url":"'), F.col("p_name"), F.lit('","score":'), (F.col("p_size") / 10).cast("string"), F.lit("}"))
     text = F.when(F.col("p_partkey") % 2 == 0, one).otherwise(F.concat(F.lit("["), one, F.lit("]")))
@@ -572,7 +572,7 @@ def parsed_urls(s, d):
     return rows.select("p_partkey", "u.url", "u.score", "u.etld1", F.size("u.also_in").cast("long").alias("n_also"))
 
 
-@query("SELECT p_partkey, 'c' || p_partkey AS id, 0.0 AS score, 'factual' AS conflict_type FROM part")
+@query("SELECT p_partkey, 'c' || p_partkey AS id, 0.0::DOUBLE AS score, 'factual' AS conflict_type FROM part")
 def parsed_ledgers(s, d):
     k = F.col("p_partkey").cast("string")
     text = F.concat(F.lit('{"claims":[{"id":"c'), k, F.lit('","subtopic_id":"s","text":"t","status":"flagged","sources":[{"url":"a","etld1":"a.com"}],"contradictions":[{"url":"b","etld1":"b.com","quote":"no"}]}]}'))
