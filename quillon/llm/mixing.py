@@ -215,12 +215,13 @@ def _met(placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes) of every document."""
-    sizes = saved(with_size(docs.select("doc_id", "source", "text")), "sizes", docs.count(), SPLIT_ROWS)
+    n = docs.count()
+    sizes = saved(with_size(docs.select("doc_id", "source", "text")), "sizes", n, SPLIT_ROWS)
     sources = saved(targets(sizes), "targets")
     met = _met(_placed(sizes, sources), slot_blocks(draws(sources, seed, block), seed, block), block)
     keys = ["sid", "part", "row", "doc_id", "size", "source_size", "target"]
     out = met.groupBy(*keys).agg(F.sum(F.greatest(F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)), F.lit(0))).alias("taken"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken").coalesce(sized_parts(n, 50_000))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
