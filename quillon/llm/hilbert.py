@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ranked
+from .shared import ranked, sized_parts
 
 BITS = 4
 
@@ -99,4 +99,4 @@ def digest(docs: DataFrame, shards: int = 24) -> DataFrame:
     lead = rows.groupBy("group__").agg(F.min(F.struct("doc_id", "curve")).alias("lead__"), F.count("*").alias("n__")).where("n__ > 1").select("group__", "lead__")
     rows = rows.join(lead, "group__", "left").withColumn("curve", F.coalesce("lead__.curve", "curve")).drop("lead__", "source__", "lang__")
     out = slots(rows, ["curve", "group__", "doc_id"], shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")).coalesce(sized_parts(docs.count(), 50_000))
