@@ -19,8 +19,9 @@ def scores(docs: DataFrame, query: str, id_column: str = "doc_id", text: str = "
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); squash = s / (s + 1)."""
     asked = list(dict.fromkeys(_plain_keywords(query)))
     w = words(F.lower(F.col(text)))
-    tf = F.array(*[F.size(F.filter(w, _equals(t))) for t in asked]) if asked else F.array().cast("array<int>")
-    rows = docs.select(F.col(id_column).alias("id__"), F.size(w).alias("len"), tf.alias("tf"))
+    tf = F.array(*[F.size(F.filter("w__", _equals(t))) for t in asked]) if asked else F.array().cast("array<int>")
+    # the words are made once, below a projection of their own, and counted for each term
+    rows = docs.select(F.col(id_column).alias("id__"), w.alias("w__")).select("id__", F.size("w__").alias("len"), tf.alias("tf"))
     n = len(asked)
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(n)])
     joined = rows.where(F.exists("tf", lambda x: x > 0)).join(F.broadcast(stats))

@@ -18,21 +18,29 @@ def _window(w: Column, start: Column, size: int) -> Column:
     return F.array_join(F.slice(w, start + 1, size), " ")
 
 
+def _with_words(text: Column, make) -> Column:
+    """``make`` of the words of a text, which are bound once and not made anew for each window."""
+    return F.element_at(F.transform(F.array(words(text)), lambda w: F.when(F.size(w) > 0, make(w))), 1)
+
+
 def sliding(text: Column, size: int = DEFAULT.window_words, step: int = DEFAULT.window_step) -> Column:
-    w = words(text)
-    n = F.size(w)
-    last = n - size
-    regular = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))
-    starts = F.array_distinct(F.concat(regular, F.array(F.greatest(last, F.lit(0)))))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: _window(w, i, size)))
+    def make(w: Column) -> Column:
+        last = F.greatest(F.size(w) - size, F.lit(0))
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)))
+        return F.transform(starts, lambda i: _window(w, i, size))
+
+    return F.coalesce(_with_words(text, make), F.array().cast("array<string>"))
 
 
 def overlapping(text: Column, size: int = DEFAULT.window_words, overlap: int = DEFAULT.window_overlap) -> Column:
     """Windows that share ``overlap`` words, up to the one that reaches the end."""
-    w = words(text)
-    n, step = F.size(w), max(1, size - overlap)
-    count = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), count), lambda i: _window(w, i * step, size)))
+    step = max(1, size - overlap)
+
+    def make(w: Column) -> Column:
+        count = F.greatest(F.ceil((F.size(w) - size) / step), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), count), lambda i: _window(w, i * step, size))
+
+    return F.coalesce(_with_words(text, make), F.array().cast("array<string>"))
 
 
 def by_pattern(text: Column, patterns: str = r"\n\n") -> Column:

@@ -61,12 +61,14 @@ def similar_pairs(pages: DataFrame, threshold: float = DEFAULT.mirror_cosine, or
     """(a, b, similarity) with a before b and cosine at least ``threshold``. With few pages all
     pairs are compared; else those that share a bucket of ``bits`` hyperplanes in one of
     ``tables`` (a pair at 0.92 is missed with a probability of about 1e-4), each once."""
-    rows = pages.where(F.col(vector).isNotNull()).select(F.col(ord_).alias("o"), F.col(vector).alias("v"))
-    a, b = rows.select(F.col("o").alias("a"), F.col("v").alias("va")), rows.select(F.col("o").alias("b"), F.col("v").alias("vb"))
+    rows = pages.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(ord_).alias("o"), F.col(vector).cast("array<double>").alias("v"))
+    # lengths are taken once for each vector, so a pair costs one product
+    normed = rows.withColumn("l", F.sqrt(V.dot(F.col("v"), F.col("v"))))
+    a, b = normed.select(F.col("o").alias("a"), F.col("v").alias("va"), F.col("l").alias("la")), normed.select(F.col("o").alias("b"), F.col("v").alias("vb"), F.col("l").alias("lb"))
     if exact is None:
         exact = rows.count() <= EXACT_PAGES
     if exact:
-        pairs = a.join(b, F.col("a") < F.col("b"))
+        pairs = a.repartition(4 * pages.sparkSession.sparkContext.defaultParallelism, "a").join(b, F.col("a") < F.col("b"))
     else:
         first = rows.select("v").first()
         planes = np.random.default_rng(seed).normal(size=(tables, bits, len(first[0]) if first else 1))
@@ -75,7 +77,9 @@ def similar_pairs(pages: DataFrame, threshold: float = DEFAULT.mirror_cosine, or
         keyed = rows.withColumn("k", F.explode(keys))
         shared = keyed.select(F.col("o").alias("a"), "k").join(keyed.select(F.col("o").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
         pairs = shared.join(a, "a").join(b, "b")
-    return pairs.select("a", "b", V.cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    fine = (F.size("va") == F.size("vb")) & (F.col("la") > 0) & (F.col("lb") > 0)
+    likeness = F.when(fine, V.dot(F.col("va"), F.col("vb")) / (F.col("la") * F.col("lb"))).otherwise(0.0)
+    return pairs.select("a", "b", likeness.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def leaders(pairs: DataFrame, ids: DataFrame) -> DataFrame:
