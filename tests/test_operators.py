@@ -145,6 +145,29 @@ def test_blocked_pairs_equal_exact(spark):
     assert {(r["a"], r["b"]) for r in search.similar_pairs(pages, exact=False).collect()} == exact and len(exact) >= 30
 
 
+def test_similar_pairs_of_many_pages(spark):
+    """All pairs over a low threshold, in a table of more than 5,000 vectors, against one product."""
+    v = np.random.default_rng(3).normal(size=(5200, 48))
+    pages = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "ord long, vector array<double>")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    cosines = np.triu(unit @ unit.T, 1)
+    got = search.similar_pairs(pages, 0.35).toPandas()
+    assert not got.duplicated(["a", "b"]).any() and (got["a"] < got["b"]).all()
+    assert len(got) == (cosines >= 0.35).sum() > 10_000
+    assert np.allclose(got["similarity"], cosines[got["a"], got["b"]], rtol=0, atol=1e-12) and got["similarity"].min() >= 0.35
+
+
+def test_similar_pairs_awkward(spark):
+    """Pairs without a cosine count as 0; ids of any type; empty tables."""
+    data = [("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [0.0, 0.0]), ("d", [1.0]), ("e", [-1.0, 0.0]), ("f", None), ("g", []), ("h", [None, 1.0])]
+    pages = spark.createDataFrame(data, "ord string, vector array<double>")
+    assert rows(search.similar_pairs(pages, 0.5)) == [("a", "b", 1.0)]
+    got = {(r["a"], r["b"]): r["similarity"] for r in search.similar_pairs(pages, 0.0).collect()}
+    want = {(a, b): 0.0 for a in "abcdeh" for b in "abcdeh" if a < b} | {("a", "b"): 1.0}
+    assert got == {k: s for k, s in want.items() if k not in (("a", "e"), ("b", "e"))}
+    assert search.similar_pairs(pages.limit(0), 0.5).count() == 0
+
+
 def test_search_cuts_text(spark):
     data = [("a", "x" * 5000, [1.0, 0.0], {"session_id": "s"}), ("b", "y" * 1000, [0.0, 1.0], {"session_id": "t"})]
     table = spark.createDataFrame(data, "id string, chunk_text string, embedding array<double>, metadata map<string,string>")
