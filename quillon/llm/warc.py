@@ -1,9 +1,9 @@
 """WARC archives: a writer of one gzip member for each record, and a splittable reader.
 
 A reader task takes a byte range of an archive, scans it for the gzip magic, and takes as
-member starts only places whose bytes inflate to a WARC header. It owns the records that
+member starts only places whose bytes inflate to a WARC version. It owns the records that
 start inside its range and reads the last of them beyond its end. So one archive can be
-read by many tasks without an index.
+read by many tasks without an index. Headers may be of any length.
 
 Records of equal payloads of at least ``LEAST`` bytes: the one with the largest page id is
 a response, the others are revisits of it without a payload. Null html is an empty payload,
@@ -33,8 +33,7 @@ SPLIT = 8 << 20
 READ = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
-#: A member whose header does not end within so many bytes is no record.
-HEADER = 1 << 16
+RECORD = b"WARC/1."
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
@@ -59,7 +58,7 @@ def _clean(url: str | None) -> str:
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes] | None:
     """Header fields and block of an inflated record."""
-    if not raw.startswith(b"WARC/1."):
+    if not raw.startswith(RECORD):
         return None
     end = raw.find(b"\r\n\r\n")
     if end < 0:
@@ -131,18 +130,19 @@ def starts_in(source, lo: int, hi: int) -> Iterator[int]:
 
 
 def _is_record(source, at: int) -> bool:
+    """Whether a member at this place begins with a WARC version; what follows may be of any
+    length and is inflated with the member."""
     source.seek(at)
-    z = zlib.decompressobj(31)
+    z, head = zlib.decompressobj(31), b""
     try:
-        head = z.decompress(source.read(4096), HEADER)
-        while b"\r\n\r\n" not in head and not z.eof and len(head) < HEADER:
+        while len(head) < len(RECORD) and not z.eof:
             more = z.unconsumed_tail or source.read(4096)
             if not more:
                 break
-            head += z.decompress(more, HEADER)
+            head += z.decompress(more, len(RECORD))
     except zlib.error:
         return False
-    return head.startswith(b"WARC/1.") and b"\r\n\r\n" in head
+    return head.startswith(RECORD)
 
 
 def _member(source, at: int) -> bytes:
@@ -207,6 +207,16 @@ def digest(records: DataFrame) -> DataFrame:
     )
 
 
+def complete(found: DataFrame, files: DataFrame) -> DataFrame:
+    """``found`` (a row for each record read), kept; fails unless it has as many rows as records
+    were written to ``files``."""
+    out = saved(found, "records")
+    read, written = out.count(), files.agg(F.sum("records")).first()[0] or 0
+    if read != written:
+        raise ValueError(f"{read} records read of {written} written")
+    return out
+
+
 def sha1(data: bytes) -> str:
     return hashlib.sha1(data).hexdigest()
 

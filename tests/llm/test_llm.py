@@ -532,6 +532,19 @@ def test_warc_awkward(spark):
     assert len(got) == 3 and {r["record_type"] for r in got} == {"response"}
 
 
+@pytest.mark.parametrize("split", [1000, 1 << 23])
+def test_warc_long_urls(spark, split):
+    """Headers beyond any buffer: urls of 70,000 and 200,000 characters, repetitive or not."""
+    rows = [(1, "https://h/" + "a" * 70_000, "x"), (2, "data:," + "b" * 200_000, "y" * 2000), (3, "data:," + os.urandom(100_000).hex(), "y" * 2000), (4, "u", "z")]
+    written = shared.saved(warc.write_archives(pages(spark, rows), shared.fresh_dir(spark, "w")), "a")
+    back = warc.read_archives(written, split=split)
+    assert {r["page_id"]: r["url"] for r in back.collect()} == {str(i): url for i, url, _ in rows}
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.complete(warc.digest(back), written).collect()}
+    assert got == {i: (len(t), warc.sha1(t.encode()), "revisit" if i == 2 else "response", 3 if i == 2 else None) for i, _, t in rows}
+    with pytest.raises(ValueError, match="3 records read of 4 written"):
+        warc.complete(warc.digest(back).where("page_id <> 1"), written)
+
+
 # op9
 
 
