@@ -374,7 +374,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     classes = named.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = saved(named.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "f1", "f2", F.coalesce("rep", "doc_id").alias("rep")), "members", n)
     others = members.where("rep <> doc_id").select("doc_id", "n", "f1", "f2")
-    reps = saved(named.join(others, ["doc_id", "n", "f1", "f2"], "left_anti").select(F.col("doc_id").alias("rep"), "n", "tokens").dropDuplicates(["rep", "n"]), "reps", n, 20_000)
+    reps = saved(named.join(others, ["doc_id", "n", "f1", "f2"], "left_anti").select(F.col("doc_id").alias("rep"), "n", "f1", "f2", "tokens").dropDuplicates(["rep", "n", "f1", "f2"]), "reps", n, 20_000)
     rows = leaves(reps, threshold, trees, limit, depth)
     total, n = n, rows.count()
     labels = sets = links = None

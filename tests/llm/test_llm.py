@@ -143,6 +143,15 @@ def test_near_duplicates_awkward(spark):
     assert minhash.near_duplicates(docs(spark, [None, ""])).where("kept AND n_shingles = 0").count() == 2
 
 
+def test_near_copies_of_equally_long_texts_of_one_id(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.sample(WORDS, 60)) for _ in range(4)]
+    assert len({len(shingles(t)) for t in texts}) == 1
+    copies = [t.rsplit(" ", 1)[0] + " changed" for t in texts]
+    got = minhash.near_duplicates(docs(spark, texts + copies, ids=[5] * 4 + [6, 7, 8, 9])).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(5, 5, True)] * 4 + [(i, 5, False) for i in (6, 7, 8, 9)]
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 1000).astype(np.uint64)
