@@ -17,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id. Of rows that repeat
-    an id, the first by text stays; rows without an id all stay."""
+    """One document of each near-duplicate group (links at 85 percent, as in op1): that of the
+    smallest id. Of rows that repeat an id, the first by text stays; rows without an id all stay."""
     found = saved(minhash.near_duplicates(docs), "near")
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
