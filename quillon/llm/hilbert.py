@@ -6,6 +6,7 @@ counts, so a shard covers a compact box of every dimension and files can be prun
 of them. Rows of equal text form a group: it takes the place of its smallest id, its rows
 follow each other, and only a cut can part them.
 
+Strings are quantised by the rank of their whole value, so common prefixes do not matter.
 Null texts are empty, null metadata take level 0, null ids come first; repeated rows
 each get a slot; an empty table gives an empty result. Other columns are carried along
 by ``sharded`` under their own names.
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .shared import ranked, sized_parts
 
 BITS = 4
+#: Bytes of distinct strings up to which their ranks are sent to all tasks; more are joined by shuffle.
+SEND = 8 << 20
 
 
 def curve(points: np.ndarray, bits: int) -> np.ndarray:
@@ -50,9 +53,12 @@ def curve(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def text_code(c: Column) -> Column:
-    """A number that orders strings by their first seven bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(c, F.lit("")), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def with_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the rank of its strings in ``column`` (not null) among the distinct ones, by
+    code point over their whole length."""
+    values, _ = ranked(df.select(column).distinct(), [column], name)
+    size = values.agg(F.sum(F.octet_length(column) + 16)).first()[0] or 0
+    return df.join(F.broadcast(values) if size <= SEND else values, column)
 
 
 def with_curve(df: DataFrame, dims: dict[str, Column], bits: int = BITS, name: str = "curve") -> DataFrame:
@@ -91,12 +97,13 @@ def digest(docs: DataFrame, shards: int = 24) -> DataFrame:
         size_of("text").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("group__"),
-        text_code(F.col("source")).alias("source__"),
-        text_code(F.col("lang")).alias("lang__"),
+        F.coalesce("source", F.lit("")).alias("source__"),
+        F.coalesce("lang", F.lit("")).alias("lang__"),
     )
-    rows = with_curve(rows, {"source": F.col("source__"), "lang": F.col("lang__"), "size": F.col("size")})
+    rows = with_rank(with_rank(rows, "source__", "source_rank__"), "lang__", "lang_rank__")
+    rows = with_curve(rows, {"source": F.col("source_rank__"), "lang": F.col("lang_rank__"), "size": F.col("size")})
     # a group's place; groups of one are most and keep their own
     lead = rows.groupBy("group__").agg(F.min(F.struct("doc_id", "curve")).alias("lead__"), F.count("*").alias("n__")).where("n__ > 1").select("group__", "lead__")
-    rows = rows.join(lead, "group__", "left").withColumn("curve", F.coalesce("lead__.curve", "curve")).drop("lead__", "source__", "lang__")
+    rows = rows.join(lead, "group__", "left").withColumn("curve", F.coalesce("lead__.curve", "curve")).drop("lead__", "source__", "lang__", "source_rank__", "lang_rank__")
     out = slots(rows, ["curve", "group__", "doc_id"], shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")).coalesce(sized_parts(docs.count(), 50_000))

@@ -508,6 +508,15 @@ def test_shards_awkward(spark):
     assert len(got) == 5 and len({r["shard"] for r in got}) == 5 and {r["slot"] for r in got} == {0}
 
 
+def test_shards_follow_sources_with_a_common_prefix(spark):
+    data = [(i, f"text {i:04d}", "en", f"https://host-{'abcd'[i % 4]}.org") for i in range(960)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    sources = defaultdict(set)
+    for r in hilbert.digest(df).collect():
+        sources[r["shard"]].add(data[r["doc_id"]][3])
+    assert len(sources) == 24 and all(len(x) == 1 for x in sources.values())
+
+
 # op8
 
 
