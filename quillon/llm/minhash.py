@@ -1,24 +1,26 @@
 """MinHash near-duplicate join by chosen paths, confirmed on full shingle sets.
 
-A document's set holds the hashes of its distinct shingles of five words. Documents of
-equal sets are one class, stood for by its smallest id. Representatives get ``K`` minwise
-tokens. Each of ``TREES`` independent trees branches them recursively: a node chooses
-coordinates by its own hash (1 / threshold of them on average) and a document follows the
-branch of its token there, so similar documents share leaves. Nodes of at most ``LIMIT``
-documents are compared exhaustively by their tokens; a node still larger at ``DEPTH`` is
-compared block against block. A pair at the threshold shares a leaf of some tree with a
-probability over 0.99, at any depth; most nodes end at the first level, where it is 1 - 1e-8.
-
-What is asked for are components, so pairs already in one component need no test. In
-rounds, every document is tested on its full set against its most similar partners (by
-tokens) of other components, and the links so confirmed are merged. At last, in each leaf,
-all members that still have a similar partner in another component are tested against each
-other: their sets meet in the leaf, whose size is bounded, so no pairs are given out. Sets
-move only for documents with a similar partner.
+A document's set holds the 64-bit hashes of its distinct shingles of five words. Documents
+whose sets agree in size, sum and a mixed xor (two 64-bit fingerprints) count as equal and
+are one class, stood for by its smallest id; all other links are confirmed on full sets.
+Representatives get ``K`` minwise tokens. Independent trees branch them recursively: a node
+chooses coordinates by its own hash (1 / threshold of them on average) and a document follows
+the branch of its token there, so similar documents share leaves. Nodes of at most ``LIMIT``
+documents are compared exhaustively by their tokens; in a node still larger after ``DEPTH``
+levels, documents outside its largest component are compared with all. Trees are as many as
+a pair at the threshold needs to meet with probability ``RECALL``, at any depth.
+
+What is asked for are components, so pairs already in one component need no test, and a leaf
+gives out a forest over its components, never its pairs. A forest of what tokens show as
+similar, tree after tree, names the documents whose sets are needed. Its links are confirmed on
+full sets; so are, in a second round, links that its false ones have hidden. At last, in each
+leaf, all members that still have a similar partner in another component are tested against
+each other: their sets meet in the leaf, at most ``HELD`` bytes of them (or two sets) at a time.
 
 Empty and null texts have the empty set and are linked with nothing; documents of fewer than
 five words have one shingle. Null ids take no part: their component is null and they are
-kept. Rows that repeat an id are one document with the sets of all its rows. Other columns are ignored.
+kept. Rows that repeat an id are one document with the sets of all its rows. Other columns are
+ignored. A text is read whole: a task holds a few times its bytes.
 """
 
 from __future__ import annotations
@@ -34,17 +36,20 @@ from . import kernel as k
 from .shared import discard, saved, sized_parts
 
 K = 128
-TREES = 10
+RECALL = 0.995
 LIMIT = 512
 DEPTH = 10
-#: Partners of each document that a round tests, before leaves are tested in full.
-ROUNDS = (1, 4)
+#: Leaf rows of a task.
+TASK_ROWS = 10_000
+#: Bytes of sets that meet in a task at a time.
+HELD = 32 << 20
 #: Standard deviations below the threshold at which an estimate still counts.
 SLACK = 4.0
 #: Ids up to which a list of them is sent to all tasks (8 MB); a longer one is joined by shuffle.
 SEND = 500_000
 _U = np.uint64
 _COORD = k.mix(np.arange(1, 2 * K + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+_BRANCH = np.arange(1, 102, dtype=np.uint64) * _U(0x632BE59BD9B4E019)
 _XOR, _MUL = (_COORD[:K] >> _U(32)).astype(np.uint32)[:, None], ((_COORD[K:] >> _U(32)).astype(np.uint32) | np.uint32(1))[:, None]
 
 
@@ -85,13 +90,34 @@ def _matrix(column: pa.Array, width: int, kind) -> np.ndarray:
     return np.frombuffer(data, kind)[column.offset * width : (column.offset + len(column)) * width].reshape(-1, width)
 
 
+def branches(threshold: float) -> list[float]:
+    """Probabilities of a node's branches, 1 / threshold of them on average: whole ones are
+    certain, the rest is one more by chance. So similar documents keep one common branch a level."""
+    whole = int(1 / threshold)
+    return [1.0] * whole + ([1 / threshold - whole] if 1 / threshold > whole else [])
+
+
+def shared_leaf(threshold: float, depth: int = DEPTH) -> float:
+    """Probability that a pair at the threshold is in one leaf of a tree after ``depth`` levels."""
+    q = 1.0
+    for _ in range(depth):
+        q = 1 - float(np.prod([1 - p * threshold * q for p in branches(threshold)]))
+    return q
+
+
+def trees_for(threshold: float, recall: float = RECALL, depth: int = DEPTH) -> int:
+    """Independent trees after which a pair at the threshold has met with probability ``recall``,
+    though all its nodes be split ``depth`` times."""
+    miss = 1 - shared_leaf(threshold, depth)
+    return 1 if miss <= 0 else max(1, int(np.ceil(np.log(1 - recall) / np.log(miss))))
+
+
 def _children(node: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child) of the branches that rows at ``node`` follow: one, and with probability
-    1 / threshold - 1 another, both chosen by the node's hash."""
+    """(row, child) of the branches that rows at ``node`` follow, chosen by the node's hash."""
     rows, out = [], []
-    for j in range(2):
-        pick = k.mix(node + _U(j + 1) * _U(0x632BE59BD9B4E019))
-        at = np.arange(len(node)) if j == 0 else np.flatnonzero((pick >> _U(11)).astype(np.float64) / 2**53 < 1 / threshold - 1)
+    for j, chance in enumerate(branches(threshold)):
+        pick = k.mix(node + _BRANCH[j])
+        at = np.arange(len(node)) if chance == 1 else np.flatnonzero((pick >> _U(11)).astype(np.float64) / 2**53 < chance)
         value = tokens[at, (k.mix(pick[at]) % _U(K)).astype(np.int64)].astype(np.uint64)
         rows.append(at)
         out.append(k.mix(pick[at] ^ (value * _U(0x9FB21C651E98DF25) + _U(j))))
@@ -99,10 +125,10 @@ def _children(node: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[n
 
 
 def _branches(reps: DataFrame, threshold: float, trees: int, parents: DataFrame | None = None) -> DataFrame:
-    """(rep, node) of the next level: of all representatives, or of those at ``parents``."""
+    """(rep, tree, node) of the next level: of all representatives, or of those at ``parents``."""
     roots = k.mix(np.arange(1, trees + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
     first = parents is None
-    rows = reps.select("rep", "tokens") if first else parents.join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "node")
+    rows = reps.select("rep", "tokens") if first else parents.join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "tree", "node")
 
     def run(batches):
         for b in batches:
@@ -110,94 +136,128 @@ def _branches(reps: DataFrame, threshold: float, trees: int, parents: DataFrame
                 continue
             rep, tokens = b.column(0).to_numpy(), _matrix(b.column(1), 4 * K, np.uint8).copy().view(np.uint32)
             if first:
-                parts = [_children(np.full(len(rep), r), tokens, threshold) for r in roots]
+                parts = [(np.full(len(rep), t, np.int32), np.full(len(rep), r)) for t, r in enumerate(roots)]
             else:
-                parts = [_children(b.column(2).to_numpy().view(np.uint64), tokens, threshold)]
-            for at, node in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(node.view(np.int64))], names=["rep", "node"])
-
-    return rows.mapInArrow(run, "rep long, node long")
-
-
-def leaves(reps: DataFrame, threshold: float, trees: int = TREES, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
-    """node, block, side, rep, n, sketch: documents to be compared. ``block`` 0: all with all;
-    else ``side`` 0 with ``side`` 1 of that block."""
-    found, now, kept, left = [], None, [], None
-    for _ in range(depth):
-        # at most two branches of each row
-        now = saved(_branches(reps, threshold, trees, now), "branches", left and 2 * left)
-        kept.append(now)
-        counts = now.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
+                parts = [(b.column(2).to_numpy(), b.column(3).to_numpy().view(np.uint64))]
+            for tree, above in parts:
+                at, node = _children(above, tokens, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(tree[at]), pa.array(node.view(np.int64))], names=["rep", "tree", "node"])
+
+    return rows.mapInArrow(run, "rep long, tree int, node long")
+
+
+def leaves(reps: DataFrame, threshold: float, trees: int, limit: int = LIMIT, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
+    """(node, tree, c, rep, n, sketch), its rows, and how many of these are in dense nodes, which
+    are those of more than ``limit`` documents (c) after ``depth`` levels."""
+    found, now, old, left = [], None, [], 0
+    for level in range(depth):
+        now = saved(_branches(reps, threshold, trees, now), "branches", len(branches(threshold)) * left or None)
+        # a table of its own, so that the join can part a node of many documents
+        counts = saved(now.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "counts", now.count())
         sized = saved(now.join(counts, "node"), "nodes", now.count())
-        kept.append(sized)
-        found.append(sized.where(F.col("c") <= limit).select("node", F.lit(0).alias("block"), F.lit(0).alias("side"), "rep"))
+        old += [now, counts, sized]
+        last = level == depth - 1
+        found.append(sized if last else sized.where(F.col("c") <= limit))
         now = sized.where(F.col("c") > limit)
         left = now.count()
         if not left:
             break
-    else:
-        blocks = F.ceil(F.col("c") / limit).cast("int")
-        own = F.pmod(F.xxhash64("rep", "node"), blocks).cast("int")
-        dense = now.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("own", own)
-        key = (F.least("own", "other") * blocks + F.greatest("own", "other") + 1).cast("int")
-        found.append(dense.select("node", key.alias("block"), F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "rep"))
-    sketch = reps.select("rep", "n", "tokens")
-    rows = reduce(DataFrame.unionByName, found).join(sketch, "rep")
+    rows = reduce(DataFrame.unionByName, found).join(reps.select("rep", "n", "tokens"), "rep")
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 low = np.ascontiguousarray(_matrix(b.column(5), 4 * K, np.uint8).copy().view(np.uint32).astype(np.uint8))
                 packed = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(np.arange(0, (b.num_rows + 1) * K, K, dtype=np.int32)), pa.py_buffer(low)])
-                yield pa.RecordBatch.from_arrays([*b.columns[:5], packed], names=["node", "block", "side", "rep", "n", "sketch"])
-
-    out = saved(rows.select("node", "block", "side", "rep", "n", "tokens").mapInArrow(run, "node long, block int, side int, rep long, n long, sketch binary"), "leaves", rows.count(), 20_000)
-    discard(*kept)
-    return out
-
-
-def _compare(n, sketch, comp, side, threshold: float, least: int, top: int | None):
-    """Pairs (i, j) of one leaf to be tested, by row number."""
-    m, cross = len(n), bool(side.min() != side.max())
-    out_i, out_j, out_e = [], [], []
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], packed], names=["node", "tree", "c", "rep", "n", "sketch"])
+
+    out = saved(rows.select("node", "tree", "c", "rep", "n", "tokens").mapInArrow(run, "node long, tree int, c long, rep long, n long, sketch binary"), "leaves", rows.count(), 20_000)
+    discard(*old)
+    return out, out.count(), left
+
+
+def dealt(rows: DataFrame, limit: int, dense: bool, groups: int | None = None) -> DataFrame:
+    """Leaf rows with ``comp`` to what is compared: node, block, side, rep, n, sketch, comp. Side
+    -1: all of the block with all. A dense node is dealt by its components. Members of the one
+    with most documents need no comparison with each other, so all others, in groups of about
+    ``limit`` (side 0), meet all members, in blocks of about ``limit`` (side 1). ``groups``
+    bounds the groups; the rest are left to a later round, when most have found a component."""
+    names = ("node", "block", "side", "rep", "n", "sketch", "comp")
+    small = rows.where(F.col("c") <= limit).withColumns({"block": F.lit(0), "side": F.lit(-1)}).select(*names)
+    if not dense:
+        return small
+    many = rows.where(F.col("c") > limit)
+    sums = many.groupBy("node", "comp").agg(F.count("*").alias("m")).groupBy("node")
+    sums = saved(sums.agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), (F.sum("m") - F.max("m")).alias("s")).where("s > 0"), "tops")
+    parts, blocks = F.ceil(F.col("s") / limit).cast("int"), F.ceil(F.col("c") / limit).cast("int")
+    many = many.join(sums, "node").withColumns({"parts__": parts, "blocks__": blocks})
+    used = F.col("parts__") if groups is None else F.least("parts__", F.lit(groups))
+    number = lambda salt, of: F.pmod(F.xxhash64("node", "rep", F.lit(salt)), of).cast("int")
+    lead = many.where(F.col("comp") != F.col("top")).withColumn("g__", number(1, F.col("parts__"))).where(F.col("g__") < used)
+    lead = lead.withColumns({"b__": F.explode(F.sequence(F.lit(0), F.col("blocks__") - 1)), "side": F.lit(0)})
+    rest = many.withColumns({"g__": F.explode(F.sequence(F.lit(0), used - 1)), "b__": number(2, F.col("blocks__")), "side": F.lit(1)})
+    both = lead.unionByName(rest, allowMissingColumns=True).withColumn("block", (F.col("g__") * F.col("blocks__") + F.col("b__") + 1).cast("int"))
+    return small.unionByName(both.select(*names))
+
+
+def _similar(n, sketch, comp, side, threshold: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of one leaf, by row number, that their tokens show to be similar and that
+    are not of one component, and their equal tokens."""
+    m, cross = len(n), bool((side >= 0).any())
+    out = []
     step = max(1, (1 << 22) // (m * K))
     for a in range(0, m - 1, step):
         i = np.arange(a, min(m, a + step))
         same = (sketch[i][:, None, :] == sketch[None, a:, :]).sum(axis=2, dtype=np.int16)
-        ok = same >= least
-        ii, jj = np.nonzero(ok)
+        ii, jj = np.nonzero(same >= least)
         e, ii, jj = same[ii, jj], ii + a, jj + a
         keep = (jj > ii) & (comp[ii] != comp[jj]) & (np.minimum(n[ii], n[jj]) >= threshold * np.maximum(n[ii], n[jj]) - 1e-9)
         if cross:
             keep &= side[ii] != side[jj]
-        out_i.append(ii[keep])
-        out_j.append(jj[keep])
-        out_e.append(e[keep])
-    i, j, e = map(np.concatenate, (out_i, out_j, out_e)) if out_i else (np.zeros(0, np.int64),) * 3
-    if top is None or not len(i):
-        return i, j
-    owner, pair, est = np.concatenate((i, j)), np.tile(np.arange(len(i)), 2), np.concatenate((e, e))
-    order = np.lexsort((pair, -est, owner))
-    place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-    chosen = np.unique(pair[order[place < top]])
-    return i[chosen], j[chosen]
+        out.append((ii[keep], jj[keep], e[keep]))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _forest(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of those pairs (i, j), taken in their order, that join two components; at most as
+    many as there are components."""
+    _, label = np.unique(comp, return_inverse=True)
+    root = np.arange(label.max(initial=-1) + 1)
+    chosen, left = [], np.arange(len(i))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    while len(left):
+        for p in left[:1024].tolist():
+            x, y = find(label[i[p]]), find(label[j[p]])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                chosen.append(p)
+        left = left[1024:]
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
+        left = left[root[label[i[left]]] != root[label[j[left]]]]
+    return np.array(chosen, np.int64)
 
 
 def _least(threshold: float) -> int:
     """Equal tokens below which a pair at the threshold is not to be expected."""
-    return int(np.ceil(K * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / K))))
+    return max(1, int(np.ceil(K * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / K)))))
 
 
 def _by_leaf(batches, columns, work):
-    """Feed whole leaves of sorted batches to ``work`` (a list of columns, node and block first);
-    a leaf that a batch cuts is held until it is whole."""
+    """Feed whole leaves of sorted batches to ``work`` (a list of columns, of which the first
+    three name a leaf); a leaf that a batch cuts is held until it is whole."""
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
         new = columns(batch)
         held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        cut = int(np.argmax((held[0] == held[0][-1]) & (held[1] == held[1][-1])))
+        cut = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in held[:3]])))
         if cut:
             yield from work([x[:cut] for x in held])
             held = [x[cut:].copy() for x in held]
@@ -205,60 +265,87 @@ def _by_leaf(batches, columns, work):
         yield from work(held)
 
 
-def _cuts(node, block):
-    at = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
-    return zip([0, *at.tolist()], [*at.tolist(), len(node)], strict=True)
-
+def _cuts(*names):
+    at = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in names])) + 1
+    return zip([0, *at.tolist()], [*at.tolist(), len(names[0])], strict=True)
 
-def _sketched(rows: DataFrame) -> DataFrame:
-    return rows.select("node", "block", "side", "rep", "n", "sketch", "comp").repartition("node", "block").sortWithinPartitions("node", "block", "rep")
 
-
-def _sketch_columns(batch):
-    return [batch.column(i).to_numpy() for i in range(5)] + [_matrix(batch.column(5), K, np.uint8), batch.column(6).to_numpy()]
-
-
-def candidates(rows: DataFrame, threshold: float, top: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, to be tested; ``rows``: leaves with ``comp``."""
+def _leaf_tasks(rows: DataFrame, threshold: float, count: int, take, schema: str) -> DataFrame:
+    """``take`` (leaf columns, i, j, equal tokens) of each leaf's similar pairs."""
     least = _least(threshold)
+    rows = rows.withColumn("part", F.lit(0)).select("node", "block", "part", "side", "rep", "n", "sketch", "comp")
+    rows = rows.repartition(sized_parts(count, TASK_ROWS), "node", "block").sortWithinPartitions("node", "block", "rep")
 
-    def pairs(columns):
-        node, block, side, rep, n, sketch, comp = columns
-        found = []
-        for lo, hi in _cuts(node, block):
-            if hi - lo > 1:
-                i, j = _compare(n[lo:hi], sketch[lo:hi], comp[lo:hi], side[lo:hi], threshold, least, top)
-                x, y = rep[lo:hi][i], rep[lo:hi][j]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-        if found:
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return _sketched(rows).mapInArrow(lambda batches: _by_leaf(batches, _sketch_columns, pairs), "a long, b long").where("a <> b").distinct()
-
-
-def unresolved(rows: DataFrame, threshold: float) -> DataFrame:
-    """The members of leaves that have a similar partner (by tokens) in another component."""
-    least = _least(threshold)
+    def columns(batch):
+        return [batch.column(i).to_numpy() for i in range(6)] + [_matrix(batch.column(6), K, np.uint8), batch.column(7).to_numpy()]
 
-    def members(columns):
-        node, block, side, rep, n, sketch, comp = columns
+    def work(cols):
+        node, block, part, side, rep, n, sketch, comp = cols
         found = []
         for lo, hi in _cuts(node, block):
-            if hi - lo > 1:
-                i, j = _compare(n[lo:hi], sketch[lo:hi], comp[lo:hi], side[lo:hi], threshold, least, None)
-                found.append(lo + np.unique(np.concatenate((i, j))))
+            if hi - lo > 1 and (comp[lo:hi] != comp[lo]).any():
+                i, j, e = _similar(n[lo:hi], sketch[lo:hi], comp[lo:hi], side[lo:hi], threshold, least)
+                if len(i):
+                    found.append(take([c[lo:hi] for c in (node, block, rep, n, comp)], i, j, e))
         if found:
-            at = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (node, block, side, rep, comp)], names=["node", "block", "side", "rep", "comp"])
-
-    return _sketched(rows).mapInArrow(lambda batches: _by_leaf(batches, _sketch_columns, members), "node long, block int, side int, rep long, comp long")
+            yield from batch_of([np.concatenate(x) for x in zip(*found, strict=True)])
+
+    def batch_of(arrays):
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[f.split()[0] for f in schema.split(", ")])
+
+    return rows.mapInArrow(lambda batches: _by_leaf(batches, columns, work), schema)
+
+
+def candidates(rows: DataFrame, threshold: float, count: int) -> DataFrame:
+    """Pairs (a, b), a < b: in each block a forest of its similar pairs over its components, most
+    similar pairs first. So there are fewer of them than documents in the block."""
+
+    def take(leaf, i, j, e):
+        _, _, rep, _, comp = leaf
+        order = np.lexsort((j, i, -e))
+        chosen = order[_forest(comp, i[order], j[order])]
+        x, y = rep[i[chosen]], rep[j[chosen]]
+        return np.minimum(x, y), np.maximum(x, y)
+
+    return _leaf_tasks(rows, threshold, count, take, "a long, b long").where("a <> b").distinct()
+
+
+def unresolved(rows: DataFrame, threshold: float, count: int, held: int = HELD) -> DataFrame:
+    """node, block, part, side, rep, n, comp: the members of blocks that have a similar partner in
+    another component. Where the sets of a block's members are larger than ``held`` bytes, they
+    are cut into runs by size, and each two runs whose sizes allow a link are a part of their own."""
+
+    def take(leaf, i, j, e):
+        node, block, rep, n, comp = leaf
+        at = np.unique(np.concatenate((i, j)))
+        at = at[np.argsort(n[at], kind="stable")]
+        run = (np.cumsum(8 * n[at]) - 8 * n[at]) // held
+        rows, parts, sides = [], [], []
+        runs = np.unique(run).tolist()
+        for p, x in enumerate(runs):
+            for y in runs[p:]:
+                a, b = at[run == x], at[run == y]
+                if x == y:
+                    some, side = a, np.full(len(a), -1)
+                elif n[a].max() >= threshold * n[b].min() - 1e-9:
+                    some, side = np.concatenate((a, b)), np.repeat([0, 1], [len(a), len(b)])
+                else:
+                    continue
+                if len(some) > 1:
+                    rows.append(some)
+                    sides.append(side)
+                    parts.append(np.full(len(some), len(parts)))
+        at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        part, side = (np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in (parts, sides))
+        return node[at], block[at], part, side, rep[at], n[at], comp[at]
+
+    return _leaf_tasks(rows, threshold, count, take, "node long, block int, part int, side int, rep long, n long, comp long")
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of sets, by products of 0/1 matrices."""
     m = len(sets)
-    out = np.zeros((m, m), np.float32)
+    out = np.zeros((m, m), np.int64)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[column] > 1
@@ -270,44 +357,35 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
         a, b = np.searchsorted(column, (lo, lo + width))
         part = np.zeros((m, width), np.float32)
         part[owner[a:b], column[a:b] - lo] = 1
-        out += part @ part.T
-    return out.astype(np.int64)
+        out += (part @ part.T).astype(np.int64)
+    return out
 
 
 def exhaust(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components, from testing all pairs of each leaf's members on their
-    full sets. Only links that join two components within the leaf are given out."""
-    rows = members.join(sets.withColumnRenamed("id", "rep"), "rep").select("node", "block", "side", "rep", "comp", "shingles")
-    rows = rows.repartition("node", "block").sortWithinPartitions("node", "block", "rep")
+    """Links (a, b) between components, from testing all pairs of each block's members on their
+    full sets. Only links that join two components within the block are given out."""
+    room = members.agg(F.sum("n")).first()[0] or 0
+    rows = members.drop("n").join(sets.withColumnRenamed("id", "rep"), "rep").select("node", "block", "part", "side", "rep", "comp", "shingles")
+    rows = rows.repartition(sized_parts(8 * room, HELD), "node", "block", "part").sortWithinPartitions("node", "block", "part", "rep")
 
     def columns(batch):
         shingles = np.empty(batch.num_rows, object)
-        shingles[:] = [np.frombuffer(x.as_buffer().to_pybytes(), np.uint64) for x in batch.column(5)]
-        return [batch.column(i).to_numpy() for i in range(5)] + [shingles]
+        shingles[:] = [np.frombuffer(x.as_buffer().to_pybytes(), np.uint64) for x in batch.column(6)]
+        return [batch.column(i).to_numpy() for i in range(6)] + [shingles]
 
     def links(cols):
-        node, block, side, rep, comp, shingles = cols
+        node, block, part, side, rep, comp, shingles = cols
         found = []
-        for lo, hi in _cuts(node, block):
+        for lo, hi in _cuts(node, block, part):
             if hi - lo < 2:
                 continue
             some = list(shingles[lo:hi])
             n, common = np.array([len(s) for s in some]), _common(some)
-            good = np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1) & (comp[lo:hi][:, None] != comp[lo:hi][None, :])
-            root = {}
-
-            def find(x, root=root):
-                while (up := root.get(x, x)) != x:
-                    x = up
-                return x
-
-            for i, j in zip(*np.nonzero(good), strict=True):
-                x, y = find(comp[lo + i]), find(comp[lo + j])
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    found.append((rep[lo + i], rep[lo + j]))
+            i, j = np.nonzero(np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1))
+            chosen = _forest(comp[lo:hi], i, j)
+            found.append(np.stack([rep[lo:hi][i[chosen]], rep[lo:hi][j[chosen]]]))
         if found:
-            a, b = np.array(found, np.int64).T
+            a, b = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return rows.mapInArrow(lambda batches: _by_leaf(batches, columns, links), "a long, b long")
@@ -363,9 +441,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("u").alias("id"), F.col("l").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: int = TREES, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: int | None = None, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document. Linked are documents with
-    100 * intersection >= ``percent`` * union of their sets."""
+    100 * intersection >= ``percent`` * union of their sets. ``trees``: as many as RECALL needs."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     threshold = percent / 100
     n = docs.count()
     # small splits are read together; splits of the usual size hold more rows than this
@@ -375,35 +455,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     members = saved(named.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", "f1", "f2", F.coalesce("rep", "doc_id").alias("rep")), "members", n)
     others = members.where("rep <> doc_id").select("doc_id", "n", "f1", "f2")
     reps = saved(named.join(others, ["doc_id", "n", "f1", "f2"], "left_anti").select(F.col("doc_id").alias("rep"), "n", "f1", "f2", "tokens").dropDuplicates(["rep", "n", "f1", "f2"]), "reps", n, 20_000)
-    rows = leaves(reps, threshold, trees, limit, depth)
-    total, n = n, rows.count()
-    labels = sets = links = None
-
-    def with_components():
-        if labels is None:
-            return rows.withColumn("comp", F.col("rep"))
-        named = rows.join(labels.select(F.col("id").alias("rep"), F.col("comp").alias("c__")), "rep", "left")
-        return named.withColumn("comp", F.coalesce("c__", "rep")).drop("c__")
-
-    for top in ROUNDS:
-        pairs = saved(candidates(with_components(), threshold, top), "pairs", n, 20_000)
-        m = pairs.count()
-        if not m:
-            break
-        if sets is None:
-            # the first round names each document that has a similar partner in some leaf
-            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-            sets = saved(shingle_table(docs, saved(ids, "ids", 2 * m), width), "sets", total, 5_000)
-        good = saved(confirm(pairs, sets, percent).where("linked").select("a", "b"), "links", m, 2_000)
-        links = good if links is None else links.unionByName(good)
-        labels = components(links)
-    if sets is not None:
-        members_left = saved(unresolved(with_components(), threshold), "unresolved", n, 20_000)
-        rest = saved(exhaust(members_left, sets, percent), "links", members_left.count(), 500)
-        if rest.limit(1).count():
-            labels = components(links.unionByName(rest))
-    if sets is not None:
-        discard(sets)
+    rows, m, dense = leaves(reps, threshold, trees or trees_for(threshold, depth=depth), limit, depth)
+    labels = _resolve(docs, rows, m, dense, n, percent, width, limit)
     discard(rows, reps)
     # rows that repeat an id with other texts: their classes meet in that id
     out = found.select("doc_id", "n", "f1", "f2").join(members.where("rep <> doc_id").distinct(), ["doc_id", "n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
@@ -412,7 +465,49 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     else:
         out = out.withColumn("component_id", F.col("rep"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return out.coalesce(sized_parts(total, 50_000))
+    return out.coalesce(sized_parts(n, 50_000))
+
+
+def _resolve(docs: DataFrame, rows: DataFrame, m: int, dense: int, n: int, percent: int, width: int, limit: int) -> DataFrame | None:
+    """(id, comp) of the representatives that have links, from the ``m`` rows of the leaves."""
+    threshold = percent / 100
+
+    def with_components(labels, some=rows):
+        if labels is None:
+            return some.withColumn("comp", F.col("rep"))
+        named = some.join(labels.select(F.col("id").alias("rep"), F.col("comp").alias("c__")), "rep", "left")
+        return named.withColumn("comp", F.coalesce("c__", "rep")).drop("c__")
+
+    def proposed(labels, some, groups=1):
+        return saved(candidates(dealt(with_components(labels, some), limit, dense > 0, groups), threshold, m), "pairs", m, 20_000)
+
+    # a forest of what tokens show as similar: a tree alone, then the others, then dense nodes
+    # in full, each among the components so far; it names every document that needs its set
+    forest = labels = None
+    rounds = [(rows.where("tree = 0"), 1), (rows.where("tree > 0"), 1)] + [(rows.where(F.col("c") > limit), None)] * (dense > 0)
+    for some, groups in rounds:
+        new = proposed(labels, some, groups)
+        if new.limit(1).count():
+            forest = new if forest is None else forest.unionByName(new)
+            labels = components(forest)
+    if forest is None:
+        return None
+    p = forest.count()
+    ids = saved(forest.select(F.col("a").alias("id")).unionByName(forest.select(F.col("b").alias("id"))).distinct(), "ids", 2 * p)
+    sets = saved(shingle_table(docs, ids, width), "sets", n, 5_000)
+    # the same on full sets: links of the forest, then links that false ones of it have hidden
+    links = saved(confirm(forest, sets, percent).where("linked").select("a", "b"), "links", p, 2_000)
+    labels = components(links)
+    more = proposed(labels, rows)
+    links = links.unionByName(saved(confirm(more, sets, percent).where("linked").select("a", "b"), "links", more.count(), 2_000))
+    labels = components(links)
+    # at last all members of leaves that still have a similar partner in another component
+    left = saved(unresolved(dealt(with_components(labels), limit, dense > 0), threshold, m), "unresolved", m, 20_000)
+    rest = saved(exhaust(left, sets, percent), "links", left.count(), 500)
+    if rest.limit(1).count():
+        labels = components(links.unionByName(rest))
+    discard(sets, left)
+    return labels
 
 
 ORACLE = r"""

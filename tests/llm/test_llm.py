@@ -55,7 +55,7 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = [(i, shingles(t)) for i, t in rows]
     root = {i: i for i, _ in sets}
 
@@ -66,7 +66,7 @@ def brute_components(rows):
 
     for a, (i, x) in enumerate(sets):
         for j, y in sets[:a]:
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(i), find(j)
                 root[max(p, q)] = min(p, q)
     return {i: (len(s), find(i)) for i, s in sets}
@@ -152,6 +152,99 @@ def test_near_copies_of_equally_long_texts_of_one_id(spark):
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(5, 5, True)] * 4 + [(i, 5, False) for i in (6, 7, 8, 9)]
 
 
+def test_trees_follow_from_recall():
+    assert minhash.trees_for(0.85) == 10 and minhash.trees_for(1.0) == 1
+    for t in (0.3, 0.5, 0.8, 0.9):
+        n = minhash.trees_for(t)
+        assert (1 - minhash.shared_leaf(t)) ** n <= 1 - minhash.RECALL < (1 - minhash.shared_leaf(t)) ** (n - 1)
+        assert abs(sum(minhash.branches(t)) - 1 / t) < 1e-12
+
+
+@pytest.mark.parametrize("percent", [0, 101])
+def test_near_duplicates_percent(spark, percent):
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(docs(spark, ["a"]), percent=percent)
+
+
+def test_near_duplicates_of_low_similarity(spark):
+    """At 40 percent a node has two branches and a chance of a third."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(25):
+        t = rng.choices(WORDS, k=100)
+        texts += [" ".join(t), " ".join(t[:70] + rng.choices(WORDS, k=30)), " ".join(t[30:] + rng.choices(WORDS, k=30))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, texts), percent=40).collect()}
+    want = {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 40).items()}
+    assert sum(got[i] == want[i] for i in got) >= 0.97 * len(got)
+    assert sum(want[i] != i for i in want) > 20 and all(want[got[i]] == want[i] for i in got)
+
+
+def near_group(size, seed=6):
+    rng = random.Random(seed)
+    base = rng.choices(WORDS, k=150)
+    out = []
+    for i in range(size):
+        t = list(base)
+        t[rng.randrange(150)] = f"x{i}"
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("limit, depth", [(512, 10), (32, 3)])
+def test_candidates_are_fewer_than_members(spark, limit, depth):
+    """A group of near copies gives out a forest for each block, not its pairs; a dense node gives
+    its members once for each group of others, not once for each block."""
+    found = minhash.profiles(docs(spark, near_group(300)))
+    reps = shared.saved(found.select(F.col("doc_id").alias("rep"), "n", "f1", "f2", "tokens"), "reps")
+    rows, n, dense = minhash.leaves(reps, 0.85, 2, limit, depth)
+    rows = rows.withColumn("comp", F.col("rep"))
+    assert n == rows.count() and dense == (rows.where(F.col("c") > limit).count() if depth == 3 else 0)
+    dealt = minhash.dealt(rows, limit, dense > 0, 1)
+    assert dealt.where("side = 0").count() <= 2.5 * dense + 4 * limit and dealt.where("side = 1").count() == dense
+    assert 0 < minhash.candidates(dealt, 0.85, n).count() < dealt.count()
+    one = minhash.dealt(rows.withColumn("comp", F.lit(0)), limit, dense > 0)
+    assert one.where("side >= 0").count() == 0
+
+
+def test_sets_meet_in_parts(spark):
+    """Where sets are larger than what may meet at a time, runs of them meet in turn."""
+    texts = near_group(40, 7)
+    found = minhash.profiles(docs(spark, texts))
+    reps = shared.saved(found.select(F.col("doc_id").alias("rep"), "n", "f1", "f2", "tokens"), "reps")
+    rows, n, dense = minhash.leaves(reps, 0.85, 1)
+    sets = minhash.shingle_table(docs(spark, texts), reps.select(F.col("rep").alias("id")))
+    blocks = minhash.dealt(rows.withColumn("comp", F.col("rep")), 512, dense > 0)
+    ends = []
+    for held in (1 << 20, 5_000):
+        left = shared.saved(minhash.unresolved(blocks, 0.85, n, held), "left")
+        links = shared.saved(minhash.exhaust(left, sets, 85), "links")
+        ends.append({(r["id"], r["comp"]) for r in minhash.components(links).collect()})
+        parts = left.select("part").distinct().count()
+        assert parts == 1 if held > 5_000 else parts > 3
+    assert ends[0] == ends[1] and len(ends[0]) > 30
+
+
+def test_forest():
+    rng = np.random.default_rng(3)
+    comp = rng.integers(0, 40, 60)
+    i, j = np.nonzero(np.triu(rng.random((60, 60)) < 0.5, 1))
+    at = minhash._forest(comp, i, j)
+    assert len(at) == len(set(comp.tolist())) - 1
+    assert len(minhash._forest(comp, i[:0], j[:0])) == 0 == len(minhash._forest(np.zeros(60, int), i, j))
+
+
+def test_very_long_near_copies(spark):
+    """Two texts of 3 MB that differ in a hundred words, and one of half of them."""
+    rng = random.Random(9)
+    t = [f"v{rng.randrange(10**6)}" for _ in range(400_000)]
+    other = list(t)
+    for _ in range(100):
+        other[rng.randrange(len(t))] = "changed"
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, [" ".join(t), " ".join(other), " ".join(t[:200_000]), "short"])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 1000).astype(np.uint64)
