@@ -2,9 +2,10 @@
 empirical beta prior, host verdicts joined back to the documents.
 
 Null texts and texts without words have no words (and fail the length rule); a null
-source is a host of its own; repeated rows count as often as they occur; an empty
-table gives an empty result. Columns other than those named are ignored by
-``host_rules`` and carried by ``keep_documents``.
+source is a host of its own; repeated rows and rows without an id count as often as they
+occur; an empty table gives an empty result. Columns other than those named are ignored
+by ``host_rules`` and carried by ``keep_documents``. A text is read whole: a task holds a
+few times the bytes of its longest one.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from .shared import saved
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host goes if its shrunk rate of failing documents is above this.
-MAX_HOST_RATE = 0.9
+#: A host goes if the odds that its documents fail are surely above this many times the corpus's.
+ODDS = 10
+#: Standard deviations of a host's posterior from its mean to its lower bound.
+SURE = 2
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -106,15 +109,20 @@ def base_failed(prefix: str = ""):
 
 
 def host_verdicts(df: DataFrame, host: str, failed: str) -> DataFrame:
-    """By host: n, failures, shrunk rate and ``host_ok``. The prior is fitted by moments
-    over all hosts, weighted by their documents; two small aggregates, no host is collected."""
-    hosts = df.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("f"))
-    total = hosts.agg(F.sum("n").alias("nn"), F.sum("f").alias("ff"), F.count("*").alias("hh"), F.sum(F.col("f").cast("double") * F.col("f") / F.col("n")).alias("qq"))
-    mean = F.col("ff") / F.col("nn")
-    spread = F.greatest(F.col("qq") / F.col("nn") - mean * mean - mean * (1 - mean) * F.col("hh") / F.col("nn"), F.lit(1e-6))
-    prior = total.select(mean.alias("mean"), F.greatest(mean * (1 - mean) / spread - 1, F.lit(1.0)).alias("strength"))
-    # the prior is one row: its broadcast is of proven size
-    return hosts.join(F.broadcast(prior)).select("host", "n", "f", ((F.col("f") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("rate")).withColumn("host_ok", F.col("rate") <= MAX_HOST_RATE)
+    """By host: n, failures, shrunk rate, its lower bound and ``host_ok``. The beta prior is
+    fitted by moments over all hosts, weighted by their documents, from one small aggregate of
+    the saved counts; no host is collected. A host goes if the lower bound of its rate (``SURE``
+    deviations of its posterior) has more than ``ODDS`` times the odds of the corpus."""
+    counts = df.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("f"))
+    hosts = saved(counts, "hosts")
+    nn, ff, hh, qq = hosts.agg(F.sum("n"), F.sum("f"), F.count("*"), F.sum(F.col("f").cast("double") * F.col("f") / F.col("n"))).first()
+    mean = ff / nn if nn else 0.0
+    spread = max(qq / nn - mean * mean - mean * (1 - mean) * hh / nn, 1e-6) if nn else 1.0
+    strength = max(mean * (1 - mean) / spread - 1, 1.0)
+    rate = (F.col("f") + mean * strength) / (F.col("n") + strength)
+    lower = F.col("rate") - SURE * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + strength + 1))
+    verdict = F.col("lower") * (1 - mean) <= ODDS * mean * (1 - F.col("lower"))
+    return hosts.withColumn("rate", rate).withColumn("lower", lower).withColumn("host_ok", verdict)
 
 
 def _bad_hosts(df: DataFrame, host: str, failed: str) -> DataFrame:
@@ -133,7 +141,7 @@ def host_rules(docs: DataFrame) -> DataFrame:
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that the rules and their host's verdict keep."""
     counted = with_features(docs.select("source", "text"), "text", drop_text=True).withColumn("base_failed", base_failed())
-    bad = saved(_bad_hosts(counted, "source", "base_failed"), "bad-hosts", docs.count())
+    bad = _bad_hosts(counted, "source", "base_failed")
     rows = with_features(docs, "text", prefix="q__").where(~base_failed("q__")).select(*[f"`{c}`" for c in docs.columns])
     return rows.join(bad, rows["source"].eqNullSafe(bad["host"]), "left_anti")
 
@@ -162,7 +170,9 @@ base AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base
 hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM base GROUP BY source),
 tot AS (SELECT sum(n) AS nn, sum(f) / sum(n) AS m, count(*) AS hh, sum(f * f / n) AS qq FROM hosts),
 prior AS (SELECT m, greatest(m * (1 - m) / greatest(qq / nn - m * m - m * (1 - m) * hh / nn, 1e-6) - 1, 1.0) AS s FROM tot),
-verdict AS (SELECT source, (f + m * s) / (n + s) <= 0.9 AS ok FROM hosts, prior)
+rates AS (SELECT source, m, s, n, (f + m * s) / (n + s) AS r FROM hosts, prior),
+lowers AS (SELECT source, m, r - 2 * sqrt(r * (1 - r) / (n + s + 1)) AS l FROM rates),
+verdict AS (SELECT source, l * (1 - m) <= 10 * m * (1 - l) AS ok FROM lowers)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND ok) AS kept
 FROM base b JOIN verdict v ON b.source IS NOT DISTINCT FROM v.source
 """

@@ -682,6 +682,28 @@ def test_host_verdict_rejects_a_bad_host(spark):
     assert v["bad"]["rate"] < v["bad"]["f"] / v["bad"]["n"] and not v["bad"]["host_ok"]
 
 
+def test_host_verdict_of_plausible_data(spark):
+    """Hosts of many rates: the one that fails ten times as likely as the rest goes, with its good
+    documents; a tiny host that failed twice, and large hosts of usual rates, stay."""
+    good = " ".join(WORDS[:120])
+    rng = random.Random(3)
+    rates = {f"h{i}": rng.uniform(0.03, 0.2) for i in range(15)} | {"spam": 0.8, "large": 0.06}
+    data = [(h, rng.random() < p) for h, p in rates.items() for _ in range(1500 if h == "large" else 100)] + [("tiny", True), ("tiny", True), (None, False)]
+    df = spark.createDataFrame([(None if i % 97 == 0 else i // 2, "short" if bad else good, h) for i, (h, bad) in enumerate(data)], "doc_id long, text string, source string")
+    verdicts = {r["host"]: r for r in quality.host_verdicts(df.withColumn("bad", F.col("text") == "short"), "source", "bad").collect()}
+    assert [h for h, r in verdicts.items() if not r["host_ok"]] == ["spam"] and all(r["lower"] < r["rate"] for r in verdicts.values())
+    rows = quality.host_rules(df).collect()
+    assert len(rows) == len(data) and sum(not r["base_failed"] and not r["kept"] for r in rows) == sum(h == "spam" and not bad for h, bad in data) > 5
+    kept = Counter(r["source"] for r in quality.keep_documents(df).collect())
+    assert kept == Counter(h for h, bad in data if not bad and h != "spam")
+
+
+def test_quality_of_very_long_texts(spark):
+    text = "\n".join(" ".join(WORDS[i % 300 : i % 300 + 40]) for i in range(9_000))
+    (row,) = quality.host_rules(docs(spark, [text])).collect()
+    assert len(text) > 1 << 20 and tuple(row)[1:6] == brute_features(text)
+
+
 # op10
 
 
@@ -706,6 +728,29 @@ def test_best_fit_by_hand():
     assert packing._fill([7, 5, 3], (10,), 10)[0] == [0, 1, 0]
 
 
+def test_bins_open_at_the_least_cost():
+    # 9 + 9 + 2 fill 20 at 36 / 20 a word, better than 26 / 9 of 10 alone and 56 / 22 of 40
+    left = Counter([9, 2, 2])
+    mask = sum(1 << s for s in left)
+    assert [packing.contents(c, 9, left, mask) for c in (10, 20, 40)] == [9, 20, 22]
+    _, capacity, used = packing._fill([9, 9, 2, 2], (10, 20, 40), None)
+    assert capacity == [20, 10] and used == [20, 2]
+
+
+def test_joint_lengths_beat_each_single_opening():
+    rng = random.Random(2)
+    total = lambda used: sum(packing.cost(min(c for c in packing.LENGTHS if c >= u)) for u in used)
+    better = 0
+    for _ in range(30):
+        sizes = sorted((rng.choice([rng.randrange(1, 300), rng.randrange(300, 1100), rng.randrange(1500, 4000)]) for _ in range(60)), reverse=True)
+        own = total(packing._fill(sizes, packing.LENGTHS, None)[2])
+        fixed = [total(packing._fill(sizes, packing.LENGTHS, c)[2]) for c in packing.LENGTHS]
+        better += own < min(fixed)
+        assert total(packing.pack(sizes)[2]) == min(own, *fixed)
+    assert better
+
+
+
 def brute_fill(sizes, lengths, opening):
     bins, rest = [], []
     for s in sizes:
