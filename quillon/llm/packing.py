@@ -1,18 +1,22 @@
 """Best-fit packing with several permitted sequence lengths.
 
-Items go by falling size into the open bin that they fill best. An item that fits none opens a
-bin of the least-cost permitted length that holds it and is no shorter than the opening length;
-every opening length is tried, bins are downsized to the shortest permitted length that holds
-their contents, and the opening length of least total cost wins. Groups of about ``GROUP``
-items, dealt by a hash, are packed apart, so work and memory of a task stay the same at any size.
+Items go by falling size into the open bin that they fill best. For an item that fits none,
+each permitted length that holds it is filled, on trial, from the items still left; the bin
+opens at the length whose contents cost least a word, downsized to them. All bins are at last
+downsized to the shortest permitted length that holds their contents. Openings at a fixed least
+length are tried as well, and the way of least total cost wins. Groups of about ``GROUP`` items,
+dealt by a hash, are packed apart, so work and memory of a task stay the same at any size.
 
 A text longer than the longest length is cut into pieces of that length and a rest. Null and
 empty texts have size 0 and share bins without filling them. Ties go by id, then piece; null ids
-come last; repeated rows are items of their own. Other columns are ignored.
+come last; repeated rows are items of their own. Other columns are ignored. A text is read
+whole to count its words; only sizes move.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,12 +35,30 @@ def cost(length: int) -> int:
     return length + OVERHEAD
 
 
-def _fill(sizes: list[int], lengths: tuple[int, ...], opening: int) -> tuple[list[int], list[int], list[int]]:
-    """(bin of each item, capacity and contents of each bin); sizes fall."""
+def contents(length: int, size: int, left: dict[int, int], mask: int) -> int:
+    """What a bin of ``length`` opened for ``size`` will hold if it is filled by falling size from
+    the items ``left`` (counts by size; ``mask`` has their sizes as bits)."""
+    rest = length - size
+    while some := mask & ((1 << (rest + 1)) - 2):
+        s = some.bit_length() - 1
+        rest -= s * min(left[s], rest // s)
+        mask &= ~(1 << s)
+    return length - rest
+
+
+def _fill(sizes: list[int], lengths: tuple[int, ...], opening: int | None) -> tuple[list[int], list[int], list[int]]:
+    """(bin of each item, capacity and contents of each bin); sizes fall. ``opening`` None: a bin
+    opens at the length of least cost a word of what it will hold; else at the shortest
+    length of at least ``opening`` that holds the item."""
     bins, capacity, used = [], [], []
     by_rest: dict[int, list[int]] = {}
     mask = 0
+    left = Counter(sizes)
+    sizes_left = sum(1 << s for s in left)
     for s in sizes:
+        left[s] -= 1
+        if not left[s]:
+            sizes_left &= ~(1 << s)
         fits = mask >> s
         if fits:
             rest = s + (fits & -fits).bit_length() - 1
@@ -45,7 +67,11 @@ def _fill(sizes: list[int], lengths: tuple[int, ...], opening: int) -> tuple[lis
             if not stack:
                 mask &= ~(1 << rest)
         else:
-            length = min((c for c in lengths if c >= max(s, opening)), key=cost)
+            length = min(c for c in lengths if c >= max(s, opening or 0))
+            if opening is None and s:
+                held = [contents(c, s, left, sizes_left) for c in lengths if c >= s]
+                ends = [(min(c for c in lengths if c >= u), u) for u in held]
+                length = min(ends, key=lambda e: (cost(e[0]) / e[1], e[0]))[0]
             b, rest = len(capacity), length
             capacity.append(length)
             used.append(0)
@@ -57,10 +83,10 @@ def _fill(sizes: list[int], lengths: tuple[int, ...], opening: int) -> tuple[lis
 
 
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
-    """(bin of each item, length of each bin, contents of each bin) of least cost over the opening
-    lengths; ``sizes`` fall and none is above the longest length."""
+    """(bin of each item, length of each bin, contents of each bin) of least total cost over all
+    ways of opening; ``sizes`` fall and none is above the longest length."""
     best = None
-    for opening in sorted(lengths):
+    for opening in (None, *sorted(lengths)):
         bins, _, used = _fill(sizes, lengths, opening)
         final = [min(c for c in lengths if c >= u) for u in used]
         total = sum(map(cost, final))
