@@ -1,18 +1,22 @@
 """Mixing sources to target weights.
 
 The words of a source, its documents one after the other, are packed into blocks of
-``BLOCK`` words (the last is shorter). A source's target becomes a number of slots; a
-multinomial draw deals them to the output shards. Slot j of a source stands for block
-``perm(j)``, where perm is a keyed pseudorandom permutation of its block numbers, a new
-one for each pass over the source: so a block comes once in each pass, and no pass begins
-before the last has ended. Slots meet blocks by a join on (source, block number). The
-last slot is cut so that a source's words come to its target.
-
-Everything follows from the seed and the data, so reruns agree. Prefix sums are taken in
-hashed parts of a source, so a source with most of the rows is dealt over many tasks.
+``BLOCK`` words (the last is shorter). A source's target becomes a number of slots. Output
+shards have ``SHARD_SLOTS`` slots each (the last has the rest). The source counts of a shard
+are drawn from the multinomial of the targets, conditioned on all shards together coming to
+them (drawn without replacement), as a source at its bound has no slot to spare: a keyed
+permutation of the numbered slots of all sources deals them to the shards. Slot j of a
+source stands for block ``perm(j)``, where perm is a keyed pseudorandom permutation of its
+block numbers, a new one for each pass over the source: so a block comes once in each pass,
+and no pass begins before the last has ended. Slots meet blocks by a join on (source, block
+number). The last slot is cut so that a source's words come to its target.
+
+Everything follows from the seed and the data, so reruns agree. Prefix sums are taken over
+ranges of sorted rows, so a source with most of the rows is dealt over many tasks.
 
 Null and empty texts have size 0 and are never taken; null sources are one source, the last;
-repeated rows are taken apart. Other columns are ignored by ``mix`` and carried by ``mixed_documents``.
+repeated rows are taken apart; null ids are ids. Other columns are ignored by ``mix`` and carried
+by ``mixed_documents``. A text is read whole to count its words; ``mix`` moves only sizes.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as k
-from .shared import ranked, saved, sized_parts
+from .shared import ranked, running, saved, sized_parts
 
 BLOCK = 256
 WEIGHTS = (3, 1, 2)
@@ -33,7 +37,9 @@ SEED = 20_240_901
 SHARD_SLOTS = 4096
 #: Smaller splits of the texts are read together.
 SPLIT_ROWS = 5_000
-PART_ROWS = 10_000
+PART_ROWS = 20_000
+#: Slots that a task takes at a time.
+PIECE = 1 << 17
 _U = np.uint64
 
 
@@ -141,64 +147,63 @@ def targets(sizes: DataFrame) -> DataFrame:
     return sources.withColumn("target", F.least(F.col("most"), F.col("weight") * level)).select("source", "sid", "source_size", "target")
 
 
-def draws(sources: DataFrame, seed: int = SEED, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """sid, shard, first_slot, slots (and the source's blocks, last slot and its words) of each
-    source's multinomial draw over the output shards; empty draws have no row."""
-    most = sources.agg(F.sum(F.ceil(F.col("target") / block) + 1)).first()[0] or 0
-    shards = sized_parts(int(most), shard_slots)
-    schema = "sid long, shard long, first_slot long, slots long, source_size long, n_slots long, last_words long"
+def draws(sources: DataFrame, seed: int = SEED, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """sid, source_size, target, n_slots, last_words (of the last slot) and first (slots of all
+    sources before it) of each source; and the number of slots."""
+    schema = "sid long, source_size long, target double, n_slots long, last_words long"
 
     def run(batches):
         for b in batches:
-            for sid, size, target in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n, last = plan_source(sid, size, min(round(target), MOST * size), seed, block)
-                rng = np.random.Generator(np.random.Philox(key=pass_seed(seed, sid, 63)))
-                if n < shards:
-                    shard, count = np.unique(rng.integers(0, shards, n), return_counts=True)
-                else:
-                    count = rng.multinomial(n, np.full(shards, 1 / shards))
-                    shard = np.flatnonzero(count)
-                    count = count[shard]
-                m = len(shard)
-                full = lambda v: pa.array(np.full(m, v, np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([full(sid), pa.array(shard.astype(np.int64)), pa.array((np.cumsum(count) - count).astype(np.int64)), pa.array(count.astype(np.int64)), full(size), full(n), full(last)], names=["sid", "shard", "first_slot", "slots", "source_size", "n_slots", "last_words"])
-
-    return sources.select("sid", "source_size", "target").mapInArrow(run, schema)
-
-
-def slot_blocks(drawn: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """sid, block, turn (pass), shard, slot and words (taken from the block's head) of each slot."""
-    schema = "sid long, block long, turn int, shard long, slot long, words long"
+            sid, size, target = (c.to_pylist() for c in b.columns)
+            plans = [plan_source(i, n, min(round(t), MOST * n), seed, block) for i, n, t in zip(sid, size, target, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p[0] for p in plans], pa.int64()), pa.array([p[1] for p in plans], pa.int64())], names=["sid", "source_size", "target", "n_slots", "last_words"])
+
+    planned = sources.select("sid", "source_size", "target").mapInArrow(run, schema)
+    out, slots = running(planned, ["sid"], "n_slots", 1 + sources.count() // PART_ROWS, "row__n", "first")
+    return out.drop("row__n"), slots
+
+
+def slot_blocks(drawn: DataFrame, slots: int, seed: int = SEED, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """sid, block, turn (pass), shard, place (in its shard) and words (taken from the block's head)
+    of each slot."""
+    schema = "sid long, block long, turn int, shard long, place long, words long"
+    deal = pass_seed(seed, -1, 0)
 
     def run(batches):
         for b in batches:
-            for sid, shard, first, n, size, total, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for sid, size, total, last, first, lo in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 blocks = -(-size // block)
-                slot = np.arange(first, first + n)
-                turn, number = slot // blocks, np.zeros(n, np.int64)
+                slot = np.arange(lo, min(lo + PIECE, total))
+                turn, number = slot // blocks, np.zeros(len(slot), np.int64)
                 for t in np.unique(turn).tolist():
                     at = turn == t
                     number[at] = permute(slot[at] % blocks, blocks, pass_seed(seed, sid, t))
                 words = np.minimum(block, size - number * block)
                 words[slot == total - 1] = last
-                full = lambda v: pa.array(np.full(n, v, np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([full(sid), pa.array(number), pa.array(turn.astype(np.int32)), full(shard), pa.array(slot), pa.array(words)], names=["sid", "block", "turn", "shard", "slot", "words"])
+                where = permute(first + slot, slots, deal)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), sid)), pa.array(number), pa.array(turn.astype(np.int32)), pa.array(where // shard_slots), pa.array(where % shard_slots), pa.array(words)], names=["sid", "block", "turn", "shard", "place", "words"])
+
+    pieces = drawn.where("n_slots > 0").select("sid", "source_size", "n_slots", "last_words", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(PIECE).cast("long"))).alias("lo"))
+    # a number of its own: the few rows of a piece each stand for many
+    return pieces.repartition(sized_parts(slots, PIECE), "sid", "lo").mapInArrow(run, schema)
+
 
-    return drawn.repartition("sid", "shard").mapInArrow(run, schema)
+def shard_counts(slots: DataFrame) -> DataFrame:
+    """shard, sid, slots: the source counts drawn for each output shard."""
+    return slots.groupBy("shard", "sid").agg(F.count("*").alias("slots"))
 
 
 def _placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """``sizes`` with sid, source_size, target, and start: words of the source before the row."""
-    parts = sized_parts(sizes.count(), PART_ROWS)
-    rows = sizes.withColumn("part", F.pmod(F.xxhash64(*[c for c in ("doc_id", "tie") if c in sizes.columns]), F.lit(parts)))
-    named = rows.join(sources.withColumnRenamed("source", "source__"), F.col("source").eqNullSafe(F.col("source__"))).drop("source__", "source")
-    order = [c for c in ("doc_id", "size", "tie") if c in sizes.columns]
-    inside = Window.partitionBy("sid", "part").orderBy(*order)
-    named = named.withColumn("row", F.row_number().over(inside)).withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    sums = rows.groupBy("source", "part").agg(F.sum("size").alias("n")).join(sources.select(F.col("source").alias("source__"), "sid"), F.col("source").eqNullSafe(F.col("source__")))
-    # as many rows of a source as it has parts
-    ahead = sums.select("sid", "part", (F.sum("n").over(Window.partitionBy("sid").orderBy("part")) - F.col("n")).alias("ahead"))
-    return named.join(ahead, ["sid", "part"]).withColumn("start", F.col("inside") + F.col("ahead")).drop("inside", "ahead")
+    """``sizes`` with sid, source_size, target, row, and start: words of the source before the row."""
+    n = sizes.count()
+    ahead, _ = running(sources, ["sid"], "source_size", 1 + sources.count() // PART_ROWS, "row", "ahead")
+    ahead = ahead.select(F.col("source").alias("source__"), "sid", "source_size", "target", "ahead")
+    rows = sizes.join(ahead, F.col("source").eqNullSafe(F.col("source__"))).drop("source__", "source")
+    keys = [c for c in ("doc_id", "tie") if c in sizes.columns]
+    # equal rows are alike; the last key only keeps them from falling into one range
+    order = ["sid", F.xxhash64(*keys), *keys, "size", F.xxhash64(F.monotonically_increasing_id())]
+    placed, _ = running(rows, order, "size", sized_parts(n, PART_ROWS), "row", "start")
+    return placed.withColumn("start", F.col("start") - F.col("ahead")).drop("ahead")
 
 
 def _met(placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
@@ -218,8 +223,8 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     n = docs.count()
     sizes = saved(with_size(docs.select("doc_id", "source", "text")), "sizes", n, SPLIT_ROWS)
     sources = saved(targets(sizes), "targets")
-    met = _met(_placed(sizes, sources), slot_blocks(draws(sources, seed, block), seed, block), block)
-    keys = ["sid", "part", "row", "doc_id", "size", "source_size", "target"]
+    met = _met(_placed(sizes, sources), slot_blocks(*draws(sources, seed, block), seed, block), block)
+    keys = ["row", "doc_id", "size", "source_size", "target"]
     out = met.groupBy(*keys).agg(F.sum(F.greatest(F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)), F.lit(0))).alias("taken"))
     return out.select("doc_id", "size", "source_size", "target", "taken").coalesce(sized_parts(n, 50_000))
 
@@ -233,9 +238,9 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> Da
     repeated = sizes.groupBy("doc_id", "tie").count().where("count > 1").limit(1).count()
     sources = saved(targets(sizes), "targets")
     placed = _placed(sizes, sources)
-    one = Window.partitionBy("doc_id", "tie").orderBy("sid", "part", "row")
+    one = Window.partitionBy("doc_id", "tie").orderBy("row")
     placed = placed.withColumn("copy", F.row_number().over(one) if repeated else F.lit(1))
-    met = _met(placed, slot_blocks(draws(sources, seed, block), seed, block), block).where(F.col("hi") > F.col("lo"))
+    met = _met(placed, slot_blocks(*draws(sources, seed, block), seed, block), block).where(F.col("hi") > F.col("lo"))
     spans = met.groupBy("doc_id", "tie", "copy", "turn", "size").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans__"))
     spans = spans.select(F.col("doc_id").alias("id__"), F.col("tie").alias("tie_"), F.col("copy").alias("copy_"), F.col("turn").alias("turn__"), "spans__")
     again = Window.partitionBy("doc_id", "tie__").orderBy(F.col("source").asc_nulls_last())

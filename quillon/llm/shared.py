@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.lineage import ranked, shared_dir
 
-__all__ = ["discard", "fresh_dir", "ranked", "saved", "shared_dir", "sized_parts"]
+__all__ = ["discard", "fresh_dir", "ranked", "running", "saved", "shared_dir", "sized_parts"]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -38,3 +42,31 @@ def discard(*frames: DataFrame) -> None:
 def sized_parts(rows: int, each: int) -> int:
     """Groups of about ``each`` rows that ``rows`` rows need."""
     return max(1, -(-rows // each))
+
+
+def running(df: DataFrame, order: list, value: str, parts: int, row: str, before: str) -> tuple[DataFrame, int]:
+    """``df`` sorted by ``order``, with each row's number (``row``, from 0) and the sum of
+    ``value`` over the rows before it (``before``); and the whole sum. Rows are sorted by ranges
+    and kept with the sums inside their partition; the driver sees two figures for each
+    partition, no task sees all rows of a key."""
+    schema = df.schema.add("part__", "integer").add("row__", "long").add("inside__", "long")
+    at = df.columns.index(value)
+
+    def run(batches):
+        n = total = 0
+        part = TaskContext.get().partitionId()
+        for b in batches:
+            sums = np.cumsum(b.column(at).to_numpy())
+            m = b.num_rows
+            inside = total + sums - b.column(at).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(m, part, np.int32)), pa.array(np.arange(n, n + m)), pa.array(inside)], names=schema.names)
+            n, total = n + m, total + (int(sums[-1]) if m else 0)
+
+    out = saved(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "running")
+    rows, total, offsets = 0, 0, []
+    for p, n, s in sorted(tuple(r) for r in out.groupBy("part__").agg(F.count("*"), F.sum(value)).collect()):
+        offsets.append((p, rows, total))
+        rows, total = rows + n, total + s
+    table = df.sparkSession.createDataFrame(offsets, "part__ int, rows__ long, ahead__ long")
+    out = out.join(F.broadcast(table), "part__").withColumns({row: F.col("row__") + F.col("rows__"), before: F.col("inside__") + F.col("ahead__")})
+    return out.drop("part__", "row__", "inside__", "rows__", "ahead__"), total

@@ -493,13 +493,32 @@ def test_plan_gives_the_words_wanted(size, share, block, seed):
 
 
 def test_mix_shards_hold_every_slot(spark):
-    d = docs(spark)
+    """Every slot of every source stands at one place; shards have the same number of slots, and the
+    counts of a source in them are those of a draw without replacement."""
+    d = docs(spark, [" ".join(WORDS[: 100 + i % 50]) for i in range(400)])
     src = shared.saved(mixing.targets(shared.saved(mixing.with_size(d.select("doc_id", "source", "text")), "s")), "t")
-    drawn = mixing.draws(src, block=8, shard_slots=20).collect()
-    for sid in {r["sid"] for r in drawn}:
-        mine = sorted((r["first_slot"], r["slots"]) for r in drawn if r["sid"] == sid)
-        assert mine[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:], strict=False)) and sum(mine[-1]) == [r["n_slots"] for r in drawn if r["sid"] == sid][0]
-    assert len({r["shard"] for r in drawn}) > 5
+    drawn, slots = mixing.draws(src, block=8)
+    of = {r["sid"]: r for r in drawn.collect()}
+    assert slots == sum(r["n_slots"] for r in of.values()) and all(r["first"] == sum(of[i]["n_slots"] for i in range(s)) for s, r in of.items())
+    rows = mixing.slot_blocks(drawn, slots, block=8, shard_slots=100)
+    assert sorted((r["shard"], r["place"]) for r in rows.collect()) == [(i // 100, i % 100) for i in range(slots)]
+    assert Counter(r["sid"] for r in rows.collect()) == {s: r["n_slots"] for s, r in of.items()}
+    counts = {(r["shard"], r["sid"]): r["slots"] for r in mixing.shard_counts(rows).collect()}
+    for s, r in of.items():
+        share, full = r["n_slots"] / slots, slots // 100
+        spread = np.array([counts.get((i, s), 0) for i in range(full)])
+        assert abs(spread.mean() - 100 * share) < 2 and 0.5 < spread.std() / np.sqrt(100 * share * (1 - share) * (1 - 100 / slots)) < 1.6
+
+
+def test_mix_of_very_long_texts_and_null_ids(spark):
+    """A text over 1 MB, and many equal rows without an id."""
+    long = " ".join(WORDS * 700)
+    d = docs(spark, [long, *["a b c d e"] * 200], ids=[1] + [None] * 200)
+    rows = mixing.mix(d, block=16).collect()
+    assert len(long) > 1 << 20 and len(rows) == 201 and all(r["taken"] <= 2 * r["size"] for r in rows)
+    assert sum(r["taken"] for r in rows) == 1.5 * sum(r["size"] for r in rows)
+    out = mixing.mixed_documents(d, block=16).collect()
+    assert sum(len(words(r["text"])) for r in out) == sum(r["taken"] for r in rows)
 
 
 def test_mixed_documents(spark):
