@@ -1,14 +1,17 @@
 """Exact top-k by inner product, norm-bucketed.
 
-Each task sorts its vectors by length and cuts them into buckets. For a query and a
-bucket, the score it must beat, divided by the query's length and the bucket's largest,
-is a local cosine threshold: above one the bucket is skipped (and all after it, being
-shorter); if it is high, a few coordinates of the query bound those of any vector that
-can pass, and only vectors inside all bounds are verified; else the whole bucket is, up to
-the length at which no product can pass. Products are exact integers.
-
-Queries go out in blocks of proven size; each block meets all rows. A task keeps k rows
-of each query, and a window takes the best of these.
+Rows are sorted by length over the whole table and cut into buckets. A query starts with a
+threshold: its k-th score among a small sample of the rows, which no later result can
+undercut. For a query and a bucket, the score to beat, divided by the query's length and the
+bucket's largest, is a local cosine threshold: above one the bucket is skipped (and all
+shorter ones of the task); if it lets the query's largest coordinates decide, products over
+these and a bound for the rest prune rows (coordinate pruning); else rows are taken up to the
+length at which no product can pass (length pruning). What is left is verified by exact
+integer products.
+
+Queries are numbered and go out in blocks of ``BLOCK_BYTES``, one after the other, so neither
+the driver nor a task holds more of them; each block meets all rows. A task keeps k rows of
+each query, and a window takes the best of these.
 
 Vectors null, empty or with null or non-finite components take no part; vectors are
 compared with queries of their own dimension; a query never meets rows of its own id;
@@ -25,17 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import running, saved, sized_parts
+
 SCALE = 1024
 K = 10
-#: Queries of a block: at 64 dimensions its broadcast takes 16 MB.
-BLOCK = 32_768
+#: Bytes of the queries of a block: 130,000 of 64 dimensions.
+BLOCK_BYTES = 64 << 20
+#: Rows and bytes of the sample that gives queries their first thresholds.
+SAMPLE = 1024
+SAMPLE_BYTES = 8 << 20
 BUCKET = 1024
-#: Local cosine thresholds from which coordinates are tried.
-STEEP = 0.7
-FOCUS = 4
+#: Share of its coordinates that a query may look at to prune.
+MOST_FOCUS = 0.75
 #: Rows between two searches of a task.
 ROWS = 65_536
 _SAFE = float(1 << 53)
+#: Stands for a null id, which loses ties.
+_NULL = np.iinfo(np.int64).max
 
 
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -46,8 +55,8 @@ def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
 
 
 def _matrices(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By dimension, ids (null: the least long) and components of a batch."""
-    ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+    """By dimension, ids (null: the largest long) and components of a batch."""
+    ids = batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False)
     lists = batch.column(1)
     flat = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64)
     n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -62,15 +71,29 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return q @ v.T
 
 
+def floors(ids: np.ndarray, q: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """By query its k-th score among the sample's rows of other ids; -inf where there are fewer."""
+    out = np.full(len(ids), -np.inf)
+    for a in range(0, len(ids) if len(sample_ids) >= k else 0, 512):
+        score = products(q[a : a + 512], sample).astype(np.float64)
+        score[ids[a : a + 512, None] == sample_ids[None, :]] = -np.inf
+        out[a : a + 512] = np.partition(score, len(sample_ids) - k, axis=1)[:, len(sample_ids) - k]
+    return out
+
+
 class Search:
     """Best k of each query of one dimension, over the vectors shown so far."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, least: np.ndarray | None = None):
         self.ids, self.q, self.k = ids, q, k
         self.norms = np.sqrt((q * q).sum(axis=1))
         self.score: list[np.ndarray] = [np.zeros(0, np.int64)] * len(ids)
         self.found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(ids)
-        self.least = np.full(len(ids), -np.inf)
+        self.least = np.full(len(ids), -np.inf) if least is None else least.copy()
+        self.order = np.argsort(-np.abs(q), axis=1, kind="stable")
+        energy = np.cumsum(np.take_along_axis(q * q, self.order, axis=1), axis=1)
+        self.rest = np.sqrt(np.maximum(energy[:, -1:] - energy, 0)) / np.maximum(self.norms, 1e-300)[:, None]
+        #: Pairs of queries and rows whose bucket was skipped, that were pruned, and that were multiplied.
         self.skipped = self.pruned = self.verified = 0
 
     def _take(self, i: int, ids: np.ndarray, score: np.ndarray) -> None:
@@ -81,7 +104,7 @@ class Search:
         best = np.lexsort((ids, -score))[: self.k]
         self.found[i], self.score[i] = ids[best], score[best]
         if len(best) == self.k:
-            self.least[i] = float(score[best[-1]])
+            self.least[i] = max(self.least[i], float(score[best[-1]]))
 
     def show(self, ids: np.ndarray, v: np.ndarray) -> None:
         norms = np.sqrt((v * v).sum(axis=1))
@@ -94,47 +117,75 @@ class Search:
                 local = self.least[alive] / (self.norms[alive] * bn[0])
             # a little slack for the rounding of lengths; products are verified exactly
             going = ~(local > 1 + 1e-9)
-            self.skipped += int((~going).sum())
+            self.skipped += int((~going).sum()) * (len(ids) - a)
             alive, local = alive[going], local[going]
             if not len(alive):
                 break
-            steep = local > STEEP
-            for i, cosine in zip(alive[steep].tolist(), local[steep].tolist(), strict=True):
-                self._coordinates(i, cosine, bi, bv, bn)
-            for b in range(0, len(flat := alive[~steep]), 512):
-                some = flat[b : b + 512]
-                score = products(self.q[some], bv)
-                self.verified += score.size
-                for row in np.flatnonzero((score >= self.least[some][:, None]).any(axis=1)).tolist():
-                    self._take(int(some[row]), bi, score[row])
-
-    def _coordinates(self, i: int, cosine: float, ids: np.ndarray, v: np.ndarray, norms: np.ndarray) -> None:
-        """Unit vectors at a cosine of c or more to a unit query q have in each coordinate f
-        a value within q_f c -+ sqrt((1 - q_f^2)(1 - c^2)); past q_f = +-c the bound is open."""
-        q, c = self.q[i] / self.norms[i], min(cosine, 1.0) - 1e-9
-        keep = np.ones(len(ids), bool)
-        for f in np.argsort(-np.abs(q))[:FOCUS].tolist():
-            x = v[:, f] / np.maximum(norms, 1e-300)
-            wide = np.sqrt(max(0.0, (1 - q[f] * q[f]) * (1 - c * c))) + 1e-9
-            lo = -1.0 if q[f] < -c else q[f] * c - wide
-            hi = 1.0 if q[f] > c else q[f] * c + wide
-            keep &= (x >= lo - 1e-9) & (x <= hi + 1e-9)
-        at = np.flatnonzero(keep)
+            # coordinates that leave a rest of the query too short to pass by itself
+            focus = (self.rest[alive] > np.maximum(local, 0)[:, None]).sum(axis=1) + 1
+            few = (local > 0) & (focus <= MOST_FOCUS * self.q.shape[1])
+            squares = bv * bv if few.any() else None
+            for i, m in zip(alive[few].tolist(), focus[few].tolist(), strict=True):
+                self._coordinates(i, m, bi, bv, squares, bn)
+            self._lengths(alive[~few], bi, bv, bn)
+
+    def _lengths(self, some: np.ndarray, ids: np.ndarray, v: np.ndarray, norms: np.ndarray) -> None:
+        """Rows as long as the least hopeful of some queries needs."""
+        for b in range(0, len(some), 512):
+            at = some[b : b + 512]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = float(np.nan_to_num(self.least[at] / self.norms[at], nan=-np.inf, posinf=np.inf, neginf=-np.inf).min())
+            n = int(np.searchsorted(-norms, -need * (1 - 1e-9), "right")) if need > 0 else len(ids)
+            self.pruned += len(at) * (len(ids) - n)
+            score = products(self.q[at], v[:n])
+            self.verified += score.size
+            for row in np.flatnonzero((score >= self.least[at][:, None]).any(axis=1)).tolist():
+                self._take(int(at[row]), ids[:n], score[row])
+
+    def _coordinates(self, i: int, m: int, ids: np.ndarray, v: np.ndarray, squares: np.ndarray, norms: np.ndarray) -> None:
+        """A product is at most that of the query's ``m`` largest coordinates and the lengths of
+        what is left of both vectors, multiplied."""
+        f = self.order[i, :m]
+        part = v[:, f] @ self.q[i, f]
+        left = np.sqrt(np.maximum(norms * norms - squares[:, f].sum(axis=1), 0))
+        bound = part + self.rest[i, m - 1] * self.norms[i] * left
+        slack = 1e-9 * self.norms[i] * norms
+        at = np.flatnonzero(bound + slack >= self.least[i])
         self.pruned += len(ids) - len(at)
         self.verified += len(at)
         if len(at):
             self._take(i, ids[at], products(self.q[i : i + 1], v[at])[0])
 
 
-def _one_block(rows: DataFrame, queries: list, k: int) -> DataFrame:
+def _grouped(rows: list) -> dict[int, tuple[np.ndarray, ...]]:
+    """(id, v, ...) rows as arrays, by dimension."""
     grouped = defaultdict(list)
-    for i, v in queries:
-        grouped[len(v)].append((i, tuple(v)))
-    sent = rows.sparkSession.sparkContext.broadcast({d: (np.array([i for i, _ in some], np.int64), np.array([v for _, v in some], np.float64)) for d, some in grouped.items()})
-    null = np.iinfo(np.int64).min
+    for r in rows:
+        grouped[len(r[1])].append(r)
+    return {d: (np.array([r[0] if r[0] is not None else _NULL for r in some], np.int64), np.array([r[1] for r in some], np.float64), *(np.array(c, np.float64) for c in zip(*(r[2:] for r in some), strict=True))) for d, some in grouped.items()}
+
+
+def _with_floors(queries: DataFrame, sample: list, k: int) -> DataFrame:
+    """``queries`` (id, v) with ``least``, their first threshold."""
+    sent = queries.sparkSession.sparkContext.broadcast(_grouped(sample))
+
+    def run(batches):
+        for b in batches:
+            for d, (ids, q) in _matrices(b).items():
+                if d in sent.value:
+                    least = floors(ids, q, *sent.value[d], k)
+                else:
+                    least = np.full(len(ids), -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(np.arange(0, len(ids) * d + 1, d, dtype=np.int32), q.ravel()), pa.array(least)], names=["id", "v", "least"])
+
+    return queries.mapInArrow(run, "id long, v array<double>, least double")
+
+
+def _one_block(rows: DataFrame, queries: list, k: int) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(_grouped(queries))
 
     def run(batches):
-        searches = {d: Search(i, q, k) for d, (i, q) in sent.value.items()}
+        searches = {d: Search(i, q, k, least) for d, (i, q, least) in sent.value.items()}
         held, n = defaultdict(list), 0
 
         def flush():
@@ -154,28 +205,34 @@ def _one_block(rows: DataFrame, queries: list, k: int) -> DataFrame:
             if len(s.ids):
                 counts = np.array([len(x) for x in s.found])
                 found = np.concatenate(s.found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(s.ids, counts)), pa.array(found, mask=found == null), pa.array(np.concatenate(s.score))], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(s.ids, counts)), pa.array(found, mask=found == _NULL), pa.array(np.concatenate(s.score))], names=["query_id", "vec_id", "score"])
 
     return rows.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, is_query, k: int = K, id_column: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = K, id_column: str = "vec_id", vector: str = "embedding", block_bytes: int = BLOCK_BYTES, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows of each query. ``is_query`` is a
-    condition on ``id``. Queries are dealt to as many blocks as keep each within ``block``."""
-    rows = usable(vectors, id_column, vector)
-    queries = rows.where(F.col("id").isNotNull() & is_query).distinct()
-    n = queries.count()
-    blocks = -(-n // max(1, block * 7 // 8)) if n else 0
-    part = F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1)))
-    out = None
+    condition on ``id``. Blocks of queries are searched in turn; with more than one, what each
+    finds is kept in the shared folder."""
+    usable_rows = usable(vectors, id_column, vector)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    n, widest = usable_rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    # sorted by length over the whole table; the id and a salt part rows of one length
+    order = [F.desc("norm"), F.asc("id"), F.xxhash64(F.monotonically_increasing_id())]
+    rows = saved(usable_rows.withColumn("norm", length).repartitionByRange(sized_parts(n, ROWS), *order).sortWithinPartitions(F.desc("norm")), "vectors")
+    spark = vectors.sparkSession
+    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    take = max(1, min(sample, SAMPLE_BYTES // (8 * (widest or 1))))
+    first = rows.select("id", "v").where(F.rand(7) * n < 2 * take).limit(take).collect()
+    queries = rows.where(F.col("id").isNotNull() & is_query).select("id", "v").distinct()
+    queries = _with_floors(queries, first, k).withColumn("bytes", F.size("v").cast("long") * 8 + 64)
+    queries, total = running(queries, ["id", F.xxhash64("v")], "bytes", 1 + n // ROWS, "row", "before")
+    blocks = -(-total // block_bytes)
     for i in range(blocks):
-        some = queries.where(part == i).limit(2 * block + 1).collect()
-        if len(some) > 2 * block:
-            raise ValueError("a block of queries is too large; choose a smaller block")
-        found = _one_block(rows, some, k)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+        some = queries.where(F.floor(F.col("before") / block_bytes) == i).select("id", "v", "least").collect()
+        if some:
+            found = _one_block(rows, some, k)
+            out = out.unionByName(found if blocks == 1 else saved(found, "found"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -383,7 +383,8 @@ def test_topk_brute(spark, scale):
     rows = [(i, (x * scale).tolist()) for i, x in enumerate(v)]
     rows += [(1000, None), (1100, []), (1200, [1.0, None] * 4), (1300, [float("nan")] * 8), (1400, [1.0, 2.0]), (1500, [0.5, 0.5]), (1600, [float("inf")] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit(1).alias("score"), F.lit(1).alias("id"))
-    assert {tuple(r) for r in topk.top_k(df, F.col("id") % 100 == 0, block=3).collect()} == brute_topk(rows, 10)
+    for block, sample in ((200, 50), (1 << 20, 5), (1 << 20, 10_000)):
+        assert {tuple(r) for r in topk.top_k(df, F.col("id") % 100 == 0, block_bytes=block, sample=sample).collect()} == brute_topk(rows, 10)
 
 
 @pytest.mark.parametrize("spread", [0.02, 1.0])
@@ -402,6 +403,38 @@ def test_topk_pruning_is_exact(spread):
         assert s.found[j].tolist() == np.lexsort((ids, -p))[:10].tolist()
 
 
+def test_topk_prunes_on_the_given_table(spark):
+    """Vectors of one length, far apart: thresholds of a sample let coordinates prune most rows."""
+    rows = topk.usable(spark.read.parquet(f"{SMALL}/embeddings.parquet"), "vec_id", "embedding").collect()
+    ((ids, v),) = topk._grouped(rows).values()
+    at = ids % 100 == 0
+    least = topk.floors(ids[at], v[at], ids[::2], v[::2], 10)
+    s = topk.Search(ids[at], v[at], 10, least)
+    s.show(ids, v)
+    assert s.skipped + s.pruned + s.verified == at.sum() * len(ids) and s.verified < 0.5 * at.sum() * len(ids)
+    for j, i in enumerate(ids[at]):
+        p = (v @ v[ids == i][0]).astype(np.int64)
+        p[ids == i] = -(2**62)
+        assert least[j] <= s.score[j][-1] and s.found[j].tolist() == ids[np.lexsort((ids, -p))[:10]].tolist()
+
+
+def test_topk_skips_short_buckets():
+    rng = np.random.default_rng(4)
+    v = np.floor(1024 * rng.normal(size=(5000, 16)) * rng.lognormal(0, 1, (5000, 1)))
+    ids = np.arange(5000)
+    s = topk.Search(ids[::500], v[::500], 10, topk.floors(ids[::500], v[::500], ids[::4], v[::4], 10))
+    s.show(ids, v)
+    assert s.skipped + s.pruned + s.verified == 50_000 and s.skipped > 10_000 and s.verified < 10_000
+
+
+def test_topk_of_equal_rows_and_null_ids(spark):
+    rows = [(100, [1.0, 2.0])] * 30 + [(None, [3.0, 1.0])] * 30 + [(7, [0.5, 0.5]), (200, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("id") % 100 == 0).orderBy("query_id", "rank").collect()
+    # nulls score 5 * 2**20 as well, but lose ties to ids
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(100, 1, 200, 5 << 20)] + [(100, i, None, 5 << 20) for i in range(2, 11)] + [(200, i, 100, 5 << 20) for i in range(1, 11)]
+
+
 def test_topk_of_few(spark):
     df = spark.createDataFrame([(100, [1.0]), (200, [2.0])], "vec_id long, embedding array<double>")
     assert topk.top_k(df, F.col("id") % 100 == 0).count() == 2
