@@ -1,15 +1,18 @@
 """Sharding along a Hilbert curve over quantised metadata.
 
-Each dimension is cut at approximate quantiles into ``2**bits`` levels, so the curve
-follows the data. Rows are sorted by (curve index, group, id) and cut into runs of equal
-counts, so a shard covers a compact box of every dimension and files can be pruned by any
-of them. Rows of equal text form a group: it takes the place of its smallest id, its rows
-follow each other, and only a cut can part them.
+Each dimension (source, language, size) is cut at approximate quantiles into ``2**bits``
+levels, so the curve follows the data. Rows are sorted by (curve index, group, id) and cut into
+runs of equal counts, so a shard covers a compact box of every dimension and files can be
+pruned by any of them: ``sharded`` writes the files, ``manifest`` has the box of each, and
+``matching`` names those that a filter must read. Rows of equal text form a group: it takes
+the place of its smallest id, its rows follow each other, and only a cut can part them. Texts
+count as equal if their sizes and two 64-bit hashes agree.
 
 Strings are quantised by the rank of their whole value, so common prefixes do not matter.
 Null texts are empty, null metadata take level 0, null ids come first; repeated rows
-each get a slot; an empty table gives an empty result. Other columns are carried along
-by ``sharded`` under their own names.
+each get a slot; an empty table gives an empty result. Other columns are carried along by
+``sharded`` under their own names, but for ``shard__`` and ``slot__``, which it sets. ``digest``
+sorts keys of a few bytes, never texts, however long; ``sharded`` sorts rows.
 """
 
 from __future__ import annotations
@@ -18,12 +21,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ranked, sized_parts
+from .shared import SEND, ranked, saved, sent, sized_parts
 
 BITS = 4
-#: Bytes of distinct strings up to which their ranks are sent to all tasks; more are joined by shuffle.
-SEND = 8 << 20
-
 
 def curve(points: np.ndarray, bits: int) -> np.ndarray:
     """Index on the Hilbert curve of integer points (n, dims), by Skilling's transform."""
@@ -58,7 +58,8 @@ def with_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     code point over their whole length."""
     values, _ = ranked(df.select(column).distinct(), [column], name)
     size = values.agg(F.sum(F.octet_length(column) + 16)).first()[0] or 0
-    return df.join(F.broadcast(values) if size <= SEND else values, column)
+    # kept by itself, so that the join can part a value of many rows
+    return df.join(F.broadcast(values) if size <= SEND else saved(values, "ranks"), column)
 
 
 def with_curve(df: DataFrame, dims: dict[str, Column], bits: int = BITS, name: str = "curve") -> DataFrame:
@@ -88,22 +89,59 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
-def digest(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document, by rows
-    of equal counts. Only keys of a few bytes are grouped, sorted and joined, never texts."""
+def placed(docs: DataFrame, shards: int, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, ``carry``, shard and slot of every document."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        "doc_id",
+        F.col("doc_id"),
         size_of("text").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("group__"),
+        F.xxhash64(F.lit(1), text).alias("group2__"),
         F.coalesce("source", F.lit("")).alias("source__"),
         F.coalesce("lang", F.lit("")).alias("lang__"),
+        *carry,
     )
     rows = with_rank(with_rank(rows, "source__", "source_rank__"), "lang__", "lang_rank__")
     rows = with_curve(rows, {"source": F.col("source_rank__"), "lang": F.col("lang_rank__"), "size": F.col("size")})
-    # a group's place; groups of one are most and keep their own
-    lead = rows.groupBy("group__").agg(F.min(F.struct("doc_id", "curve")).alias("lead__"), F.count("*").alias("n__")).where("n__ > 1").select("group__", "lead__")
-    rows = rows.join(lead, "group__", "left").withColumn("curve", F.coalesce("lead__.curve", "curve")).drop("lead__", "source__", "lang__", "source_rank__", "lang_rank__")
-    out = slots(rows, ["curve", "group__", "doc_id"], shards)
+    # a group's place; groups of one are most and keep their own. Saved, so that its size is known
+    # and the join can part a group of many rows
+    group = ["size", "group__", "group2__"]
+    lead = rows.groupBy(*group).agg(F.min(F.struct("doc_id", "curve")).alias("lead__"), F.count("*").alias("n__")).where("n__ > 1")
+    lead = saved(lead.select(*group, F.col("lead__.curve").alias("lead__")), "leads", docs.count())
+    rows = rows.join(sent(lead, 32), group, "left").withColumn("curve", F.coalesce("lead__", "curve")).drop("lead__", "source__", "lang__", "source_rank__", "lang_rank__")
+    return slots(rows, ["curve", "group__", "group2__", "doc_id"], shards)
+
+
+def digest(docs: DataFrame, shards: int = 24) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document, by rows
+    of equal counts. Only keys of a few bytes are grouped, sorted and joined, never texts."""
+    out = placed(docs, shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")).coalesce(sized_parts(docs.count(), 50_000))
+
+
+def sharded(docs: DataFrame, path: str, shards: int = 24) -> None:
+    """Write ``docs`` to folder ``path`` as Parquet, a folder shard__=N for each shard, rows in the
+    order of ``slot__``."""
+    names = [c for c in docs.columns if c not in ("shard__", "slot__")]
+    out = placed(docs, shards, (F.struct(*[F.col(f"`{c}`") for c in names]).alias("row__"),))
+    out.select("row__.*", F.col("shard").alias("shard__"), F.col("slot").alias("slot__")).write.partitionBy("shard__").parquet(path)
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """By shard of what ``sharded`` wrote: rows, the least and largest source and language (null
+    as empty), and sizes."""
+    ends = [f(c).alias(f"{n}_{c.removesuffix('__')}") for c in ("source__", "lang__", "size__") for n, f in (("min", F.min), ("max", F.max))]
+    rows = files.select("shard__", F.coalesce("source", F.lit("")).alias("source__"), F.coalesce("lang", F.lit("")).alias("lang__"), size_of("text").alias("size__"))
+    return rows.groupBy("shard__").agg(F.count("*").alias("rows"), *ends)
+
+
+def matching(boxes: DataFrame, source: str | None = None, lang: str | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Shards of a manifest that may hold rows of a source, a language, a range of sizes."""
+    out = boxes
+    for name, value in (("source", source), ("lang", lang)):
+        if value is not None:
+            out = out.where((F.col(f"min_{name}") <= value) & (F.col(f"max_{name}") >= value))
+    if sizes is not None:
+        out = out.where((F.col("min_size") <= sizes[1]) & (F.col("max_size") >= sizes[0]))
+    return out.select("shard__")

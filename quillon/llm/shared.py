@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from quillon.lineage import ranked, shared_dir
 
-__all__ = ["discard", "fresh_dir", "ranked", "running", "saved", "shared_dir", "sized_parts"]
+__all__ = ["discard", "fresh_dir", "ranked", "running", "saved", "sent", "shared_dir", "sized_parts"]
+
+#: Bytes of a table up to which it is sent to all tasks.
+SEND = 8 << 20
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -39,6 +42,12 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sent(df: DataFrame, each: int) -> DataFrame:
+    """``df``, a saved table of rows of ``each`` bytes, to be sent to all tasks of a join if it is
+    counted to be at most ``SEND`` bytes; else joined by shuffle."""
+    return F.broadcast(df) if df.count() * each <= SEND else df
+
+
 def sized_parts(rows: int, each: int) -> int:
     """Groups of about ``each`` rows that ``rows`` rows need."""
     return max(1, -(-rows // each))
