@@ -55,7 +55,7 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.fresh_dir(spark, "warc")
-    written = shared.saved(warc.write_archives(_table(spark, sf_dir, "pages"), path), "archives")
+    written = warc.write_archives(_table(spark, sf_dir, "pages"), path)
     return warc.complete(warc.digest(warc.read_archives(written)), written)
 
 

@@ -1,4 +1,4 @@
-"""WARC archives: a writer of one gzip member for each record, and a splittable reader.
+"""WARC/1.1 archives: a writer of one gzip member for each record, and a splittable reader.
 
 A reader task takes a byte range of an archive, scans it for the gzip magic, and takes as
 member starts only places whose bytes inflate to a WARC version. It owns the records that
@@ -6,9 +6,12 @@ start inside its range and reads the last of them beyond its end. So one archive
 read by many tasks without an index. Headers may be of any length.
 
 Records of equal payloads of at least ``LEAST`` bytes: the one with the largest page id is
-a response, the others are revisits of it without a payload. Null html is an empty payload,
-null urls are empty, null ids lose against any id. Rows that share id and payload are each a
-record; those with the largest id are all responses. Other columns are ignored.
+a response, the others are revisits of it without a payload. Responses are written first, so
+that a revisit refers to a record id that exists; page ids stand in fields of their own. A
+block is an HTTP response; its body is the payload. Null html is an empty payload, null urls
+are empty, null ids lose against any id. Rows that share id and payload are each a record;
+those with the largest id are all responses. Other columns are ignored. A task holds one
+record at a time and 4 MB of results; a record is read whole, however long.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import saved, sent
 
 LEAST = 1000
 SPLIT = 8 << 20
@@ -34,6 +37,11 @@ READ = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 RECORD = b"WARC/1."
+#: Fixed values of the format.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP = "application/http;msgtype=response"
+#: Operators take no clock: the capture time of all records unless one is given.
+DATE = "2024-01-01T00:00:00Z"
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
@@ -81,14 +89,12 @@ def revisits(pages: DataFrame) -> DataFrame:
     return found.where(F.col("bytes") >= LEAST).groupBy("digest", "bytes").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "original")
 
 
-def write_archives(pages: DataFrame, path: str) -> DataFrame:
-    """Archives in folder ``path``, one for each task; returns (file, size, records).
-    A file is written under a name of its attempt and only files of attempts that Spark
-    took are in the list, so repeated tasks leave no record twice."""
-    rows = payloads(pages).withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "bytes": F.octet_length("html")})
-    # few beside the pages; written first, so that its size is known when the join is planned
-    rows = rows.join(saved(revisits(pages), "revisits"), ["digest", "bytes"], "left").select("page_id", "url", "html", "digest", "bytes", "original")
-    run_id = uuid.uuid4().hex[:8]
+ARCHIVES = "file string, size long, records long, digest string, bytes long, record_id string"
+
+
+def _write(rows: DataFrame, path: str, run_id: str, date: str) -> DataFrame:
+    """An archive of each task's ``rows`` (page_id, url, html, digest, bytes, original, refers_to);
+    ARCHIVES rows, with the record ids of responses that revisits may refer to."""
 
     def run(batches):
         store, folder = open_fs(path)
@@ -98,19 +104,59 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
         size = n = 0
         with store.open_output_stream(name, compression=None) as out:
             for b in batches:
-                for page, url, html, digest, _, original in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    body = html.encode()
-                    again = original is not None and page != original
-                    fields = [("WARC-Type", "revisit" if again else "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page}')}>")]
-                    fields += [("WARC-Target-URI", _clean(url)), ("Quillon-Page-ID", "" if page is None else str(page)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Quillon-Payload-Length", str(len(body)))]
+                targets = []
+                for page, url, html, digest, length, original, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    body, again = (html or "").encode(), refers is not None
+                    record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{n}')}>"
+                    fields = [("WARC-Type", "revisit" if again else "response"), ("WARC-Record-ID", record_id), ("WARC-Date", date), ("WARC-Target-URI", _clean(url))]
+                    fields += [("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", HTTP), ("Quillon-Page-ID", "" if page is None else str(page)), ("Quillon-Payload-Length", str(length))]
                     if again:
-                        fields.append(("WARC-Refers-To", str(original)))
-                    size += out.write(record(fields, b"" if again else body))
+                        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", refers), ("Quillon-Refers-To-Page", "" if original is None else str(original))]
+                    elif original is not None:
+                        targets.append((digest, length, record_id))
+                    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
+                    size += out.write(record(fields, head if again else head + body))
                     n += 1
+                if targets:
+                    digests, lengths, ids = zip(*targets, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), t) for t in (pa.string(), pa.int64(), pa.int64())] + [pa.array(digests), pa.array(lengths, pa.int64()), pa.array(ids)], names=names)
         if n:
-            yield pa.RecordBatch.from_pydict({"file": [name if "://" not in path else f"{path.rstrip('/')}/{os.path.basename(name)}"], "size": [size], "records": [n]})
-
-    return rows.mapInArrow(run, "file string, size long, records long")
+            file = name if "://" not in path else f"{path.rstrip('/')}/{os.path.basename(name)}"
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([size]), pa.array([n]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string())], names=names)
+
+    names = [f.split()[0] for f in ARCHIVES.split(", ")]
+    return saved(rows.select("page_id", "url", "html", "digest", "bytes", "original", "refers_to").mapInArrow(run, ARCHIVES), "archives")
+
+
+def write_archives(pages: DataFrame, path: str, date: str = DATE) -> DataFrame:
+    """Archives in folder ``path``, one for each task; returns (file, size, records). A file is
+    written under a name of its attempt and only files of attempts that Spark took are in the
+    list; others are deleted, so repeated tasks leave no record twice and no file behind."""
+    spark = pages.sparkSession
+    rows = payloads(pages).withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "bytes": F.octet_length("html").cast("long")})
+    # tables of their own, so that the joins can part a payload of many rows
+    twice = saved(revisits(pages), "revisits")
+    rows = rows.join(sent(twice, 80), ["digest", "bytes"], "left")
+    again = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
+    run_id = uuid.uuid4().hex[:8]
+    first = _write(rows.where(~again).withColumn("refers_to", F.lit(None).cast("string")), path, run_id, date)
+    ids = saved(first.where("record_id IS NOT NULL").groupBy("digest", "bytes").agg(F.min("record_id").alias("refers_to")), "record-ids", max(1, twice.count()))
+    bare = rows.where(again).withColumn("html", F.lit(None).cast("string"))
+    second = _write(bare.join(sent(ids, 160), ["digest", "bytes"]), path, run_id, date)
+    files = saved(first.where("file IS NOT NULL").unionByName(second.where("file IS NOT NULL")).select("file", "size", "records"), "files", 1)
+    _drop_others(spark, path, run_id, files)
+    return files
+
+
+def _drop_others(spark, path: str, run_id: str, files: DataFrame) -> None:
+    """Delete files of this run that are not in the list (a file a task), which failed attempts left."""
+    taken = {os.path.basename(r["file"]) for r in files.select("file").collect()}
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.listStatus(folder) if store.exists(folder) else []:
+        name = status.getPath().getName()
+        if name.startswith(f"{run_id}-") and name not in taken:
+            store.delete(status.getPath(), False)
 
 
 def starts_in(source, lo: int, hi: int) -> Iterator[int]:
@@ -157,19 +203,19 @@ def _member(source, at: int) -> bytes:
 
 
 def read_archives(files: DataFrame, split: int = SPLIT) -> DataFrame:
-    """Records of archives (file, size): file, offset, type, url, page_id, digest,
-    payload_length, refers_to and payload (binary; none for revisits). The byte ranges are rows,
+    """Records of archives (file, size): file, offset, record_id, type, url, page_id, digest,
+    payload_length, refers_to (a record id), refers_to_page and payload (binary; none for revisits). The byte ranges are rows,
     dealt evenly to as many tasks."""
     table = files.where("size > 0").select("file", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(split))).alias("lo"), "size")
     table = table.select("file", "lo", F.least(F.col("lo") + split, "size").alias("hi"))
     ranges = files.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 0
     table = table.repartition(max(1, ranges))
-    schema = "file string, offset long, type string, url string, page_id string, digest string, payload_length long, refers_to string, payload binary"
+    schema = "file string, offset long, record_id string, type string, url string, page_id string, digest string, payload_length long, refers_to string, refers_to_page string, payload binary"
 
     def batch(rows):
         columns = list(zip(*rows, strict=True))
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-        names = ("file", "offset", "type", "url", "page_id", "digest", "payload_length", "refers_to", "payload")
+        names = tuple(f.split()[0] for f in schema.split(", "))
+        kinds = tuple({"offset": pa.int64(), "payload_length": pa.int64(), "payload": pa.binary()}.get(n, pa.string()) for n in names)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches):
@@ -183,7 +229,9 @@ def read_archives(files: DataFrame, split: int = SPLIT) -> DataFrame:
                             continue
                         f, block = parsed
                         kind = f.get("warc-type", "")
-                        rows.append((file, at, kind, f.get("warc-target-uri"), f.get("quillon-page-id") or None, f.get("warc-payload-digest", "").removeprefix("sha1:"), int(f.get("quillon-payload-length", len(block))), f.get("warc-refers-to"), None if kind == "revisit" else block))
+                        if f.get("content-type", "").startswith("application/http"):
+                            block = block.partition(b"\r\n\r\n")[2]
+                        rows.append((file, at, f.get("warc-record-id"), kind, f.get("warc-target-uri"), f.get("quillon-page-id") or None, f.get("warc-payload-digest", "").removeprefix("sha1:"), int(f.get("quillon-payload-length", len(block))), f.get("warc-refers-to"), f.get("quillon-refers-to-page") or None, None if kind == "revisit" else block))
                         held += len(block)
                         if held > 4 << 20:
                             yield batch(rows)
@@ -203,7 +251,7 @@ def digest(records: DataFrame) -> DataFrame:
         F.when(response, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
         F.when(response, F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
         F.col("type").alias("record_type"),
-        F.col("refers_to").cast("long").alias("refers_to"),
+        F.col("refers_to_page").cast("long").alias("refers_to"),
     )
 
 

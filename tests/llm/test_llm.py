@@ -647,6 +647,51 @@ def test_shards(spark):
         assert at[-1] - at[0] == len(at) - 1
 
 
+def test_shards_by_hand(spark):
+    """Levels, groups, order and cuts worked out apart from the operator."""
+    rng = random.Random(11)
+    data = [(i, "x" * rng.randrange(0, 900) + str(i % 90), rng.choice(["en", "de", None]), rng.choice([None, "s1", "s2", "s3", "s7"])) for i in range(500)]
+    rows = hilbert.digest(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"), shards=7).collect()
+    rank = lambda at: {v: r for r, v in enumerate(sorted({x[at] or "" for x in data}))}
+    lang, source = rank(2), rank(3)
+    points = [(source[s or ""], lang[g or ""], len(t) + 8) for _, t, g, s in data]
+    levels = []
+    for d in range(3):
+        values = sorted(p[d] for p in points)
+        cuts = {values[max(-(-i * len(values) // 16) - 1, 0)] for i in range(1, 16)}
+        levels.append([sum(p[d] > c for c in cuts) for p in points])
+    index = hilbert.curve(np.array(levels).T, 4)
+    lead = {}
+    for (i, t, _, _), h in zip(data, index.tolist(), strict=True):
+        lead[t] = min(lead.get(t, (i, h)), (i, h))
+    shard = {r["doc_id"]: r["shard"] for r in rows}
+    # of curve indices that groups share only the sums are known: hashes part them
+    at = sorted((lead[t][1], i) for i, t, _, _ in data)
+    sums = Counter(h for h, _ in at)
+    for h, n in sums.items():
+        lo = sum(m for g, m in sums.items() if g < h)
+        got = sorted(shard[i] for g, i in at if g == h)
+        assert got == sorted((lo + r) * 7 // len(data) for r in range(n))
+
+
+def test_sharded_files_are_pruned(spark):
+    rng = random.Random(13)
+    data = [(i, "x" * (rng.randrange(10, 20) ** 2) + f" {i:04d}", rng.choice(["en", "de", "fr", "es"]), f"s{rng.randrange(8)}", "mine", i) for i in range(4000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, shard__ string, curve long")
+    path = shared.fresh_dir(spark, "shards")
+    hilbert.sharded(df, path, 64)
+    files = spark.read.parquet(path)
+    want = {r["doc_id"]: (r["shard"], r["slot"]) for r in hilbert.digest(df, 64).collect()}
+    back = files.collect()
+    assert {r["doc_id"]: (r["shard__"], r["slot__"]) for r in back} == want and all((r["doc_id"], r["text"], r["lang"], r["source"], r["curve"]) == (x := data[r["doc_id"]])[:4] + (x[5],) for r in back)
+    boxes = shared.saved(hilbert.manifest(files), "boxes")
+    assert boxes.agg(F.sum("rows")).first()[0] == 4000
+    for name, of, some in (("source", lambda r: r["source"] == "s3", {"source": "s3"}), ("lang", lambda r: r["lang"] == "de", {"lang": "de"}), ("size", lambda r: len(r["text"]) >= 300, {"sizes": (308, 10**6)})):
+        named = {r[0] for r in hilbert.matching(boxes, **some).collect()}
+        assert {r["shard__"] for r in back if of(r)} <= named and len(named) <= 45, name
+    hilbert.sharded(df.limit(0), shared.fresh_dir(spark, "shards"), 64)
+
+
 def test_shards_awkward(spark):
     assert hilbert.digest(docs(spark, [])).count() == 0
     got = hilbert.digest(docs(spark, ["a"] * 5, ids=[None, 1, 1, 2, 3])).collect()
@@ -670,7 +715,7 @@ def pages(spark, rows):
 
 
 def archived(spark, df, split):
-    return warc.read_archives(shared.saved(warc.write_archives(df, shared.fresh_dir(spark, "w")), "a"), split=split)
+    return warc.read_archives(warc.write_archives(df, shared.fresh_dir(spark, "w")), split=split)
 
 
 @pytest.mark.parametrize("split", [64, 1000, 1 << 23])
@@ -695,11 +740,62 @@ def test_warc_awkward(spark):
     assert len(got) == 3 and {r["record_type"] for r in got} == {"response"}
 
 
+def members(spark, path):
+    """Header lines and blocks of all records, inflated apart from the operator's reader."""
+    out = []
+    for name in sorted(os.listdir(path.removeprefix("file://"))):
+        raw = open(f"{path.removeprefix('file://')}/{name}", "rb").read()
+        while raw:
+            z = zlib.decompressobj(31)
+            whole, raw = z.decompress(raw), z.unused_data
+            head, _, rest = whole.partition(b"\r\n\r\n")
+            version, *lines = head.decode().split("\r\n")
+            fields = [tuple(x.split(": ", 1)) for x in lines]
+            n = int(dict(fields)["Content-Length"])
+            assert version == "WARC/1.1" and rest[n:] == b"\r\n\r\n" and len({a for a, _ in fields}) == len(fields)
+            out.append((dict(fields), rest[:n]))
+    return out
+
+
+def test_warc_records_are_valid(spark):
+    """Mandatory fields, unique record ids (rows repeat ids), revisits that refer to a response of
+    the same payload, HTTP blocks; files of failed attempts are gone."""
+    big = "é<p>" * 400
+    rows = [(1, "u1", big), (2, "u2", big), (2, "u2", big), (3, None, "s"), (3, None, "s"), (None, "u", big), (4, "u4", None)]
+    path = shared.fresh_dir(spark, "w")
+    written = warc.write_archives(pages(spark, rows).repartition(3), path)
+    records = members(spark, path)
+    assert len(records) == len(rows) and len({f["WARC-Record-ID"] for f, _ in records}) == len(rows)
+    by_id = {f["WARC-Record-ID"]: (f, b) for f, b in records}
+    for f, block in records:
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", f["WARC-Record-ID"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["WARC-Date"])
+        assert f["WARC-Type"] in ("response", "revisit") and f["Content-Type"] == warc.HTTP and block.startswith(b"HTTP/1.1 200 OK\r\n")
+        body = block.partition(b"\r\n\r\n")[2]
+        if f["WARC-Type"] == "revisit":
+            target, other = by_id[f["WARC-Refers-To"]]
+            assert f["WARC-Profile"] == warc.PROFILE and not body and target["WARC-Type"] == "response" and target["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] and target["Quillon-Page-ID"] == f["Quillon-Refers-To-Page"] == "2"
+        else:
+            assert f["WARC-Payload-Digest"] == f"sha1:{hashlib.sha1(body).hexdigest()}" and "WARC-Refers-To" not in f
+    assert sum(f["WARC-Type"] == "revisit" for f, _ in records) == 2
+    folder = path.removeprefix("file://")
+    run = os.listdir(folder)[0].split("-")[0]
+    open(f"{folder}/{run}-000000-999.warc.gz", "wb").close()
+    warc._drop_others(spark, path, run, written)
+    assert sorted(os.listdir(folder)) == sorted(os.path.basename(r["file"]) for r in written.collect())
+
+
+def test_warc_of_large_payloads(spark):
+    """Payloads above the reader's range, buffers and batches."""
+    rows = [(i, f"u{i}", os.urandom(3_000_000).hex() if i % 2 else "z" * 6_000_000) for i in range(4)]
+    back = archived(spark, pages(spark, rows), 1 << 20)
+    assert {r["page_id"]: tuple(r)[1:] for r in warc.digest(back).collect()} == {i: (6_000_000, warc.sha1(t.encode()), "revisit" if i == 0 else "response", 2 if i == 0 else None) for i, _, t in rows}
+
+
 @pytest.mark.parametrize("split", [1000, 1 << 23])
 def test_warc_long_urls(spark, split):
     """Headers beyond any buffer: urls of 70,000 and 200,000 characters, repetitive or not."""
     rows = [(1, "https://h/" + "a" * 70_000, "x"), (2, "data:," + "b" * 200_000, "y" * 2000), (3, "data:," + os.urandom(100_000).hex(), "y" * 2000), (4, "u", "z")]
-    written = shared.saved(warc.write_archives(pages(spark, rows), shared.fresh_dir(spark, "w")), "a")
+    written = warc.write_archives(pages(spark, rows), shared.fresh_dir(spark, "w"))
     back = warc.read_archives(written, split=split)
     assert {r["page_id"]: r["url"] for r in back.collect()} == {str(i): url for i, url, _ in rows}
     got = {r["page_id"]: tuple(r)[1:] for r in warc.complete(warc.digest(back), written).collect()}
@@ -851,7 +947,7 @@ def test_pipeline_against_brute_force(spark):
     docs_ = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs_.collect()}
     clean = {i for i, r in rows.items() for f in [brute_features(r["text"])] if not (f[0] < 50 or 100 * f[4] > 50 * f[0])}
-    comp = brute_components([(i, rows[i]["text"]) for i in sorted(clean)])
+    comp = brute_components([(i, rows[i]["text"]) for i in sorted(clean)], 80)
     firsts = {c for _, c in comp.values()}
     now, seen = docs_, []
     for name, stage in corpus_pipeline.STAGES:
@@ -886,3 +982,19 @@ def test_pipeline_stages_awkward(spark):
     assert now.count() == 0
     once = corpus_pipeline.near_duplicates(spark, odd, SMALL)
     assert sorted(str(r["doc_id"]) for r in once.collect()) == ["2", "4", "None", "None"]
+
+
+def test_pipeline_stages_with_other_columns(spark):
+    """Columns that operators use inside, long texts, and many rows of one id go through."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"v{rng.randrange(10**5)}" for _ in range(n))
+    texts = [prose(200_000), *(prose(90) for _ in range(30)), *["same " + prose(80)] * 3]
+    now = docs(spark, texts, clash=True, ids=[*range(31), 40, 40, 40])
+    names, n = now.columns, [34, 32]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = shared.saved(stage(spark, now, SMALL), "s")
+        assert i == 3 or now.columns == names
+        assert i > 1 or now.count() == n[i]
+    assert len(texts[0]) > 1 << 20 and now.where("doc_id = 0").count() > 40
