@@ -3,9 +3,10 @@
 Each turn is assembled from segments that are encoded apart: a reserved id for its role,
 the text, a reserved end id. Reserved ids lie above the vocabulary, so no text can make
 one. In the formatted text the marks are strings; where a text holds a control string (or
-the escape character) it is escaped by a backslash, and reading back undoes that. The loss
-mask covers the text of assistant turns; places come from prefix sums of lengths, so a turn
-is one row however long its conversation is.
+the escape character) it is escaped by a backslash, and reading back undoes that. Prefix sums
+of the lengths of segments and of turns give their places, so a turn is one row however long
+its conversation is; the loss mask is the prefix sum of the marks where loss segments begin
+and end. A task holds the turns of a batch; a text is encoded whole, however long.
 
 Turns are ordered by (turn, role, text), nulls first. Null texts are empty; null and
 unknown roles get a mark that carries their name. Repeated rows are turns of their own.
@@ -82,17 +83,22 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def turn(self, role: str | None, text: np.ndarray) -> tuple[np.ndarray, int]:
-        """Ids of a turn and where its text starts."""
+    def head(self, role: str | None) -> np.ndarray:
+        """Ids before the text of a turn."""
         if role in self.role_ids:
-            head = [self.role_ids[role]]
-        else:
-            head = [self.other_id, *self.tokenizer.encode(role or "", add_special_tokens=False).ids, self.name_end_id]
-        return np.concatenate((np.array(head, np.uint32), text, np.array([self.end_id], np.uint32))), len(head)
+            return np.array([self.role_ids[role]], np.uint32)
+        return np.array([self.other_id, *self.tokenizer.encode(role or "", add_special_tokens=False).ids, self.name_end_id], np.uint32)
+
+    def segments(self, role: str | None, text: np.ndarray) -> tuple[list[np.ndarray], list[bool]]:
+        """The segments of a turn and which of them bear loss."""
+        return [self.head(role), text, np.array([self.end_id], np.uint32)], [False, role == LOSS_ROLE, False]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
+    def decode_all(self, ids) -> list[str]:
+        return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+
     def read(self, ids: np.ndarray) -> tuple[str, np.ndarray]:
         """Role and text ids of a turn."""
         names = {v: r for r, v in self.role_ids.items()}
@@ -102,6 +108,23 @@ class Codec:
         return self.decode(ids[1:cut]), ids[cut + 1 : -1]
 
 
+def loss_spans(lengths: np.ndarray, bears: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the loss in each row of segment ``lengths``, from their prefix sums; 0, 0
+    where no segment ``bears`` any. The segments that do are neighbours."""
+    ends = np.cumsum(lengths, axis=1)
+    some, first, last = bears.any(axis=1), bears.argmax(axis=1), bears.shape[1] - 1 - bears[:, ::-1].argmax(axis=1)
+    row = np.arange(len(lengths))
+    return np.where(some, (ends - lengths)[row, first], 0), np.where(some, ends[row, last], 0)
+
+
+def mask_of(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """The mask of ``n`` places that are inside the spans, as the prefix sum of marks at their ends."""
+    marks = np.zeros(n + 1, np.int64)
+    np.add.at(marks, starts, 1)
+    np.add.at(marks, ends, -1)
+    return np.cumsum(marks[:-1]) > 0
+
+
 _codecs: dict[int, Codec] = {}
 
 
@@ -114,8 +137,8 @@ def codec(definition: str) -> Codec:
 
 def format_turns(conversations: DataFrame, definition: str, prefix: bool = True) -> DataFrame:
     """A row for each turn: conv_id, turn, tokens (little-endian 32-bit ids), loss_start and
-    loss_end (ids of the turn under the loss mask), formatted; with ``prefix`` also
-    token_offset and char_offset in its conversation, by prefix sums."""
+    loss_end (ids of the turn under the loss mask), formatted; with ``prefix`` also token_offset,
+    char_offset and the mask's mask_start and mask_end in its conversation, by prefix sums."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     sent = conversations.sparkSession.sparkContext.broadcast(definition)
     schema = "conv_id long, turn long, role string, tokens binary, loss_start int, loss_end int, n_tokens long, n_chars long, formatted string, text_order binary"
@@ -127,20 +150,18 @@ def format_turns(conversations: DataFrame, definition: str, prefix: bool = True)
             for lo, hi, _, _ in k.pieces(np.zeros(0, np.uint8), offsets):
                 some = b.slice(lo, hi - lo)
                 roles, texts = some.column(2).to_pylist(), some.column(3).to_pylist()
-                tokens, starts, ends = [], [], []
-                for role, ids in zip(roles, coder.encode(texts), strict=True):
-                    whole, at = coder.turn(role, ids)
-                    tokens.append(whole)
-                    starts.append(at if role == LOSS_ROLE else 0)
-                    ends.append(at + len(ids) if role == LOSS_ROLE else 0)
+                parts, bears = zip(*(coder.segments(r, ids) for r, ids in zip(roles, coder.encode(texts), strict=True)), strict=True)
+                starts, ends = loss_spans(np.array([[len(x) for x in p] for p in parts]), np.array(bears))
+                tokens = [np.concatenate(p) for p in parts]
                 shown = [formatted(r, t) for r, t in zip(roles, texts, strict=True)]
-                arrays = [*some.columns[:3], pa.array([t.astype("<u4").tobytes() for t in tokens], pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array([len(t) for t in tokens]), pa.array([len(s) for s in shown]), pa.array(shown), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary())]
+                arrays = [*some.columns[:3], pa.array([t.astype("<u4").tobytes() for t in tokens], pa.binary()), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array([len(t) for t in tokens]), pa.array([len(s) for s in shown]), pa.array(shown), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "turn", "role", "tokens", "loss_start", "loss_end", "n_tokens", "n_chars", "formatted", "text_order"])
 
     out = rows.mapInArrow(run, schema)
     if prefix:
         before = Window.partitionBy("conv_id").orderBy("turn", "role", "text_order").rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumns({"token_offset": F.coalesce(F.sum("n_tokens").over(before), F.lit(0)), "char_offset": F.coalesce(F.sum("n_chars").over(before), F.lit(0))})
+        out = out.withColumns({"mask_start": F.col("token_offset") + F.col("loss_start"), "mask_end": F.col("token_offset") + F.col("loss_end")})
     return out.drop("text_order") if prefix else out
 
 
@@ -150,7 +171,7 @@ def read_back(turns: DataFrame, definition: str, clustered: bool = False) -> Dat
     the rows come straight from ``format_turns``, whose window has dealt them by conversation."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     sent = turns.sparkSession.sparkContext.broadcast(definition)
-    ordered = turns.select("conv_id", "token_offset", "tokens", "loss_start", "loss_end", "formatted", "char_offset")
+    ordered = turns.select("conv_id", "token_offset", "tokens", "mask_start", "mask_end", "formatted")
     ordered = (ordered if clustered else ordered.repartition("conv_id")).sortWithinPartitions("conv_id", "token_offset")
 
     def run(batches):
@@ -166,24 +187,32 @@ def read_back(turns: DataFrame, definition: str, clustered: bool = False) -> Dat
         emit = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i][0] for r in rows], t) for i, t in enumerate(kinds)], names=names)
         done = []
         for b in batches:
-            for conv, _, tokens, lo, hi, shown, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if not b.num_rows:
+                continue
+            offset, ids = b.column(1).to_numpy(), [np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()]
+            at = np.cumsum([0, *map(len, ids)])
+            # places in the conversation to places in the batch
+            lo, hi = (b.column(i).to_numpy() - offset + at[:-1] for i in (3, 4))
+            mask = mask_of(lo, hi, int(at[-1]))
+            roles, inner = zip(*map(coder.read, ids), strict=True)
+            texts = coder.decode_all(inner)
+            for i, (conv, shown) in enumerate(zip(b.column(0).to_pylist(), b.column(5).to_pylist(), strict=True)):
                 if not started or conv != now:
                     if started:
                         done.append(row())
                     now, started = conv, True
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids = np.frombuffer(tokens, "<u4")
-                role, inner = coder.read(ids)
-                text = coder.decode(inner)
                 ((_, again),) = read_formatted(shown)
-                if again != text:
+                if again != texts[i]:
                     raise ValueError(f"conversation {conv}: the formatted text and the ids of a turn disagree")
                 state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                if hi > lo:
-                    masked = coder.decode(ids[lo:hi])
-                    state[3] += len(masked)
-                    state[4].update(masked.encode())
+                state[2].update(f"{roles[i]}\n{texts[i]}\n".encode())
+                masked = ids[i][mask[at[i] : at[i + 1]]]
+                if len(masked):
+                    # most often the mask is the text, which need not be decoded again
+                    text = texts[i] if np.array_equal(masked, inner[i]) else coder.decode(masked)
+                    state[3] += len(text)
+                    state[4].update(text.encode())
                 state[5] += len(shown)
             if len(done) > 10_000:
                 yield emit(done)

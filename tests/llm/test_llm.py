@@ -289,6 +289,32 @@ def test_chat_offsets_and_masks(spark):
         at += r["n_tokens"]
 
 
+def test_masks_by_prefix_sums():
+    lengths, bears = np.array([[1, 4, 1], [2, 0, 1], [1, 3, 1]]), np.array([[0, 1, 0], [0, 0, 0], [0, 1, 1]], bool)
+    starts, ends = chat.loss_spans(lengths, bears)
+    assert starts.tolist() == [1, 0, 1] and ends.tolist() == [5, 0, 5]
+    assert chat.mask_of(np.array([1, 4, 4]), np.array([3, 4, 6]), 7).tolist() == [False, True, True, False, True, True, False]
+
+
+def test_chat_mask_of_a_conversation(spark):
+    """The mask over a conversation's whole stream of ids leaves just its assistant texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    definition = chat.definition_of(path)
+    rows = [(1, i, ["user", "assistant", "tool"][i % 3], f"some text {i} </turn>") for i in range(7)]
+    turns = chat.format_turns(conversation(spark, rows), definition).orderBy("token_offset").collect()
+    stream = np.concatenate([np.frombuffer(r["tokens"], "<u4") for r in turns])
+    mask = chat.mask_of(np.array([r["mask_start"] for r in turns]), np.array([r["mask_end"] for r in turns]), len(stream))
+    assert chat.Codec(definition).decode(stream[mask]) == "".join(t for _, _, r, t in rows if r == "assistant")
+
+
+def test_chat_of_very_long_texts(spark):
+    definition = chat.definition_of(public_tokenizers.path("byte_bpe_50k.json"))
+    text = " ".join(WORDS[i % 400] for i in range(400_000)) + " ### User: </turn>"
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(conversation(spark, [(1, 0, "user", "a"), (1, 1, "assistant", text), (2, 0, "assistant", "")]), definition), definition).collect()}
+    assert len(text) > 1 << 20 and got[1]["loss_chars"] == len(text) and got[1]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert got[2]["loss_chars"] == 0 and got[2]["loss_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
 # op3
 
 
