@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as k
-from .shared import discard, saved, sized_parts
+from .shared import discard, saved, sent, sized_parts
 
 K = 128
 RECALL = 0.995
@@ -45,8 +45,6 @@ TASK_ROWS = 10_000
 HELD = 32 << 20
 #: Standard deviations below the threshold at which an estimate still counts.
 SLACK = 4.0
-#: Ids up to which a list of them is sent to all tasks (8 MB); a longer one is joined by shuffle.
-SEND = 500_000
 _U = np.uint64
 _COORD = k.mix(np.arange(1, 2 * K + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _BRANCH = np.arange(1, 102, dtype=np.uint64) * _U(0x632BE59BD9B4E019)
@@ -128,7 +126,7 @@ def _branches(reps: DataFrame, threshold: float, trees: int, parents: DataFrame
     """(rep, tree, node) of the next level: of all representatives, or of those at ``parents``."""
     roots = k.mix(np.arange(1, trees + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
     first = parents is None
-    rows = reps.select("rep", "tokens") if first else parents.join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "tree", "node")
+    rows = reps.select("rep", "tokens") if first else sent(parents, 24).join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "tree", "node")
 
     def run(batches):
         for b in batches:
@@ -154,7 +152,7 @@ def leaves(reps: DataFrame, threshold: float, trees: int, limit: int = LIMIT, de
         now = saved(_branches(reps, threshold, trees, now), "branches", len(branches(threshold)) * left or None)
         # a table of its own, so that the join can part a node of many documents
         counts = saved(now.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "counts", now.count())
-        sized = saved(now.join(counts, "node"), "nodes", now.count())
+        sized = saved(now.join(sent(counts, 16), "node"), "nodes", now.count())
         old += [now, counts, sized]
         last = level == depth - 1
         found.append(sized if last else sized.where(F.col("c") <= limit))
@@ -190,7 +188,7 @@ def dealt(rows: DataFrame, limit: int, dense: bool, groups: int | None = None) -
     sums = many.groupBy("node", "comp").agg(F.count("*").alias("m")).groupBy("node")
     sums = saved(sums.agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), (F.sum("m") - F.max("m")).alias("s")).where("s > 0"), "tops")
     parts, blocks = F.ceil(F.col("s") / limit).cast("int"), F.ceil(F.col("c") / limit).cast("int")
-    many = many.join(sums, "node").withColumns({"parts__": parts, "blocks__": blocks})
+    many = many.join(sent(sums, 32), "node").withColumns({"parts__": parts, "blocks__": blocks})
     used = F.col("parts__") if groups is None else F.least("parts__", F.lit(groups))
     number = lambda salt, of: F.pmod(F.xxhash64("node", "rep", F.lit(salt)), of).cast("int")
     lead = many.where(F.col("comp") != F.col("top")).withColumn("g__", number(1, F.col("parts__"))).where(F.col("g__") < used)
@@ -393,8 +391,7 @@ def exhaust(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def shingle_table(docs: DataFrame, ids: DataFrame, width: int = 5) -> DataFrame:
     """(id, shingles) of the documents listed in ``ids`` (column id)."""
-    few = ids.count() <= SEND
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(sent(ids, 16), "id", "left_semi")
 
     def run(batches):
         for b in batches:
@@ -461,7 +458,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     # rows that repeat an id with other texts: their classes meet in that id
     out = found.select("doc_id", "n", "f1", "f2").join(members.where("rep <> doc_id").distinct(), ["doc_id", "n", "f1", "f2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     if labels is not None:
-        out = out.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
+        out = out.join(sent(labels.withColumnRenamed("id", "rep"), 16), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
     else:
         out = out.withColumn("component_id", F.col("rep"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -475,7 +472,7 @@ def _resolve(docs: DataFrame, rows: DataFrame, m: int, dense: int, n: int, perce
     def with_components(labels, some=rows):
         if labels is None:
             return some.withColumn("comp", F.col("rep"))
-        named = some.join(labels.select(F.col("id").alias("rep"), F.col("comp").alias("c__")), "rep", "left")
+        named = some.join(sent(labels.select(F.col("id").alias("rep"), F.col("comp").alias("c__")), 16), "rep", "left")
         return named.withColumn("comp", F.coalesce("c__", "rep")).drop("c__")
 
     def proposed(labels, some, groups=1):
