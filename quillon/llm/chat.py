@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 
 import numpy as np
@@ -73,6 +74,8 @@ class Codec:
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
+        # a task has one core; the library's own threads only wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         top = self.tokenizer.get_vocab_size(with_added_tokens=True)
