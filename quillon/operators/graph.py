@@ -158,9 +158,9 @@ def adaptive_crawl(pages: DataFrame, query: str, confidence: float = DEFAULT.ada
     return rows.where(F.col("prior") < confidence).select(order, (F.col("confidence") - F.col("prior")).alias("gained"), "confidence")
 
 
-def aggregated_text(pages: DataFrame, order: str = "ord") -> DataFrame:
-    """One text of the crawled pages with its words and first 500 characters. The pages of one
-    crawl are few: their number is capped by it."""
+def aggregated_text(pages: DataFrame, order: str = "ord", by: tuple[str, ...] = ()) -> DataFrame:
+    """One text of the pages of a crawl (or of each, told apart by the columns ``by``) with its
+    words and first 500 characters. The pages of one crawl are few: their number is capped by it."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.concat(F.lit("## Source: "), F.col("url"), F.lit("\n\n"), F.col("fit_markdown")).alias("t")))), lambda x: x["t"]), "\n\n---\n\n")
-    out = pages.agg(joined.alias("text"))
-    return out.select("text", F.size(words(F.col("text"))).alias("n_words"), F.substring("text", 1, 500).alias("preview"))
+    out = pages.groupBy(*by).agg(joined.alias("text"))
+    return out.select(*by, "text", F.size(words(F.col("text"))).alias("n_words"), F.substring("text", 1, 500).alias("preview"))

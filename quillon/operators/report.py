@@ -123,3 +123,9 @@ def url_list(urls: DataFrame) -> DataFrame:
     """Numbered lines of scored URLs for review: ``[i] score  etld1  url``."""
     numbered, _ = ranked(urls, ["ord", "url"], "n__")
     return numbered.select("ord", F.format_string("  [%d] %s  %s  %s", F.col("n__"), F.format_string("%.2f", F.col("score")), F.coalesce(F.nullif(F.col("etld1"), F.lit("")), F.lit("?")), F.col("url")).alias("line"))
+
+
+def first_urls(urls: Column, n: int = 10) -> Column:
+    """The first ``n`` of an ordered array of URLs, and a line that counts the others."""
+    more = F.array(F.concat(F.lit("… and "), (F.size(urls) - n).cast("string"), F.lit(" more")))
+    return F.when(F.size(urls) > n, F.concat(F.slice(urls, 1, n), more)).otherwise(urls)

@@ -141,10 +141,10 @@ def source_resolution(s, d):
 _STOP = "'a','an','and','are','as','at','be','by','did','do','does','for','from','how','in','into','is','it','its','of','on','or','that','the','this','to','was','were','what','when','where','which','who','whom','why','with'"
 
 
-@query(f"""WITH q AS (SELECT doc_id, left(text, 80) AS q FROM documents), k AS (SELECT doc_id, q, list_filter({D.sql_words("lower(q)")}, lambda w: w NOT IN ({_STOP})) AS w FROM q)
+@query(f"""WITH q AS (SELECT doc_id, text AS q FROM documents), k AS (SELECT doc_id, q, list_filter({D.sql_words("lower(q)")}, lambda w: w NOT IN ({_STOP})) AS w FROM q)
 SELECT doc_id, CASE WHEN len(w) = 0 THEN q ELSE array_to_string(w, ' ') END AS keywords FROM k""")
 def query_keywords(s, d):
-    return _docs(s, d).select("doc_id", T.keywords(F.substring("text", 1, 80)).alias("keywords"))
+    return _docs(s, d).select("doc_id", T.keywords(F.col("text")).alias("keywords"))
 
 
 _SCORE = """CASE WHEN len(w) = 0 THEN 0.3 ELSE round(least(len(list_intersect(u, w))::DOUBLE / len(w), 1.0) * 0.6, 3) END"""
@@ -215,12 +215,12 @@ def truncations(s, d):
     return _docs(s, d).select("doc_id", T.cut(t, 200).alias("a"), T.cut_noted(t, 300).alias("b"), T.capped(t).alias("c"))
 
 
-@query("""WITH q AS (SELECT doc_id, left(text, 60) AS q FROM documents) SELECT doc_id,
+@query("""WITH q AS (SELECT doc_id, text AS q FROM documents) SELECT doc_id,
   coalesce(nullif(left(regexp_replace(regexp_replace(lower(q), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), ''), 'query') AS slug,
   '20240102-030405_' || coalesce(nullif(left(regexp_replace(regexp_replace(lower(q), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), ''), 'query') AS session,
   left(replace(lower(q), ' ', '_'), 40) || '_session' AS prompt_session FROM q""")
 def session_names(s, d):
-    q = F.substring("text", 1, 60)
+    q = F.col("text")
     return _docs(s, d).select("doc_id", T.slug(q).alias("slug"), T.session_name(q, F.lit("2024-01-02 03:04:05").cast("timestamp")).alias("session"), T.prompt_session(q).alias("prompt_session"))
 
 
@@ -378,10 +378,10 @@ def mean_vectors(s, d):
     return search.mean_vectors(D.table(s, d, "embeddings"), "label").select("label", F.posexplode("mean").alias("pos", "m")).withColumn("m", F.round("m", 6))
 
 
-@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 = 0")
+@query("SELECT vec_id AS id FROM embeddings")
 def embedding_lookup(s, d):
     e = D.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    ids = e.where(F.col("id") % 7 == 0).select("id")
+    ids = e.select("id")
     return search.embeddings_of(ids.unionByName(ids), e).select("id")
 
 
@@ -515,11 +515,12 @@ def page_previews(s, d):
     return ingest.preview(ingest.page_rows(D.crawled(s, d))).select("id", "preview")
 
 
-@query("""WITH t AS (SELECT page_id, '## Source: ' || url || chr(10) || chr(10) || left(html, 50) AS t FROM pages ORDER BY page_id LIMIT 10), a AS (SELECT string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_id) AS t FROM t)
-SELECT md5(t) AS h, left(t, 500) AS preview FROM a""")
+@query(f"""WITH t AS (SELECT page_id, page_id // 30 AS crawl, '## Source: ' || url || chr(10) || chr(10) || {D.sql_text()} AS t FROM pages), a AS (SELECT crawl, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_id) AS t FROM t GROUP BY crawl)
+SELECT crawl::BIGINT AS crawl, md5(t) AS h, left(t, 500) AS preview FROM a""")
 def aggregated_text(s, d):
-    p = _pages(s, d).orderBy("page_id").limit(10).select(F.col("page_id").alias("ord"), "url", F.substring("html", 1, 50).alias("fit_markdown"))
-    return graph.aggregated_text(p).select(F.md5(F.col("text").cast("binary")).alias("h"), "preview")
+    """Crawls of 30 pages, the most that one has."""
+    p = _pages(s, d).select(F.floor(F.col("page_id") / 30).alias("crawl"), F.col("page_id").alias("ord"), "url", T.html_text(F.col("html")).alias("fit_markdown"))
+    return graph.aggregated_text(p, by=("crawl",)).select("crawl", F.md5(F.col("text").cast("binary")).alias("h"), "preview")
 
 
 # Dates, vectors, records
@@ -719,40 +720,41 @@ def review_list(s, d):
     return report.url_list(u)
 
 
-@query("SELECT url FROM (SELECT url, page_id FROM pages ORDER BY page_id LIMIT 10)")
+@query("""WITH a AS (SELECT page_id // 30 AS crawl, list(url ORDER BY page_id) AS u FROM pages GROUP BY ALL)
+SELECT crawl::BIGINT AS crawl, array_to_string(CASE WHEN len(u) > 10 THEN list_append(u[1:10], '… and ' || (len(u) - 10) || ' more') ELSE u END, chr(10)) AS urls FROM a""")
 def first_ten_urls(s, d):
-    a = _pages(s, d).orderBy("page_id").limit(11).agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("a"))
-    return a.select(F.explode(F.slice("a", 1, 10)).alias("u")).select("u.url")
+    a = _pages(s, d).groupBy(F.floor(F.col("page_id") / 30).alias("crawl")).agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("a"))
+    return a.select("crawl", F.array_join(report.first_urls(F.transform("a", lambda x: x["url"])), "\n").alias("urls"))
 
 
 # Graphs
 
 
-@query(f"""WITH RECURSIVE {D.SQL_EDGES}, r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS hop FROM part WHERE p_partkey % 50 = 0
+@query(f"""WITH RECURSIVE {D.SQL_EDGES}, r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS hop FROM part
   UNION SELECT r.seed, e.dst, r.hop + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.hop < 3)
 SELECT seed, node, min(hop)::INT AS hop FROM r GROUP BY seed, node""")
 def graph_reach(s, d):
-    seeds = _parts(s, d).where(F.col("p_partkey") % 50 == 0).select(F.col("p_partkey").alias("node"))
+    seeds = _parts(s, d).select(F.col("p_partkey").alias("node"))
     return graph.reach(D.edges(s, d), seeds, 3)
 
 
 _BFS = f"""RECURSIVE {D.SQL_EDGES}, name AS (SELECT p_partkey AS k, 'arXiv:2301.' || lpad(p_partkey::VARCHAR, 5, '0') AS id, p_size FROM part),
-r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS hop FROM part WHERE p_partkey % 40 = 0 UNION SELECT r.seed, e.dst, r.hop + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.hop < 2),
+r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS hop FROM part UNION SELECT r.seed, e.dst, r.hop + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.hop < 2),
 b AS (SELECT seed, node, min(hop)::INT AS hop FROM r GROUP BY seed, node)"""
 
 
 @query(f"WITH {_BFS} SELECT s.id AS seed, n.id AS paper_id, hop FROM b JOIN name s ON s.k = seed JOIN name n ON n.k = node")
 def citation_bfs(s, d):
     p = D.papers(s, d)
-    seeds = p.where(F.substring("paper_id", 12, 5).cast("int") % 40 == 0).select("paper_id")
+    seeds = p.select("paper_id")
     return graph.citation_bfs(p, seeds)
 
 
-@query(f"""WITH RECURSIVE {D.SQL_EDGES}, r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS hop FROM part WHERE p_partkey % 40 = 0 UNION SELECT r.seed, e.dst, r.hop + 1 FROM r JOIN edges e ON e.src = r.node JOIN part p ON p.p_partkey = e.dst WHERE r.hop < 2 AND p.p_size / 50.0 >= 0.7)
+@query(f"""WITH RECURSIVE {D.SQL_EDGES}, r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS hop FROM part UNION SELECT r.seed, e.dst, r.hop + 1 FROM r JOIN edges e ON e.src = r.node JOIN part p ON p.p_partkey = e.dst WHERE r.hop < 2 AND p.p_size / 50.0 >= 0.7)
 SELECT seed, node, min(hop)::INT AS hop FROM r GROUP BY seed, node""")
 def citation_bfs_gated(s, d):
     p = D.papers(s, d).withColumn("size", F.year("publication_date") - 1980)
-    seeds = p.where(F.substring("paper_id", 12, 5).cast("int") % 40 == 0).select("paper_id")
+    seeds = p.select("paper_id")
     out = graph.citation_bfs(p, seeds, scorer=F.col("size") / 50.0)
     key = lambda c: F.substring(c, 12, 5).cast("long")
     return out.select(key("seed").alias("seed"), key("paper_id").alias("node"), "hop")
@@ -763,15 +765,15 @@ SELECT 'https://arxiv.org/abs/' || substr(x.id, 7) AS url, n AS n_refs, make_dat
 UNION ALL SELECT DISTINCT 'https://www.semanticscholar.org/paper/' || lpad(upper(to_hex(node)), 40, '0'), 0, make_date(1980 + n.p_size, 1, 1), 'citation_bfs' FROM b JOIN name n ON n.k = node WHERE node <> seed""")
 def citation_enrich(s, d):
     p = D.papers(s, d)
-    urls = p.where(F.substring("paper_id", 12, 5).cast("int") % 40 == 0).select(F.concat(F.lit("https://arxiv.org/abs/"), F.substring("paper_id", 7, 20)).alias("url"), F.substring("paper_id", 12, 5).cast("long").alias("ord"), F.lit("q").alias("query"), F.lit(0.8).alias("score"), F.lit("crawl_url").alias("strategy"), F.lit("web").alias("source"), F.lit("arxiv.org").alias("etld1"), F.lit(None).cast("date").alias("publication_date"))
+    urls = p.select(F.concat(F.lit("https://arxiv.org/abs/"), F.substring("paper_id", 7, 20)).alias("url"), F.substring("paper_id", 12, 5).cast("long").alias("ord"), F.lit("q").alias("query"), F.lit(0.8).alias("score"), F.lit("crawl_url").alias("strategy"), F.lit("web").alias("source"), F.lit("arxiv.org").alias("etld1"), F.lit(None).cast("date").alias("publication_date"))
     return graph.enrich(urls, p).select("url", F.size("citation_refs").cast("long").alias("n_refs"), F.col("publication_date").alias("pub"), "source")
 
 
-@query(f"""WITH {_BFS} SELECT n.id AS paper_id FROM name n WHERE n.k % 3 = 0""")
+@query("SELECT 'arXiv:2301.' || lpad(p_partkey::VARCHAR, 5, '0') AS paper_id FROM part")
 def paper_lookup(s, d):
     p = D.papers(s, d)
-    n = F.substring("paper_id", 12, 5).cast("int")
-    raw = p.where(n % 3 == 0).select(F.concat(F.lit("https://arxiv.org/pdf/"), F.substring("paper_id", 7, 20), F.lit("v3")).alias("raw")).unionByName(p.limit(3).select(F.lit("nothing").alias("raw")))
+    named = p.select(F.concat(F.lit("https://arxiv.org/pdf/"), F.substring("paper_id", 7, 20), F.lit("v3")).alias("raw"))
+    raw = named.unionByName(p.select(F.concat(F.lit("nothing "), F.col("title")).alias("raw")))
     return graph.paper_metadata(p, raw).select("paper_id")
 
 
@@ -792,7 +794,10 @@ def site_crawl(s, d):
     return graph.site_crawl(links, pages, "https://h.org/2", depth=4, limit=20)
 
 
-@query()
+@query(f"""WITH p AS (SELECT doc_id AS ord, list_filter(['the', 'des', 'ation', 'und', 'le', 'que', 'zzz'], lambda q: list_contains({D.sql_words('lower(text)')}, q)) AS hit FROM (FROM documents ORDER BY doc_id LIMIT 30)),
+c AS (SELECT a.ord, count(DISTINCT w.w) / 7.0::DOUBLE AS confidence FROM p a LEFT JOIN (SELECT ord, unnest(hit) AS w FROM p) w ON w.ord <= a.ord GROUP BY a.ord),
+x AS (SELECT ord, confidence, lag(confidence, 1, 0.0::DOUBLE) OVER (ORDER BY ord) AS prior FROM c)
+SELECT ord, confidence - prior AS gained, confidence FROM x WHERE prior < 0.8""")
 def adaptive_crawl(s, d):
     return graph.adaptive_crawl(_docs(s, d).select(F.col("doc_id").alias("ord"), "text"), "the des ation und le que zzz")
 
