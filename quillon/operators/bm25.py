@@ -1,7 +1,7 @@
 """Okapi BM25 over a document table.
 
-Only terms of the query leave the scan: the texts are split once, cut down to matches, and
-aggregated by document before anything is shuffled. The statistics of the corpus are one row."""
+The texts are read and split once: a row of a few figures for each document is kept, from which
+both the statistics of the corpus (one row) and the scores are taken; nothing is shuffled."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.config import DEFAULT, STOP_WORDS
 from quillon.functions.text import words
+from quillon.lineage import kept
 
 K1, B = 1.2, 0.75
 
@@ -19,9 +20,11 @@ def scores(docs: DataFrame, query: str, id_column: str = "doc_id", text: str = "
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); squash = s / (s + 1)."""
     asked = list(dict.fromkeys(_plain_keywords(query)))
     w = words(F.lower(F.col(text)))
-    tf = F.array(*[F.size(F.filter("w__", _equals(t))) for t in asked]) if asked else F.array().cast("array<int>")
-    # the words are made once, below a projection of their own, and counted for each term
-    rows = docs.select(F.col(id_column).alias("id__"), w.alias("w__")).select("id__", F.size("w__").alias("len"), tf.alias("tf"))
+    # the words are made once, cut down to those asked for, and these counted for each term
+    hits = F.filter("w__", lambda x: x.isin(asked)) if asked else F.array().cast("array<string>")
+    tf = F.array(*[F.size(F.filter("hits__", _equals(t))) for t in asked]) if asked else F.array().cast("array<int>")
+    split = docs.select(F.col(id_column).alias("id__"), w.alias("w__")).select("id__", F.size("w__").alias("len"), hits.alias("hits__"))
+    rows = kept(split.select("id__", "len", tf.alias("tf")))
     n = len(asked)
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(n)])
     joined = rows.where(F.exists("tf", lambda x: x > 0)).join(F.broadcast(stats))

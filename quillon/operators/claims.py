@@ -20,7 +20,8 @@ def gather(evidence: DataFrame, claim: str = "claim_id") -> DataFrame:
     publication_date): ordered arrays of sources and contradictions."""
     one = F.struct("ord", "url", "etld1", "quote", "publication_date")
     drop = lambda a: F.transform(F.array_sort(a), lambda x: F.struct(x["url"].alias("url"), x["etld1"].alias("etld1"), x["quote"].alias("quote"), x["publication_date"].alias("publication_date")))
-    both = evidence.groupBy(claim, "subtopic_id").agg(F.collect_list(F.when(F.col("side") == "source", one)).alias("s"), F.collect_list(F.when(F.col("side") == "contradiction", one)).alias("c"))
+    # by the claim alone, by which evidence is mostly dealt already; a claim has one subtopic
+    both = evidence.groupBy(claim).agg(F.min("subtopic_id").alias("subtopic_id"), F.collect_list(F.when(F.col("side") == "source", one)).alias("s"), F.collect_list(F.when(F.col("side") == "contradiction", one)).alias("c"))
     return both.select(F.col(claim).alias("id"), "subtopic_id", drop("s").alias("sources"), drop("c").alias("contradictions"))
 
 
