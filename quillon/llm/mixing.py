@@ -250,14 +250,18 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> Da
     schema = docs.schema
 
     def run(batches):
-        for b in batches:
-            texts, spans = b.column(at).to_pylist(), b.column(len(names)).to_pylist()
-            new = pa.array([cut(t, [(s["lo"], s["hi"]) for s in some]) for t, some in zip(texts, spans, strict=True)], pa.string())
-            arrays = [b.column(i) for i in range(len(names))]
-            arrays[at] = new
-            if "n_chars" in names:
-                arrays[names.index("n_chars")] = pa.array([len(x) for x in new.to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        for whole in batches:
+            data, offsets = k.buffers(whole.column(at))
+            # a few texts at a time, so that a batch of long ones is not held twice
+            for first, end, _, _ in k.pieces(data, offsets, 4 * k.CHUNK):
+                b = whole.slice(first, end - first)
+                texts, spans = b.column(at).to_pylist(), b.column(len(names)).to_pylist()
+                new = [cut(t, [(s["lo"], s["hi"]) for s in some]) for t, some in zip(texts, spans, strict=True)]
+                arrays = [b.column(i) for i in range(len(names))]
+                arrays[at] = pa.array(new, pa.string())
+                if "n_chars" in names:
+                    arrays[names.index("n_chars")] = pa.array(list(map(len, new)), pa.int64())
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return out.select(*[F.col(f"`{c}`") for c in names], "spans__").mapInArrow(run, schema)
 
