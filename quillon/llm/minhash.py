@@ -6,8 +6,9 @@ are one class, stood for by its smallest id; all other links are confirmed on fu
 Representatives get ``K`` minwise tokens. Independent trees branch them recursively: a node
 chooses coordinates by its own hash (1 / threshold of them on average) and a document follows
 the branch of its token there, so similar documents share leaves. Nodes of at most ``LIMIT``
-documents are compared exhaustively by their tokens; in a node still larger after ``DEPTH``
-levels, documents outside its largest component are compared with all. Trees are as many as
+documents are compared exhaustively by their tokens; in a node that is larger still after
+``DEPTH`` levels, or that its branches hardly split, documents outside its largest component
+are compared with all. Trees are as many as
 a pair at the threshold needs to meet with probability ``RECALL``, at any depth.
 
 What is asked for are components, so pairs already in one component need no test, and a leaf
@@ -41,8 +42,10 @@ LIMIT = 512
 DEPTH = 10
 #: Leaf rows of a task.
 TASK_ROWS = 10_000
+#: Links that a task contracts.
+EDGES = 500_000
 #: Bytes of sets that meet in a task at a time.
-HELD = 32 << 20
+HELD = 8 << 20
 #: Standard deviations below the threshold at which an estimate still counts.
 SLACK = 4.0
 _U = np.uint64
@@ -61,9 +64,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sets_of(column: pa.Array, width: int = 5):
+    """(first text, one past the last, their sets) for runs of texts."""
     data, offsets = k.buffers(column)
-    for _, _, d, o in k.pieces(data, offsets):
-        yield from k.shingle_sets(d, o, width)
+    for lo, hi, d, o in k.pieces(data, offsets):
+        yield lo, hi, k.shingle_sets(d, o, width)
 
 
 def profiles(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -73,7 +77,7 @@ def profiles(docs: DataFrame, width: int = 5) -> DataFrame:
     def run(batches):
         for b in batches:
             n, f1, f2, tokens = [], [], [], []
-            for s in sets_of(b.column(1), width):
+            for s in (s for _, _, some in sets_of(b.column(1), width) for s in some):
                 n.append(len(s))
                 f1.append(s.sum(dtype=np.uint64))
                 f2.append(np.bitwise_xor.reduce(k.mix(s)) if len(s) else _U(0))
@@ -123,10 +127,11 @@ def _children(node: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[n
 
 
 def _branches(reps: DataFrame, threshold: float, trees: int, parents: DataFrame | None = None) -> DataFrame:
-    """(rep, tree, node) of the next level: of all representatives, or of those at ``parents``."""
+    """(rep, tree, node, up, size) of the next level: of all representatives, or of those at
+    ``parents`` (rep, tree, node, c); ``up`` is the node above and ``size`` its documents."""
     roots = k.mix(np.arange(1, trees + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
     first = parents is None
-    rows = reps.select("rep", "tokens") if first else sent(parents, 24).join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "tree", "node")
+    rows = reps.select("rep", "tokens") if first else sent(parents, 32).join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "tree", "node", "c")
 
     def run(batches):
         for b in batches:
@@ -134,30 +139,42 @@ def _branches(reps: DataFrame, threshold: float, trees: int, parents: DataFrame
                 continue
             rep, tokens = b.column(0).to_numpy(), _matrix(b.column(1), 4 * K, np.uint8).copy().view(np.uint32)
             if first:
-                parts = [(np.full(len(rep), t, np.int32), np.full(len(rep), r)) for t, r in enumerate(roots)]
+                parts = [(np.full(len(rep), t, np.int32), np.full(len(rep), r), np.zeros(len(rep), np.int64)) for t, r in enumerate(roots)]
             else:
-                parts = [(b.column(2).to_numpy(), b.column(3).to_numpy().view(np.uint64))]
-            for tree, above in parts:
+                parts = [(b.column(2).to_numpy(), b.column(3).to_numpy().view(np.uint64), b.column(4).to_numpy())]
+            for tree, above, size in parts:
                 at, node = _children(above, tokens, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(tree[at]), pa.array(node.view(np.int64))], names=["rep", "tree", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(tree[at]), pa.array(node.view(np.int64)), pa.array(above[at].view(np.int64)), pa.array(size[at])], names=["rep", "tree", "node", "up", "size"])
 
-    return rows.mapInArrow(run, "rep long, tree int, node long")
+    return rows.mapInArrow(run, "rep long, tree int, node long, up long, size long")
 
 
 def leaves(reps: DataFrame, threshold: float, trees: int, limit: int = LIMIT, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
-    """(node, tree, c, rep, n, sketch), its rows, and how many of these are in dense nodes, which
-    are those of more than ``limit`` documents (c) after ``depth`` levels."""
-    found, now, old, left = [], None, [], 0
+    """(node, tree, c, rep, n, sketch), its rows, and how many of these are in dense nodes: those
+    of more than ``limit`` documents (c) after ``depth`` levels, or of which a branch keeps a share
+    of at least the threshold. Members of such a node are mostly similar, so with 1 / threshold
+    branches a level its rows would only grow."""
+    found, now, old, left, dense = [], None, [], 0, 0
+    names = ("rep", "tree", "node", "c")
     for level in range(depth):
-        now = saved(_branches(reps, threshold, trees, now), "branches", len(branches(threshold)) * left or None)
-        # a table of its own, so that the join can part a node of many documents
-        counts = saved(now.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "counts", now.count())
-        sized = saved(now.join(sent(counts, 16), "node"), "nodes", now.count())
-        old += [now, counts, sized]
-        last = level == depth - 1
-        found.append(sized if last else sized.where(F.col("c") <= limit))
+        kids = saved(_branches(reps, threshold, trees, now), "branches", len(branches(threshold)) * left or None)
+        # tables of their own, so that the joins can part a node of many documents
+        counts = saved(kids.groupBy("node", "up", "size").agg(F.count("*").alias("c")).where("c > 1"), "counts", kids.count())
+        old += [kids, counts]
+        if level:
+            whole = saved(counts.where(F.col("c") >= threshold * F.col("size")).select("up").distinct(), "whole", counts.count())
+            stays = now.join(sent(whole.withColumnRenamed("up", "node"), 16), "node", "left_semi").select(*names)
+            found.append(stays)
+            dense += stays.count()
+            kids = kids.join(sent(whole, 16), "up", "left_anti")
+            old.append(whole)
+        sized = saved(kids.select("rep", "tree", "node").join(sent(counts.select("node", "c"), 16), "node").select(*names), "nodes", len(branches(threshold)) * left or None)
+        old.append(sized)
         now = sized.where(F.col("c") > limit)
         left = now.count()
+        if level == depth - 1:
+            dense += left
+        found.append(sized if level == depth - 1 else sized.where(F.col("c") <= limit))
         if not left:
             break
     rows = reduce(DataFrame.unionByName, found).join(reps.select("rep", "n", "tokens"), "rep")
@@ -171,7 +188,7 @@ def leaves(reps: DataFrame, threshold: float, trees: int, limit: int = LIMIT, de
 
     out = saved(rows.select("node", "tree", "c", "rep", "n", "tokens").mapInArrow(run, "node long, tree int, c long, rep long, n long, sketch binary"), "leaves", rows.count(), 20_000)
     discard(*old)
-    return out, out.count(), left
+    return out, out.count(), dense
 
 
 def dealt(rows: DataFrame, limit: int, dense: bool, groups: int | None = None) -> DataFrame:
@@ -395,7 +412,8 @@ def shingle_table(docs: DataFrame, ids: DataFrame, width: int = 5) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(b.column(1), width)], pa.binary())], names=["id", "shingles"])
+            for lo, hi, some in sets_of(b.column(1), width):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in some], pa.binary())], names=["id", "shingles"])
 
     return rows.mapInArrow(run, "id long, shingles binary")
 
@@ -418,10 +436,43 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id that each end of the links (a, b) reaches, by minima of
-    neighbours and jumps to the label's label, until nothing changes."""
-    edges = saved(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges", 2 * links.count())
+def _smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id it reaches) of the ends of some links."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        # a root follows its smallest neighbour, then all follow their root's root
+        np.minimum.at(new, label, new.copy())
+        while not np.array_equal(up := new[new], new):
+            new = up
+        if np.array_equal(new, label):
+            return ids, ids[label]
+        label = new
+
+
+def components(links: DataFrame, each: int = EDGES) -> DataFrame:
+    """(id, comp): the smallest id that each end of the saved links (a, b) reaches. Tasks of about
+    ``each`` links contract their own; where there is more than one, what they leave is joined by
+    minima of neighbours and jumps to the label's label, until nothing changes."""
+    parts = sized_parts(links.count(), each)
+
+    def run(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            ids, comp = _smallest(*map(np.concatenate, zip(*held, strict=True)))
+            for lo in range(0, len(ids), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 100_000]), pa.array(comp[lo : lo + 100_000])], names=["id", "comp"])
+
+    stars = saved(links.coalesce(parts).mapInArrow(run, "id long, comp long"), "stars")
+    if parts == 1:
+        return stars
+    both = stars.select(F.col("id").alias("u"), F.col("comp").alias("v")).unionByName(stars.select(F.col("comp").alias("u"), F.col("id").alias("v")))
+    edges = saved(both.distinct(), "edges", 2 * stars.count())
     n = edges.count()
     labels = saved(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels", n)
     while True:
@@ -434,7 +485,7 @@ def components(links: DataFrame) -> DataFrame:
         discard(labels)
         labels = new
         if not moved:
-            discard(edges)
+            discard(edges, stars)
             return labels.select(F.col("u").alias("id"), F.col("l").alias("comp"))
 
 

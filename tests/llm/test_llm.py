@@ -224,6 +224,27 @@ def test_sets_meet_in_parts(spark):
     assert ends[0] == ends[1] and len(ends[0]) > 30
 
 
+@pytest.mark.parametrize("each", [10, 10**6])
+def test_components(spark, each):
+    """Long chains, stars and random links, in one task and in many."""
+    rng = random.Random(21)
+    links = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 230)] + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(150)]
+    links = [(min(x), max(x)) for x in links if x[0] != x[1]]
+    rng.shuffle(links)
+    df = shared.saved(spark.createDataFrame(links, "a long, b long").repartition(12), "links")
+    root = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in links:
+        p, q = find(x), find(y)
+        root[max(p, q)] = min(p, q)
+    assert {r["id"]: r["comp"] for r in minhash.components(df, each).collect()} == {x: find(x) for x in root}
+
+
 def test_forest():
     rng = np.random.default_rng(3)
     comp = rng.integers(0, 40, 60)
