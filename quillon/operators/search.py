@@ -194,17 +194,18 @@ def term_vectors(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
 
 
 def sparse_pairs(docs: DataFrame, threshold: float = DEFAULT.mirror_cosine, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs of documents whose term vectors reach a cosine, by prefixes: a pair must share one of
-    the rarest terms that carry more than 1 - threshold**2 of a vector's squared length, so
-    only those terms are joined, never the frequent ones."""
+    """Pairs of documents whose term vectors reach a cosine, by prefixes: the rarest terms that carry
+    more than 1 - threshold**2 of a vector's squared length. The rarest term that a pair shares
+    is in the prefixes of both, so only these meet, never the frequent terms."""
     tv = kept(term_vectors(docs, id_column, text))
     df = tv.groupBy("term").agg(F.count("*").alias("df"))
     # mass of the terms from the commonest up to this one; a term is left out while it stays below
     common = Window.partitionBy("id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
     mass = F.sum(F.col("tf") * F.col("tf")).over(common) / (F.col("norm") * F.col("norm"))
     prefix = tv.join(df, "term").withColumn("mass", mass).where(F.col("mass") >= threshold * threshold - 1e-9).select("id", "term")
-    near = prefix.select(F.col("id").alias("a"), "term").join(tv.select(F.col("id").alias("b"), "term"), "term").where("a <> b")
-    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    prefix = kept(prefix)
+    near = prefix.select(F.col("id").alias("a"), "term").join(prefix.select(F.col("id").alias("b"), "term"), "term").where("a < b")
+    pairs = near.select("a", "b").distinct()
     left, right = tv.select(F.col("id").alias("a"), "term", F.col("tf").alias("x"), F.col("norm").alias("na")), tv.select(F.col("id").alias("b"), "term", F.col("tf").alias("y"), F.col("norm").alias("nb"))
     scored = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg((F.sum(F.col("x") * F.col("y")).cast("double") / F.first(F.col("na") * F.col("nb"))).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold)

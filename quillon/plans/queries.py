@@ -397,7 +397,14 @@ def neardup_docs(s, d):
     return search.sparse_pairs(_docs(s, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding FROM embeddings),
+near AS (SELECT b.i, list(a.i) AS earlier FROM v a JOIN v b ON a.i < b.i WHERE {_cos('a.embedding', 'b.embedding')} >= 0.3 GROUP BY b.i),
+rows AS MATERIALIZED (SELECT v.i, coalesce(near.earlier, []) AS earlier FROM v LEFT JOIN near USING (i)),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS leaders, NULL::BIGINT AS leader
+  UNION ALL SELECT x.i, CASE WHEN len(list_intersect(x.earlier, r.leaders)) = 0 THEN list_append(r.leaders, x.i) ELSE r.leaders END, list_min(list_intersect(x.earlier, r.leaders))
+  FROM r JOIN rows x ON x.i = r.i + 1)
+SELECT p.vec_id AS page, l.vec_id AS leader, CASE WHEN l.i <> p.i THEN round({_cos('l.embedding', 'p.embedding')}, 4) END AS similarity
+FROM r JOIN v p ON p.i = r.i JOIN v l ON l.i = coalesce(r.leader, r.i)""")
 def neardup_groups(s, d):
     return search.collapse(D.page_vectors(s, d), 0.3)
 
