@@ -63,24 +63,35 @@ def coverage_line():
     return F.format_string("- `%s` (%s): %s — %d claim(s), %d kept", F.col("id"), F.col("question"), state, F.col("total_claims"), F.col("kept"))
 
 
-def render(subtopics: DataFrame, claims: DataFrame, body: str = "", title: str = "Research Report") -> str:
-    """The report. Its lines are ordered by the cluster; the caller's one document is put together
-    on the driver, as the file it becomes is."""
+def document(subtopics: DataFrame, claims: DataFrame, body: str = "", title: str = "Research Report") -> DataFrame:
+    """The report as lines (place, major, minor, line) to be sorted by the first three. Only the
+    plan, a few subtopics of its own, passes the driver; contradictions and sources do not."""
+    spark = claims.sparkSession
     cover = coverage(subtopics, claims).withColumn("line", coverage_line()).orderBy("ord").select("id", "line", "covered").collect()
-    parts = [f"# {title}", "", COVERAGE, "", *[r.line for r in cover]]
+    head = [f"# {title}", "", COVERAGE, "", *[r.line for r in cover]]
     if missing := [f"`{r.id}`" for r in cover if not r.covered]:
-        parts += ["", f"> Coverage gap: no claims gathered for subtopic(s): {', '.join(missing)}"]
-    parts.append("\n")
-    if body.strip():
-        parts += [body.strip(), ""]
-    rows = contradictions(claims)
-    place = F.when(F.col("conflict_type") == "factual", 0).when(F.col("conflict_type") == "methodological", 1).otherwise(2)
-    lines = rows.select(place.alias("k"), "rank", contradiction_line().alias("line")).orderBy("k", "rank").collect()
-    genuine, drift = [r.line for r in lines if r.k < 2], [r.line for r in lines if r.k == 2]
-    parts += [CONTRADICTIONS, "", GENUINE, *(genuine or [NO_GENUINE]), "", DRIFT, *([DRIFT_NOTE, *drift] if drift else [NO_DRIFT]), "\n"]
-    found = [f"- {r.url}" for r in sources(claims).orderBy("claim_ord", "pos").collect()]
-    parts += [SOURCES, "", *(found or [NO_SOURCES])]
-    return "\n".join(parts).rstrip() + "\n"
+        head += ["", f"> Coverage gap: no claims gathered for subtopic(s): {', '.join(missing)}"]
+    head += ["", ""] + ([body.strip(), ""] if body.strip() else []) + [CONTRADICTIONS, "", GENUINE]
+    kind = F.when(F.col("conflict_type") == "factual", 0).when(F.col("conflict_type") == "methodological", 1).otherwise(2)
+    held = contradictions(claims).select(kind.alias("k"), F.col("rank").cast("long").alias("minor"), contradiction_line().alias("line"))
+    found = sources(claims).select(F.col("claim_ord").cast("long").alias("major"), F.col("pos").cast("long").alias("minor"), F.concat(F.lit("- "), "url").alias("line"))
+    some = {r[0] for r in held.select(F.col("k") < 2).distinct().collect()}
+    fixed = [(0, x) for x in head] + ([] if True in some else [(1, NO_GENUINE)]) + [(2, x) for x in ("", DRIFT, DRIFT_NOTE if False in some else NO_DRIFT)]
+    fixed += [(4, x) for x in ("", "", SOURCES, "")] + ([] if found.limit(1).count() else [(5, NO_SOURCES)])
+    out = spark.createDataFrame([(p, 0, i, x) for i, (p, x) in enumerate(fixed)], "place int, major long, minor long, line string")
+    place = F.when(F.col("k") < 2, 1).otherwise(3).alias("place")
+    return out.unionByName(held.select(place, F.col("k").cast("long").alias("major"), "minor", "line")).unionByName(found.select(F.lit(5).alias("place"), "major", "minor", "line"))
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """Lines of ``document`` as text files, which in order of their names are the report."""
+    lines.orderBy("place", "major", "minor").select(F.coalesce("line", F.lit("")).alias("value")).write.text(path)
+
+
+def render(subtopics: DataFrame, claims: DataFrame, body: str = "", title: str = "Research Report") -> str:
+    """The report as one text of the driver, for a caller that wants no files; see ``write_report``."""
+    lines = document(subtopics, claims, body, title).orderBy("place", "major", "minor").select("line")
+    return "\n".join(r.line for r in lines.toLocalIterator()).rstrip() + "\n"
 
 
 def report_lines(claims: DataFrame) -> DataFrame:

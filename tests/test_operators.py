@@ -310,7 +310,7 @@ def test_edit_commands(spark, reply, want, more):
     assert all(x["score"] == 1.0 and x["source"] == "user" for x in got["urls"] if x["url"] not in "ab")
 
 
-def test_report(spark):
+def test_report(spark, tmp_path):
     subs = spark.createDataFrame([("s1", "first?", 1, 0), ("s2", "second?", 1, 1)], "id string, question string, target_evidence int, ord int")
     src = "array<struct<url:string,etld1:string,quote:string,publication_date:date>>"
     con = "array<struct<url:string,etld1:string,quote:string,publication_date:date,confidence_score:double,conflict_type:string>>"
@@ -326,6 +326,9 @@ def test_report(spark):
     assert [x.split("source: ")[1].split(";")[0] for x in lines] == ["https://y.com", "https://x.com", "https://m.com", "https://z.com"]
     assert '(contradicting source: https://x.com; dated 2023-06-01; confidence 0.20; "q")' in lines[1]
     assert text.endswith("## Sources\n\n- https://a.com\n- https://b.com\n")
+    path = str(tmp_path / "report")
+    report.write_report(report.document(subs, claims, body="Prose."), path)
+    assert "\n".join(r.value for r in spark.read.text(path).orderBy(F.input_file_name(), F.monotonically_increasing_id()).collect()).rstrip() + "\n" == text
     empty = report.render(subs, claims.limit(0))
     assert report.NO_GENUINE in empty and report.NO_DRIFT in empty and report.NO_SOURCES in empty
     graded = spark.createDataFrame([(text,), (empty,)], "d string").select(F.size(report.missing_sections(F.col("d"))), report.drift_section_filled(F.col("d"))).collect()
