@@ -385,7 +385,7 @@ def exhaust(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def columns(batch):
         shingles = np.empty(batch.num_rows, object)
-        shingles[:] = [np.frombuffer(x.as_buffer().to_pybytes(), np.uint64) for x in batch.column(6)]
+        shingles[:] = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(6)]
         return [batch.column(i).to_numpy() for i in range(6)] + [shingles]
 
     def links(cols):
