@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 from quillon.config import DEFAULT
 from quillon.functions.text import word_count, words
 
+#: Characters of a block of text in which a piece's place is sought.
+BLOCK = 8192
+
 
 def _window(w: Column, start: Column, size: int) -> Column:
     return F.array_join(F.slice(w, start + 1, size), " ")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is made once, not anew wherever ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _with_words(text: Column, make) -> Column:
-    """``make`` of the words of a text, which are bound once and not made anew for each window."""
-    return F.element_at(F.transform(F.array(words(text)), lambda w: F.when(F.size(w) > 0, make(w))), 1)
+    return _bound(words(text), lambda w: F.when(F.size(w) > 0, make(w)))
 
 
 def sliding(text: Column, size: int = DEFAULT.window_words, step: int = DEFAULT.window_step) -> Column:
@@ -73,19 +80,34 @@ def legacy(text: Column, size: int = 512, overlap: int = 50) -> Column:
 
 def located(text: Column, pieces: Column) -> Column:
     """Pieces with index, word count and place: each is sought from just behind the start of the
-    one before; one not found stands at that place. Blank pieces go, indices keep their gaps."""
-    none = F.filter(F.array(F.struct(F.lit("").alias("text"), F.lit(0).alias("chunk_index"), F.lit(0).alias("token_count"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end"))), lambda _: F.lit(False))
-    start = F.struct(none.alias("out"), F.lit(0).alias("at"))
-    indexed = F.transform(pieces, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-
-    def fold(acc: Column, x: Column) -> Column:
-        found = F.call_function("locate", x["t"], text, acc["at"] + 1)
-        pos = F.when(found > 0, found - 1).otherwise(acc["at"])
-        row = F.struct(x["t"].alias("text"), x["i"].alias("chunk_index"), word_count(x["t"]).alias("token_count"), pos.alias("char_start"), (pos + F.length(x["t"])).alias("char_end"))
-        return F.struct(F.concat(acc["out"], F.array(row)).alias("out"), F.greatest(acc["at"], pos + 1).alias("at"))
+    one before; one not found stands at that place. Blank pieces go, indices keep their gaps.
 
+    A piece is sought in the blocks of the text that follow its place, and beyond these only if it
+    may be there: words joined by single blanks are in no text whose runs of such words are all
+    shorter. So the work is linear where pieces are near or runs short; it is the text's length
+    for each piece that is in no near block although the text has runs as long."""
+    indexed = F.transform(pieces, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
     full = F.filter(indexed, lambda x: F.trim(F.regexp_replace(x["t"], r"\s+", " ")) != "")
-    return F.aggregate(full, start, fold, lambda acc: acc["out"])
+    blocks = F.when(F.length(text) > BLOCK, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).otherwise(F.array(text))
+    runs = F.when(F.length(text) > 2 * BLOCK, F.array_max(F.transform(F.split(text, r"\s\s+|[^\S ]"), lambda r: F.length(r)))).otherwise(0)
+
+    def place(k: Column, t: Column, at: Column) -> Column:
+        first, ahead = F.floor(at / BLOCK).cast("int"), at % BLOCK
+        many = F.floor((ahead + F.length(t)) / BLOCK).cast("int") + 2
+        near = F.call_function("locate", t, F.array_join(F.slice(k["blocks"], first + 1, many), ""), ahead + 1)
+        nowhere = (first + many >= F.size(k["blocks"])) | ((F.length(t) > k["runs"]) & ~t.rlike(r"^\s|\s$|\s\s|[^\S ]"))
+        far = F.when(nowhere, 0).otherwise(F.call_function("locate", t, k["text"], at + 1))
+        found = _bound(near, lambda n: F.when(n > 0, first * BLOCK + n).otherwise(far))
+        return _bound(found, lambda n: F.when(n > 0, n - 1).otherwise(at))
+
+    def located_in(k: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("places"), F.lit(0).alias("at"))
+        turn = lambda acc, x: _bound(place(k, x["t"], acc["at"]), lambda p: F.struct(F.concat(acc["places"], F.array(p)).alias("places"), F.greatest(acc["at"], p + 1).alias("at")))
+        places = F.aggregate(k["full"], start, turn, lambda acc: acc["places"])
+        row = lambda x, p: F.struct(x["t"].alias("text"), x["i"].alias("chunk_index"), word_count(x["t"]).alias("token_count"), p.alias("char_start"), (p + F.length(x["t"])).alias("char_end"))
+        return F.zip_with(k["full"], places, row)
+
+    return _bound(F.struct(text.alias("text"), blocks.alias("blocks"), runs.alias("runs"), full.alias("full")), located_in)
 
 
 def chunks(text: Column, strategy: str = "sliding_window") -> Column:
