@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.config import DEFAULT, Config
 from quillon.functions import policy as P
 from quillon.functions import url as U
+from quillon.lineage import kept
 
 
 def seconds(ts: Column) -> Column:
@@ -41,17 +42,36 @@ def retry_outcome(attempts: DataFrame, key: str, retries: int = DEFAULT.retries,
     return out.select(key, F.col("r.attempt").alias("attempts_before"), F.col("r.status_code").alias("status_code"), F.col("r.success").alias("success"), waited.alias("waited"))
 
 
+def _in_parts(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """``rows`` kept in ranges of key and order, which ``part__`` numbers: a key of many rows is in
+    many parts, and those after one hold its later rows."""
+    return kept(rows.repartitionByRange(key, *order)).withColumn("part__", F.spark_partition_id())
+
+
+def _with_parts(rows: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of their part and key."""
+    other = parts.withColumnsRenamed({"part__": "p__", key: "k__"})
+    return rows.join(other, (F.col("part__") == F.col("p__")) & F.col(key).eqNullSafe(F.col("k__"))).drop("p__", "k__")
+
+
 def rate_schedule(requests: DataFrame, url: str | None = "url", domain: str | None = None, ts: str = "ts", tie: str = "request_id", gap: float = DEFAULT.spacing) -> DataFrame:
     """When each request may go: at its time, or ``gap`` seconds after the one before it of its
     registrable domain. In closed form: with i its place, max over earlier ones of (ts - i gap),
-    plus i gap. ``ts`` is in seconds."""
+    plus i gap. Both are taken in parts of a domain, then over its parts, so that no task holds a
+    domain's requests. ``ts`` is in seconds."""
     rows = requests if domain else requests.withColumn("domain", F.coalesce(F.nullif(U.registrable(F.col(url)), F.lit("")), F.col(url)))
     key = domain or "domain"
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    i = F.row_number().over(w) - 1
-    rows = rows.withColumn("i__", i).withColumn("slack__", F.col(ts) - F.col("i__") * gap)
-    allowed = F.max("slack__").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("i__") * gap
-    return rows.withColumn("allowed", allowed).withColumn("wait", F.greatest(F.col("allowed") - F.col(ts), F.lit(0.0))).drop("i__", "slack__")
+    rows = _in_parts(rows, key, ts, tie)
+    own = Window.partitionBy("part__", key).orderBy(ts, tie)
+    rows = rows.withColumn("i__", F.row_number().over(own) - 1)
+    rows = rows.withColumn("slack__", F.max(F.col(ts) - F.col("i__") * gap).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy(key).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part__", key).agg(F.count("*").alias("n__"), F.max("slack__").alias("most__"))
+    parts = parts.withColumn("ahead__", F.coalesce(F.sum("n__").over(before), F.lit(0)))
+    parts = parts.withColumn("most__", F.max(F.col("most__") - F.col("ahead__") * gap).over(before)).drop("n__")
+    rows = _with_parts(rows, parts, key)
+    allowed = F.greatest(F.col("slack__") - F.col("ahead__") * gap, "most__") + (F.col("ahead__") + F.col("i__")) * gap
+    return rows.withColumn("allowed", allowed).withColumn("wait", F.greatest(F.col("allowed") - F.col(ts), F.lit(0.0))).drop("part__", "i__", "slack__", "ahead__", "most__")
 
 
 def prune(sessions: DataFrame, now: str, days: int, ts: str = "last_update") -> tuple[DataFrame, DataFrame]:
@@ -82,9 +102,12 @@ def top_pages(pages: DataFrame, n: int = 5) -> DataFrame:
 
 
 def peak(samples: DataFrame, value: str, order: str) -> DataFrame:
-    """Running maximum of a series in each key ``probe``."""
-    w = Window.partitionBy("probe").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return samples.withColumn("peak", F.max(value).over(w))
+    """Running maximum of a series in each key ``probe``, in parts of a series, then over these."""
+    rows = _in_parts(samples, "probe", order)
+    own = Window.partitionBy("part__", "probe").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("probe").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part__", "probe").agg(F.max(value).alias("most__")).withColumn("most__", F.max("most__").over(before))
+    return _with_parts(rows.withColumn("peak", F.max(value).over(own)), parts, "probe").withColumn("peak", F.greatest("peak", "most__")).drop("part__", "most__")
 
 
 def research_passes(passes: DataFrame, config: Config = DEFAULT) -> DataFrame:

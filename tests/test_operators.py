@@ -1,6 +1,7 @@
 """Operators on small hand-made tables, with the reference's own cases."""
 
 import os
+import random
 from datetime import date, datetime
 
 import numpy as np
@@ -83,6 +84,37 @@ def test_sliding_covers_all_words(spark, n):
         assert " ".join(words)[c["char_start"] : c["char_end"]] == c["text"]
 
 
+def sought(text, pieces):
+    """Places of pieces, each sought in the whole text from behind the start of the one before."""
+    at, out = 0, []
+    for p in pieces:
+        found = text.find(p, at)
+        out.append(found if found >= 0 else at)
+        at = max(at, out[-1] + 1)
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 8192])
+def test_places_of_chunks(spark, monkeypatch, block):
+    monkeypatch.setattr(chunk, "BLOCK", block)
+    rng = random.Random(block)
+    texts = ["".join(rng.choice(["a", "b", "ab", "é"]) + rng.choice([" "] * rng.choice([1, 40]) + ["  ", "\n", "\n\n", "\t"]) for _ in range(rng.choice([1, 5, 60, 400]))) for _ in range(60)]
+    texts += ["a b " * 300, "a b " * 150 + "\n" + "b a " * 150, "\n\n x\n\n  y \n\n", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    for pieces in (chunk.sliding(F.col("text"), 5, 4), chunk.overlapping(F.col("text"), 6, 2), chunk.by_pattern(F.col("text"))):
+        for r in df.select("text", pieces.alias("p"), chunk.located(F.col("text"), pieces).alias("c")).collect():
+            full = [p for p in r["p"] if p.strip()]
+            assert [c["text"] for c in r["c"]] == full
+            assert [c["char_start"] for c in r["c"]] == sought(r["text"], full)
+
+
+def test_places_in_a_long_text(spark):
+    words = [f"w{i % 7919}" for i in range(400_000)]
+    text = " ".join(words)
+    got = spark.createDataFrame([(text,), ("\n".join(words),)], "text string").select(F.explode(chunk.chunks(F.col("text"))).alias("c")).select("c.char_start", "c.char_end", F.length("c.text").alias("n")).collect()
+    assert len(got) == 2 * (len(range(0, 400_000 - 200, 160)) + 1) and all(c["char_end"] - c["char_start"] == c["n"] for c in got)
+
+
 def test_chunks_of_blanks(spark):
     for s in ("sliding_window", "overlapping", "regex"):
         assert chunks_of(spark, " \n ", s) == [] and chunks_of(spark, "", s) == []
@@ -344,6 +376,22 @@ def test_retry_and_rate(spark):
     assert {x["request_id"]: x["wait"] for x in events.rate_schedule(r).collect()} == {0: 0.0, 1: 0.75, 2: 0.0, 3: 0.0}
 
 
+def test_schedule_and_peak_of_a_hot_key(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["hot"] * 8 + ["b", None]), float(rng.randrange(200)), float(rng.randrange(1000))) for i in range(500)]
+    df = spark.createDataFrame(rows, "request_id int, probe string, ts double, value double").repartition(7)
+    got = {r["request_id"]: r["allowed"] for r in events.rate_schedule(df, domain="probe", gap=2.0).collect()}
+    after, want = {}, {}
+    for i, key, t, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = after[key] = max(t, after.get(key, t - 2.0) + 2.0)
+    assert got == want
+    top, peaks = {}, {}
+    for i, key, _, v in rows:
+        peaks[i] = top[key] = max(v, top.get(key, v))
+    assert {r["request_id"]: r["peak"] for r in events.peak(df, "value", "request_id").collect()} == peaks
+    assert events.rate_schedule(df.limit(0), domain="probe").count() == 0 and events.peak(df.limit(0), "value", "request_id").count() == 0
+
+
 def test_prune(spark):
     s = spark.createDataFrame([("stale", datetime(2024, 1, 1)), ("edge", datetime(2024, 3, 2)), ("new", datetime(2024, 3, 20))], "id string, last_update timestamp")
     kept, stale = events.prune(s, "2024-04-01 00:00:00", 30)
