@@ -6,8 +6,10 @@ from __future__ import annotations
 
 import os
 import shutil
+import uuid
 from urllib.parse import unquote, urlsplit
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,13 +87,25 @@ def read_artifact(spark: SparkSession, folder: str, kind: str) -> DataFrame | No
 
 
 def write_artifact(text: str, folder: str, name: str) -> str:
-    """Write one artifact's text, whole or not at all; returns its path."""
+    """Write one artifact's text, whole or not at all; returns its path. A folder with a scheme
+    other than ``file`` is written to by the file system of that scheme."""
     folder = local_path(folder)
+    if "://" in folder:
+        store, base = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        path = f"{base}/{name}"
+        part = f"{path}.{uuid.uuid4().hex}.new"
+        with store.open_output_stream(part) as out:
+            out.write(text.encode())
+        store.move(part, path)
+        return f"{folder}/{name}"
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, name)
-    with open(f"{path}.new", "w", encoding="utf-8") as f:
+    # a name of its own for each attempt, as two of them may write at once
+    part = f"{path}.{uuid.uuid4().hex}.new"
+    with open(part, "w", encoding="utf-8") as f:
         f.write(text)
-    os.replace(f"{path}.new", path)
+    os.replace(part, path)
     return path
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -72,13 +72,16 @@ def ingest_pages(crawled: DataFrame, out: str, checkpoint: str, strategy: str =
 
 def export_state(changes: DataFrame, folder: str, checkpoint: str, names: dict[str, str]):
     """Files of state keys, one a session and key, each with its last value: ``names`` gives the
-    file of a key; other keys are passed over."""
+    file of a key; other keys are passed over. Tasks write the files, so ``folder`` is one that
+    all executors share; a batch that is repeated writes the same files again."""
+
+    def put(rows: Iterator[Row]) -> None:
+        for r in rows:
+            write_artifact(r["value"], f"{folder}/{r['session_id']}", names[r["key"]])
 
     def write(batch: DataFrame, _: int) -> None:
         wanted = batch.where(F.col("key").isin(*names))
-        # one row for each session that changed in this batch
-        for r in wanted.groupBy("session_id", "key").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")).toLocalIterator():
-            write_artifact(r["value"], f"{folder}/{r['session_id']}", names[r["key"]])
+        wanted.groupBy("session_id", "key").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")).foreachPartition(put)
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
