@@ -75,6 +75,11 @@ def cap_total(merged: DataFrame, n: int = DEFAULT.total) -> DataFrame:
     return merged.orderBy("src_ord", "rank", "url").limit(n)
 
 
+def with_supplemental(urls: DataFrame, supplemental: DataFrame) -> DataFrame:
+    """Scored URLs and those found later for a subtopic; nothing is dropped, also not what repeats."""
+    return urls.unionByName(supplemental, allowMissingColumns=True)
+
+
 def union_sources(spark: SparkSession, parts: dict[str, DataFrame | Exception]) -> tuple[DataFrame, dict[str, str]]:
     """Hits of several sources in request order, and the message of each that failed."""
     errors, out = {}, spark.createDataFrame([], HIT)

@@ -4,18 +4,23 @@ A query is registered with the SQL of the same rows where SQL has them; column n
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon import schemas
 from quillon.functions import policy as P
 from quillon.functions import records as R
 from quillon.functions import text as T
 from quillon.functions import url as U
 from quillon.functions import values as V
+from quillon.lineage import shared_dir
 from quillon.operators import bm25, chunk, discover, events, graph, ingest, report, search, triage
 from quillon.operators import claims as C
+from quillon.sources import payloads
+from quillon.streaming import flows
 
 from . import derived as D
 
@@ -792,7 +797,16 @@ def followable_links(s, d):
     return graph.followable(links, F.lit("https://h.org/"), pattern="org/a", score=0.5).select("p_partkey")
 
 
-@query()
+@query(f"""WITH RECURSIVE {D.SQL_EDGES}, a AS (SELECT src, list(dst::BIGINT ORDER BY dst) AS l FROM edges GROUP BY src),
+k AS (SELECT p_partkey::BIGINT AS u, p_partkey % 7 <> 3 AS ok FROM part WHERE p_partkey % 13 <> 5),
+t AS (SELECT [{{'u': 2::BIGINT, 'd': 0::INT}}] AS q, []::BIGINT[] AS v, []::STRUCT(u BIGINT, d INT, ok BOOLEAN)[] AS r
+  UNION ALL SELECT CASE WHEN seen OR k.u IS NULL OR NOT k.ok OR x.d >= 4 THEN rest
+      ELSE list_concat(rest, list_transform(list_slice(list_filter(coalesce(l, []), lambda z: z <> x.u AND NOT list_contains(v, z)), 1, greatest(19 - len(r) - len(rest), 0)), lambda z: {{'u': z, 'd': (x.d + 1)::INT}})) END,
+    CASE WHEN seen THEN v ELSE list_append(v, x.u) END,
+    CASE WHEN seen OR k.u IS NULL THEN r ELSE list_append(r, {{'u': x.u, 'd': x.d, 'ok': k.ok}}) END
+  FROM (SELECT q[1].u AS u, q[1].d AS d, q[2:] AS rest, v, r, list_contains(v, q[1].u) AS seen FROM t WHERE len(q) > 0 AND len(r) < 20) x LEFT JOIN a ON a.src = x.u LEFT JOIN k ON k.u = x.u),
+e AS (SELECT arg_max(r, len(r)) AS r FROM t)
+SELECT 'https://h.org/' || r[i].u AS url, r[i].d AS depth, i - 1 AS ord, r[i].ok AS success FROM (SELECT r, unnest(generate_series(1, len(r))) AS i FROM e)""")
 def site_crawl(s, d):
     e = D.edges(s, d)
     name = lambda c: F.concat(F.lit("https://h.org/"), F.col(c).cast("string"))
@@ -809,6 +823,104 @@ def adaptive_crawl(s, d):
     return graph.adaptive_crawl(_docs(s, d).select(F.col("doc_id").alias("ord"), "text"), "the des ation und le que zzz")
 
 
+# Landed payloads and records: responses made of parts, read back as hits
+
+
+def _landed(s, d, payload):
+    return _parts(s, d).select(payload.alias("payload"))
+
+
+def _key():
+    return F.col("p_partkey").cast("string")
+
+
+def _url(base):
+    return F.concat(F.lit(base), _key())
+
+
+@query("SELECT 'duckduckgo' AS source, 1 AS rank, CASE WHEN p_size % 3 = 0 THEN 'https://u/' ELSE 'https://h/' END || p_partkey AS url, p_name AS title, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS snippet FROM part")
+def payload_web(s, d):
+    size = F.col("p_size")
+    hit = F.struct(F.when(size % 3 != 0, _url("https://h/")).otherwise("").alias("href"), _url("https://u/").alias("url"), F.col("p_name").alias("title"), F.when(size % 2 == 0, F.col("p_type")).alias("body"))
+    none = F.struct(F.lit("").alias("href"), F.lit(None).cast("string").alias("url"), F.lit("no address").alias("title"), F.lit("").alias("body"))
+    return payloads.web(_landed(s, d, F.to_json(F.array(none, hit))))
+
+
+@query("SELECT 'arxiv' AS source, 0 AS rank, 'https://a/' || p_partkey AS url, p_name AS title, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS snippet FROM part")
+def payload_arxiv(s, d):
+    summary = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<summary>"), F.col("p_type"), F.lit("</summary>"))).otherwise("")
+    entry = F.concat(F.lit("<entry><id>\n "), _url("https://a/"), F.lit(" </id><title> "), F.col("p_name"), F.lit(" </title>"), summary, F.lit("</entry>"))
+    return payloads.arxiv(_landed(s, d, F.concat(F.lit("<feed>"), entry, F.lit("<entry><title>no id</title></entry></feed>"))))
+
+
+@query("SELECT 'semantic_scholar' AS source, 0 AS rank, CASE WHEN p_size % 3 = 0 THEN 'https://pdf/' ELSE 'https://s/' END || p_partkey AS url, p_name AS title, '' AS snippet FROM part")
+def payload_scholar(s, d):
+    size = F.col("p_size") % 3
+    pdf = F.when(size != 1, F.struct(F.when(size == 0, _url("https://pdf/")).otherwise("").alias("url")))
+    hit = F.struct(F.col("p_name").alias("title"), _url("https://s/").alias("url"), F.lit(None).cast("string").alias("abstract"), pdf.alias("openAccessPdf"))
+    return payloads.scholar(_landed(s, d, F.to_json(F.struct(F.array(hit).alias("data")))))
+
+
+def _organic(n):
+    one = lambda i: F.struct(F.concat(_url("https://r/"), F.lit("/"), i.cast("string")).alias("link"), F.col("p_name").alias("title"), F.col("p_brand").alias("snippet"))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
+
+
+@query("SELECT 'serpapi' AS source, i::INT AS rank, 'https://r/' || p_partkey || '/' || i AS url, p_name AS title, p_brand AS snippet FROM part, range(3) AS t(i)")
+def payload_serp(s, d):
+    return payloads.serp(_landed(s, d, F.to_json(F.struct(_organic(3).alias("organic_results")))))
+
+
+@query("SELECT 'google_serp' AS source, i::INT AS rank, 'https://r/' || p_partkey || '/' || i AS url, p_name AS title, p_brand AS snippet FROM part, range(10) AS t(i)")
+def payload_google(s, d):
+    as_text = F.to_json(F.struct(F.to_json(_organic(12)).alias("organic_schema")))
+    as_list = F.to_json(F.struct(F.lit("").alias("organic_schema"), _organic(12).alias("organic")))
+    return payloads.google(_landed(s, d, F.when(F.col("p_size") % 2 == 0, as_text).otherwise(as_list)))
+
+
+@query("SELECT p_partkey, 'Depth: ' || CASE WHEN p_size % 2 = 0 THEN 'deep' ELSE 'medium' END || chr(10) || 'Source classes: web, ' || p_brand || chr(10) || 'Question: ' || p_name AS prompt FROM part")
+def acquirer_prompts(s, d):
+    depth = F.when(F.col("p_size") % 2 == 0, "deep").otherwise("medium")
+    return _parts(s, d).select("p_partkey", T.acquirer_prompt(F.col("p_name"), depth, F.array(F.lit("web"), F.col("p_brand"))).alias("prompt"))
+
+
+@query("SELECT page_id::VARCHAR AS page_id, url, 'crawl_url' AS strategy, NULL::DOUBLE AS total_score, html FROM pages")
+def migrated_pages(s, d):
+    return schemas.migrated(_pages(s, d), "page_id string, url string, strategy string, total_score double", {"strategy": "crawl_url"})
+
+
+@query("SELECT url, source, count(*) AS n FROM (SELECT url, 'seed' AS source FROM pages UNION ALL SELECT url, 'seed' FROM pages UNION ALL SELECT url, 'later' FROM pages) GROUP BY ALL")
+def supplemental_urls(s, d):
+    of = lambda source: _pages(s, d).select("url", F.lit(source).alias("source"))
+    first = discover.with_supplemental(of("seed"), of("later"))
+    return discover.with_supplemental(first, of("seed")).groupBy("url", "source").agg(F.count("*").alias("n"))
+
+
+# Streams: each runs to the end of what has landed, in a folder of its own, and is read back
+
+
+def _folder(s, name):
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_type AS session_id, event_id::VARCHAR AS invocation_id, 'tool_start' AS type, user_id::VARCHAR AS tool FROM events")
+def stream_traces(s, d):
+    at = _folder(s, "traces")
+    e = D.table(s, d, "events")
+    e.select("ts", F.lit("tool_start").alias("type"), F.col("event_id").cast("string").alias("invocation_id"), F.col("user_id").cast("string").alias("tool"), F.col("event_type").alias("session_id")).write.json(f"{at}/in")
+    flows.append_trace(flows.trace_events(s, f"{at}/in"), f"{at}/out", f"{at}/progress").awaitTermination()
+    return s.read.schema(flows.TRACE).json(f"{at}/out").select("session_id", "invocation_id", "type", "tool")
+
+
+@query("SELECT page_id, url, 'crawl_many' AS strategy FROM pages")
+def stream_ingest(s, d):
+    at = _folder(s, "ingest")
+    rows = D.crawled(s, d)
+    rows.write.parquet(f"{at}/in")
+    flows.ingest_pages(s.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{at}/out", f"{at}/progress").awaitTermination()
+    return s.read.parquet(f"{at}/out/pages").select(F.col("id").cast("long").alias("page_id"), "url", "strategy")
+
+
 # Events
 
 
