@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hilbert, minhash, mixing, packing, quality, shared, tokenbin, tokencount, topk, warc
+from . import audit, chat, hilbert, minhash, mixing, packing, quality, retrieval, shared, spelling, tokenbin, tokencount, topk, warc
 
 END_ID = 1
 
@@ -66,6 +66,20 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    return retrieval.digest(retrieval.pack_by_retrieval(_table(spark, sf_dir, "documents"), definition, END_ID))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     # imported here, as its stages are made of this package
     import corpus_pipeline
@@ -75,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_chat_format, op3_token_binary, op4_exact_topk, op5_source_mix, op6_token_counts, op7_hilbert_shards, op8_warc, op9_quality_rules, op10_best_fit, pipeline)
+    for f in (op1_minhash_dedup, op2_chat_format, op3_token_binary, op4_exact_topk, op5_source_mix, op6_token_counts, op7_hilbert_shards, op8_warc, op9_quality_rules, op10_best_fit, op11_spelling_variants, op12_filter_audit, op13_retrieval_packing, pipeline)
 }
 
 ORACLES: dict[str, str] = {
@@ -84,4 +98,6 @@ ORACLES: dict[str, str] = {
     "op4_exact_topk": topk.ORACLE,
     "op8_warc": warc.ORACLE,
     "op9_quality_rules": quality.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
 }
