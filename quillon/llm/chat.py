@@ -144,7 +144,7 @@ def format_turns(conversations: DataFrame, definition: str, prefix: bool = True)
     char_offset and the mask's mask_start and mask_end in its conversation, by prefix sums."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     sent = conversations.sparkSession.sparkContext.broadcast(definition)
-    schema = "conv_id long, turn long, role string, tokens binary, loss_start int, loss_end int, n_tokens long, n_chars long, formatted string, text_order binary"
+    schema = "conv_id long, turn long, role string, tokens binary, loss_start int, loss_end int, n_tokens long, n_chars long, formatted string, body int"
 
     def run(batches):
         coder = codec(sent.value)
@@ -157,15 +157,18 @@ def format_turns(conversations: DataFrame, definition: str, prefix: bool = True)
                 starts, ends = loss_spans(np.array([[len(x) for x in p] for p in parts]), np.array(bears))
                 tokens = [np.concatenate(p) for p in parts]
                 shown = [formatted(r, t) for r, t in zip(roles, texts, strict=True)]
-                arrays = [*some.columns[:3], pa.array([t.astype("<u4").tobytes() for t in tokens], pa.binary()), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array([len(t) for t in tokens]), pa.array([len(s) for s in shown]), pa.array(shown), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "turn", "role", "tokens", "loss_start", "loss_end", "n_tokens", "n_chars", "formatted", "text_order"])
+                arrays = [*some.columns[:3], pa.array([t.astype("<u4").tobytes() for t in tokens], pa.binary()), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array([len(t) for t in tokens]), pa.array([len(s) for s in shown]), pa.array(shown), pa.array([len(mark(r)) for r in roles], pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "turn", "role", "tokens", "loss_start", "loss_end", "n_tokens", "n_chars", "formatted", "body"])
 
     out = rows.mapInArrow(run, schema)
     if prefix:
+        # the text by which equal turns and roles are ordered is read from the formatted one, after the shuffle
+        body = F.expr(f"substring(formatted, body + 1, n_chars - body - {len(END) + 2})")
+        out = out.repartition("conv_id").withColumn("text_order", F.regexp_replace(body, _UNESCAPE.pattern, "$1"))
         before = Window.partitionBy("conv_id").orderBy("turn", "role", "text_order").rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumns({"token_offset": F.coalesce(F.sum("n_tokens").over(before), F.lit(0)), "char_offset": F.coalesce(F.sum("n_chars").over(before), F.lit(0))})
         out = out.withColumns({"mask_start": F.col("token_offset") + F.col("loss_start"), "mask_end": F.col("token_offset") + F.col("loss_end")})
-    return out.drop("text_order") if prefix else out
+    return out.drop("text_order", "body")
 
 
 def read_back(turns: DataFrame, definition: str, clustered: bool = False) -> DataFrame:

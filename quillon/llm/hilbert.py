@@ -105,7 +105,7 @@ def placed(docs: DataFrame, shards: int, carry: tuple[Column, ...] = ()) -> Data
     rows = with_rank(with_rank(rows, "source__", "source_rank__"), "lang__", "lang_rank__")
     rows = with_curve(rows, {"source": F.col("source_rank__"), "lang": F.col("lang_rank__"), "size": F.col("size")})
     if not carry:
-        # texts are read and hashed once
+        # texts are hashed once; the quantiles have read their sizes before
         rows = saved(rows, "keys", docs.count())
     # a group's place; groups of one are most and keep their own. Saved, so that its size is known
     # and the join can part a group of many rows

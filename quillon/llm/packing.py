@@ -5,7 +5,8 @@ each permitted length that holds it is filled, on trial, from the items still le
 opens at the length whose contents cost least a word, downsized to them. All bins are at last
 downsized to the shortest permitted length that holds their contents. Openings at a fixed least
 length are tried as well, and the way of least total cost wins. Groups of about ``GROUP`` items,
-dealt by a hash, are packed apart, so work and memory of a task stay the same at any size.
+dealt by a hash of the item and its row's place in the written sizes, are packed apart, so work
+and memory of a task stay the same at any size, however many rows are alike.
 
 A text longer than the longest length is cut into pieces of that length and a rest. Null and
 empty texts have size 0 and share bins without filling them. Ties go by id, then piece; null ids
@@ -99,13 +100,13 @@ PACKED = "doc_id long, piece int, start long, size long, bin_id string, capacity
 
 
 def pack_sizes(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS, group: int = GROUP) -> DataFrame:
-    """``sizes`` (doc_id, size) to one row for each piece: doc_id, piece, start (word of the text),
-    size, bin_id, capacity, bin_offset, bin_used."""
+    """``sizes`` (doc_id, size; a written table, whose rows have places) to one row for each piece:
+    doc_id, piece, start (word of the text), size, bin_id, capacity, bin_offset, bin_used."""
     longest = max(lengths)
-    pieces = sizes.select("doc_id", "size", F.explode(F.sequence(F.lit(0), F.greatest((F.col("size") - 1).cast("double") / longest, F.lit(0.0)).cast("int"))).alias("piece"))
-    pieces = pieces.select(F.col("doc_id").cast("long").alias("doc_id"), "piece", (F.col("piece").cast("long") * longest).alias("start"), F.least(F.col("size") - F.col("piece").cast("long") * longest, F.lit(longest)).alias("size"))
+    pieces = sizes.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "size", F.explode(F.sequence(F.lit(0), F.greatest((F.col("size") - 1).cast("double") / longest, F.lit(0.0)).cast("int"))).alias("piece"))
+    pieces = pieces.select("row", F.col("doc_id").cast("long").alias("doc_id"), "piece", (F.col("piece").cast("long") * longest).alias("start"), F.least(F.col("size") - F.col("piece").cast("long") * longest, F.lit(longest)).alias("size"))
     groups = sized_parts(sizes.agg(F.sum(F.greatest(F.ceil(F.col("size") / longest), F.lit(1)))).first()[0] or 0, group)
-    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(groups)))
+    pieces = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "size", "row"), F.lit(groups))).drop("row")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])

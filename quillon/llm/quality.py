@@ -139,11 +139,14 @@ def host_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the rules and their host's verdict keep."""
-    counted = with_features(docs.select("source", "text"), "text", drop_text=True).withColumn("base_failed", base_failed())
-    bad = _bad_hosts(counted, "source", "base_failed")
-    rows = with_features(docs, "text", prefix="q__").where(~base_failed("q__")).select(*[f"`{c}`" for c in docs.columns])
-    return rows.join(bad, rows["source"].eqNullSafe(bad["host"]), "left_anti")
+    """The rows of ``docs``, all columns, that the rules and their host's verdict keep. Words are
+    counted once: rows are written with the rules' verdict, rejected ones without their text."""
+    rows = with_features(docs, "text", prefix="q__").withColumn("q__failed", base_failed("q__"))
+    rows = rows.withColumn("text", F.when(~F.col("q__failed"), F.col("text"))).select(*[f"`{c}`" for c in docs.columns], "q__failed")
+    rows = saved(rows, "judged")
+    bad = _bad_hosts(rows, "source", "q__failed")
+    left = rows.where(~F.col("q__failed")).select(*[f"`{c}`" for c in docs.columns])
+    return left.join(bad, left["source"].eqNullSafe(bad["host"]), "left_anti")
 
 
 ORACLE = r"""

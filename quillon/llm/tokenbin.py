@@ -10,8 +10,8 @@ order; a text's ids never cross segments, and a text longer than that is a segme
 its own. Segments are rows of Parquet files (one binary column holds the format), so
 any store that Spark writes will do and lost tasks are repeated by Spark's committer.
 
-Null texts are empty; each text ends with the end id. Null ids come first, equal ids in
-the order of their text; repeated rows are all written. Other columns are ignored.
+Null texts are empty; each text ends with the end id. Null ids come first; rows of
+equal ids stand together, by their text inside a range; repeated rows are all written. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -300,6 +300,23 @@ def test_chat_digest(spark):
     assert chat.read_back(chat.format_turns(conversation(spark, []), definition), definition).count() == 0
 
 
+def test_chat_orders_equal_turns_by_their_text(spark):
+    """Against the query's SQL: turns that share turn and role, with texts that escapes would reorder."""
+    import duckdb
+
+    definition = chat.definition_of(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["b", "", "\\", "###", "##", "#", "[", "</turn>", "<", "é", "日", "a\\b", "a###", "aZ", None, "same prefix " * 20 + "2", "same prefix " * 20 + "1"]
+    rows = [(1, 0, "user", t) for t in texts] + [(1, 1, "assistant", t) for t in reversed(texts)] + [(2, 5, "assistant", t) for t in texts]
+    df = conversation(spark, rows)
+    got = chat.read_back(chat.format_turns(chat.with_probe(df), definition), definition).toPandas()
+    con = duckdb.connect()
+    con.register("conversations", df.select("conv_id", "turn", "role", "text").toArrow())
+    want = con.execute(chat.ORACLE).df()
+    columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    rows_of = lambda t: sorted(map(tuple, t[columns].values.tolist()))
+    assert rows_of(got) == rows_of(want)
+
+
 def test_chat_offsets_and_masks(spark):
     definition = chat.definition_of(public_tokenizers.path("byte_bpe_50k.json"))
     turns = chat.format_turns(conversation(spark, [(1, i, ["user", "assistant"][i % 2], f"text {i}") for i in range(6)]), definition).orderBy("turn").collect()
@@ -968,6 +985,22 @@ def test_fill_is_best_fit(sizes, opening):
     assert sorted(c - u for c, u in zip(capacity, used, strict=True)) == brute_fill(sizes, (10, 20, 40), opening)
 
 
+def test_pack_sizes_splits_rows_that_are_alike(spark):
+    sizes = shared.saved(spark.range(9_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("size")), "sizes")
+    packed = packing.pack_sizes(sizes, group=1_000)
+    groups = [r[1] for r in packed.groupBy(F.substring_index("bin_id", "-", 1)).count().collect()]
+    assert sum(groups) == 9_000 and len(groups) == 9 and max(groups) < 1_500
+
+
+def test_keep_documents_counts_once(spark):
+    """Rejected rows are written without their texts, kept ones with all columns."""
+    df = docs(spark, clash=True)
+    got = {r["doc_id"]: r.asDict() for r in quality.keep_documents(df).collect()}
+    verdict = {r["doc_id"]: r["kept"] for r in quality.host_rules(df).collect()}
+    rows = {r["doc_id"]: r.asDict() for r in df.collect()}
+    assert got == {i: r for i, r in rows.items() if verdict[i]} and 0 < len(got) < len(rows)
+
+
 def test_pack_documents(spark):
     texts = [*make_texts(), " ".join(WORDS * 30)]
     out = packing.pack_documents(docs(spark, texts, clash=True)).collect()
