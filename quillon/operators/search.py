@@ -1,7 +1,7 @@
 """Vector search, mean vectors and near-duplicate pages.
 
-A query vector is one row, so search is a scan with a bounded top-k in each task. Pairs of
-pages are found by products of blocks of vectors, block against block, at every size."""
+A query vector is one row, so search is a scan with a bounded top-k in each task. Near pages
+are found by the join of ``metric``; all pairs, at any threshold, by products of blocks."""
 
 from __future__ import annotations
 
@@ -17,11 +17,15 @@ from quillon.functions import text as T
 from quillon.functions import values as V
 from quillon.lineage import kept
 
+from . import metric
+
 #: Doubles of a block of vectors (8 MB), and cosines that a task holds at once.
 BLOCK = 1 << 20
 #: Products of blocks round in another order than a sum by positions; pairs this close to the
 #: threshold are decided by that sum.
 ROUNDING = 1e-9
+#: Pairs that one task settles in a turn of the leader election.
+EDGES = 1 << 20
 
 
 def search(chunks: DataFrame, vector: list[float], n: int = DEFAULT.search_results, session: str | None = None, chars: int = DEFAULT.search_chars) -> DataFrame:
@@ -99,8 +103,9 @@ def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     of bounded size, and at least so many that all cores have groups."""
     n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(-(-n * (width or 1) // BLOCK), int(np.ceil(2 * rows.sparkSession.sparkContext.defaultParallelism ** 0.5)))
-    own = F.pmod(F.xxhash64("o", "v"), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # a kept row has a place, so that rows that are alike share no block
+    own = F.pmod(F.xxhash64("o", "v", "row"), F.lit(blocks)).cast("int")
+    dealt = kept(rows).withColumn("row", F.monotonically_increasing_id()).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pair = F.least("own", "other").cast("long") * blocks + F.greatest("own", "other")
     dealt = dealt.select(pair.alias("pair"), F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "o", "v", "l")
 
@@ -135,50 +140,70 @@ def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
-def similar_pairs(pages: DataFrame, threshold: float = DEFAULT.mirror_cosine, ord_: str = "ord", vector: str = "vector", bits: int = 8, tables: int = 24, seed: int = 7, exact: bool = True) -> DataFrame:
-    """(a, b, similarity) with a before b and cosine at least ``threshold``, whatever the number of
-    pages. Only a caller that says ``exact=False`` gets the pairs that share a bucket of ``bits``
-    hyperplanes in one of ``tables``, each once: a pair of cosine c is then missed with a
-    probability of (1 - p**bits)**tables, p = 1 - acos(c) / pi (6e-5 at 0.92, 0.61 at 0.35)."""
+def similar_pairs(pages: DataFrame, threshold: float = DEFAULT.mirror_cosine, ord_: str = "ord", vector: str = "vector") -> DataFrame:
+    """(a, b, similarity) of all pairs of pages, a before b, of cosine at least ``threshold``, which may be 0
+    or less; by products of all blocks. ``metric.mirror_links`` has those above 0 without copies squared."""
     rows = pages.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(ord_).alias("o"), F.col(vector).cast("array<double>").alias("v"))
     # lengths are taken once for each vector, so a pair costs one product
-    normed = rows.withColumn("l", F.coalesce(F.sqrt(V.dot(F.col("v"), F.col("v"))), F.lit(0.0)))
-    if exact:
-        return _block_pairs(normed, threshold)
-    a, b = normed.select(F.col("o").alias("a"), F.col("v").alias("va"), F.col("l").alias("la")), normed.select(F.col("o").alias("b"), F.col("v").alias("vb"), F.col("l").alias("lb"))
-    first = rows.select("v").first()
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, len(first[0]) if first else 1))
-    side = lambda p: (V.dot(F.col("v"), F.array(*[F.lit(float(x)) for x in p])) > 0).cast("string")
-    keys = F.array(*[F.concat(F.lit(f"{t}:"), *[side(p) for p in planes[t]]) for t in range(tables)])
-    keyed = rows.withColumn("k", F.explode(keys))
-    shared = keyed.select(F.col("o").alias("a"), "k").join(keyed.select(F.col("o").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
-    pairs = shared.join(a, "a").join(b, "b")
-    fine = (F.size("va") == F.size("vb")) & (F.col("la") > 0) & (F.col("lb") > 0)
-    likeness = F.when(fine, V.dot(F.col("va"), F.col("vb")) / (F.col("la") * F.col("lb"))).otherwise(0.0)
-    return pairs.select("a", "b", likeness.alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def leaders(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    return _block_pairs(rows.withColumn("l", F.coalesce(F.sqrt(V.dot(F.col("v"), F.col("v"))), F.lit(0.0))), threshold)
+
+
+def leaders(pairs: DataFrame, ids: DataFrame, edges_each: int = EDGES) -> DataFrame:
     """Greedy leader clustering over (a, b, similarity), a before b: (page, leader, similarity).
 
-    A page joins the first earlier leader it is similar to, and members never lead. Each turn
-    settles the pages whose earlier neighbours are all settled: a page with a leader among them
-    is a member, one whose neighbours are all members leads. A turn is two joins; there are as
-    many as the longest chain of such decisions."""
-    edges = kept(pairs.select("a", "b", "similarity"))
-    state = ids.select(F.col("ord").alias("p")).join(edges.select(F.col("b").alias("p")).distinct().withColumn("late", F.lit(True)), "p", "left")
-    state = kept(state.select("p", F.when(F.col("late").isNull(), "leader").otherwise("open").alias("s")))
-    while state.where("s = 'open'").limit(1).count():
-        seen = edges.join(state.select(F.col("p").alias("a"), "s"), "a").groupBy("b").agg(F.bool_or(F.col("s") == "leader").alias("led"), F.bool_and(F.col("s") == "member").alias("free"))
-        named = state.join(seen.withColumnRenamed("b", "p"), "p", "left")
-        state = kept(named.select("p", F.when(F.col("s") != "open", F.col("s")).when(F.col("led"), "member").when(F.col("free"), "leader").otherwise("open").alias("s")))
-    lead = edges.join(state.where("s = 'leader'").select(F.col("p").alias("a")), "a").groupBy("b").agg(F.min("a").alias("leader"), F.min_by("similarity", "a").alias("similarity"))
-    return state.join(lead.withColumnRenamed("b", "p"), "p", "left").select(F.col("p").alias("page"), F.when(F.col("s") == "member", F.col("leader")).otherwise(F.col("p")).alias("leader"), F.when(F.col("s") == "member", F.round("similarity", 4)).alias("similarity"))
+    A page joins the first earlier leader it is similar to, and members never lead. Pairs are
+    sorted by their later page into blocks of about ``edges_each``; a block is settled in one task,
+    pair by pair, against the members of the blocks before it. So there are as many turns as
+    blocks, however long the chains of decisions are."""
+    schema = pairs.select(F.col("b").alias("page"), F.col("a").alias("leader"), "similarity").schema
+    n = pairs.count()
+    ordered = pairs.repartitionByRange(max(1, -(-n // edges_each)), "b").sortWithinPartitions("b", "a")
+    ordered = kept(ordered.select(F.spark_partition_id().alias("block"), "a", "b", "similarity"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members = set()
+        for batch in batches:
+            found = []
+            for a, b, s in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "similarity")), strict=True):
+                # pairs of a page come by their earlier page, so the first leader is met first
+                if b not in members and a not in members:
+                    members.add(b)
+                    found.append((b, a, s))
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, batch.column(k).type) for c, k in zip(columns, ("b", "a", "similarity"), strict=True)], names=["page", "leader", "similarity"])
+
+    # neighbouring partitions make a block while they fit
+    turns: list[list[int]] = []
+    for block, size in sorted(map(tuple, ordered.groupBy("block").count().collect())):
+        if turns and turns[-1][2] + size <= edges_each:
+            turns[-1] = [turns[-1][0], block, turns[-1][2] + size]
+        else:
+            turns.append([block, block, size])
+    led = None
+    for first, last, _ in turns:
+        mine = ordered.where(F.col("block").between(first, last))
+        if led is not None:
+            mine = mine.join(led.select(F.col("page").alias("a")), "a", "left_anti")
+        # one block is of bounded size
+        now = kept(mine.select("a", "b", "similarity").coalesce(1).sortWithinPartitions("b", "a").mapInArrow(settle, schema))
+        led = now if led is None else led.unionByName(now)
+    out = ids.select(F.col("ord").alias("page"))
+    if led is None:
+        return out.select("page", F.col("page").alias("leader"), F.lit(None).cast("double").alias("similarity"))
+    out = out.join(led, "page", "left")
+    return out.select("page", F.coalesce("leader", "page").alias("leader"), F.round("similarity", 4).alias("similarity"))
 
 
 def collapse(pages: DataFrame, threshold: float = DEFAULT.mirror_cosine) -> DataFrame:
-    """Near-duplicate collapse of pages (ord, vector): page, leader, similarity."""
-    return leaders(similar_pairs(pages, threshold), pages)
+    """Near-duplicate collapse of pages (ord, vector): page, leader, similarity. A copy of an earlier vector goes
+    where the first page of that vector goes."""
+    reps, copies = metric.classes(pages)
+    reps = kept(reps)
+    led = kept(leaders(metric.mirror_pairs(reps, threshold), reps.select(F.col("o").alias("ord"))))
+    copied = copies.join(led.withColumnRenamed("page", "first"), "first").select("page", "leader", F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+    found = led.unionByName(copied)
+    out = pages.select(F.col("ord").alias("page")).join(found, "page", "left")
+    return out.select("page", F.coalesce("leader", "page").alias("leader"), "similarity")
 
 
 def collapse_stats(found: DataFrame) -> DataFrame:
@@ -196,8 +221,17 @@ def term_vectors(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
 def sparse_pairs(docs: DataFrame, threshold: float = DEFAULT.mirror_cosine, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs of documents whose term vectors reach a cosine, by prefixes: the rarest terms that carry
     more than 1 - threshold**2 of a vector's squared length. The rarest term that a pair shares
-    is in the prefixes of both, so only these meet, never the frequent terms."""
-    tv = kept(term_vectors(docs, id_column, text))
+    is in the prefixes of both, so only these meet, never the frequent terms. Of equal term
+    vectors the smallest id stands for the others, each of which is paired with it alone."""
+    every = kept(term_vectors(docs, id_column, text))
+    # sums of two hashes of its terms tell a vector, and combine before the shuffle
+    sums = [F.sum(F.xxhash64(F.lit(i), "term", "tf").cast("decimal(20,0)")).alias(f"h{i}") for i in range(2)]
+    told = kept(every.groupBy("id").agg(*sums, F.count("*").alias("terms")))
+    keys = ["h0", "h1", "terms"]
+    firsts = kept(told.groupBy(*keys).agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    many = firsts.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(metric.SALTS - 1))))
+    copies = told.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(metric.SALTS)).cast("int")).join(many, [*keys, "salt"]).where("id <> first")
+    tv = kept(every.join(firsts.select(F.col("first").alias("id")), "id", "left_semi"))
     df = tv.groupBy("term").agg(F.count("*").alias("df"))
     # mass of the terms from the commonest up to this one; a term is left out while it stays below
     common = Window.partitionBy("id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
@@ -208,4 +242,4 @@ def sparse_pairs(docs: DataFrame, threshold: float = DEFAULT.mirror_cosine, id_c
     pairs = near.select("a", "b").distinct()
     left, right = tv.select(F.col("id").alias("a"), "term", F.col("tf").alias("x"), F.col("norm").alias("na")), tv.select(F.col("id").alias("b"), "term", F.col("tf").alias("y"), F.col("norm").alias("nb"))
     scored = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg((F.sum(F.col("x") * F.col("y")).cast("double") / F.first(F.col("na") * F.col("nb"))).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+    return scored.where(F.col("similarity") >= threshold).unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))

@@ -98,6 +98,21 @@ def page_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
 
 
+def mirrored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as pages, each followed, after all of them, by a mirror (a little turned) and a copy."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    turned = F.transform("v", lambda x, i: x + 0.03 * ((i * 7 + F.col("vec_id")) % 5 - 2))
+    ahead = F.lit(1_000_000_000_000)
+    kinds = [(F.col("vec_id"), F.col("v")), (F.col("vec_id") + ahead, turned), (F.col("vec_id") + 2 * ahead, F.col("v"))]
+    return e.select(F.explode(F.array(*[F.struct(o.alias("ord"), v.alias("vector")) for o, v in kinds])).alias("p")).select("p.ord", "p.vector")
+
+
+#: ``mirrored_vectors`` in SQL, as ``m``.
+SQL_MIRRORED = """m AS (SELECT vec_id AS ord, embedding::DOUBLE[] AS v FROM embeddings
+UNION ALL SELECT vec_id + 1000000000000, list_transform(embedding::DOUBLE[], lambda x, i: x + 0.03 * (((i - 1) * 7 + vec_id) % 5 - 2)) FROM embeddings
+UNION ALL SELECT vec_id + 2000000000000, embedding::DOUBLE[] FROM embeddings)"""
+
+
 def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.concat(F.lit("s"), (F.col("page_id") % 4).cast("string")).alias("session_id"), "url", "html", (F.col("page_id") % 11 != 0).alias("success"), F.lit("timeout").alias("error"), (F.col("page_id") % 7 / 10).alias("total_score"), F.timestamp_seconds(F.col("page_id") * 60).alias("crawled_at"))

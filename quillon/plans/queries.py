@@ -17,7 +17,7 @@ from quillon.functions import text as T
 from quillon.functions import url as U
 from quillon.functions import values as V
 from quillon.lineage import shared_dir
-from quillon.operators import bm25, chunk, discover, events, graph, ingest, report, search, triage
+from quillon.operators import bm25, chunk, discover, events, graph, ingest, metric, report, search, triage
 from quillon.operators import claims as C
 from quillon.sources import payloads
 from quillon.streaming import flows
@@ -383,35 +383,46 @@ def mean_vectors(s, d):
     return search.mean_vectors(D.table(s, d, "embeddings"), "label").select("label", F.posexplode("mean").alias("pos", "m")).withColumn("m", F.round("m", 6))
 
 
-@query("SELECT vec_id AS id FROM embeddings")
+@query("SELECT vec_id AS id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS embedding FROM embeddings")
 def embedding_lookup(s, d):
+    """Ids twice, and as many that no vector has."""
     e = D.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     ids = e.select("id")
-    return search.embeddings_of(ids.unionByName(ids), e).select("id")
+    absent = ids.select((-1 - F.col("id")).alias("id"))
+    return search.embeddings_of(ids.unionByName(ids).unionByName(absent), e).select("id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_cos('a.embedding', 'b.embedding')}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_cos('a.embedding', 'b.embedding')} >= 0.35")
+_LINKED = f"""{D.SQL_MIRRORED}, c AS (SELECT v, min(ord) AS ord FROM m GROUP BY v),
+p AS (SELECT a.ord AS a, b.ord AS b, {_cos('a.v', 'b.v')} AS similarity FROM c a JOIN c b ON a.ord < b.ord WHERE {_cos('a.v', 'b.v')} >= 0.92)"""
+
+
+@query(f"WITH {_LINKED} SELECT a, b, round(similarity, 6) AS similarity FROM p UNION ALL SELECT c.ord, m.ord, 1.0 FROM m JOIN c ON m.v = c.v AND m.ord <> c.ord")
 def neardup_pairs(s, d):
-    return search.similar_pairs(D.page_vectors(s, d), 0.35).withColumn("similarity", F.round("similarity", 6))
+    return metric.mirror_links(D.mirrored_vectors(s, d), 0.92).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest({D.sql_words('lower(text)')}) AS w FROM documents), f AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(tf * tf)) AS n FROM f GROUP BY doc_id)
+@query(f"""WITH t AS (SELECT doc_id, unnest({D.sql_words('lower(text)')}) AS w FROM documents), g AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY ALL),
+k AS (SELECT doc_id, string_agg(w || ' ' || tf, ' ' ORDER BY w) AS k FROM g GROUP BY doc_id), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS first FROM k),
+f AS (SELECT g.* FROM g JOIN c ON g.doc_id = c.doc_id AND c.doc_id = c.first), n AS (SELECT doc_id, sqrt(sum(tf * tf)) AS n FROM f GROUP BY doc_id)
 SELECT x.doc_id AS a, y.doc_id AS b, round(sum(x.tf * y.tf) / (any_value(p.n) * any_value(q.n)), 6) AS similarity FROM f x JOIN f y ON x.w = y.w AND x.doc_id < y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
-GROUP BY x.doc_id, y.doc_id HAVING sum(x.tf * y.tf) / (any_value(p.n) * any_value(q.n)) >= 0.92""")
+GROUP BY x.doc_id, y.doc_id HAVING sum(x.tf * y.tf) / (any_value(p.n) * any_value(q.n)) >= 0.92
+UNION ALL SELECT first, doc_id, 1.0 FROM c WHERE doc_id <> first""")
 def neardup_docs(s, d):
     return search.sparse_pairs(_docs(s, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding FROM embeddings),
-near AS (SELECT b.i, list(a.i) AS earlier FROM v a JOIN v b ON a.i < b.i WHERE {_cos('a.embedding', 'b.embedding')} >= 0.3 GROUP BY b.i),
+@query(f"""WITH RECURSIVE {_LINKED}, v AS (SELECT row_number() OVER (ORDER BY ord) AS i, ord FROM c),
+near AS (SELECT y.i, list(x.i) AS earlier FROM p JOIN v x ON p.a = x.ord JOIN v y ON p.b = y.ord GROUP BY y.i),
 rows AS MATERIALIZED (SELECT v.i, coalesce(near.earlier, []) AS earlier FROM v LEFT JOIN near USING (i)),
 r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS leaders, NULL::BIGINT AS leader
   UNION ALL SELECT x.i, CASE WHEN len(list_intersect(x.earlier, r.leaders)) = 0 THEN list_append(r.leaders, x.i) ELSE r.leaders END, list_min(list_intersect(x.earlier, r.leaders))
-  FROM r JOIN rows x ON x.i = r.i + 1)
-SELECT p.vec_id AS page, l.vec_id AS leader, CASE WHEN l.i <> p.i THEN round({_cos('l.embedding', 'p.embedding')}, 4) END AS similarity
-FROM r JOIN v p ON p.i = r.i JOIN v l ON l.i = coalesce(r.leader, r.i)""")
+  FROM r JOIN rows x ON x.i = r.i + 1),
+led AS (SELECT y.ord, l.ord AS leader, CASE WHEN l.i <> y.i THEN round(p.similarity, 4) END AS similarity
+  FROM r JOIN v y ON y.i = r.i JOIN v l ON l.i = coalesce(r.leader, r.i) LEFT JOIN p ON p.a = l.ord AND p.b = y.ord)
+SELECT m.ord AS page, led.leader, CASE WHEN m.ord = led.ord THEN led.similarity ELSE coalesce(led.similarity, 1.0) END AS similarity
+FROM m JOIN c ON m.v = c.v JOIN led ON led.ord = c.ord""")
 def neardup_groups(s, d):
-    return search.collapse(D.page_vectors(s, d), 0.3)
+    return search.collapse(D.mirrored_vectors(s, d))
 
 
 @query("SELECT min(doc_id) AS canonical, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")

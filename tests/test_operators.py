@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import schemas
-from quillon.operators import chunk, discover, events, graph, ingest, report, search, triage
+from quillon.operators import chunk, discover, events, graph, ingest, metric, report, search, triage
 from quillon.operators import claims as C
 from quillon.plans import research
 from quillon.sources import files, payloads
@@ -168,13 +168,62 @@ def test_leaders_against_loop(spark):
     assert got == want
 
 
-def test_blocked_pairs_equal_exact(spark):
-    rng = np.random.default_rng(5)
-    base = rng.normal(size=(30, 16))
-    v = np.concatenate([base, base + rng.normal(size=base.shape) * 0.05])
-    pages = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "ord long, vector array<double>")
-    exact = {(r["a"], r["b"]) for r in search.similar_pairs(pages, exact=True).collect()}
-    assert {(r["a"], r["b"]) for r in search.similar_pairs(pages, exact=False).collect()} == exact and len(exact) >= 30
+def clustered(n, clusters=40, width=16, seed=5):
+    """Vectors about a few directions, among them mirrors and copies."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(clusters, width))
+    v = centre[rng.integers(0, clusters, n)] + rng.normal(size=(n, width)) * 0.25
+    v[n // 2 :: 3] = v[: len(v[n // 2 :: 3])] + rng.normal(size=(len(v[n // 2 :: 3]), width)) * 0.02
+    v[n // 2 + 1 :: 7] = v[: len(v[n // 2 + 1 :: 7])]
+    return v
+
+
+@pytest.mark.parametrize("block_rows", [None, 60])
+def test_metric_join_equals_product(spark, block_rows):
+    v = clustered(900)
+    pages = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [0.0] * 16), (5004, [1.0, 0.0]), (5005, [0.9, 0.1]), (5006, [None, 1.0])], "ord long, vector array<double>")
+    reps, copies = metric.classes(pages)
+    got = metric.mirror_pairs(reps, 0.92, block_rows).toPandas()
+    first = {tuple(x): i for i, x in reversed(list(enumerate(v.tolist())))}
+    rows = sorted(first.values())
+    unit = v[rows] / np.linalg.norm(v[rows], axis=1)[:, None]
+    i, j = np.nonzero(np.triu(unit @ unit.T, 1) >= 0.92)
+    want = {(rows[a], rows[b]) for a, b in zip(i, j, strict=True)} | {(5004, 5005)}
+    assert not got.duplicated(["a", "b"]).any() and set(zip(got["a"], got["b"], strict=True)) == want and len(want) > 200
+    assert {(r["first"], r["page"]) for r in copies.collect()} == {(first[tuple(x)], i) for i, x in enumerate(v.tolist()) if first[tuple(x)] != i}
+    with pytest.raises(ValueError):
+        metric.mirror_pairs(reps, 0.0)
+
+
+def test_metric_join_compares_neighbours_only(spark):
+    """With clusters as many as their data need, comparisons grow far slower than the square."""
+    compared = []
+    for n in (4_000, 16_000):
+        rng = np.random.default_rng(1)
+        centre = rng.normal(size=(n // 100, 24))
+        v = centre[rng.integers(0, len(centre), n)] + rng.normal(size=(n, 24)) * 0.03
+        reps, _ = metric.classes(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "ord long, vector array<double>"))
+        _, cells = metric.dealt(reps, 100)
+        compared.append(cells.compared(float(np.arccos(0.92))))
+    assert np.log(compared[1] / compared[0]) / np.log(4) < 1.4, compared
+    assert compared[1] < 0.1 * 16_000**2 / 2
+
+
+def test_copies_are_linear(spark):
+    pages = spark.range(400).select(F.col("id").alias("ord"), F.array(F.lit(1.0), F.when(F.col("id") % 2 == 0, 0.0).otherwise(0.2)).alias("vector"))
+    assert metric.mirror_links(pages, 0.92).count() == 1 + 398
+    assert {r["leader"] for r in search.collapse(pages).collect()} == {0}
+    docs = pages.select(F.col("ord").alias("doc_id"), F.lit("equal words of equal texts").alias("text"))
+    assert search.sparse_pairs(docs).count() == 399
+
+
+def test_leaders_of_a_long_chain(spark):
+    """Each page is near the one before it: every other page leads; one turn for each block of pairs."""
+    n = 10_000
+    pairs = spark.range(1, n).select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.lit(0.95).alias("similarity"))
+    for each in (1 << 20, 3_000):
+        got = search.leaders(pairs, spark.range(n).select(F.col("id").alias("ord")), each).toPandas()
+        assert len(got) == n and (got["leader"] == got["page"] - got["page"] % 2).all()
 
 
 def test_similar_pairs_of_many_pages(spark):
