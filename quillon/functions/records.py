@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,22 +14,38 @@ from pyspark.sql import types as T
 from quillon import schemas
 
 
+#: A text whose brackets are open deeper has no value: parsers end somewhere, and a scan that begins
+#: again at each bracket reads a text at most so many times.
+MAX_DEPTH = 500
+
+
+def depth_of(text: str) -> int:
+    """Most brackets that are open at once, those in strings included."""
+    most = now = 0
+    for m in re.finditer(r"[\[\]{}]", text):
+        now = now + 1 if m[0] in "[{" else max(now - 1, 0)
+        most = max(most, now)
+    return most
+
+
 def first_value(text: str | None) -> str | None:
-    """The text itself if it is JSON; else the first complete object or list in it, as JSON."""
+    """The text itself if it is JSON; else the first complete object or list in it, as JSON; null where
+    brackets are open deeper than ``MAX_DEPTH``."""
     if text is None:
         return None
     text = text.strip()
+    if depth_of(text) > MAX_DEPTH:
+        return None
     try:
         return json.dumps(json.loads(text), ensure_ascii=False)
     except ValueError:
         pass
     decoder = json.JSONDecoder()
-    for i, c in enumerate(text):
-        if c in "[{":
-            try:
-                return json.dumps(decoder.raw_decode(text, i)[0], ensure_ascii=False)
-            except ValueError:
-                continue
+    for m in re.finditer(r"[\[{]", text):
+        try:
+            return json.dumps(decoder.raw_decode(text, m.start())[0], ensure_ascii=False)
+        except ValueError:
+            continue
     return None
 
 

@@ -82,49 +82,69 @@ def followable(links: DataFrame, seed_url: Column, pattern: str | None = None, s
     return out
 
 
-def site_crawl(links: DataFrame, pages: DataFrame, seed: str, depth: int = DEFAULT.crawl_depth, limit: int = DEFAULT.crawl_pages, pattern: str | None = None, stay: bool = True, score: float = 0.0) -> DataFrame:
-    """Breadth-first crawl over known pages: (url, depth, ord, success), at most ``limit`` rows.
-
-    ``links``: page_url, pos, href, intrinsic_score; ``pages``: url, success. A page that is absent
+def _popped(level: int, depth: int, limit: int) -> Column:
+    """State of a seed after its queue of one level, taken first in, first out: what was visited,
+    the results, and the next level's queue. Every array has at most a few times ``limit`` elements."""
+    state = F.struct("visited", "results", F.expr("cast(array() as array<string>)").alias("queue"), F.size("entries").alias("left"))
+
+    def step(s: Column, e: Column) -> Column:
+        skip = (F.size(s["results"]) >= limit) | F.array_contains(s["visited"], e["url"])
+        visited = F.when(skip, s["visited"]).otherwise(F.array_append(s["visited"], e["url"]))
+        result = F.struct(e["url"].alias("url"), F.lit(level).alias("depth"), e["success"].alias("success"))
+        results = F.when(skip | e["success"].isNull(), s["results"]).otherwise(F.array_append(s["results"], result))
+        room = F.greatest(F.lit(limit) - F.size(results) - (s["left"] - 1) - F.size(s["queue"]), F.lit(0))
+        unseen = F.filter(e["hrefs"], lambda h: ~F.array_contains(visited, h))
+        grows = ~skip & F.coalesce(e["success"], F.lit(False)) & F.lit(level < depth)
+        queue = F.when(grows, F.concat(s["queue"], F.slice(unseen, F.lit(1), room))).otherwise(s["queue"])
+        return F.struct(visited.alias("visited"), results.alias("results"), queue.alias("queue"), (s["left"] - 1).alias("left"))
+
+    return F.aggregate("entries", state, step)
+
+
+def site_crawls(links: DataFrame, pages: DataFrame, seeds: DataFrame, depth: int = DEFAULT.crawl_depth, limit: int = DEFAULT.crawl_pages, pattern: str | None = None, stay: bool = True, score: float = 0.0, newest: str | None = None) -> DataFrame:
+    """Breadth-first crawls over known pages from every row of ``seeds`` (seed, a URL): (seed, url, depth,
+    ord, success), at most ``limit`` rows a seed.
+
+    ``links``: page_url, pos, href, intrinsic_score; ``pages``: url, success; of rows that repeat a URL the
+    one that is largest in ``newest`` counts, without it any that succeeded. A page that is absent
     fails without using up the cap (as an exception does); one with ``success`` false uses it
-    but is not expanded. Links enter the queue while results and queue are below the cap, so
-    repeated links use up its budget, and later pages may be cut by them. The queue is never
-    longer than ``limit``: each level is a window of so many rows."""
-    spark = links.sparkSession
-    ok = followable(links, F.lit(seed), pattern, stay, score).select(F.col("page_url"), "pos", "href")
-    # the frontier and the result hold at most ``limit`` rows, however large the tables are
-    frontier, results, visited, level = [seed], [], set(), 0
-    while frontier and level <= depth and len(results) < limit:
-        now = spark.createDataFrame([(u, i) for i, u in enumerate(frontier)], "url string, ord long")
-        met = {r["url"]: r["success"] for r in now.select("url").distinct().join(pages.select("url", "success"), "url").limit(limit).collect()}
+    but is not expanded. Links enter a seed's queue while results and queue are below the cap, so
+    repeated links use up its budget, and later pages may be cut by them.
+
+    A level is a join of all seeds' queues with pages and links and a fold over each queue, whose length
+    is at most ``limit``; no step passes through the driver."""
+    known = pages.groupBy("url").agg((F.max_by("success", newest) if newest else F.max("success")).alias("success"))
+    known = known.withColumn("success", F.coalesce("success", F.lit(False)))
+    kinds = "visited array<string>, results array<struct<url:string,depth:int,success:boolean>>, queue array<string>"
+    empty = [F.array().cast(c.split(" ", 1)[1]).alias(c.split(" ", 1)[0]) for c in ("visited array<string>", "results array<struct<url:string,depth:int,success:boolean>>")]
+    state = seeds.select("seed").where("seed IS NOT NULL").distinct().select("seed", *empty, F.array("seed").alias("queue"))
+    links = links.select(F.col("page_url").alias("url"), "pos", "href", "intrinsic_score")
+    for level in range(depth + 1):
+        state = kept(state)
+        waiting = state.where(F.size("queue") > 0)
+        if not waiting.limit(1).count():
+            break
+        entry = waiting.select("seed", "visited", F.posexplode("queue").alias("at", "url"))
+        met = entry.groupBy("seed", "url").agg(F.first("visited").alias("visited")).join(known, "url")
         # enough links of a page for any queue: of each target as many as the cap, of all those
         # that a full level may have visited meanwhile, and the cap again
-        known = F.col("href").isin(list(visited)) if visited else F.lit(False)
-        out = now.groupBy("url").agg(F.min("ord").alias("ord")).join(ok.withColumnRenamed("page_url", "url").where(~known), "url")
-        out = out.withColumn("same", F.row_number().over(Window.partitionBy("url", "href").orderBy("pos"))).where(F.col("same") <= limit)
-        out = out.withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("pos", "href"))).where(F.col("n") <= limit * (limit + 2))
-        following: dict[str, list[str]] = {}
-        if level < depth:
-            for r in out.orderBy("ord", "n").select("url", "href").collect():
-                following.setdefault(r["url"], []).append(r["href"])
-        queue: list[str] = []
-        for i, u in enumerate(frontier):
-            if len(results) >= limit:
-                break
-            if u in visited:
-                continue
-            visited.add(u)
-            if u not in met:
-                continue
-            results.append((u, level, len(results), bool(met[u])))
-            if not met[u] or level >= depth:
-                continue
-            waiting = len(frontier) - i - 1
-            for href in following.get(u, []):
-                if href not in visited and len(results) + waiting + len(queue) < limit:
-                    queue.append(href)
-        frontier, level = queue, level + 1
-    return spark.createDataFrame(results, "url string, depth int, ord long, success boolean")
+        out = followable(met.where("success").join(links, "url"), F.col("seed"), pattern, stay, score).where(~F.array_contains("visited", F.col("href")))
+        out = out.withColumn("same", F.row_number().over(Window.partitionBy("seed", "url", "href").orderBy("pos"))).where(F.col("same") <= limit)
+        out = out.withColumn("n", F.row_number().over(Window.partitionBy("seed", "url").orderBy("pos", "href"))).where(F.col("n") <= limit * (limit + 2))
+        out = out.groupBy("seed", "url").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "href"))), lambda x: x["href"]).alias("hrefs"))
+        rows = entry.drop("visited").join(met.select("seed", "url", "success"), ["seed", "url"], "left").join(out, ["seed", "url"], "left")
+        one = F.struct("at", "url", "success", F.coalesce("hrefs", F.array().cast("array<string>")).alias("hrefs"))
+        taken = rows.groupBy("seed").agg(F.array_sort(F.collect_list(one)).alias("entries"))
+        now = state.join(taken, "seed", "left").withColumn("entries", F.coalesce("entries", F.expr("cast(array() as array<struct<at:int,url:string,success:boolean,hrefs:array<string>>>)")))
+        state = now.withColumn("s", _popped(level, depth, limit)).select("seed", *[f"s.{c.split()[0]}" for c in kinds.split(", ")])
+    found = state.select("seed", F.posexplode("results").alias("ord", "r"))
+    return found.select("seed", "r.url", "r.depth", F.col("ord").cast("long").alias("ord"), "r.success")
+
+
+def site_crawl(links: DataFrame, pages: DataFrame, seed: str, **options) -> DataFrame:
+    """``site_crawls`` from one seed: (url, depth, ord, success)."""
+    seeds = links.sparkSession.createDataFrame([(seed,)], "seed string")
+    return site_crawls(links, pages, seeds, **options).drop("seed")
 
 
 def crawl_stats(crawled: DataFrame) -> DataFrame:

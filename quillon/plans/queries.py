@@ -808,22 +808,39 @@ def followable_links(s, d):
     return graph.followable(links, F.lit("https://h.org/"), pattern="org/a", score=0.5).select("p_partkey")
 
 
-@query(f"""WITH RECURSIVE {D.SQL_EDGES}, a AS (SELECT src, list(dst::BIGINT ORDER BY dst) AS l FROM edges GROUP BY src),
+def _crawled_sql(seeds, depth):
+    """A queue for each seed, popped once a round."""
+    return f"""WITH RECURSIVE {D.SQL_EDGES}, a AS (SELECT src, list(dst::BIGINT ORDER BY dst) AS l FROM edges GROUP BY src),
 k AS (SELECT p_partkey::BIGINT AS u, p_partkey % 7 <> 3 AS ok FROM part WHERE p_partkey % 13 <> 5),
-t AS (SELECT [{{'u': 2::BIGINT, 'd': 0::INT}}] AS q, []::BIGINT[] AS v, []::STRUCT(u BIGINT, d INT, ok BOOLEAN)[] AS r
-  UNION ALL SELECT CASE WHEN seen OR k.u IS NULL OR NOT k.ok OR x.d >= 4 THEN rest
+t AS (SELECT p_partkey::BIGINT AS seed, [{{'u': p_partkey::BIGINT, 'd': 0::INT}}] AS q, []::BIGINT[] AS v, []::STRUCT(u BIGINT, d INT, ok BOOLEAN)[] AS r FROM part WHERE {seeds}
+  UNION ALL SELECT seed, CASE WHEN seen OR k.u IS NULL OR NOT k.ok OR x.d >= {depth} THEN rest
       ELSE list_concat(rest, list_transform(list_slice(list_filter(coalesce(l, []), lambda z: z <> x.u AND NOT list_contains(v, z)), 1, greatest(19 - len(r) - len(rest), 0)), lambda z: {{'u': z, 'd': (x.d + 1)::INT}})) END,
     CASE WHEN seen THEN v ELSE list_append(v, x.u) END,
     CASE WHEN seen OR k.u IS NULL THEN r ELSE list_append(r, {{'u': x.u, 'd': x.d, 'ok': k.ok}}) END
-  FROM (SELECT q[1].u AS u, q[1].d AS d, q[2:] AS rest, v, r, list_contains(v, q[1].u) AS seen FROM t WHERE len(q) > 0 AND len(r) < 20) x LEFT JOIN a ON a.src = x.u LEFT JOIN k ON k.u = x.u),
-e AS (SELECT arg_max(r, len(r)) AS r FROM t)
-SELECT 'https://h.org/' || r[i].u AS url, r[i].d AS depth, i - 1 AS ord, r[i].ok AS success FROM (SELECT r, unnest(generate_series(1, len(r))) AS i FROM e)""")
-def site_crawl(s, d):
+  FROM (SELECT seed, q[1].u AS u, q[1].d AS d, q[2:] AS rest, v, r, list_contains(v, q[1].u) AS seen FROM t WHERE len(q) > 0 AND len(r) < 20) x LEFT JOIN a ON a.src = x.u LEFT JOIN k ON k.u = x.u),
+e AS (SELECT seed, arg_max(r, len(r)) AS r FROM t GROUP BY seed)
+SELECT 'https://h.org/' || seed AS seed, 'https://h.org/' || r[i].u AS url, r[i].d AS depth, i - 1 AS ord, r[i].ok AS success FROM (SELECT seed, r, unnest(generate_series(1, len(r))) AS i FROM e)"""
+
+
+def _site(s, d):
+    """Links of a site, and its pages: each was crawled three times, of which the last counts."""
     e = D.edges(s, d)
     name = lambda c: F.concat(F.lit("https://h.org/"), F.col(c).cast("string"))
     links = e.select(name("src").alias("page_url"), F.row_number().over(Window.partitionBy("src").orderBy("dst")).alias("pos"), name("dst").alias("href"), F.lit(0.5).alias("intrinsic_score"))
-    pages = _parts(s, d).where(F.col("p_partkey") % 13 != 5).select(name("p_partkey").alias("url"), (F.col("p_partkey") % 7 != 3).alias("success"))
-    return graph.site_crawl(links, pages, "https://h.org/2", depth=4, limit=20)
+    pages = _parts(s, d).where(F.col("p_partkey") % 13 != 5).select(name("p_partkey").alias("url"), (F.col("p_partkey") % 7 != 3).alias("last"), F.explode(F.array(F.lit(2), F.lit(3), F.lit(1))).alias("crawl"))
+    return links, pages.select("url", "crawl", F.when(F.col("crawl") == 3, F.col("last")).otherwise(~F.col("last")).alias("success"))
+
+
+@query(f"SELECT url, depth, ord, success FROM ({_crawled_sql('p_partkey = 2', 4)})")
+def site_crawl(s, d):
+    return graph.site_crawl(*_site(s, d), "https://h.org/2", depth=4, limit=20, newest="crawl")
+
+
+@query(_crawled_sql("true", 3))
+def site_crawls(s, d):
+    """A crawl from every page."""
+    seeds = _parts(s, d).select(F.concat(F.lit("https://h.org/"), F.col("p_partkey").cast("string")).alias("seed"))
+    return graph.site_crawls(*_site(s, d), seeds, depth=3, limit=20, newest="crawl")
 
 
 @query(f"""WITH p AS (SELECT doc_id AS ord, list_filter(['the', 'des', 'ation', 'und', 'le', 'que', 'zzz'], lambda q: list_contains({D.sql_words('lower(text)')}, q)) AS hit FROM (FROM documents ORDER BY doc_id LIMIT 30)),

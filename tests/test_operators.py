@@ -312,6 +312,48 @@ def test_site_crawl(spark):
     assert crawl(spark, chain, {s: True, subs[1]: True}, s, limit=2) == [(s, 0, True)]
 
 
+def queue_crawl(links, pages, seed, depth, limit):
+    """The same with a queue, page by page."""
+    queue, visited, results = [(seed, 0)], set(), []
+    while queue and len(results) < limit:
+        u, d = queue.pop(0)
+        if u in visited:
+            continue
+        visited.add(u)
+        if u not in pages:
+            continue
+        results.append((seed, u, d, len(results), pages[u]))
+        if pages[u] and d < depth:
+            for h in links.get(u, []):
+                if h.startswith("https://h.org/") and h not in visited and len(results) + len(queue) < limit:
+                    queue.append((h, d + 1))
+    return results
+
+
+@pytest.mark.parametrize("limit, depth", [(5, 2), (20, 3), (1, 1), (7, 0)])
+def test_crawls_of_many_seeds_equal_queues(spark, limit, depth):
+    """Every page a seed; pages repeat, of which the newest counts; links repeat, lead away, and to absent pages."""
+    rng = random.Random(limit)
+    urls = [f"https://h.org/{i}" for i in range(40)]
+    links = {u: [rng.choice([*urls, "https://else.org/1", "/rel", u]) for _ in range(rng.randrange(12))] for u in urls}
+    links[urls[3]] = [urls[4]] * 60 + [urls[5]]
+    pages = {u: rng.random() < 0.8 for u in urls if rng.random() < 0.85}
+    crawls = [(u, n, ok if n == 3 else not ok) for u, ok in pages.items() for n in (1, 3, 2)]
+    lk = spark.createDataFrame([(p, i, h, 0.5) for p, hs in links.items() for i, h in enumerate(hs)], "page_url string, pos int, href string, intrinsic_score double")
+    got = graph.site_crawls(lk, spark.createDataFrame(crawls, "url string, crawl int, success boolean"), spark.createDataFrame([(u,) for u in [*urls, urls[0], "https://h.org/none", None]], "seed string"), depth, limit, newest="crawl")
+    want = [r for u in urls for r in queue_crawl(links, pages, u, depth, limit)]
+    assert sorted(map(tuple, got.select("seed", "url", "depth", "ord", "success").collect())) == sorted(want)
+
+
+def test_crawl_of_repeated_pages_keeps_urls(spark):
+    s = "https://h.org/"
+    subs = [f"https://h.org/p{i}" for i in range(6)]
+    lk = spark.createDataFrame([(s, i, u, 0.5) for i, u in enumerate(subs)], "page_url string, pos int, href string, intrinsic_score double")
+    for times in (1, 3):
+        pages = spark.createDataFrame([(u, True) for u in [s, *subs] * times], "url string, success boolean")
+        assert [r["url"] for r in graph.site_crawl(lk, pages, s, limit=5).orderBy("ord").collect()] == [s, *subs[:4]]
+
+
 EV = "url string, etld1 string, quote string, publication_date date"
 
 
