@@ -20,6 +20,7 @@ from quillon.lineage import shared_dir
 from quillon.operators import bm25, chunk, discover, events, graph, ingest, metric, report, search, triage
 from quillon.operators import claims as C
 from quillon.sources import payloads
+from quillon.sources.store import KeyedTable
 from quillon.streaming import flows
 
 from . import derived as D
@@ -455,21 +456,36 @@ def _versions(s, d):
     return p.where(F.col("id") % 3 != 0), p.where(F.col("id") % 2 == 0).withColumn("v", F.col("v") + 100)
 
 
+def _kept(s, name, rows):
+    """A keyed table of its own with some rows."""
+    table = KeyedTable(s, _folder(s, name))
+    table.create(rows)
+    return table
+
+
 @query(f"SELECT * FROM ({_NEW}) UNION ALL SELECT o.* FROM ({_OLD}) o ANTI JOIN ({_NEW}) n USING (id)")
 def page_upsert(s, d):
-    return ingest.upsert(*_versions(s, d))
+    old, new = _versions(s, d)
+    table = _kept(s, "pages", old)
+    table.upsert(new)
+    return table.read()
 
 
 @query(f"SELECT * FROM ({_OLD}) UNION ALL SELECT n.* FROM ({_NEW}) n ANTI JOIN ({_OLD}) o USING (id)")
 def insert_ignore(s, d):
-    return ingest.insert_ignore(*_versions(s, d))
+    old, new = _versions(s, d)
+    table = _kept(s, "pages", old)
+    table.insert_ignore(new)
+    return table.read()
 
 
 @query("SELECT page_id::VARCHAR AS id, CASE WHEN page_id % 10 = 3 THEN (page_id - 3)::VARCHAR END AS duplicate_of FROM pages")
 def mark_duplicates(s, d):
     p = ingest.page_rows(D.crawled(s, d)).select("id", "duplicate_of")
     mapping = _pages(s, d).where(F.col("page_id") % 10 == 3).select(F.col("page_id").cast("string").alias("mirror"), (F.col("page_id") - 3).cast("string").alias("canonical"))
-    return ingest.mark_duplicates(p, mapping)
+    table = _kept(s, "pages", p)
+    table.mark_duplicates(mapping)
+    return table.read()
 
 
 def _vectors(s, d):
@@ -479,17 +495,19 @@ def _vectors(s, d):
 @query("SELECT count(*) AS given, count(*) FILTER (vec_id % 2 = 0 AND vec_id % 9 <> 0) AS added, count(*) FILTER (NOT (vec_id % 2 = 0 AND vec_id % 9 <> 0)) AS skipped FROM embeddings")
 def vector_add(s, d):
     v = _vectors(s, d)
-    return ingest.add_vectors(v.where(F.col("id") % 2 == 1), v)[1]
+    return _kept(s, "vectors", v.where(F.col("id") % 2 == 1)).add_vectors(v)
 
 
 @query("SELECT count(*) AS deleted FROM embeddings WHERE label = 4")
 def vector_delete(s, d):
-    return ingest.delete_session(_vectors(s, d), "s4")[1]
+    return _kept(s, "vectors", _vectors(s, d)).delete_session("s4")
 
 
 @query("SELECT vec_id AS id FROM embeddings WHERE label <> 4")
 def vectors_left(s, d):
-    return ingest.delete_session(_vectors(s, d), "s4")[0].select("id")
+    table = _kept(s, "vectors", _vectors(s, d))
+    table.delete_session("s4")
+    return table.read().select("id")
 
 
 @query(f"SELECT url, max(page_id)::VARCHAR AS id FROM (SELECT page_id, {D.sql_canonical()} AS url FROM pages) GROUP BY url")
