@@ -18,12 +18,18 @@ def seconds(ts: Column) -> Column:
 def spans(events: DataFrame, keys: list[str], kind: str = "kind", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Start and end of the spans in each key: an end takes the latest start before it that no
     other end has taken, as a map that holds one start for a key does; a second start replaces
-    the first, an end (or error) without one has no latency. ``kind`` is start, end or error."""
-    w = Window.partitionBy(*keys).orderBy(ts, tie)
-    rows = events.withColumn("before__", F.lag(kind).over(w)).withColumn("since__", F.lag(ts).over(w))
-    paired = F.col("before__") == "start"
-    out = rows.where(F.col(kind) != "start").withColumn("started", F.when(paired, F.col("since__")))
-    return out.withColumn("latency_ms", F.when(F.col(kind) == "end", F.round((seconds(F.col(ts)) - seconds(F.col("started"))) * 1000).cast("long"))).drop("before__", "since__")
+    the first, an end (or error) without one has no latency. ``kind`` is start, end or error. Rows
+    are looked at in parts of a key, and the last row of a part is handed to the next, so that
+    no task holds a key's rows."""
+    rows = _in_parts(events, [*keys, ts, tie])
+    own = Window.partitionBy("part__", *keys).orderBy(ts, tie)
+    row = F.struct(F.col(kind).alias("kind"), F.col(ts).alias("ts"))
+    parts = rows.groupBy("part__", *keys).agg(F.max_by(row, F.struct(ts, tie)).alias("last__"))
+    parts = parts.withColumn("last__", F.lag("last__").over(Window.partitionBy(*keys).orderBy("part__")))
+    rows = _with_parts(rows.withColumn("before__", F.lag(row).over(own)), parts, keys).withColumn("before__", F.coalesce("before__", "last__"))
+    paired = F.col("before__.kind") == "start"
+    out = rows.where(F.col(kind) != "start").withColumn("started", F.when(paired, F.col("before__.ts")))
+    return out.withColumn("latency_ms", F.when(F.col(kind) == "end", F.round((seconds(F.col(ts)) - seconds(F.col("started"))) * 1000).cast("long"))).drop("before__", "last__", "part__")
 
 
 def last_write(changes: DataFrame, keys: list[str], value: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -42,16 +48,19 @@ def retry_outcome(attempts: DataFrame, key: str, retries: int = DEFAULT.retries,
     return out.select(key, F.col("r.attempt").alias("attempts_before"), F.col("r.status_code").alias("status_code"), F.col("r.success").alias("success"), waited.alias("waited"))
 
 
-def _in_parts(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """``rows`` kept in ranges of key and order, which ``part__`` numbers: a key of many rows is in
-    many parts, and those after one hold its later rows."""
-    return kept(rows.repartitionByRange(key, *order)).withColumn("part__", F.spark_partition_id())
+def _in_parts(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` kept in ranges of their order, keys first, which ``part__`` numbers: a key of many rows is
+    in many parts, and those after one hold its later rows."""
+    return kept(rows.repartitionByRange(*order)).withColumn("part__", F.spark_partition_id())
 
 
-def _with_parts(rows: DataFrame, parts: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the columns of their part and key."""
-    other = parts.withColumnsRenamed({"part__": "p__", key: "k__"})
-    return rows.join(other, (F.col("part__") == F.col("p__")) & F.col(key).eqNullSafe(F.col("k__"))).drop("p__", "k__")
+def _with_parts(rows: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of their part and keys."""
+    names = {c: f"k{i}__" for i, c in enumerate(keys)}
+    met = F.col("part__") == F.col("p__")
+    for c, other in names.items():
+        met &= F.col(c).eqNullSafe(F.col(other))
+    return rows.join(parts.withColumnsRenamed({"part__": "p__"} | names), met).drop("p__", *names.values())
 
 
 def rate_schedule(requests: DataFrame, url: str | None = "url", domain: str | None = None, ts: str = "ts", tie: str = "request_id", gap: float = DEFAULT.spacing) -> DataFrame:
@@ -61,7 +70,7 @@ def rate_schedule(requests: DataFrame, url: str | None = "url", domain: str | No
     domain's requests. ``ts`` is in seconds."""
     rows = requests if domain else requests.withColumn("domain", F.coalesce(F.nullif(U.registrable(F.col(url)), F.lit("")), F.col(url)))
     key = domain or "domain"
-    rows = _in_parts(rows, key, ts, tie)
+    rows = _in_parts(rows, [key, ts, tie])
     own = Window.partitionBy("part__", key).orderBy(ts, tie)
     rows = rows.withColumn("i__", F.row_number().over(own) - 1)
     rows = rows.withColumn("slack__", F.max(F.col(ts) - F.col("i__") * gap).over(own.rowsBetween(Window.unboundedPreceding, 0)))
@@ -69,7 +78,7 @@ def rate_schedule(requests: DataFrame, url: str | None = "url", domain: str | No
     parts = rows.groupBy("part__", key).agg(F.count("*").alias("n__"), F.max("slack__").alias("most__"))
     parts = parts.withColumn("ahead__", F.coalesce(F.sum("n__").over(before), F.lit(0)))
     parts = parts.withColumn("most__", F.max(F.col("most__") - F.col("ahead__") * gap).over(before)).drop("n__")
-    rows = _with_parts(rows, parts, key)
+    rows = _with_parts(rows, parts, [key])
     allowed = F.greatest(F.col("slack__") - F.col("ahead__") * gap, "most__") + (F.col("ahead__") + F.col("i__")) * gap
     return rows.withColumn("allowed", allowed).withColumn("wait", F.greatest(F.col("allowed") - F.col(ts), F.lit(0.0))).drop("part__", "i__", "slack__", "ahead__", "most__")
 
@@ -103,11 +112,11 @@ def top_pages(pages: DataFrame, n: int = 5) -> DataFrame:
 
 def peak(samples: DataFrame, value: str, order: str) -> DataFrame:
     """Running maximum of a series in each key ``probe``, in parts of a series, then over these."""
-    rows = _in_parts(samples, "probe", order)
+    rows = _in_parts(samples, ["probe", order])
     own = Window.partitionBy("part__", "probe").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("probe").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("part__", "probe").agg(F.max(value).alias("most__")).withColumn("most__", F.max("most__").over(before))
-    return _with_parts(rows.withColumn("peak", F.max(value).over(own)), parts, "probe").withColumn("peak", F.greatest("peak", "most__")).drop("part__", "most__")
+    return _with_parts(rows.withColumn("peak", F.max(value).over(own)), parts, ["probe"]).withColumn("peak", F.greatest("peak", "most__")).drop("part__", "most__")
 
 
 def research_passes(passes: DataFrame, config: Config = DEFAULT) -> DataFrame:

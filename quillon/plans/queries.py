@@ -990,13 +990,30 @@ def retry_outcome(s, d):
     return events.retry_outcome(D.attempts(s, d), "user_id")
 
 
-@query("""WITH e AS (SELECT event_id AS request_id, user_id % 20 AS dom, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events), i AS (SELECT *, row_number() OVER w - 1 AS i FROM e WINDOW w AS (PARTITION BY dom ORDER BY t, request_id)),
-a AS (SELECT *, max(t - i * 300.0) OVER (PARTITION BY dom ORDER BY t, request_id) + i * 300.0 AS allowed FROM i) SELECT request_id, round(greatest(allowed - t, 0), 3) AS wait FROM a""")
+_SPACED = """WITH e AS (SELECT event_id AS request_id, user_id % 20 AS dom, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events), i AS (SELECT *, row_number() OVER w - 1 AS i FROM e WINDOW w AS (PARTITION BY dom ORDER BY t, request_id)),
+a AS (SELECT *, max(t - i * 300.0) OVER (PARTITION BY dom ORDER BY t, request_id) + i * 300.0 AS allowed FROM i) SELECT request_id, round(greatest(allowed - t, 0), 3) AS wait FROM a"""
+
+
+@query(_SPACED)
 def ratelimit_schedule(s, d):
     e = D.table(s, d, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 20).alias("dom"), events.seconds(F.col("ts")).alias("ts"))
     return events.rate_schedule(e, domain="dom", gap=300.0).select("request_id", F.round("wait", 3).alias("wait"))
 
 
+@query(_SPACED)
+def ratelimit_stream(s, d):
+    """The same of a stream that is stopped after half of the requests have landed and started again."""
+    at = _folder(s, "requests")
+    e = D.table(s, d, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 20).cast("string").alias("domain"), F.col("ts").cast("timestamp").alias("ts"))
+    half = e.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    with flows.rocksdb(s):
+        for landed in (F.col("ts") <= half, F.col("ts") > half):
+            e.where(landed).write.mode("append").parquet(f"{at}/in")
+            stream = flows.rate_limited(s.readStream.schema(e.schema).parquet(f"{at}/in"), gap=300.0)
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return s.read.parquet(f"{at}/out").select("request_id", F.round("wait", 3).alias("wait"))
+
+
 def _sessions(s, d):
     return D.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("last_update"))
 

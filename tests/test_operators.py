@@ -538,6 +538,44 @@ def test_research_loop(spark):
     assert research.called(lambda: {"a": 1}).data == {"a": 1} and not research.called(lambda: 1 / 0).ok
 
 
+def test_a_session_goes_on_where_it_failed(spark, tmp_path):
+    src = "array<struct<url:string,etld1:string,quote:string,publication_date:date>>"
+    schema = f"id string, subtopic_id string, ord int, text string, sources {src}, contradictions {src}"
+    two = [("u1", "a", "", None), ("u2", "b", "", None)]
+    calls, seen, failing = [], [], {("slow", 1, "verify")}
+
+    def phase(name):
+        def run(subtopic, n, before):
+            calls.append((subtopic, n, name))
+            if (subtopic, n, name) in failing:
+                raise RuntimeError("a model is away")
+            if name == "acquire":
+                ids = {"many": [f"m{i}" for i in range(3)], "slow": [f"w{n}-{i}" for i in range(2)]}[subtopic]
+                return spark.createDataFrame([(i, subtopic, k, "t", two if subtopic == "many" else two[:1], []) for k, i in enumerate(ids)], schema)
+            return before.withColumn("text", F.concat("text", F.lit(f" {name}")))
+
+        return run
+
+    stages = {name: phase(name) for name in research.phases("normal")}
+    start = C.enrich(spark.createDataFrame([], schema))
+    once = lambda: research.run_session(f"file://{tmp_path}/s", start, ["many", "slow"], stages, milestone=lambda s, _: seen.append(s))
+    with pytest.raises(RuntimeError):
+        once()
+    assert calls[-1] == ("slow", 1, "verify") and seen == ["many"]
+    done = list(calls[:-1])
+    failing.clear()
+    ledger, passes = once()
+    # what failed is called again, what was done is not
+    assert calls[len(done) + 1] == ("slow", 1, "verify") and len(set(calls)) == len(calls) - 1
+    assert passes == {"many": 1, "slow": 4} and seen == ["many", "slow"]
+    assert ledger.count() == 3 + 8 and ledger.select("text").distinct().count() == 1
+    plain, same = research.research(start, ["many", "slow"], lambda s, n: phase("acquire")(s, n, None))
+    assert same == passes and {r["id"] for r in plain.collect()} == {r["id"] for r in ledger.collect()}
+    calls.clear()
+    again, _ = once()
+    assert not calls and seen == ["many", "slow"] and again.count() == 11
+
+
 def test_aggregated_text(spark):
     p = spark.createDataFrame([(1, "u1", "b"), (0, "u0", "a")], "ord int, url string, fit_markdown string")
     assert graph.aggregated_text(p).first()["text"] == "## Source: u0\n\na\n\n---\n\n## Source: u1\n\nb"

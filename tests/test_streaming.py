@@ -56,3 +56,52 @@ def test_trace_log(spark, tmp_path):
     (tmp_path / "in/a.json").write_text(json.dumps({"ts": "2024-01-01T00:00:00Z", "type": "tool_start", "session_id": "s", "tool": "t"}) + "\n")
     flows.append_trace(flows.trace_events(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_rate_limit_restarts_and_forgets(spark, tmp_path):
+    """Three starts of one stream equal the batch form; domains that the watermark has passed leave no state."""
+    rows = [(i, f"d{i % 3}", 1_700_000_000 + i // 2) for i in range(60)] + [(100 + i, "late", 1_700_100_000 + 600 * i) for i in range(4)]
+    requests = spark.createDataFrame(rows, "request_id long, domain string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    folder, progress = str(tmp_path / "in"), str(tmp_path / "cp")
+    cuts = [0, 20, 60, 1000]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        requests.where((F.col("request_id") >= lo) & (F.col("request_id") < hi)).coalesce(1).write.mode("append").parquet(folder)
+        stream = flows.rate_limited(spark.readStream.schema(requests.schema).parquet(folder), gap=3.0)
+        stream.writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = {r["request_id"]: r["allowed"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = events.rate_schedule(requests.withColumn("ts", F.col("t").cast("double")), domain="domain", gap=3.0)
+    assert got == {r["request_id"]: r["allowed"] for r in batch.collect()} and len(got) == 64
+    state = spark.read.format("statestore").option("stateVarName", "following").load(progress)
+    assert {r[0] for r in state.select("key.domain").collect()} == {"late"}
+
+
+def test_spans_that_never_end_are_forgotten(spark, tmp_path):
+    folder, progress = str(tmp_path / "in"), str(tmp_path / "cp")
+    rows = [("slow", 0, "start", 0), ("quick", 1, "start", 5), ("quick", 2, "end", 7)], [("other", 3, "start", 10_000)], [("slow", 4, "end", 10_001)]
+    schema = "key string, event_id long, kind string, ts timestamp"
+    for some in rows:
+        spark.createDataFrame(some, "key string, event_id long, kind string, t long").select("key", "event_id", "kind", F.timestamp_seconds(F.col("t") + 1_700_000_000).alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+        flows.span_latency(spark.readStream.schema(schema).parquet(folder), "key", expire=60).writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["event_id"], r["latency_ms"]) for r in got) == [(2, 2000), (4, None)]
+
+
+def test_spans_of_a_hot_key_in_parts(spark):
+    """All rows in one key: the partitions of its range share them, and the pairs equal a walk."""
+    df = spark.range(6_000).select(F.lit(1).alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 2).alias("ts"), F.when(F.xxhash64("id") % 3 == 0, "end").when(F.xxhash64("id") % 7 == 0, "error").otherwise("start").alias("kind"))
+    # so few rows would share a partition
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = events._in_parts(df, ["user_id", "ts", "event_id"]).groupBy("part__").count().collect()
+        got = {r["event_id"]: r["latency_ms"] for r in events.spans(df, ["user_id"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 6_000 * 0.7
+    want, begun = {}, None
+    for r in df.orderBy("event_id").collect():
+        if r["kind"] == "start":
+            begun = r["event_id"]
+            continue
+        want[r["event_id"]] = (r["event_id"] - begun) * 2000 if begun is not None and r["kind"] == "end" else None
+        begun = None
+    assert got == want
