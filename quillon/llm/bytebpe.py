@@ -78,15 +78,17 @@ class Encoder:
     #: Strings and ids kept; then all are sought again.
     KEEP, POOL = 300_000, 8 << 20
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, plain_special: bool = False):
+        """``plain_special``: strings of special tokens in a text are text."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.encode_special_tokens = plain_special
         parts = json.loads(definition)
         pre = parts["pre_tokenizer"] or {}
         #: Whether the pattern is the one that this class knows.
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not parts["normalizer"] and not any(a[c] for a in parts["added_tokens"] for c in ("lstrip", "rstrip", "single_word"))
-        self.special = [t["content"].encode() for t in parts["added_tokens"]]
+        self.special = [] if plain_special else [t["content"].encode() for t in parts["added_tokens"]]
         small = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.code, self.kind = ("H", np.dtype("<u2")) if small else ("I", np.dtype("<u4"))
         letters = {b: c for c, b in byte_alphabet().items()}

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as k
+from .bytebpe import Encoder
 
 ROLES = ("system", "user", "assistant")
 END = "</turn>"
@@ -78,13 +79,14 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        self.encoder = Encoder(definition, plain_special=True)
         top = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.role_ids = {r: top + i for i, r in enumerate(ROLES)}
         self.other_id, self.name_end_id, self.end_id = top + 3, top + 4, top + 5
         self.first_reserved = top
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [ids.astype(np.uint32) for ids in self.encoder.many(pa.array(texts, pa.string()))]
 
     def head(self, role: str | None) -> np.ndarray:
         """Ids before the text of a turn."""
