@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.lineage import ranked
+from quillon.lineage import kept, ranked
 
 # Headings and placeholders of the report.
 SECTIONS = ("## Coverage", "## Contradictions", "### Factual & Methodological Contradictions", "### Temporal Drift", "## Sources")
@@ -14,6 +14,14 @@ NO_DRIFT = "_No temporal drift detected._"
 DRIFT_NOTE = "_Informational: the following reflect how the field evolved over time rather than genuine factual conflicts._"
 NO_SOURCES = "_No cited sources._"
 COVERAGE, CONTRADICTIONS, GENUINE, DRIFT, SOURCES = SECTIONS
+# Words of its lines and of the checkpoints.
+CLAIM = "- Claim `"
+SOURCE_OF, DATED, CONFIDENCE = "contradicting source: ", "dated ", "confidence "
+GAP = "> Coverage gap: no claims gathered for subtopic(s): "
+COVERED, MISSING = "covered", "MISSING — coverage gap"
+COVERAGE_LINE = "- `%s` (%s): %s — %d claim(s), %d kept"
+PLAN_HEAD = "=== Checkpoint 1: Research Plan ==="
+DRAFT_HEAD = "=== Checkpoint 2: Draft Report ==="
 
 
 def coverage(subtopics: DataFrame, claims: DataFrame) -> DataFrame:
@@ -32,10 +40,12 @@ def contradictions(claims: DataFrame) -> DataFrame:
     place in the claim."""
     rows = claims.select(F.col("id").alias("claim_id"), F.col("ord").alias("claim_ord"), "text", F.posexplode("contradictions").alias("pos", "c"))
     rows = rows.select("claim_id", "claim_ord", "text", "pos", "c.*")
-    # there are three buckets, so a window would sort each in one task
-    rows, _ = ranked(rows, ["conflict_type", F.desc("confidence_score"), "claim_ord", "pos"], "place__")
-    first = rows.groupBy("conflict_type").agg(F.min("place__").alias("first__"))
-    return rows.join(F.broadcast(first), "conflict_type").withColumn("rank", F.col("place__") - F.col("first__") + 1).drop("place__", "first__")
+    rows = kept(rows).withColumn("row__", F.monotonically_increasing_id())
+    # there are three buckets, so a window would sort each in one task; only keys are sorted, texts stay
+    places, _ = ranked(rows.select("row__", F.col("conflict_type").alias("type__"), "confidence_score", "claim_ord", "pos"), ["type__", F.desc("confidence_score"), "claim_ord", "pos"], "place__")
+    first = places.groupBy("type__").agg(F.min("place__").alias("first__"))
+    places = places.join(F.broadcast(first), "type__").select("row__", (F.col("place__") - F.col("first__") + 1).alias("rank"))
+    return rows.join(places, "row__").drop("row__")
 
 
 def sources(claims: DataFrame) -> DataFrame:
@@ -48,19 +58,19 @@ def contradiction_line():
     """Line of a contradiction row."""
     tail = F.filter(
         F.array(
-            F.when(F.col("url") != "", F.concat(F.lit("contradicting source: "), F.col("url"))),
-            F.when(F.col("publication_date").isNotNull(), F.concat(F.lit("dated "), F.col("publication_date").cast("string"))),
-            F.concat(F.lit("confidence "), F.format_string("%.2f", F.col("confidence_score"))),
+            F.when(F.col("url") != "", F.concat(F.lit(SOURCE_OF), F.col("url"))),
+            F.when(F.col("publication_date").isNotNull(), F.concat(F.lit(DATED), F.col("publication_date").cast("string"))),
+            F.concat(F.lit(CONFIDENCE), F.format_string("%.2f", F.col("confidence_score"))),
             F.when(F.col("quote") != "", F.concat(F.lit('"'), F.trim("quote"), F.lit('"'))),
         ),
         lambda x: x.isNotNull(),
     )
-    return F.concat(F.lit("- Claim `"), F.col("claim_id").cast("string"), F.lit("`: "), F.trim("text"), F.lit(" ("), F.array_join(tail, "; "), F.lit(")"))
+    return F.concat(F.lit(CLAIM), F.col("claim_id").cast("string"), F.lit("`: "), F.trim("text"), F.lit(" ("), F.array_join(tail, "; "), F.lit(")"))
 
 
 def coverage_line():
-    state = F.when(F.col("covered"), "covered").otherwise("MISSING — coverage gap")
-    return F.format_string("- `%s` (%s): %s — %d claim(s), %d kept", F.col("id"), F.col("question"), state, F.col("total_claims"), F.col("kept"))
+    state = F.when(F.col("covered"), COVERED).otherwise(MISSING)
+    return F.format_string(COVERAGE_LINE, F.col("id"), F.col("question"), state, F.col("total_claims"), F.col("kept"))
 
 
 def document(subtopics: DataFrame, claims: DataFrame, body: str = "", title: str = "Research Report") -> DataFrame:
@@ -70,7 +80,7 @@ def document(subtopics: DataFrame, claims: DataFrame, body: str = "", title: str
     cover = coverage(subtopics, claims).withColumn("line", coverage_line()).orderBy("ord").select("id", "line", "covered").collect()
     head = [f"# {title}", "", COVERAGE, "", *[r.line for r in cover]]
     if missing := [f"`{r.id}`" for r in cover if not r.covered]:
-        head += ["", f"> Coverage gap: no claims gathered for subtopic(s): {', '.join(missing)}"]
+        head += ["", f"{GAP}{', '.join(missing)}"]
     head += ["", ""] + ([body.strip(), ""] if body.strip() else []) + [CONTRADICTIONS, "", GENUINE]
     kind = F.when(F.col("conflict_type") == "factual", 0).when(F.col("conflict_type") == "methodological", 1).otherwise(2)
     held = contradictions(claims).select(kind.alias("k"), F.col("rank").cast("long").alias("minor"), contradiction_line().alias("line"))
@@ -123,11 +133,11 @@ def plan_summary(plans: DataFrame) -> DataFrame:
     """Text of a plan for review."""
     lines = F.transform("subtopics", lambda s: F.format_string("  - [%s] %s (target_evidence=%d)", s["id"], s["question"], s["target_evidence"]))
     head = F.format_string("depth=%s  subtopics=%d  seed_urls=%d", F.col("depth"), F.size("subtopics"), F.size("seed_urls"))
-    return plans.withColumn("summary", F.concat_ws("\n", F.lit("=== Checkpoint 1: Research Plan ==="), head, lines))
+    return plans.withColumn("summary", F.concat_ws("\n", F.lit(PLAN_HEAD), head, lines))
 
 
 def draft_summary(draft):
-    return F.concat(F.lit("=== Checkpoint 2: Draft Report ===\n("), F.length(draft).cast("string"), F.lit(" chars)"))
+    return F.concat(F.lit(f"{DRAFT_HEAD}\n("), F.length(draft).cast("string"), F.lit(" chars)"))
 
 
 def url_list(urls: DataFrame) -> DataFrame:

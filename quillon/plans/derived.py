@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.config import DROPPED_TAGS, TRACKING_KEYS, TRACKING_PREFIX
 from quillon.operators import claims as C
 
 QUERY = "why is the attion of thanedble and the reting in tionoring"
@@ -176,7 +177,7 @@ def sql_canonical(url: str = "url") -> str:
     bare = f"CASE WHEN {scheme} = 'http' THEN regexp_replace({host}, ':80$', '') WHEN {scheme} = 'https' THEN regexp_replace({host}, ':443$', '') ELSE {host} END"
     path = f"coalesce(nullif(regexp_replace(regexp_extract({url}, '^[^:]+://[^/?#]*([^?#]*)', 1), '/+$', ''), ''), '/')"
     query = f"""array_to_string(list_sort(list_filter(string_split(regexp_extract({url}, '\\?([^#]*)', 1), '&'),
-      lambda x: regexp_matches(x, '=.') AND NOT regexp_matches(lower(x), '^(utm_|(ref|fbclid|gclid|mc_cid|mc_eid)=)'))), '&')"""
+      lambda x: regexp_matches(x, '=.') AND NOT regexp_matches(lower(x), '^({TRACKING_PREFIX}|({'|'.join(TRACKING_KEYS)})=)'))), '&')"""
     return f"{scheme} || '://' || {bare} || {path} || CASE WHEN {query} = '' THEN '' ELSE '?' || {query} END"
 
 
@@ -185,13 +186,10 @@ SQL_REGISTRABLE = """CASE WHEN len(string_split(h, '.')) < 2 OR regexp_matches(h
     THEN CASE WHEN len(string_split(h, '.')) < 3 THEN '' ELSE array_to_string(string_split(h, '.')[-3:], '.') END
   ELSE array_to_string(string_split(h, '.')[-2:], '.') END"""
 
-_TAGS = ("nav", "footer", "aside", "header", "script", "style", "form")
-
-
 def sql_text(html: str = "html", clean: bool = True) -> str:
     if clean:
         html = f"regexp_replace({html}, '<!--.*?-->', ' ', 'gs')"
-        for t in _TAGS:
+        for t in DROPPED_TAGS:
             html = f"regexp_replace({html}, '(?is)<{t}(?:\\s[^>]*)?>.*?</{t}>', ' ', 'g')"
     return f"trim(regexp_replace(regexp_replace({html}, '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g'))"
 

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon import schemas
+from quillon.config import STOP_WORDS
 from quillon.functions import policy as P
 from quillon.functions import records as R
 from quillon.functions import text as T
 from quillon.functions import url as U
 from quillon.functions import values as V
 from quillon.lineage import shared_dir
-from quillon.operators import bm25, chunk, discover, events, graph, ingest, metric, report, search, triage
+from quillon.operators import bm25, chunk, discover, events, graph, ingest, metric, report, search, suffix, triage
 from quillon.operators import claims as C
 from quillon.sources import payloads
 from quillon.sources.store import KeyedTable
@@ -97,6 +98,24 @@ def registrable_domains(s, d):
     return _pages(s, d).select(h.alias("host")).distinct().withColumn("etld1", U.registrable(F.col("host")))
 
 
+#: Rules of every kind for the hosts of ``_suffixed``.
+_RULES = ["// own rules", "com", "net", "org", "uk", "co.uk", "*.ck", "!www.ck", "jp", "*.kobe.jp", "!city.kobe.jp", "example.net // private"]
+_ENDINGS = ["", ".co.uk", ".any.ck", ".ck", ".kobe.jp", ".x.kobe.jp", ".unlisted"]
+_RULE_ROWS = "r AS (SELECT * FROM (VALUES ('com', 0), ('net', 0), ('org', 0), ('uk', 0), ('co.uk', 0), ('ck', 1), ('www.ck', 2), ('jp', 0), ('kobe.jp', 1), ('city.kobe.jp', 2), ('example.net', 0)) AS v(base, kind))"
+
+
+@query(f"""WITH {_RULE_ROWS}, h AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) || {_ENDINGS}[page_id % 7 + 1] AS h FROM pages),
+e AS (SELECT page_id, h, string_split(h, '.') AS l, unnest(range(1, len(string_split(h, '.')) + 1)) AS k FROM h),
+m AS (SELECT page_id, max(CASE kind WHEN 0 THEN k WHEN 1 THEN k + 1 END) FILTER (k + (kind = 1)::INT <= len(l)) AS most, max(k - 1) FILTER (kind = 2) AS ex FROM e JOIN r ON r.base = array_to_string(l[len(l) - k + 1:], '.') GROUP BY page_id)
+SELECT h.page_id, CASE WHEN len(string_split(h, '.')) > coalesce(ex, most, 1) THEN array_to_string(string_split(h, '.')[len(string_split(h, '.')) - coalesce(ex, most, 1):], '.') ELSE '' END AS etld1
+FROM h LEFT JOIN m USING (page_id)""")
+def suffix_rules(s, d):
+    rules = suffix.rules_of(s.createDataFrame([(r,) for r in _RULES], "value string"))
+    ending = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("page_id") % 7 + 1).cast("int"))
+    rows = _pages(s, d).select("page_id", F.concat(F.lit("https://u@"), U.host(F.col("url")), ending, F.lit(":8080/p?q")).alias("url"))
+    return suffix.registrable_domains(rows, rules).select("page_id", "etld1")
+
+
 @query("SELECT page_id, page_id % 5 <> 0 AS same, contains(url, 'example.com') AS found, contains(url, '(') AS literal FROM pages")
 def url_predicates(s, d):
     other = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("url", "://", "://x.")).otherwise(F.concat("url", F.lit("&z=1")))
@@ -144,7 +163,7 @@ def source_resolution(s, d):
 
 # Triage
 
-_STOP = "'a','an','and','are','as','at','be','by','did','do','does','for','from','how','in','into','is','it','its','of','on','or','that','the','this','to','was','were','what','when','where','which','who','whom','why','with'"
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
 @query(f"""WITH q AS (SELECT doc_id, text AS q FROM documents), k AS (SELECT doc_id, q, list_filter({D.sql_words("lower(q)")}, lambda w: w NOT IN ({_STOP})) AS w FROM q)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import schemas
-from quillon.operators import chunk, discover, events, graph, ingest, metric, report, search, triage
+from quillon.operators import chunk, discover, events, graph, ingest, metric, report, search, suffix, triage
 from quillon.operators import claims as C
 from quillon.plans import research
 from quillon.sources import files, payloads
@@ -633,3 +633,27 @@ def test_repeated_links_use_the_budget(spark):
     pages = {s: True, **dict.fromkeys(subs, True)}
     assert [u for u, _, _ in crawl(spark, links, pages, s, limit=4)] == [s, subs[0]]
     assert [u for u, _, _ in crawl(spark, links, pages, s, limit=20)] == [s, subs[0], subs[1], subs[2]]
+
+
+@pytest.mark.parametrize(
+    "host, want",
+    [
+        ("com", ""), ("name.com", "name.com"), ("a.b.name.com", "name.com"), ("NAME.com.", "name.com"),
+        ("unlisted", ""), ("name.unlisted", "name.unlisted"), ("b.name.unlisted", "name.unlisted"),
+        ("uk", ""), ("co.uk", ""), ("shop.co.uk", "shop.co.uk"), ("a.shop.co.uk", "shop.co.uk"), ("shop.uk", "shop.uk"),
+        ("ck", ""), ("any.ck", ""), ("a.any.ck", "a.any.ck"), ("b.a.any.ck", "a.any.ck"), ("www.ck", "www.ck"), ("www.www.ck", "www.ck"),
+        ("jp", ""), ("town.jp", "town.jp"), ("kobe.jp", "kobe.jp"), ("c.kobe.jp", ""), ("b.c.kobe.jp", "b.c.kobe.jp"), ("city.kobe.jp", "city.kobe.jp"), ("www.city.kobe.jp", "city.kobe.jp"),
+        ("10.0.0.1", ""), ("[::1]", ""), ("", ""), (None, ""),
+    ],
+)
+def test_suffix_rules(suffixes, host, want):
+    assert suffixes[host] == want
+
+
+@pytest.fixture(scope="module")
+def suffixes(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("rules") / "rules.txt"
+    path.write_text("// a comment\n\ncom\nuk\nco.uk   // commercial\n*.ck\n!www.ck\njp\n*.kobe.jp\n!city.kobe.jp\n")
+    hosts = ["com", "name.com", "a.b.name.com", "NAME.com.", "unlisted", "name.unlisted", "b.name.unlisted", "uk", "co.uk", "shop.co.uk", "a.shop.co.uk", "shop.uk", "ck", "any.ck", "a.any.ck", "b.a.any.ck", "www.ck", "www.www.ck", "jp", "town.jp", "kobe.jp", "c.kobe.jp", "b.c.kobe.jp", "city.kobe.jp", "www.city.kobe.jp", "10.0.0.1", "[::1]", "", None]
+    rows = spark.createDataFrame([(h, h and f"https://me@{h}:81/p") for h in hosts], "h string, url string")
+    return {r["h"]: r["etld1"] for r in suffix.registrable_domains(rows, suffix.read_rules(spark, f"file://{path}")).collect()}

@@ -12,9 +12,8 @@ def test_query_equals_sql(spark, name):
     same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
