@@ -20,7 +20,11 @@ def independent(etld_a: Column, etld_b: Column, cosine: Column, config: Config =
 
 def independent_count(sources: Column, cosine=None, config: Config = DEFAULT) -> Column:
     """Size of the set that grows, in order, by each source independent of all in it.
-    ``cosine(a, b)`` gives the likeness of two sources; none means 0."""
+    ``cosine(a, b)`` gives the likeness of two sources; none means 0, and the set is then one source
+    of each publisher and all without one, which takes a pass instead of a comparison of each with all taken."""
+    if cosine is None and config.mirror_cosine > 0:
+        known = F.filter(F.transform(sources, lambda s: s["etld1"]), lambda e: e != "")
+        return F.size(sources) - F.size(known) + F.size(F.array_distinct(known))
     near = cosine or (lambda a, b: F.lit(0.0))
 
     def grow(taken: Column, s: Column) -> Column:
@@ -31,6 +35,12 @@ def independent_count(sources: Column, cosine=None, config: Config = DEFAULT) ->
 
 
 def disputed(sources: Column, contradictions: Column, cosine=None, config: Config = DEFAULT) -> Column:
+    """Whether a contradiction is independent of a source; without ``cosine`` none is only where all of both
+    are of one known publisher."""
+    if cosine is None and config.mirror_cosine > 0:
+        names = F.transform(F.concat(*[F.transform(x, lambda s: s["etld1"]) for x in (sources, contradictions)]), lambda e: F.coalesce(e, F.lit("")))
+        one = ~F.array_contains(names, "") & (F.size(F.array_distinct(names)) == 1)
+        return (F.size(contradictions) > 0) & (F.size(sources) > 0) & ~one
     near = cosine or (lambda a, b: F.lit(0.0))
     return F.exists(contradictions, lambda c: F.exists(sources, lambda s: independent(c["etld1"], s["etld1"], near(c, s), config)))
 
