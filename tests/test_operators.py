@@ -657,3 +657,32 @@ def suffixes(spark, tmp_path_factory):
     hosts = ["com", "name.com", "a.b.name.com", "NAME.com.", "unlisted", "name.unlisted", "b.name.unlisted", "uk", "co.uk", "shop.co.uk", "a.shop.co.uk", "shop.uk", "ck", "any.ck", "a.any.ck", "b.a.any.ck", "www.ck", "www.www.ck", "jp", "town.jp", "kobe.jp", "c.kobe.jp", "b.c.kobe.jp", "city.kobe.jp", "www.city.kobe.jp", "10.0.0.1", "[::1]", "", None]
     rows = spark.createDataFrame([(h, h and f"https://me@{h}:81/p") for h in hosts], "h string, url string")
     return {r["h"]: r["etld1"] for r in suffix.registrable_domains(rows, suffix.read_rules(spark, f"file://{path}")).collect()}
+
+
+def test_landed_responses(spark, tmp_path):
+    """A folder for each source and query; only the files of asked sources are read, failures are rows."""
+    put = {
+        ("duckduckgo", "old maps"): '[{"href": "https://a.test/1", "title": "A"}, {"title": "no link"}]',
+        ("duckduckgo", "new maps"): "timed out",
+        ("semantic_scholar", "old maps"): '{"data": [{"title": "P", "url": "https://p.test"}]}',
+        ("google_serp", "old maps"): '{"error": "quota"}',
+        ("google_serp", "new maps"): '{"organic": [{"link": "https://g.test"}]}',
+        ("arxiv", "old maps"): "<feed><entry><id>http://arxiv.test/1</id><title>T</title></entry></feed>",
+        ("other", "old maps"): "{}",
+    }
+    for (source, query), text in put.items():
+        folder = tmp_path / f"source={source}" / f"query={query}"
+        folder.mkdir(parents=True)
+        (folder / "page1.txt").write_text(text)
+    at = f"file://{tmp_path}"
+    got = payloads.landed_hits(spark, at, ["google_serp", "duckduckgo", "arxiv", "semantic_scholar", "none"])
+    assert sorted((r["query"], r["source"], r["src_ord"], r["url"]) for r in got.collect()) == [
+        ("new maps", "google_serp", 0, "https://g.test"),
+        ("old maps", "arxiv", 2, "http://arxiv.test/1"),
+        ("old maps", "duckduckgo", 1, "https://a.test/1"),
+        ("old maps", "semantic_scholar", 3, "https://p.test"),
+    ]
+    assert sorted(rows(payloads.failures(payloads.landed(spark, at)))) == [("duckduckgo", "new maps", "no JSON"), ("google_serp", "old maps", "quota")]
+    one = payloads.landed(spark, at).where((F.col("source") == "arxiv") & (F.col("query") == "old maps"))
+    assert one.count() == 1 and "PartitionFilters: [isnotnull(source" in one._jdf.queryExecution().toString()
+    assert payloads.landed_hits(spark, at, ["none"]).count() == 0
