@@ -22,6 +22,7 @@ from quillon.operators import bm25, chunk, discover, events, graph, ingest, metr
 from quillon.operators import claims as C
 from quillon.sources import payloads
 from quillon.sources.store import KeyedTable
+from quillon.sources.textindex import TextIndex
 from quillon.streaming import flows
 
 from . import derived as D
@@ -364,6 +365,19 @@ def bm25_topk(s, d):
     return bm25.top(_docs(s, d), "what are thanedble des attion reting tionoring").select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH w AS (SELECT doc_id, {D.sql_words('lower(text)')} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w),
+f AS (SELECT doc_id, l, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM w) GROUP BY ALL),
+k AS (SELECT item_id, text, list_filter({D.sql_words("lower(text)")}, lambda x: x NOT IN ({_STOP})) AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN {D.sql_words("lower(text)")} ELSE w END) AS term FROM k), df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+sc AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 9) AS s FROM q JOIN df USING (term) JOIN f USING (term), st GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, rank::INT AS rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM sc) WHERE rank <= 10""")
+def bm25_index_topk(s, d):
+    """All benchmark items as queries of a stored index of all documents."""
+    index = TextIndex.write(_docs(s, d), _folder(s, "bm25_index_topk"))
+    found = index.search(D.table(s, d, "benchmark"), query_id="item_id", query="text")
+    return found.select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH w AS (SELECT doc_id, {D.sql_words('lower(text)')} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w),
 f AS (SELECT doc_id, len(w) AS l, len(list_filter(w, lambda x: x = 'des')) AS tf FROM w), df AS (SELECT count(*) FILTER (tf > 0) AS df FROM f)
 SELECT doc_id FROM f, df, st WHERE tf > 0 AND ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a)) >= 1.0""")
