@@ -7,6 +7,32 @@ from pyspark.sql import functions as F
 
 from quillon.config import BLOG_PARTS, DEFAULT, DOC_PARTS, DROPPED_TAGS, STOP_WORDS, Config
 
+# Markup and what it becomes, in the order in which it is put.
+MARKDOWN_RULES = (
+    (r"(?is)<head(?:\s[^>]*)?>.*?</head>", " "),
+    (r"\s+", " "),
+    *((rf"(?i) ?<h{n}(?:\s[^>]*)?> ?", "\n\n" + "#" * n + " ") for n in range(1, 7)),
+    (r"(?i) ?</h[1-6]> ?", "\n\n"),
+    (r"(?i) ?<li(?:\s[^>]*)?> ?(?:<p(?:\s[^>]*)?> ?)?", "\n- "),
+    (r"(?i) ?</li> ?", ""),
+    (r"(?i) ?</t[dh]> ?", " | "),
+    (r"(?i) ?<hr(?:\s[^>]*)?/?> ?", "\n\n---\n\n"),
+    (r"(?i) ?<br(?:\s[^>]*)?/?> ?", "\n"),
+    (r"(?i) ?<blockquote(?:\s[^>]*)?> ?(?:<p(?:\s[^>]*)?> ?)?", "\n\n> "),
+    (r"(?i) ?</?(?:p|div|ul|ol|section|article|main|body|html|table|tr|blockquote|pre|figure)(?:\s[^>]*)?> ?", "\n\n"),
+    (r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "**"),
+    (r"(?i)</?(?:i|em)(?:\s[^>]*)?>", "*"),
+    (r"(?i)</?code(?:\s[^>]*)?>", "`"),
+    (r'(?i)<img\s[^>]*?alt="([^"]*)"[^>]*>', "$1"),
+    (r'(?i)<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>', "[$2]($1)"),
+    (r"<[^>]*>", ""),
+    (r"[ ]*\n[ ]*", "\n"),
+    (r"\n(?:-\n)+", "\n"),
+    (r"\n{3,}", "\n\n"),
+    (r"^\s+|\s+$", ""),
+)
+MARKDOWN_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&"))
+
 
 def words(text: Column) -> Column:
     """White-space separated words; none for null and blank texts."""
@@ -112,6 +138,32 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(clean_html(html), r"(?s)<[^>]*>", " "), r"\s+", " "))
 
 
+def markdown(html: Column, clean: bool = True) -> Column:
+    """Markdown of HTML, cleaned first or as it is: headings, list items, links, emphasis, code, quotes,
+    rules, cells and paragraphs. A definition of our own: blocks are parted by a blank line, items by a
+    line end; white space runs within a line are one blank; what markup is left goes; null stays
+    null. Entities are resolved last, so that they never become markup."""
+    out = clean_html(html) if clean else html
+    for pattern, put in MARKDOWN_RULES:
+        out = F.regexp_replace(out, pattern, put)
+    for entity, char in MARKDOWN_ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return out
+
+
+def sections(text: Column) -> Column:
+    """Sections of Markdown, in order: level of the heading (0 before the first), heading and body."""
+    parts = F.filter(F.split(F.concat(F.lit("\n"), text), r"\n(?=#{1,6} )"), lambda p: F.trim(F.replace(p, F.lit("\n"), F.lit(" "))) != "")
+
+    def section(part):
+        mark = F.regexp_extract(part, r"^(#{1,6}) ", 1)
+        head = F.regexp_extract(part, r"^#{1,6} ([^\n]*)", 1)
+        body = F.regexp_replace(F.regexp_replace(part, r"^#{1,6} [^\n]*", ""), r"^\n+|\n+$", "")
+        return F.struct(F.length(mark).alias("level"), head.alias("heading"), body.alias("body"))
+
+    return F.transform(parts, section)
+
+
 def raw_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"\s+", " "))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.config import DROPPED_TAGS, TRACKING_KEYS, TRACKING_PREFIX
 from quillon.operators import claims as C
+from quillon.functions.text import MARKDOWN_ENTITIES, MARKDOWN_RULES
 
 QUERY = "why is the attion of thanedble and the reting in tionoring"
 
@@ -194,5 +195,16 @@ def sql_text(html: str = "html", clean: bool = True) -> str:
     return f"trim(regexp_replace(regexp_replace({html}, '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g'))"
 
 
+def sql_markdown(html: str = "html") -> str:
+    out = f"regexp_replace({html}, '<!--.*?-->', ' ', 'gs')"
+    for t in DROPPED_TAGS:
+        out = f"regexp_replace({out}, '(?is)<{t}(?:\\s[^>]*)?>.*?</{t}>', ' ', 'g')"
+    for pattern, put in MARKDOWN_RULES:
+        out = f"regexp_replace({out}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
+    for entity, char in MARKDOWN_ENTITIES:
+        out = f"replace({out}, '{entity}', '{char}')"
+    return out
+
+
 def sql_words(text: str) -> str:
     return f"list_filter(regexp_split_to_array(coalesce({text}, ''), '\\s+'), lambda w: w <> '')"

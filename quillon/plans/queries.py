@@ -267,6 +267,24 @@ def html_text(s, d):
     return _pages(s, d).select("page_id", F.md5(T.fit_or_raw(fit, raw).cast("binary")).alias("fit"), F.md5(raw.cast("binary")).alias("raw"), T.word_count(fit).cast("long").alias("fit_words"))
 
 
+@query(f"""WITH m AS (SELECT page_id, {D.sql_markdown()} AS m FROM pages)
+SELECT page_id, md5(m) AS markdown, length(m) AS n_chars, len(regexp_extract_all(m, '\\[[^\\]]*\\]\\([^)]*\\)')) AS n_links FROM m""")
+def page_markdown(s, d):
+    p = _pages(s, d).select("page_id", T.markdown(F.col("html")).alias("m"))
+    found = F.size(F.regexp_extract_all("m", F.lit(r"\[[^\]]*\]\([^)]*\)"), F.lit(0)))
+    return p.select("page_id", F.md5(F.col("m").cast("binary")).alias("markdown"), F.length("m").cast("long").alias("n_chars"), found.cast("long").alias("n_links"))
+
+
+@query(f"""WITH m AS (SELECT page_id, regexp_replace(chr(10) || {D.sql_markdown()}, '\\n(#{{1,6}} )', chr(1) || '\\1', 'g') AS m FROM pages),
+p AS (SELECT page_id, list_filter(string_split(m, chr(1)), lambda x: trim(replace(x, chr(10), ' ')) <> '') AS parts FROM m),
+x AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS pos FROM p)
+SELECT page_id, pos::INT AS pos, length(regexp_extract(part, '^(#{{1,6}}) ', 1)) AS level, regexp_extract(part, '^#{{1,6}} ([^\\n]*)', 1) AS heading,
+md5(regexp_replace(regexp_replace(part, '^#{{1,6}} [^\\n]*', ''), '^\\n+|\\n+$', '', 'g')) AS body FROM x""")
+def page_sections(s, d):
+    p = _pages(s, d).select("page_id", F.posexplode(T.sections(T.markdown(F.col("html")))).alias("pos", "x"))
+    return p.select("page_id", "pos", F.col("x.level").cast("long").alias("level"), "x.heading", F.md5(F.col("x.body").cast("binary")).alias("body"))
+
+
 @query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1), 1) - 1 AS pos FROM pages)
 SELECT page_id::VARCHAR AS page_id, href, pos::INT AS pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') AND regexp_extract(href, '://([^/?#]*)', 1) <> regexp_extract(url, '://([^/?#]*)', 1) THEN 'external' ELSE 'internal' END AS link_type, '' AS text, 0.0::DOUBLE AS total_score FROM l""")
 def page_links(s, d):
