@@ -1,9 +1,11 @@
 """A stored inverted index for BM25: written once, searched for many queries.
 
-Documents are sorted by two minwise words, which brings like texts together, and cut into blocks of at most 64. A row holds what one
-term has in one block: the weight of each document that holds it and the largest of these weights,
-so no row grows with the documents that hold a term. Rows are dealt into folders by a hash of
-their term and sorted in them; a search reads the folders of the terms that it asks for.
+Each partition of the documents is sorted by two minwise words, which brings like texts together, and
+cut into blocks of 64. A row holds what one term has in one block: the documents as a mask, their
+counts and the largest weight among them, so no row grows with the documents that hold a term; one
+more row a block, without a term, holds ids and numbers of words. A block is made in the task that
+reads its texts. Rows are dealt into folders by a hash of their term and sorted in them; a search reads
+the folders of the terms that it asks for.
 
 A search is exact. The largest weights bound the score that a block can give; the blocks of largest
 bound are scored first, and of the others only those whose bound reaches the k-th score found there.
@@ -16,7 +18,11 @@ document, find nothing. ``index.json`` is written last: without it a folder is n
 from __future__ import annotations
 
 import json
+import re
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +33,95 @@ from quillon.operators.bm25 import K1, B
 
 from . import fs
 
-BLOCK_BITS = 6
+BLOCK = 64  # documents that a mask holds
 CELLS = 64
 LEADS = 4
 SLACK = 1e-8  # more than rounding can take from a bound
+_IDS = -1  # the folder of rows without a term
+_WORD = re.compile("[^ \\t\\n\\x0b\\f\\r]+")
 
 
 def _cell(cells: int):
-    return F.pmod(F.xxhash64("term"), F.lit(cells)).cast("int")
+    return F.when(F.col("term").isNull(), F.lit(_IDS)).otherwise(F.pmod(F.xxhash64("term"), F.lit(cells)).cast("int"))
+
+
+def _types(id_type: str) -> str:
+    return f"term string, block long, n int, best double, mask long, tfs array<int>, ids array<{id_type}>, lens array<int>"
+
+
+def _blocks(k1: float, b: float, mean: float):
+    """Rows of all blocks of a partition, a block at a time."""
+
+    def block(ids: list, texts: list, number: int, id_type: pa.DataType) -> pa.RecordBatch:
+        masks, counts, best, lens = {}, {}, {}, []
+        for slot, text in enumerate(texts):
+            found = _WORD.findall(text)
+            lens.append(len(found))
+            norm = k1 * (1 - b + b * len(found) / mean)
+            tf = {}
+            for word in found:
+                tf[word] = tf.get(word, 0) + 1
+            for word, n in tf.items():
+                masks[word] = masks.get(word, 0) | 1 << slot
+                counts.setdefault(word, []).append(n)
+                best[word] = max(best.get(word, 0.0), n * (k1 + 1) / (n + norm))
+        terms = list(masks)
+        none = [None] * len(terms)
+        columns = {
+            "term": pa.array([*terms, None], pa.string()),
+            "block": pa.array([number] * (len(terms) + 1), pa.int64()),
+            "n": pa.array([*(len(counts[t]) for t in terms), len(ids)], pa.int32()),
+            "best": pa.array([*best.values(), None], pa.float64()),
+            "mask": pa.array([*(m - (1 << 64) if m >> 63 else m for m in masks.values()), None], pa.int64()),
+            "tfs": pa.array([*counts.values(), None], pa.list_(pa.int32())),
+            "ids": pa.array([*none, ids], pa.list_(id_type)),
+            "lens": pa.array([*none, lens], pa.list_(pa.int32())),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 33
+        ids, texts, id_type = [], [], None
+        for batch in batches:
+            id_type = batch.schema.field("id").type
+            for at in range(0, batch.num_rows, BLOCK):
+                piece = batch.slice(at, BLOCK)
+                ids += piece.column("id").to_pylist()
+                texts += piece.column("text").to_pylist()
+                if len(ids) >= BLOCK:
+                    yield block(ids[:BLOCK], texts[:BLOCK], number, id_type)
+                    ids, texts, number = ids[BLOCK:], texts[BLOCK:], number + 1
+        if ids:
+            yield block(ids, texts, number, id_type)
+
+    return run
+
+
+def _scores(k: int, k1: float, b: float, mean: float):
+    """Of each pair of a query and a block, the documents whose score is among the block's ``k`` largest."""
+
+    def run(batches):
+        for batch in batches:
+            q, at, ids, score = [], [], [], []
+            for i, row in enumerate(batch.select(["block", "terms", "ids", "lens"]).to_pylist()):
+                norm = k1 * (1 - b + b * np.array(row["lens"], dtype=float) / mean)
+                total = np.zeros(len(norm))
+                for t in row["terms"]:
+                    slots = np.flatnonzero(np.unpackbits(np.array([t["mask"]], dtype="<i8").view(np.uint8), bitorder="little"))
+                    tf = np.array(t["tfs"], dtype=float)
+                    total[slots] += t["idf"] * tf * (k1 + 1) / (tf + norm[slots])
+                total = np.round(total, 9)
+                held = np.flatnonzero(total > 0)
+                if len(held) > k:
+                    held = held[total[held] >= np.sort(total[held])[-k]]
+                q += [i] * len(held)
+                at += [row["block"] * BLOCK + int(s) for s in held]
+                ids += [row["ids"][s] for s in held]
+                score += total[held].tolist()
+            columns = [batch.column("q").take(pa.array(q, pa.int64())), pa.array(at, pa.int64()), pa.array(ids, batch.schema.field("ids").type.value_type), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["q", "at", "id", "score"])
+
+    return run
 
 
 class TextIndex:
@@ -44,26 +131,23 @@ class TextIndex:
 
     @classmethod
     def write(
-        cls, docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text",
-        block_bits: int = BLOCK_BITS, cells: int = CELLS, k1: float = K1, b: float = B,
+        cls, docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", cells: int = CELLS, k1: float = K1, b: float = B
     ) -> TextIndex:
         spark, path = docs.sparkSession, path.rstrip("/")
-        rows = docs.select(F.col(id_column).alias("id"), words(F.lower(F.col(text))).alias("w"))
-        least = [F.array_min(F.transform("w", lambda x, seed=seed: F.xxhash64(F.lit(seed), x))).alias(f"least{seed}") for seed in range(2)]
-        rows = rows.select("id", "w", F.size("w").alias("len"), *least, F.monotonically_increasing_id().alias("row"))
-        order = ["least0", "least1", "len", "row"]
-        placed = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "w", "len")).withColumn("at", F.monotonically_increasing_id())
-        n, mean = placed.agg(F.count("*"), F.avg("len")).first()
-        counted = placed.select("id", "len", "at", F.explode("w").alias("term")).groupBy("term", "at", "id", "len").agg(F.count("*").alias("tf"))
-        weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
-        entries = counted.select("term", F.shiftright("at", block_bits).alias("block"), F.struct("at", "id", weight.alias("weight")).alias("e"))
-        blocks = entries.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("e.weight").alias("best"), F.collect_list("e").alias("entries"))
+        rows = docs.select(F.col(id_column).alias("id"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
+        w = words(F.col("text"))
+        n, mean = rows.agg(F.count("*"), F.avg(F.size(w))).first()
+        mean = mean or 1.0
+        least = [F.array_min(F.transform(w, lambda x, seed=seed: F.xxhash64(F.lit(seed), x))) for seed in range(2)]
+        id_type = rows.schema["id"].dataType.simpleString()
+        like = rows.select("id", "text", *[c.alias(f"least{i}") for i, c in enumerate(least)])
+        made = like.sortWithinPartitions("least0", "least1").select("id", "text").mapInArrow(_blocks(k1, b, mean), _types(id_type))
         order = ["cell", "term", "block"]
-        blocks.withColumn("cell", _cell(cells)).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("cell").parquet(f"{path}/postings")
-        postings = spark.read.schema(_schema(placed)).parquet(f"{path}/postings")
+        made.withColumn("cell", _cell(cells)).hint("rebalance", "cell").sortWithinPartitions(*order).write.partitionBy("cell").parquet(f"{path}/postings")
+        postings = spark.read.schema(f"{_types(id_type)}, cell int").parquet(f"{path}/postings").where(F.col("cell") != _IDS)
         terms = postings.groupBy("cell", "term").agg(F.sum("n").alias("df"))
         terms.sortWithinPartitions("cell", "term").write.partitionBy("cell").parquet(f"{path}/terms")
-        facts = {"documents": n, "cells": cells, "id": id_column, "id_type": placed.schema["id"].dataType.simpleString()}
+        facts = {"documents": n, "mean": mean, "k1": k1, "b": b, "cells": cells, "id": id_column, "id_type": id_type}
         fs.write_new(spark, f"{path}/index.json", json.dumps(facts))
         return cls(spark, path)
 
@@ -82,15 +166,18 @@ class TextIndex:
         idf = F.log(1 + (self.facts["documents"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
         return kept(asked.join(terms, ["cell", "term"]).select("q", "cell", "term", idf.alias("idf"))), cells
 
-    def _scored(self, pairs: DataFrame, asked: DataFrame, cells: list[int]) -> DataFrame:
-        """Scores of all documents in pairs of a query and a block."""
-        postings = self._read("postings", self._types(), cells).select("cell", "term", "block", "entries")
-        found = pairs.select("q", "block").join(asked, "q").join(postings, ["cell", "term", "block"])
-        each = found.select("q", "idf", F.explode("entries").alias("e")).groupBy("q", F.col("e.at").alias("at"), F.col("e.id").alias("id"))
-        return each.agg(F.round(F.sum(F.col("idf") * F.col("e.weight")), 9).alias("score"))
+    def _postings(self, cells: list[int]) -> DataFrame:
+        return self._read("postings", f"{_types(self.facts['id_type'])}, cell int", cells)
 
-    def _types(self) -> str:
-        return _posting_types(self.facts["id_type"])
+    def _scored(self, pairs: DataFrame, asked: DataFrame, cells: list[int], k: int) -> DataFrame:
+        """Scores of the best documents in pairs of a query and a block."""
+        f = self.facts
+        postings = self._postings(cells).select("cell", "term", "block", "mask", "tfs")
+        found = pairs.select("q", "block").join(asked, "q").join(postings, ["cell", "term", "block"])
+        each = found.groupBy("q", "block").agg(F.collect_list(F.struct("idf", "mask", "tfs")).alias("terms"))
+        whole = each.join(self._postings([_IDS]).select("block", "ids", "lens"), "block").select("q", "block", "terms", "ids", "lens")
+        types = f"q {pairs.schema['q'].dataType.simpleString()}, at long, id {f['id_type']}, score double"
+        return whole.mapInArrow(_scores(k, f["k1"], f["b"], f["mean"]), types)
 
     @staticmethod
     def _first(scored: DataFrame, k: int) -> DataFrame:
@@ -101,12 +188,12 @@ class TextIndex:
         """Pairs of a query and a block with their bound and whether they are ``lead``, ``read`` or
         ``skipped``; the best of the leading blocks; terms asked for; their folders."""
         asked, cells = self._asked(queries, query_id, query)
-        postings = self._read("postings", self._types(), cells).select("cell", "term", "block", "best")
+        postings = self._postings(cells).select("cell", "term", "block", "best")
         bound = asked.join(postings, ["cell", "term"]).groupBy("q", "block").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"))
         bounds = kept(bound)
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "block"))
         lead = kept(bounds.withColumn("place", place).where(F.col("place") <= leads).select("q", "block"))
-        best = kept(self._first(self._scored(lead, asked, cells), k))
+        best = kept(self._first(self._scored(lead, asked, cells, k), k))
         floors = best.where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
         state = F.when(F.col("led"), "lead").when(F.col("floor").isNull() | (F.col("bound") + SLACK >= F.col("floor")), "read").otherwise("skipped")
         marked = bounds.join(lead.withColumn("led", F.lit(True)), ["q", "block"], "left").join(floors, "q", "left")
@@ -116,14 +203,6 @@ class TextIndex:
         """The ``k`` best documents of each query: query id, rank from 1, document id, score and the
         score squashed to [0, 1]; ties to the smaller id."""
         pairs, best, asked, cells = self.plan(queries, k, query_id, query, leads)
-        others = self._scored(pairs.where(F.col("state") == "read"), asked, cells)
+        others = self._scored(pairs.where(F.col("state") == "read"), asked, cells, k)
         found = self._first(best.drop("rank").unionByName(others), k)
         return found.select(F.col("q").alias(query_id), "rank", F.col("id").alias(self.facts["id"]), "score", (F.col("score") / (F.col("score") + 1)).alias("relevance"))
-
-
-def _posting_types(id_type: str) -> str:
-    return f"term string, block long, n long, best double, entries array<struct<at: bigint, id: {id_type}, weight: double>>, cell int"
-
-
-def _schema(placed: DataFrame) -> str:
-    return _posting_types(placed.schema["id"].dataType.simpleString())
