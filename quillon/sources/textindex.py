@@ -3,9 +3,9 @@
 Each partition of the documents is sorted by two minwise words, which brings like texts together, and
 cut into blocks of 64. A row holds what one term has in one block: the documents as a mask, their
 counts and the largest weight among them, so no row grows with the documents that hold a term; one
-more row a block, without a term, holds ids and numbers of words. A block is made in the task that
-reads its texts. Rows are dealt into folders by a hash of their term and sorted in them; a search reads
-the folders of the terms that it asks for.
+more row a block, without a term, holds ids and numbers of words. A task that reads texts writes their
+blocks sorted by term; nothing is shuffled, and a scan skips the pages of other terms where a search asks
+for few.
 
 A search is exact. The largest weights bound the score that a block can give; the blocks of largest
 bound are scored first, and of the others only those whose bound reaches the k-th score found there.
@@ -34,15 +34,16 @@ from quillon.operators.bm25 import K1, B
 from . import fs
 
 BLOCK = 64  # documents that a mask holds
-CELLS = 64
 LEADS = 4
+SENT = 100_000  # rows of queries' terms, or of pairs, that go to all tasks; more are shuffled
+TOLD = 1000  # distinct terms that a scan is told
 SLACK = 1e-8  # more than rounding can take from a bound
-_IDS = -1  # the folder of rows without a term
 _WORD = re.compile("[^ \\t\\n\\x0b\\f\\r]+")
 
 
-def _cell(cells: int):
-    return F.when(F.col("term").isNull(), F.lit(_IDS)).otherwise(F.pmod(F.xxhash64("term"), F.lit(cells)).cast("int"))
+def _small(df: DataFrame) -> DataFrame:
+    """Kept rows that are sent to all tasks if they are counted to be few."""
+    return F.broadcast(df) if df.count() <= SENT else df
 
 
 def _types(id_type: str) -> str:
@@ -131,7 +132,7 @@ class TextIndex:
 
     @classmethod
     def write(
-        cls, docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", cells: int = CELLS, k1: float = K1, b: float = B
+        cls, docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", k1: float = K1, b: float = B
     ) -> TextIndex:
         spark, path = docs.sparkSession, path.rstrip("/")
         rows = docs.select(F.col(id_column).alias("id"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
@@ -142,40 +143,40 @@ class TextIndex:
         id_type = rows.schema["id"].dataType.simpleString()
         like = rows.select("id", "text", *[c.alias(f"least{i}") for i, c in enumerate(least)])
         made = like.sortWithinPartitions("least0", "least1").select("id", "text").mapInArrow(_blocks(k1, b, mean), _types(id_type))
-        order = ["cell", "term", "block"]
-        made.withColumn("cell", _cell(cells)).hint("rebalance", "cell").sortWithinPartitions(*order).write.partitionBy("cell").parquet(f"{path}/postings")
-        postings = spark.read.schema(f"{_types(id_type)}, cell int").parquet(f"{path}/postings").where(F.col("cell") != _IDS)
-        terms = postings.groupBy("cell", "term").agg(F.sum("n").alias("df"))
-        terms.sortWithinPartitions("cell", "term").write.partitionBy("cell").parquet(f"{path}/terms")
-        facts = {"documents": n, "mean": mean, "k1": k1, "b": b, "cells": cells, "id": id_column, "id_type": id_type}
+        made.sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+        facts = {"documents": n, "mean": mean, "k1": k1, "b": b, "id": id_column, "id_type": id_type}
         fs.write_new(spark, f"{path}/index.json", json.dumps(facts))
         return cls(spark, path)
 
     # parts of a search
 
-    def _read(self, name: str, schema: str, cells: list[int]) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("cell").isin(cells))
+    def _postings(self) -> DataFrame:
+        return self.spark.read.schema(_types(self.facts["id_type"])).parquet(f"{self.path}/postings")
 
-    def _asked(self, queries: DataFrame, query_id: str, query: str) -> tuple[DataFrame, list[int]]:
-        """Terms of the queries that documents hold, with their weights, and the folders they lie in."""
+    def _of_terms(self, asked: DataFrame) -> DataFrame:
+        """Rows of the terms asked for, once a query."""
+        told = [r[0] for r in asked.select("term").distinct().limit(TOLD + 1).collect()]
+        rows = self._postings().where(F.col("term").isin(told) if len(told) <= TOLD else F.col("term").isNotNull())
+        return rows.join(_small(asked), "term")
+
+    def _asked(self, queries: DataFrame, query_id: str, query: str) -> tuple[DataFrame, DataFrame]:
+        """Terms of the queries that documents hold, with their weights, and the bounds of pairs of a
+        query and a block."""
         kept_words = words(F.lower(keywords(F.col(query))))
-        asked = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("q"), F.explode(F.array_distinct(kept_words)).alias("term"))
-        asked = kept(asked.withColumn("cell", _cell(self.facts["cells"])))
-        cells = sorted(r[0] for r in asked.select("cell").distinct().collect())
-        terms = self._read("terms", "term string, df long, cell int", cells)
+        asked = kept(queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).alias("q"), F.explode(F.array_distinct(kept_words)).alias("term")))
+        met = kept(self._of_terms(kept(asked.select("term").distinct())).select("term", "block", "n", "best"))
+        df = met.groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.log(1 + (self.facts["documents"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        return kept(asked.join(terms, ["cell", "term"]).select("q", "cell", "term", idf.alias("idf"))), cells
-
-    def _postings(self, cells: list[int]) -> DataFrame:
-        return self._read("postings", f"{_types(self.facts['id_type'])}, cell int", cells)
+        asked = kept(asked.join(df, "term").select("q", "term", idf.alias("idf")))
+        bound = met.join(_small(asked), "term").groupBy("q", "block").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"))
+        return asked, kept(bound)
 
-    def _scored(self, pairs: DataFrame, asked: DataFrame, cells: list[int], k: int) -> DataFrame:
-        """Scores of the best documents in pairs of a query and a block."""
+    def _scored(self, pairs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+        """Scores of the best documents in pairs, which are kept, of a query and a block."""
         f = self.facts
-        postings = self._postings(cells).select("cell", "term", "block", "mask", "tfs")
-        found = pairs.select("q", "block").join(asked, "q").join(postings, ["cell", "term", "block"])
+        found = self._of_terms(asked).select("q", "block", "idf", "mask", "tfs").join(_small(pairs.select("q", "block")), ["q", "block"])
         each = found.groupBy("q", "block").agg(F.collect_list(F.struct("idf", "mask", "tfs")).alias("terms"))
-        whole = each.join(self._postings([_IDS]).select("block", "ids", "lens"), "block").select("q", "block", "terms", "ids", "lens")
+        whole = each.join(self._postings().where(F.col("term").isNull()).select("block", "ids", "lens"), "block").select("q", "block", "terms", "ids", "lens")
         types = f"q {pairs.schema['q'].dataType.simpleString()}, at long, id {f['id_type']}, score double"
         return whole.mapInArrow(_scores(k, f["k1"], f["b"], f["mean"]), types)
 
@@ -186,23 +187,20 @@ class TextIndex:
 
     def plan(self, queries: DataFrame, k: int, query_id: str = "query_id", query: str = "query", leads: int = LEADS):
         """Pairs of a query and a block with their bound and whether they are ``lead``, ``read`` or
-        ``skipped``; the best of the leading blocks; terms asked for; their folders."""
-        asked, cells = self._asked(queries, query_id, query)
-        postings = self._postings(cells).select("cell", "term", "block", "best")
-        bound = asked.join(postings, ["cell", "term"]).groupBy("q", "block").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"))
-        bounds = kept(bound)
+        ``skipped``; the best of the leading blocks; terms asked for."""
+        asked, bounds = self._asked(queries, query_id, query)
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "block"))
         lead = kept(bounds.withColumn("place", place).where(F.col("place") <= leads).select("q", "block"))
-        best = kept(self._first(self._scored(lead, asked, cells, k), k))
-        floors = best.where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
+        best = kept(self._first(self._scored(lead, asked, k), k))
+        floors = kept(best.where(F.col("rank") == k).select("q", F.col("score").alias("floor")))
         state = F.when(F.col("led"), "lead").when(F.col("floor").isNull() | (F.col("bound") + SLACK >= F.col("floor")), "read").otherwise("skipped")
-        marked = bounds.join(lead.withColumn("led", F.lit(True)), ["q", "block"], "left").join(floors, "q", "left")
-        return marked.select("q", "block", "bound", state.alias("state")), best, asked, cells
+        marked = bounds.join(_small(lead).withColumn("led", F.lit(True)), ["q", "block"], "left").join(_small(floors), "q", "left")
+        return kept(marked.select("q", "block", "bound", state.alias("state"))), best, asked
 
     def search(self, queries: DataFrame, k: int = DEFAULT.search_results, query_id: str = "query_id", query: str = "query", leads: int = LEADS) -> DataFrame:
         """The ``k`` best documents of each query: query id, rank from 1, document id, score and the
         score squashed to [0, 1]; ties to the smaller id."""
-        pairs, best, asked, cells = self.plan(queries, k, query_id, query, leads)
-        others = self._scored(pairs.where(F.col("state") == "read"), asked, cells, k)
+        pairs, best, asked = self.plan(queries, k, query_id, query, leads)
+        others = self._scored(pairs.where(F.col("state") == "read"), asked, k)
         found = self._first(best.drop("rank").unionByName(others), k)
         return found.select(F.col("q").alias(query_id), "rank", F.col("id").alias(self.facts["id"]), "score", (F.col("score") / (F.col("score") + 1)).alias("relevance"))

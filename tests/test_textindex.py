@@ -57,15 +57,13 @@ def test_most_blocks_are_not_read(spark, tmp_path):
     assert seen["skipped"] > seen.get("read", 0) + seen["lead"] and seen.get("read", 0) + seen["lead"] < 0.5 * 30 * blocks, (seen, blocks)
 
 
-def test_rows_and_folders_are_bounded(spark, index):
-    """A word of all documents is in many rows of at most a block; a query reads its words' folders."""
+def test_rows_are_bounded(spark, index):
+    """A word of all documents is in many rows of at most a block; a scan is told the terms of few queries."""
     built, _ = index
     rows = spark.read.parquet(f"{built.path}/postings")
     assert rows.agg(F.greatest(F.max(F.size("tfs")), F.max(F.size("ids")))).first()[0] <= 64 and rows.where("term = 'every'").count() > 30
-    _, _, _, cells = built.plan(spark.createDataFrame([(1, "s1w1 every")], "query_id int, query string"), 10)
-    assert 1 <= len(cells) <= 2
-    plan = built._postings(cells)._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(cell" in plan or "PartitionFilters: [cell" in plan
+    plan = built._of_terms(spark.createDataFrame([("s1w1",), ("every",)], "term string"))._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term, [" in plan
 
 
 def test_empty_and_unfinished(spark, tmp_path):
