@@ -5,7 +5,7 @@ a contradiction. Hits are pages, dealt to three sources by their id."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.config import DROPPED_TAGS, TRACKING_KEYS, TRACKING_PREFIX
@@ -73,13 +73,28 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step(2, 1).unionByName(step(3, 2))
 
 
+def paper_id(key: Column) -> Column:
+    """An arXiv number for each part key: five digits, and months from 2301 on for what is above them."""
+    month = F.lpad((2301 + F.floor(key / 100_000)).cast("string"), 4, "0")
+    return F.concat(F.lit("arXiv:"), month, F.lit("."), F.lpad((key % 100_000).cast("string"), 5, "0"))
+
+
+def paper_key(id: Column) -> Column:
+    """The part key of a paper's id."""
+    return (F.substring(id, 7, 4).cast("long") - 2301) * 100_000 + F.substring(id, 12, 5).cast("long")
+
+
+def paper_name(id: Column) -> Column:
+    """A paper's id as the SQL shows it: of keys above five digits the first five."""
+    return F.concat(F.lit("arXiv:2301."), F.lpad(paper_key(id).cast("string"), 5, "0"))
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers whose references follow the same edges; ids are arXiv numbers made of part keys."""
-    name = lambda c: F.concat(F.lit("arXiv:2301."), F.lpad(c.cast("string"), 5, "0"))
-    e = edges(spark, sf_dir).groupBy("src").agg(F.array_sort(F.collect_set(name(F.col("dst")))).alias("references"))
+    """Papers whose references follow the same edges; ids are arXiv numbers made of part keys, no two alike."""
+    e = edges(spark, sf_dir).groupBy("src").agg(F.array_sort(F.collect_set(paper_id(F.col("dst")))).alias("references"))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     rows = p.join(e, F.col("p_partkey") == F.col("src"), "left")
-    return rows.select(name(F.col("p_partkey")).alias("paper_id"), F.lpad(F.hex("p_partkey"), 40, "0").alias("s2_paper_id"), F.col("p_name").alias("title"), F.make_date(1980 + F.col("p_size"), F.lit(1), F.lit(1)).alias("publication_date"), "references", F.array().cast("array<string>").alias("citations"))
+    return rows.select(paper_id(F.col("p_partkey")).alias("paper_id"), F.lpad(F.hex("p_partkey"), 40, "0").alias("s2_paper_id"), F.col("p_name").alias("title"), F.make_date(1980 + F.col("p_size"), F.lit(1), F.lit(1)).alias("publication_date"), "references", F.array().cast("array<string>").alias("citations"))
 
 
 def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
