@@ -134,9 +134,11 @@ def crawl_url(pages: DataFrame, url: str) -> DataFrame:
     return pages.where(F.col("url") == url).orderBy(F.desc("crawled_at"), F.desc("page_id")).limit(1)
 
 
-def crawl_many(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """The crawled pages of a list of URLs, in its order; absent pages are failures."""
-    return urls.join(pages, "url", "left").withColumn("success", F.coalesce("success", F.lit(False)) if "success" in pages.columns else F.col("page_id").isNotNull())
+def crawl_many(urls: DataFrame, pages: DataFrame, each: bool = False) -> DataFrame:
+    """The crawled pages of a list of URLs, in its order; absent pages are failures. With ``each`` a
+    page is the answer to one request, whose ``ord`` it has, so that requests that repeat a URL
+    have one row each, with their own outcome."""
+    return urls.join(pages, ["url", "ord"] if each else "url", "left").withColumn("success", F.coalesce("success", F.lit(False)) if "success" in pages.columns else F.col("page_id").isNotNull())
 
 
 def crawl_stats(results: DataFrame) -> DataFrame:

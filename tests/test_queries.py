@@ -7,6 +7,7 @@ from oracle import TABLES, same
 from pyspark.sql import functions as F
 
 from quillon.functions import url as U
+from quillon.functions import values as V
 from quillon.plans import derived as D
 from quillon.plans.queries import ORACLES, QUERIES
 
@@ -28,10 +29,12 @@ def test_entry(spark):
 
 @pytest.fixture(scope="module")
 def grown(tmp_path_factory):
-    """The smallest tables as they are when grown: part keys of more than five digits."""
+    """The smallest tables as they are when grown: part keys of more than five digits, two pages of a URL, any microsecond."""
     at = tmp_path_factory.mktemp("grown")
     keys = "CASE WHEN p_partkey < 100 THEN p_partkey WHEN p_partkey < 150 THEN 11900 + p_partkey ELSE 118500 + p_partkey * 10 END"
-    changed = {"part": f"SELECT * REPLACE ({keys} AS p_partkey) FROM part"}
+    again = "SELECT * REPLACE (page_id + 51 AS page_id) FROM pages"
+    late = "ts + to_microseconds(event_id * 37 % 1000 * 500 + event_id % 2 * 500)"
+    changed = {"part": f"SELECT * REPLACE ({keys} AS p_partkey) FROM part", "pages": f"FROM pages UNION ALL {again}", "events": f"SELECT * REPLACE ({late} AS ts) FROM events"}
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
@@ -39,7 +42,7 @@ def grown(tmp_path_factory):
     return str(at)
 
 
-GROWN = ["citation_bfs", "citation_bfs_gated"]
+GROWN = ["citation_bfs", "citation_bfs_gated", "crawl_many", "span_latency", "strategy_dispatch", "triage_qualified", "triage_scores", "triage_stats"]
 
 
 @pytest.mark.parametrize("name", GROWN)
@@ -52,3 +55,9 @@ def test_papers_have_ids_of_their_own(spark, grown):
     assert len({r["paper_id"] for r in rows}) == len(rows) == 200
     assert all(r["paper_id"] == r["again"] for r in rows)
     assert {r["k"] for r in rows} == {r[0] for r in spark.read.parquet(f"{grown}/part.parquet").select("p_partkey").collect()}
+
+
+def test_small_numbers_below_zero_keep_their_sign(spark):
+    df = spark.createDataFrame([(-1e-7,), (1e-7,), (-0.0,), (-0.0078125,), (0.0078125,), (None,)], "x double")
+    got = [r[0] for r in df.select(V.rounded(F.col("x"), 6)).collect()]
+    assert [str(x) for x in got] == ["-0.0", "0.0", "-0.0", "-0.007813", "0.007813", "None"]
