@@ -32,6 +32,11 @@ def similarity(distance: Column) -> Column:
     return F.round(1 - distance, 4)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double, rounded half away from 0; what is below 0 rounds to -0.0, where ``F.round`` gives 0.0."""
+    return F.round(F.abs(x), places) * F.signum(x)
+
+
 def present(keys: list[str], values: list[Column]) -> Column:
     """Map of the entries that are not null."""
     whole = F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[v.cast("string") for v in values]))
