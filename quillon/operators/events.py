@@ -15,6 +15,11 @@ def seconds(ts: Column) -> Column:
     return ts.cast("timestamp").cast("double")
 
 
+def micros(ts: Column) -> Column:
+    """Whole microseconds, whose differences are exact; doubles of seconds are not."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def spans(events: DataFrame, keys: list[str], kind: str = "kind", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Start and end of the spans in each key: an end takes the latest start before it that no
     other end has taken, as a map that holds one start for a key does; a second start replaces
@@ -29,7 +34,7 @@ def spans(events: DataFrame, keys: list[str], kind: str = "kind", ts: str = "ts"
     rows = _with_parts(rows.withColumn("before__", F.lag(row).over(own)), parts, keys).withColumn("before__", F.coalesce("before__", "last__"))
     paired = F.col("before__.kind") == "start"
     out = rows.where(F.col(kind) != "start").withColumn("started", F.when(paired, F.col("before__.ts")))
-    return out.withColumn("latency_ms", F.when(F.col(kind) == "end", F.round((seconds(F.col(ts)) - seconds(F.col("started"))) * 1000).cast("long"))).drop("before__", "last__", "part__")
+    return out.withColumn("latency_ms", F.when(F.col(kind) == "end", F.round((micros(F.col(ts)) - micros(F.col("started"))) / 1000).cast("long"))).drop("before__", "last__", "part__")
 
 
 def last_write(changes: DataFrame, keys: list[str], value: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
