@@ -4,12 +4,13 @@ Equal vectors are one class, of which the first page stands for the others. The
 vectors is a metric: vectors go to the cell of their nearest pivot, large cells are cut into rings
 by the angle to it, large rings into parts, and two blocks meet only if the triangle inequality
 lets a vector of one come within the threshold's angle of one of the other. What meets is
-compared by products of blocks. Where the data have no clusters every block meets every other, as
+compared by products of blocks, which tasks read from the kept files: each row is shuffled and
+written a fixed number of times, however many blocks meet. Where the data have no clusters every block meets every other, as
 they must; in clustered data a block meets its neighbours only, whatever the number of vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,8 @@ BLOCK = PIVOTS = 1 << 20
 CELLS, RINGS, SALTS = 1024, 64, 16
 #: Angles round; blocks this much farther apart still meet.
 SLACK = 1e-6
+#: Most partitions of blocks on one side of their product, and what a cosine in single precision may be off.
+SIDES, SINGLE = 48, 1e-4
 
 
 def classes(pages: DataFrame, ord_: str = "ord", vector: str = "vector") -> tuple[DataFrame, DataFrame]:
@@ -41,6 +44,11 @@ def classes(pages: DataFrame, ord_: str = "ord", vector: str = "vector") -> tupl
     return reps, copies
 
 
+def matrix(vectors: pa.Array, rows: int) -> np.ndarray:
+    """Vectors of one width as the rows of a matrix of doubles."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+
+
 @dataclass
 class Cells:
     """Blocks of vectors: their width, pivot (-1: none), nearest and farthest angle to it, rows and parts."""
@@ -79,7 +87,7 @@ class Cells:
 
 
 def dealt(reps: DataFrame, block_rows: int | None = None) -> tuple[DataFrame, Cells]:
-    """Vectors (o, v, l) with their block, and the blocks. The driver sees the pivots, a count of each
+    """Vectors (o, v, l, and what else a row has) with their block, and the blocks. The driver sees the pivots, a count of each
     ring and the blocks, never vectors by number of rows."""
     n, width = reps.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     block_rows = block_rows or max(1, BLOCK // width)
@@ -88,7 +96,8 @@ def dealt(reps: DataFrame, block_rows: int | None = None) -> tuple[DataFrame, Ce
     sample = [np.array(r[0], float) / r[1] for r in reps.orderBy(F.xxhash64("v"), "o").select("v", "l").limit(wanted).collect()] if n > block_rows else []
     common = max((len(p) for p in sample), key=[len(p) for p in sample].count) if sample else 0
     pivots = np.array([p for p in sample if len(p) == common and np.isfinite(p).all()]).reshape(-1, max(common, 1))
-    kind = reps.schema["o"].dataType.simpleString()
+    names = ["o", "v", "l", *(c for c in reps.columns if c not in ("o", "v", "l"))]
+    kinds = ", ".join(f"{c} {reps.schema[c].dataType.simpleString()}" for c in names)
 
     def nearest(batches):
         for b in batches:
@@ -97,16 +106,16 @@ def dealt(reps: DataFrame, block_rows: int | None = None) -> tuple[DataFrame, Ce
             pivot, ring = np.full(len(l), -1, np.int32), np.zeros(len(l), np.int32)
             own = np.flatnonzero(sizes == common)
             if len(own) and len(pivots):
-                x = np.array([v.as_py() for v in vectors.take(pa.array(own))], float) / l[own, None]
+                x = matrix(vectors.take(pa.array(own)), len(own)) / l[own, None]
                 cosines = x @ pivots.T
                 fine = np.isfinite(cosines).all(axis=1)
                 best = cosines.argmax(axis=1)
                 angle = np.arccos(np.clip(cosines[np.arange(len(own)), best], -1, 1))
                 pivot[own[fine]] = best[fine]
                 ring[own[fine]] = np.minimum(angle[fine] / np.pi * RINGS, RINGS - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int32()), pa.array(pivot), pa.array(ring)], names=["o", "v", "l", "width", "pivot", "ring"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int32()), pa.array(pivot), pa.array(ring)], names=[*names, "width", "pivot", "ring"])
 
-    rows = kept(reps.select("o", "v", "l").mapInArrow(nearest, f"o {kind}, v array<double>, l double, width int, pivot int, ring int"))
+    rows = kept(reps.select(*names).mapInArrow(nearest, f"{kinds}, width int, pivot int, ring int"))
     counts = sorted(map(tuple, rows.groupBy("width", "pivot", "ring").agg(F.count("*")).collect()))
     step, blocks, table = np.pi / RINGS, [], []
     held: list[tuple] = []
@@ -134,61 +143,74 @@ def dealt(reps: DataFrame, block_rows: int | None = None) -> tuple[DataFrame, Ce
     known = spark.createDataFrame(table, "width int, pivot int, ring int, first int, parts int")
     # at most CELLS * RINGS rows for each width of vectors, of which one has more than one pivot
     placed = rows.join(F.broadcast(known), ["width", "pivot", "ring"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("o"), F.col("parts")).cast("int"))
-    return placed.select("o", "v", "l", "block"), cells
+    return placed.select(*names, "block"), cells
 
 
 def compare(x: np.ndarray, y: np.ndarray, threshold: float, same: bool, tile: int = BLOCK):
-    """(i, j, cosine) of rows of unit vectors that reach the threshold; ``same``: each pair once."""
+    """(i, j) of rows of unit vectors that may reach the threshold, told in single precision; ``same``: each pair once."""
     step = max(1, tile // max(len(y), 1))
+    x, across = x.astype(np.float32), np.ascontiguousarray(y.T, np.float32)
     for at in range(0, len(x), step):
-        i, j = np.nonzero(x[at : at + step] @ y.T >= threshold - 1e-9)
+        i, j = np.nonzero(x[at : at + step] @ across >= np.float32(threshold - SINGLE))
         i = i + at
         if same:
             i, j = i[j > i], j[j > i]
         yield i, j
 
 
+def _read(data: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
+
+
+def meetings(placed: DataFrame, cells: Cells, angle: float, run: Callable[[pa.Table, pa.Table, bool], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``run`` makes of each two blocks of ``dealt`` that meet, and of each block with itself. A block is
+    packed into one row, and rows meet in a product of few partitions, which reads them where they are kept."""
+    sent = placed.sparkSession.sparkContext.broadcast(cells)
+
+    def pack(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, (rows := table.drop_columns(["block"])).schema) as out:
+            out.write_table(rows)
+        met = sent.value.meetings(block, angle).astype(np.int32)
+        return pa.table({"block": pa.array([block], pa.int32()), "met": pa.array([met], pa.list_(pa.int32())), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    sides = max(1, min(len(cells.pivot), SIDES))
+    packed = placed.repartition(sides, "block").groupBy("block").applyInArrow(pack, "block int, met array<int>, data binary")
+    packed = kept(packed.coalesce(sides))
+    left = packed.select(F.col("block").alias("i"), "met", F.col("data").alias("x"))
+    right = packed.select(F.col("block").alias("j"), F.col("data").alias("y")).hint("shuffle_replicate_nl")
+    pairs = left.join(right, F.array_contains("met", F.col("j"))).select("x", F.when(F.col("i") != F.col("j"), F.col("y")).alias("y"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for one, other in zip(b.column("x"), b.column("y"), strict=True):
+                x = _read(one)
+                yield from run(x, _read(other) if other.is_valid else x, not other.is_valid)
+
+    return pairs.mapInArrow(meet, schema)
+
+
 def mirror_pairs(reps: DataFrame, threshold: float, block_rows: int | None = None) -> DataFrame:
     """(a, b, similarity) of ``classes``' representatives whose cosine is at least ``threshold``, above 0; a before b."""
     if threshold <= 0:
         raise ValueError("all pairs reach a threshold of 0; see similar_pairs")
     placed, cells = dealt(reps, block_rows)
-    spark, angle = reps.sparkSession, float(np.arccos(min(threshold, 1.0)))
-    sent = spark.sparkContext.broadcast(cells)
-
-    def meet(batches):
-        for b in batches:
-            for i in b.column(0).to_pylist():
-                met = sent.value.meetings(i, angle)
-                first, second = np.full(len(met), i, np.int32), met.astype(np.int32)
-                # each side of a meeting is a row; a block that meets itself is one side
-                other = second[second != i]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((first, other))), pa.array(np.concatenate((second, np.full(len(other), i, np.int32)))), pa.array(np.concatenate((np.where(second == i, -1, 0), np.ones(len(other), int))).astype(np.int8))], names=["block", "other", "side"])
-
-    count = len(cells.pivot)
-    sides = spark.range(0, count, 1, max(1, min(count, 200))).mapInArrow(meet, "block int, other int, side byte")
-    number = F.least("block", "other").cast("long") * count + F.greatest("block", "other")
-    pairs = placed.join(sides, "block").select(number.alias("pair"), "side", "o", "v", "l")
     kind = reps.schema["o"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        side, l, ids = table["side"].to_numpy(), table["l"].to_numpy(), table["o"].combine_chunks()
-        values = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(l), -1)
-        same = bool(side[0] == -1)
-        first, second = (np.arange(len(side)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        unit, positions = values / l[:, None], np.ascontiguousarray(values.T)
-        for i, j in compare(unit[first], unit[second], threshold, same):
-            i, j = first[i], second[j]
+    def run(x: pa.Table, y: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        (v, l, ids), (w, m, others) = ((matrix(t["v"].combine_chunks(), len(t)), t["l"].to_numpy(), t["o"].combine_chunks()) for t in (x, y))
+        by_position, across = np.ascontiguousarray(v.T), np.ascontiguousarray(w.T)
+        for i, j in compare(v / l[:, None], w / m[:, None], threshold, same):
             # the deciding sum runs by positions, as in SQL
             total = np.zeros(len(i))
-            for position in positions:
-                total += position[i] * position[j]
-            total /= l[i] * l[j]
+            for p, q in zip(by_position, across, strict=True):
+                total += p[i] * q[j]
+            total /= l[i] * m[j]
             good = total >= threshold
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[good])), ids.take(pa.array(j[good])), pa.array(total[good])], names=["x", "y", "similarity"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[good])), others.take(pa.array(j[good])), pa.array(total[good])], names=["x", "y", "similarity"])
 
-    found = pairs.groupBy("pair").applyInArrow(run, f"x {kind}, y {kind}, similarity double")
+    found = meetings(placed, cells, float(np.arccos(min(threshold, 1.0))), run, f"x {kind}, y {kind}, similarity double")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 

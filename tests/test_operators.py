@@ -686,3 +686,27 @@ def test_landed_responses(spark, tmp_path):
     one = payloads.landed(spark, at).where((F.col("source") == "arxiv") & (F.col("query") == "old maps"))
     assert one.count() == 1 and "PartitionFilters: [isnotnull(source" in one._jdf.queryExecution().toString()
     assert payloads.landed_hits(spark, at, ["none"]).count() == 0
+
+
+def test_blocks_meet_without_a_shuffle_of_pairs(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 4))
+    reps, _ = metric.classes(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "ord long, vector array<double>"))
+    found = metric.mirror_pairs(reps, 0.92, 7)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.92), strict=True) if i < j}
+    assert {(r["a"], r["b"]) for r in found.collect()} == want
+
+
+def test_documents_meet_by_short_vectors(spark):
+    rng = np.random.default_rng(6)
+    counts = rng.poisson(0.4, size=(90, 900)) + np.where(np.arange(900) < 3, rng.integers(0, 30, (90, 3)).repeat(300, 1), 0)
+    counts[1] = counts[0]
+    counts[2] = counts[0] + (np.arange(900) == 7)
+    docs = spark.createDataFrame([(i, " ".join(f"w{t}" for t, n in enumerate(c) for _ in range(n))) for i, c in enumerate(counts)] + [(90, None), (91, " ")], "doc_id long, text string")
+    got = {(r["a"], r["b"]): r["similarity"] for r in search.sparse_pairs(docs, 0.92, block_rows=11).collect()}
+    unit = counts / np.linalg.norm(counts, axis=1)[:, None]
+    want = {(i, j): (unit @ unit.T)[i, j] for i, j in zip(*np.nonzero(unit @ unit.T >= 0.92), strict=True) if i < j and i != 1 and (j != 1 or i == 0)}
+    assert len(want) > 50 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
