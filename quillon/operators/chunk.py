@@ -64,18 +64,23 @@ def _splitter(pattern: str):
 
 
 def legacy(text: Column, size: int = 512, overlap: int = 50) -> Column:
-    """Windows of words by the older rule, with their exact places in the joined words."""
-    w = words(text)
-    n, step = F.size(w), max(1, size - overlap)
-    count = F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int")
-
-    def one(i: Column) -> Column:
-        t = _window(w, i * step, size)
-        start = F.length(F.array_join(F.slice(w, F.lit(1), i * step), " "))
-        return F.struct(t.alias("text"), i.alias("chunk_index"), F.least(n - i * step, F.lit(size)).alias("token_count"), start.alias("char_start"), (start + F.length(t)).alias("char_end"))
-
-    empty = F.filter(F.transform(F.sequence(F.lit(0), F.lit(0)), one), lambda _: F.lit(False))
-    return F.when(n == 0, empty).otherwise(F.transform(F.sequence(F.lit(0), count), one))
+    """Windows of words by the older rule, with their exact places in the joined words. Places are running
+    sums over the steps, so each word is measured once and not again for every window behind it."""
+    step = max(1, size - overlap)
+
+    def make(w: Column) -> Column:
+        n = F.size(w)
+        windows = F.sequence(F.lit(0), F.greatest(F.ceil((n - size) / step), F.lit(0)).cast("int"))
+        lengths = F.transform(windows, lambda i: F.length(_window(w, i * step, step)))
+        before = F.aggregate(lengths, F.array(F.lit(-1)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x + 1)))
+
+        def one(i: Column, t: Column, start: Column) -> Column:
+            return F.struct(t.alias("text"), i.alias("chunk_index"), F.least(n - i * step, F.lit(size)).alias("token_count"), start.alias("char_start"), (start + F.length(t)).alias("char_end"))
+
+        placed = _bound(before, lambda p: F.transform(windows, lambda i: _bound(_window(w, i * step, size), lambda t: one(i, t, F.greatest(F.element_at(p, i + 1), F.lit(0))))))
+        return F.filter(placed, lambda _: n > 0)
+
+    return _bound(words(text), make)
 
 
 def located(text: Column, pieces: Column) -> Column:
