@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import url as U
 from quillon.functions import values as V
+from quillon.operators import events
 from quillon.plans import derived as D
 from quillon.plans.queries import ORACLES, QUERIES
 
@@ -65,3 +66,11 @@ def test_small_numbers_below_zero_keep_their_sign(spark):
 
 def test_pairs_of_vectors_are_linked_from_the_lower_threshold(spark):
     assert QUERIES["neardup_pairs"](spark, SMALL).where("similarity < 0.5").count() > 0
+
+
+def test_latencies_are_differences_of_whole_microseconds(spark):
+    base = 1_704_067_200_000_000
+    rows = [(k, base + k * 86_400_137 + part * (k * 1000 + 500), 2 * k + part, ("start", "end")[part]) for k in range(200) for part in (0, 1)]
+    e = spark.createDataFrame(rows, "user_id long, us long, event_id long, kind string").withColumn("ts", F.timestamp_micros("us"))
+    got = {r["user_id"]: r["latency_ms"] for r in events.spans(e, ["user_id"]).collect()}
+    assert got == {k: k + 1 for k in range(200)}
