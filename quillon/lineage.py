@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TASK_ROWS = 250_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Where it is
@@ -29,6 +31,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, key: str, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """``df``, which has about ``rows`` rows, by ``key`` in so many partitions that sorts and groups by it hold
+    ``each`` rows a task, however many there are. A few rows stay where they are."""
+    if rows <= 4 * each:
+        return df
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each)), key)
+
+
 def ranked(df: DataFrame, order: list, name: str = "rank") -> tuple[DataFrame, int]:
     """``df`` with each row's rank from 0 in ``order``, and the number of rows. Rows are sorted by
     ranges and kept, so their places hold; a rank is a row's place in its partition plus the

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.config import DROPPED_TAGS, TRACKING_KEYS, TRACKING_PREFIX
+from quillon.lineage import dealt
 from quillon.operators import claims as C
 from quillon.functions.text import MARKDOWN_ENTITIES, MARKDOWN_RULES
 
 QUERY = "why is the attion of thanedble and the reting in tionoring"
 
+SENT = 1_000_000  # suppliers that go to all tasks, two numbers each
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,7 +32,11 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, su, o = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "orders"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    rows = li.join(su.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(o.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # no step sorts more than a task's share: suppliers are a hashed table, lines are dealt by order in parts of bounded size
+    small = F.broadcast if su.count() <= SENT else lambda t: t.hint("shuffle_hash")
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")
+    rows = li.join(small(su.select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = dealt(rows, "l_orderkey", li.count()).join(o.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(
         F.col("l_orderkey").alias("claim_id"),
         F.col("o_orderpriority").alias("subtopic_id"),

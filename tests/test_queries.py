@@ -1,5 +1,7 @@
 """Every query of the reference's operators against its SQL, at the smallest scale."""
 
+from functools import partial
+
 import duckdb
 import pytest
 from conftest import SMALL
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import url as U
 from quillon.functions import values as V
+from quillon.lineage import dealt
 from quillon.operators import events
 from quillon.plans import derived as D
 from quillon.plans.queries import ORACLES, QUERIES
@@ -74,3 +77,14 @@ def test_latencies_are_differences_of_whole_microseconds(spark):
     e = spark.createDataFrame(rows, "user_id long, us long, event_id long, kind string").withColumn("ts", F.timestamp_micros("us"))
     got = {r["user_id"]: r["latency_ms"] for r in events.spans(e, ["user_id"]).collect()}
     assert got == {k: k + 1 for k in range(200)}
+
+
+@pytest.mark.parametrize("sent", [0, D.SENT])
+def test_evidence_is_dealt_in_parts_of_bounded_size(spark, monkeypatch, sent):
+    """However many lines there are, a task of the queries over claims holds a bounded number of them."""
+    monkeypatch.setattr(D, "dealt", partial(dealt, each=500))
+    monkeypatch.setattr(D, "SENT", sent)
+    sizes = [r["count"] for r in D.evidence(spark, SMALL).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count() and max(sizes) < 1000, sizes
+    for name in ("cited_sources", "claims_status", "contradiction_buckets", "ledger_merge", "source_independence"):
+        same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
