@@ -111,30 +111,28 @@ def site_crawls(links: DataFrame, pages: DataFrame, seeds: DataFrame, depth: int
     but is not expanded. Links enter a seed's queue while results and queue are below the cap, so
     repeated links use up its budget, and later pages may be cut by them.
 
-    A level is a join of all seeds' queues with pages and links and a fold over each queue, whose length
-    is at most ``limit``; no step passes through the driver."""
+    A page's links are gathered once, not for each seed and level; a level is a join of all seeds' queues with the
+    pages and a fold over each queue, whose length is at most ``limit``; no step passes through the driver."""
     known = pages.groupBy("url").agg((F.max_by("success", newest) if newest else F.max("success")).alias("success"))
     known = known.withColumn("success", F.coalesce("success", F.lit(False)))
     kinds = "visited array<string>, results array<struct<url:string,depth:int,success:boolean>>, queue array<string>"
     empty = [F.array().cast(c.split(" ", 1)[1]).alias(c.split(" ", 1)[0]) for c in ("visited array<string>", "results array<struct<url:string,depth:int,success:boolean>>")]
     state = seeds.select("seed").where("seed IS NOT NULL").distinct().select("seed", *empty, F.array("seed").alias("queue"))
     links = links.select(F.col("page_url").alias("url"), "pos", "href", "intrinsic_score")
+    # enough links of a page for any queue: of each target as many as the cap, of all those that a
+    # crawl may have visited, and the cap again; a crawl that stays is on the host of each of its pages
+    out = followable(known.where("success").join(links, "url"), F.col("url"), pattern, stay, score)
+    out = out.withColumn("same", F.row_number().over(Window.partitionBy("url", "href").orderBy("pos"))).where(F.col("same") <= limit)
+    out = out.withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("pos", "href"))).where(F.col("n") <= limit * (limit * (depth + 1) + 1))
+    out = out.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "href"))), lambda x: x["href"]).alias("hrefs"))
+    known = kept(known.join(out, "url", "left").withColumn("hrefs", F.coalesce("hrefs", F.array().cast("array<string>"))))
     for level in range(depth + 1):
         state = kept(state)
         waiting = state.where(F.size("queue") > 0)
         if not waiting.limit(1).count():
             break
-        entry = waiting.select("seed", "visited", F.posexplode("queue").alias("at", "url"))
-        met = entry.groupBy("seed", "url").agg(F.first("visited").alias("visited")).join(known, "url")
-        # enough links of a page for any queue: of each target as many as the cap, of all those
-        # that a full level may have visited meanwhile, and the cap again
-        out = followable(met.where("success").join(links, "url"), F.col("seed"), pattern, stay, score).where(~F.array_contains("visited", F.col("href")))
-        out = out.withColumn("same", F.row_number().over(Window.partitionBy("seed", "url", "href").orderBy("pos"))).where(F.col("same") <= limit)
-        out = out.withColumn("n", F.row_number().over(Window.partitionBy("seed", "url").orderBy("pos", "href"))).where(F.col("n") <= limit * (limit + 2))
-        out = out.groupBy("seed", "url").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "href"))), lambda x: x["href"]).alias("hrefs"))
-        rows = entry.drop("visited").join(met.select("seed", "url", "success"), ["seed", "url"], "left").join(out, ["seed", "url"], "left")
-        one = F.struct("at", "url", "success", F.coalesce("hrefs", F.array().cast("array<string>")).alias("hrefs"))
-        taken = rows.groupBy("seed").agg(F.array_sort(F.collect_list(one)).alias("entries"))
+        rows = waiting.select("seed", F.posexplode("queue").alias("at", "url")).join(known, "url", "left")
+        taken = rows.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("at", "url", "success", "hrefs"))).alias("entries"))
         now = state.join(taken, "seed", "left").withColumn("entries", F.coalesce("entries", F.expr("cast(array() as array<struct<at:int,url:string,success:boolean,hrefs:array<string>>>)")))
         state = now.withColumn("s", _popped(level, depth, limit)).select("seed", *[f"s.{c.split()[0]}" for c in kinds.split(", ")])
     found = state.select("seed", F.posexplode("results").alias("ord", "r"))

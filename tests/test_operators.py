@@ -345,6 +345,24 @@ def test_crawls_of_many_seeds_equal_queues(spark, limit, depth):
     assert sorted(map(tuple, got.select("seed", "url", "depth", "ord", "success").collect())) == sorted(want)
 
 
+def test_crawls_read_links_once(spark):
+    """Not once a level, nor once for each seed that meets a page; a page with many copies of a link to a visited page still gives others."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(pos):
+        read.add(1)
+        return pos
+
+    urls = [f"https://h.org/{i}" for i in range(30)]
+    links = {u: [urls[i - 1]] * 40 + [urls[(i + k) % 30] for k in (1, 2, 3)] for i, u in enumerate(urls)}
+    rows = [(p, i, h, 0.5) for p, hs in links.items() for i, h in enumerate(hs)]
+    lk = spark.createDataFrame(rows, "page_url string, pos int, href string, intrinsic_score double").withColumn("pos", F.udf(counted, "int").asNondeterministic()("pos"))
+    got = graph.site_crawls(lk, spark.createDataFrame([(u, True) for u in urls], "url string, success boolean"), spark.createDataFrame([(u,) for u in urls], "seed string"), 3, 6)
+    want = [r for u in urls for r in queue_crawl(links, dict.fromkeys(urls, True), u, 3, 6)]
+    assert sorted(map(tuple, got.select("seed", "url", "depth", "ord", "success").collect())) == sorted(want)
+    assert read.value == len(rows)
+
+
 def test_crawl_of_repeated_pages_keeps_urls(spark):
     s = "https://h.org/"
     subs = [f"https://h.org/p{i}" for i in range(6)]
