@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import bm25
+from quillon.sources import textindex
 from quillon.sources.textindex import TextIndex
 
 
@@ -45,6 +46,25 @@ def test_search_equals_scan(spark, index):
         assert sorted(got.get(i, [])) == want, text
 
 
+def test_many_queries_equal_few(spark, index, monkeypatch):
+    """Queries that go to all tasks and those that do not find the same."""
+    built, _ = index
+    asked = spark.createDataFrame(QUERIES + [(100 + i, f"every s{i % 30}w{i} s{i * 7 % 30}w3") for i in range(40)], "query_id long, query string")
+    few = sorted(map(repr, built.search(asked, k=5).collect()))
+    monkeypatch.setattr(textindex, "SENT", 0)
+    assert sorted(map(repr, built.search(asked, k=5).collect())) == few and len(few) > 200
+
+
+def test_a_row_is_shuffled_once_for_all_queries(spark, index):
+    """However many queries ask for a term, what a block has of it is one row."""
+    built, _ = index
+    asked = spark.createDataFrame([(i, "every s1w1") for i in range(300)], "query_id long, query string")
+    found = built.search(asked, k=3)
+    assert found.count() == 900 and "block#" in found._jdf.queryExecution().toString()
+    pairs = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in x and "block#" in x]
+    assert pairs and all("Aggregate [block#" in x for x in pairs), pairs
+
+
 def test_most_blocks_are_not_read(spark, tmp_path):
     """Where partitions hold many texts of each subject: blocks that no asked term is in are not met, and
     of the others most are skipped by their bounds."""
