@@ -29,18 +29,19 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(name.alias("source"), src.alias("src_ord"), F.col("page_id").cast("int").alias("rank"), "url", F.lit("").alias("title"), F.lit("").alias("snippet"))
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence whose ``ord`` is what its order goes by, a struct; no step sorts lines or holds more than a task's share."""
     li, su, o = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "orders"))
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    # no step sorts more than a task's share: suppliers are a hashed table, lines are dealt by order in parts of bounded size
+    # suppliers and orders are hashed tables; lines and orders are dealt by order in parts of bounded size
     small = F.broadcast if su.count() <= SENT else lambda t: t.hint("shuffle_hash")
+    n = max(li.count(), o.count())
     li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")
     rows = li.join(small(su.select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = dealt(rows, "l_orderkey", li.count()).join(o.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select(
+    o = o.select("o_orderkey", "o_orderpriority").hint("shuffle_hash")
+    return dealt(rows, "l_orderkey", n).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").alias("claim_id"),
         F.col("o_orderpriority").alias("subtopic_id"),
-        F.row_number().over(order).alias("ord"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("ord"),
         F.when(F.col("l_returnflag") == "R", "contradiction").otherwise("source").alias("side"),
         F.concat(F.lit("https://s"), F.col("l_suppkey").cast("string"), F.lit(".example/"), F.col("l_partkey").cast("string")).alias("url"),
         F.when(F.col("s_nationkey") == 0, "").otherwise(F.col("s_nationkey").cast("string")).alias("etld1"),
@@ -49,8 +50,13 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("claim_id").orderBy("ord")
+    return _lines(spark, sf_dir).withColumn("ord", F.row_number().over(order))
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.gather(evidence(spark, sf_dir))
+    rows = C.gather(_lines(spark, sf_dir))
     return rows.withColumns({"ord": F.col("id"), "text": F.concat(F.lit("claim "), F.col("id").cast("string"))})
 
 

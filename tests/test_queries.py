@@ -88,3 +88,12 @@ def test_evidence_is_dealt_in_parts_of_bounded_size(spark, monkeypatch, sent):
     assert sum(sizes) == spark.read.parquet(f"{SMALL}/lineitem.parquet").count() and max(sizes) < 1000, sizes
     for name in ("cited_sources", "claims_status", "contradiction_buckets", "ledger_merge", "source_independence"):
         same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
+
+
+@pytest.mark.parametrize("name", ["claims_status"])
+def test_queries_over_claims_sort_no_lines(spark, monkeypatch, name):
+    """Suppliers and orders are hashed tables, and a claim's evidence is put in order within its row."""
+    monkeypatch.setattr(D, "dealt", partial(dealt, each=500))
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Window" not in plan and "SortMergeJoin" not in plan
+    same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
