@@ -31,19 +31,26 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def dealt(df: DataFrame, key: str, rows: int, each: int = TASK_ROWS) -> DataFrame:
+def parts(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
+    """So many partitions that a task holds ``each`` of ``rows`` rows, the session's at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def dealt(df: DataFrame, key: str | list[str], rows: int, each: int = TASK_ROWS) -> DataFrame:
     """``df``, which has about ``rows`` rows, by ``key`` in so many partitions that sorts and groups by it hold
     ``each`` rows a task, however many there are. A few rows stay where they are."""
     if rows <= 4 * each:
         return df
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each)), key)
+    return df.repartition(parts(df.sparkSession, rows, each), *([key] if isinstance(key, str) else key))
 
 
-def ranked(df: DataFrame, order: list, name: str = "rank") -> tuple[DataFrame, int]:
+def ranked(df: DataFrame, order: list, name: str = "rank", rows: int = 0, each: int = TASK_ROWS) -> tuple[DataFrame, int]:
     """``df`` with each row's rank from 0 in ``order``, and the number of rows. Rows are sorted by
     ranges and kept, so their places hold; a rank is a row's place in its partition plus the
-    partition's offset. The driver sees one count for each partition, no task sees all rows."""
-    placed = kept(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("at__", F.monotonically_increasing_id())
+    partition's offset. The driver sees one count for each partition, no task sees all rows; where
+    ``df`` is known to have many ``rows``, no task sorts many more than ``each``."""
+    ranges = [parts(df.sparkSession, rows, each), *order] if rows > 4 * each else order
+    placed = kept(df.repartitionByRange(*ranges).sortWithinPartitions(*order)).withColumn("at__", F.monotonically_increasing_id())
     part = F.shiftright("at__", 33)
     total, offsets = 0, []
     for p, n in sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.config import DEFAULT, Config
 from quillon.functions import policy as P
 from quillon.functions import records as R
+from quillon.lineage import dealt
 
 EMPTY_SOURCE = "named_struct('url', '', 'etld1', '', 'quote', '', 'publication_date', CAST(NULL AS DATE))"
 
@@ -75,12 +76,13 @@ def signal_lookup(signals: Column, a: str = "a", b: str = "b", value: str = "cos
     return near
 
 
-def merge(base: DataFrame, new: DataFrame, key: list[str] | None = None, order: str = "ord") -> DataFrame:
+def merge(base: DataFrame, new: DataFrame, key: list[str] | None = None, order: str = "ord", rows: int = 0) -> DataFrame:
     """``base`` and the claims of ``new`` whose key it lacks, the first of each key. The key is the
-    claim id; ``["subtopic_id", "id"]`` keeps equal ids of different subtopics apart."""
+    claim id; ``["subtopic_id", "id"]`` keeps equal ids of different subtopics apart. Where ``new`` is known
+    to have many ``rows``, they are dealt in parts of bounded size."""
     key = key or ["id"]
     first = Window.partitionBy(*key).orderBy(order)
-    fresh = new.withColumn("n__", F.row_number().over(first)).where("n__ = 1").drop("n__")
+    fresh = dealt(new, key, rows).withColumn("n__", F.row_number().over(first)).where("n__ = 1").drop("n__")
     return base.unionByName(fresh.join(base.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 

@@ -3,12 +3,13 @@
 import os
 import random
 from datetime import date, datetime
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon import schemas
+from quillon import lineage, schemas
 from quillon.operators import chunk, discover, events, graph, ingest, metric, report, search, suffix, triage
 from quillon.operators import claims as C
 from quillon.plans import research
@@ -432,6 +433,16 @@ def test_merge_is_stable(spark):
     assert sorted(rows(C.merge(once, new))) == sorted(rows(once))
 
 
+def test_merge_holds_a_bounded_number_of_claims_a_task(spark, monkeypatch):
+    monkeypatch.setattr(C, "dealt", partial(lineage.dealt, each=100))
+    new = spark.range(2000).select("id", F.lit("new").alias("origin"), F.col("id").alias("ord"))
+    base = new.where("id % 3 = 0").withColumn("origin", F.lit("base"))
+    got = C.merge(base, new.unionByName(new), rows=2000)
+    sizes = [r["count"] for r in got.where("origin = 'new'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1333 and max(sizes) < 200, sizes
+    assert sorted(r[0] for r in got.collect()) == list(range(2000))
+
+
 @pytest.mark.parametrize(
     "reply, want, more",
     [
