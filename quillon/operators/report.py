@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.lineage import kept, ranked
+from quillon.lineage import dealt, kept, ranked
 
 # Headings and placeholders of the report.
 SECTIONS = ("## Coverage", "## Contradictions", "### Factual & Methodological Contradictions", "### Temporal Drift", "## Sources")
@@ -41,11 +41,12 @@ def contradictions(claims: DataFrame) -> DataFrame:
     rows = claims.select(F.col("id").alias("claim_id"), F.col("ord").alias("claim_ord"), "text", F.posexplode("contradictions").alias("pos", "c"))
     rows = rows.select("claim_id", "claim_ord", "text", "pos", "c.*")
     rows = kept(rows).withColumn("row__", F.monotonically_increasing_id())
-    # there are three buckets, so a window would sort each in one task; only keys are sorted, texts stay
-    places, _ = ranked(rows.select("row__", F.col("conflict_type").alias("type__"), "confidence_score", "claim_ord", "pos"), ["type__", F.desc("confidence_score"), "claim_ord", "pos"], "place__")
+    # there are three buckets, so a window would sort each in one task; only keys are sorted, in parts of bounded size as in the join
+    n = rows.count()
+    places, _ = ranked(rows.select("row__", F.col("conflict_type").alias("type__"), "confidence_score", "claim_ord", "pos"), ["type__", F.desc("confidence_score"), "claim_ord", "pos"], "place__", n)
     first = places.groupBy("type__").agg(F.min("place__").alias("first__"))
     places = places.join(F.broadcast(first), "type__").select("row__", (F.col("place__") - F.col("first__") + 1).alias("rank"))
-    return rows.join(places, "row__").drop("row__")
+    return dealt(rows, "row__", n).join(dealt(places, "row__", n), "row__").drop("row__")
 
 
 def sources(claims: DataFrame) -> DataFrame:

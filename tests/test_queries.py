@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import url as U
 from quillon.functions import values as V
-from quillon.lineage import dealt
-from quillon.operators import events
+from quillon.lineage import dealt, ranked
+from quillon.operators import events, report
 from quillon.plans import derived as D
 from quillon.plans.queries import ORACLES, QUERIES
 
@@ -95,5 +95,24 @@ def test_queries_over_claims_sort_no_lines(spark, monkeypatch, name):
     """Suppliers and orders are hashed tables, and a claim's evidence is put in order within its row."""
     monkeypatch.setattr(D, "dealt", partial(dealt, each=500))
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "ShuffledHashJoin" in plan and "Window" not in plan and "SortMergeJoin" not in plan
+    assert "ShuffledHashJoin" in plan and "Window" not in plan and "SortMergeJoin [l_" not in plan
     same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
+
+
+@pytest.mark.parametrize("name", ["contradiction_buckets"])
+def test_contradictions_are_ranked_in_parts_of_bounded_size(spark, monkeypatch, name):
+    """However many contradictions there are, a task that ranks them or joins them to their places holds a bounded number."""
+    sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    sorted_in = []
+
+    def watched(*args):
+        out = ranked(*args, each=100)
+        sorted_in.append(sizes(out[0]))
+        return out
+
+    monkeypatch.setattr(report, "dealt", partial(dealt, each=100))
+    monkeypatch.setattr(report, "ranked", watched)
+    got = QUERIES[name](spark, SMALL)
+    joined = sizes(got)
+    assert sum(joined) == sum(sorted_in[0]) > 1000 and max(joined) < 200 and max(sorted_in[0]) < 300, (joined, sorted_in)
+    same(got, ORACLES[name], SMALL)
