@@ -90,7 +90,7 @@ def test_evidence_is_dealt_in_parts_of_bounded_size(spark, monkeypatch, sent):
         same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
 
 
-@pytest.mark.parametrize("name", ["claims_status", "coverage", "coverage_lines", "kept_counts"])
+@pytest.mark.parametrize("name", ["claims_status", "contradiction_scores", "coverage", "coverage_lines", "kept_counts"])
 def test_queries_over_claims_sort_no_lines(spark, monkeypatch, name):
     """Suppliers and orders are hashed tables, and a claim's evidence is put in order within its row."""
     monkeypatch.setattr(D, "dealt", partial(dealt, each=500))
