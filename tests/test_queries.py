@@ -99,7 +99,7 @@ def test_queries_over_claims_sort_no_lines(spark, monkeypatch, name):
     same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
 
 
-@pytest.mark.parametrize("name", ["contradiction_buckets"])
+@pytest.mark.parametrize("name", ["contradiction_buckets", "report_lines"])
 def test_contradictions_are_ranked_in_parts_of_bounded_size(spark, monkeypatch, name):
     """However many contradictions there are, a task that ranks them or joins them to their places holds a bounded number."""
     sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
