@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TASK_ROWS = 250_000
+MOST = 5  # a task may hold so many times its rows before a shuffle has more partitions than it writes straight to files
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,13 +33,19 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def parts(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
-    """So many partitions that a task holds ``each`` of ``rows`` rows, the session's at least."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+    """So many partitions that a task holds ``each`` of ``rows`` rows, the session's at least. For more partitions than
+    Spark writes straight to files a map task sorts its whole split in memory, so their number stays there until a task
+    would hold ``MOST`` times ``each``, and a task never holds more."""
+    n = -(-rows // each)
+    straight = int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    if n > straight:
+        n = max(straight, -(-rows // (MOST * each)))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
 
 
 def dealt(df: DataFrame, key: str | list[str], rows: int, each: int = TASK_ROWS) -> DataFrame:
-    """``df``, which has about ``rows`` rows, by ``key`` in so many partitions that sorts and groups by it hold
-    ``each`` rows a task, however many there are. A few rows stay where they are."""
+    """``df``, which has about ``rows`` rows, by ``key`` in so many partitions (``parts``) that sorts and groups by it hold
+    a bounded number of rows a task, however many there are. A few rows stay where they are."""
     if rows <= 4 * each:
         return df
     return df.repartition(parts(df.sparkSession, rows, each), *([key] if isinstance(key, str) else key))
@@ -48,7 +55,7 @@ def ranked(df: DataFrame, order: list, name: str = "rank", rows: int = 0, each:
     """``df`` with each row's rank from 0 in ``order``, and the number of rows. Rows are sorted by
     ranges and kept, so their places hold; a rank is a row's place in its partition plus the
     partition's offset. The driver sees one count for each partition, no task sees all rows; where
-    ``df`` is known to have many ``rows``, no task sorts many more than ``each``."""
+    ``df`` is known to have many ``rows``, no task sorts many more than ``parts`` gives it."""
     ranges = [parts(df.sparkSession, rows, each), *order] if rows > 4 * each else order
     placed = kept(df.repartitionByRange(*ranges).sortWithinPartitions(*order)).withColumn("at__", F.monotonically_increasing_id())
     part = F.shiftright("at__", 33)

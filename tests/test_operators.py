@@ -443,6 +443,14 @@ def test_merge_holds_a_bounded_number_of_claims_a_task(spark, monkeypatch):
     assert sorted(r[0] for r in got.collect()) == list(range(2000))
 
 
+def test_parts_of_many_rows_are_bounded_and_written_without_a_sort(spark):
+    each = lineage.TASK_ROWS
+    for rows in (10**6, 36 * 10**6, 216 * 10**6, 10**9, 10**11):
+        n = lineage.parts(spark, rows)
+        assert n * each * lineage.MOST >= rows and (n <= 200 or (n - 1) * each * lineage.MOST < rows), (rows, n)
+    assert lineage.parts(spark, 36 * 10**6) == 144 and lineage.parts(spark, 216 * 10**6) == 200
+
+
 @pytest.mark.parametrize(
     "reply, want, more",
     [

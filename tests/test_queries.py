@@ -1,5 +1,6 @@
 """Every query of the reference's operators against its SQL, at the smallest scale."""
 
+import re
 from functools import partial
 
 import duckdb
@@ -116,3 +117,13 @@ def test_contradictions_are_ranked_in_parts_of_bounded_size(spark, monkeypatch,
     joined = sizes(got)
     assert sum(joined) == sum(sorted_in[0]) > 1000 and max(joined) < 200 and max(sorted_in[0]) < 300, (joined, sorted_in)
     same(got, ORACLES[name], SMALL)
+
+
+@pytest.mark.parametrize("name", ["coverage"])
+def test_lines_are_dealt_in_parts_that_are_written_without_a_sort(spark, monkeypatch, name):
+    """For more than 200 partitions a map task would hold its whole split of lines in memory."""
+    monkeypatch.setattr(D, "dealt", partial(dealt, each=20))
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    ways = [int(n) for n in re.findall(r"hashpartitioning\([lo]_orderkey#\d+L?, (\d+)\)", plan)]
+    assert ways and set(ways) == {200}, ways
+    same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
