@@ -119,7 +119,7 @@ def test_contradictions_are_ranked_in_parts_of_bounded_size(spark, monkeypatch,
     same(got, ORACLES[name], SMALL)
 
 
-@pytest.mark.parametrize("name", ["coverage", "coverage_lines", "kept_counts"])
+@pytest.mark.parametrize("name", ["contradiction_scores", "coverage", "coverage_lines", "kept_counts"])
 def test_lines_are_dealt_in_parts_that_are_written_without_a_sort(spark, monkeypatch, name):
     """For more than 200 partitions a map task would hold its whole split of lines in memory."""
     monkeypatch.setattr(D, "dealt", partial(dealt, each=20))
