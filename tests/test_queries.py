@@ -127,3 +127,14 @@ def test_lines_are_dealt_in_parts_that_are_written_without_a_sort(spark, monkeyp
     ways = [int(n) for n in re.findall(r"hashpartitioning\([lo]_orderkey#\d+L?, (\d+)\)", plan)]
     assert ways and set(ways) == {200}, ways
     same(QUERIES[name](spark, SMALL), ORACLES[name], SMALL)
+
+
+def test_contradictions_are_ranked_in_parts_that_are_written_without_a_sort(spark, monkeypatch):
+    """The ranks of ``report_lines`` and the join with them, dealt like lines."""
+    monkeypatch.setattr(report, "dealt", partial(dealt, each=5))
+    monkeypatch.setattr(report, "ranked", partial(ranked, each=5))
+    got = QUERIES["report_lines"](spark, SMALL)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    ways = [int(n) for n in re.findall(r"hashpartitioning\(row__#\d+L?, (\d+)\)", plan)]
+    assert got.count() > 1000 and len(ways) > 1 and set(ways) == {200}, ways
+    same(got, ORACLES["report_lines"], SMALL)
