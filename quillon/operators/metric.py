@@ -5,8 +5,9 @@ vectors is a metric: vectors go to the cell of their nearest pivot, large cells
 by the angle to it, large rings into parts, and two blocks meet only if the triangle inequality
 lets a vector of one come within the threshold's angle of one of the other. What meets is
 compared by products of blocks, which tasks read from the kept files: each row is shuffled and
-written a fixed number of times, however many blocks meet. Where the data have no clusters every block meets every other, as
-they must; in clustered data a block meets its neighbours only, whatever the number of vectors."""
+written a fixed number of times, however many blocks meet. Neighbouring blocks are read together, as a pack. Where the data
+have no clusters every block meets every other, as they must; in clustered data a block is compared with its neighbours only,
+whatever the number of vectors."""
 
 from __future__ import annotations
 
@@ -27,8 +28,8 @@ BLOCK = PIVOTS = 1 << 20
 CELLS, RINGS, SALTS = 1024, 64, 16
 #: Angles round; blocks this much farther apart still meet.
 SLACK = 1e-6
-#: Most partitions of blocks on one side of their product, and what a cosine in single precision may be off.
-SIDES, SINGLE = 48, 1e-4
+#: Doubles of a pack (16 MB), packs that a large table has at least, cosines that stay in a core's cache, and what one in single precision may be off.
+PACK, PACKS, TILE, SINGLE = 1 << 21, 16, 1 << 18, 1e-4
 
 
 def classes(pages: DataFrame, ord_: str = "ord", vector: str = "vector") -> tuple[DataFrame, DataFrame]:
@@ -38,9 +39,11 @@ def classes(pages: DataFrame, ord_: str = "ord", vector: str = "vector") -> tupl
     firsts = kept(rows.groupBy("v").agg(F.min("o").alias("first"), F.count("*").alias("n")))
     length = F.coalesce(F.sqrt(V.dot(F.col("v"), F.col("v"))), F.lit(0.0))
     reps = firsts.select(F.col("first").alias("o"), "v", length.alias("l")).where("l > 0")
-    many = firsts.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("o"), F.lit(SALTS)).cast("int"))
-    copies = salted.join(many, ["v", "salt"]).where((F.col("o") != F.col("first")) & (length > 0)).select(F.col("o").alias("page"), "first").distinct()
+    # two hashes tell a vector, so vectors are neither sent for each salt nor sorted
+    told = [F.xxhash64(F.lit(i), "v").alias(f"h{i}") for i in range(2)]
+    many = firsts.where((F.col("n") > 1) & (length > 0)).select(*told, "first").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.select(F.col("o").alias("page"), *told, F.pmod(F.xxhash64("o"), F.lit(SALTS)).cast("int").alias("salt"))
+    copies = salted.join(many, ["h0", "h1", "salt"]).where("page <> first").select("page", "first").distinct()
     return reps, copies
 
 
@@ -146,51 +149,105 @@ def dealt(reps: DataFrame, block_rows: int | None = None) -> tuple[DataFrame, Ce
     return placed.select(*names, "block"), cells
 
 
-def compare(x: np.ndarray, y: np.ndarray, threshold: float, same: bool, tile: int = BLOCK):
-    """(i, j) of rows of unit vectors that may reach the threshold, told in single precision; ``same``: each pair once."""
-    step = max(1, tile // max(len(y), 1))
+def compare(x: np.ndarray, y: np.ndarray, threshold: float, same: bool, tile: int = TILE):
+    """(i, j) of rows of unit vectors that may reach the threshold, told in single precision, in parts; ``same``: each pair once."""
     x, across = x.astype(np.float32), np.ascontiguousarray(y.T, np.float32)
+    wide = min(max(len(y), 1), 2048)
+    step, least = max(1, tile // wide), np.float32(threshold - SINGLE)
+    found, held = [], 0
     for at in range(0, len(x), step):
-        i, j = np.nonzero(x[at : at + step] @ across >= np.float32(threshold - SINGLE))
-        i = i + at
-        if same:
-            i, j = i[j > i], j[j > i]
-        yield i, j
+        for left in range(at - at % wide if same else 0, len(y), wide):
+            near = x[at : at + step] @ across[:, left : left + wide] >= least
+            # places of a flat array are found many times faster than those of a matrix
+            i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+            i, j = i + at, j + left
+            if same:
+                i, j = i[j > i], j[j > i]
+            if len(i):
+                found.append((i, j))
+                held += len(i)
+        if held >= tile:
+            yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
+            found, held = [], 0
+    if found:
+        yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def read(data: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
 
 
-def _read(data: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
+def written(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def meetings(placed: DataFrame, cells: Cells, angle: float, run: Callable[[pa.Table, pa.Table, bool], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What ``run`` makes of each two blocks of ``dealt`` that meet, and of each block with itself. A block is
-    packed into one row, and rows meet in a product of few partitions, which reads them where they are kept."""
-    sent = placed.sparkSession.sparkContext.broadcast(cells)
-
-    def pack(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, (rows := table.drop_columns(["block"])).schema) as out:
-            out.write_table(rows)
-        met = sent.value.meetings(block, angle).astype(np.int32)
-        return pa.table({"block": pa.array([block], pa.int32()), "met": pa.array([met], pa.list_(pa.int32())), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-    sides = max(1, min(len(cells.pivot), SIDES))
-    packed = placed.repartition(sides, "block").groupBy("block").applyInArrow(pack, "block int, met array<int>, data binary")
-    packed = kept(packed.coalesce(sides))
-    left = packed.select(F.col("block").alias("i"), "met", F.col("data").alias("x"))
-    right = packed.select(F.col("block").alias("j"), F.col("data").alias("y")).hint("shuffle_replicate_nl")
-    pairs = left.join(right, F.array_contains("met", F.col("j"))).select("x", F.when(F.col("i") != F.col("j"), F.col("y")).alias("y"))
+def product(packed: DataFrame, run: Callable[[pa.Table, pa.Table, bool], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``run`` makes of each two packs (i, met, data) that meet, and of each pack with itself. Packs are kept, and a
+    partition holds one or few; a task of their product reads those of its two partitions where they are kept."""
+    packed = kept(packed)
+    left = packed.select("i", "met", F.col("data").alias("x"))
+    right = packed.select(F.col("i").alias("j"), F.col("data").alias("y")).hint("shuffle_replicate_nl")
+    pairs = left.join(right, (F.col("i") <= F.col("j")) & (F.col("met").isNull() | F.array_contains("met", F.col("j"))))
+    pairs = pairs.select("x", F.when(F.col("i") != F.col("j"), F.col("y")).alias("y"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for one, other in zip(b.column("x"), b.column("y"), strict=True):
-                x = _read(one)
-                yield from run(x, _read(other) if other.is_valid else x, not other.is_valid)
+                x = read(one)
+                yield from run(x, read(other) if other.is_valid else x, not other.is_valid)
 
     return pairs.mapInArrow(meet, schema)
 
 
+def packs(cells: Cells, width: int) -> np.ndarray:
+    """The pack of each block: neighbouring blocks share one of at most ``PACK`` doubles or one block, and of so few
+    that a table of many blocks has ``PACKS`` packs."""
+    most = min(PACK // max(width, 1), -(-int(cells.rows.sum()) // PACKS))
+    found, held = [], 0
+    for n in cells.rows.tolist():
+        new = not found or held + n > most
+        held = n if new else held + n
+        found.append((found[-1] if found else -1) + new)
+    return np.array(found, np.int32)
+
+
+def meetings(placed: DataFrame, cells: Cells, angle: float, run: Callable[[pa.Table, pa.Table, bool], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``run`` makes of each two blocks of ``dealt`` that meet, and of each block with itself."""
+    spark = placed.sparkSession
+    of = packs(cells, int(cells.width.max()) if len(cells.width) else 1)
+    sent, total = spark.sparkContext.broadcast((cells, of)), int(of[-1]) + 1 if len(of) else 1
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (batches := list(batches)):
+            return
+        (cells, of), table = sent.value, pa.Table.from_batches(batches).sort_by("block")
+        mine = of[table["block"].to_numpy()]
+        for i in np.unique(mine):
+            first, last = np.searchsorted(mine, (i, i + 1))
+            met = np.unique(np.concatenate([of[cells.meetings(b, angle)] for b in np.flatnonzero(of == i)])).astype(np.int32)
+            data = written(table.slice(first, last - first))
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([met], pa.list_(pa.int32())), pa.array([data], pa.binary())], names=["i", "met", "data"])
+
+    def meet(x: pa.Table, y: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        cells = sent.value[0]
+        (own, first), (others, at) = ((b.tolist(), [*f.tolist(), len(t)]) for t in (x, y) for b, f in [np.unique(t["block"].to_numpy(), return_index=True)])
+        x, y = x.drop_columns(["block"]), y.drop_columns(["block"])
+        for k, i in enumerate(own):
+            met = set(cells.meetings(i, angle).tolist())
+            one = x.slice(first[k], first[k + 1] - first[k])
+            for m, j in enumerate(others):
+                if j in met:
+                    yield from run(one, one if i == j else y.slice(at[m], at[m + 1] - at[m]), i == j)
+
+    places = spark.createDataFrame([(i, int(p)) for i, p in enumerate(of)], "block int, pack int")
+    # of more ranges than packs each pack has its own
+    dealt_out = placed.join(F.broadcast(places), "block").repartitionByRange(4 * total, "pack").drop("pack").coalesce(total)
+    return product(dealt_out.mapInArrow(pack, "i int, met array<int>, data binary"), meet, schema)
+
+
 def mirror_pairs(reps: DataFrame, threshold: float, block_rows: int | None = None) -> DataFrame:
     """(a, b, similarity) of ``classes``' representatives whose cosine is at least ``threshold``, above 0; a before b."""
     if threshold <= 0:

@@ -736,6 +736,41 @@ def test_blocks_meet_without_a_shuffle_of_pairs(spark):
     assert {(r["a"], r["b"]) for r in found.collect()} == want
 
 
+def test_pairs_of_the_leader_election_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    pairs = spark.range(1, 500).select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.lit(0.95).alias("similarity"))
+    got = search.leaders(pairs.mapInArrow(watched, pairs.schema), spark.range(500).select(F.col("id").alias("ord")), 100).toPandas()
+    assert (got["leader"] == got["page"] - got["page"] % 2).all()
+    assert made.value == 499
+
+
+def test_copies_are_joined_without_their_vectors(spark):
+    pages = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)] + [(60, [0.0, 0.0]), (61, [0.0, 0.0]), (62, [-0.0, 1.0])], "ord long, vector array<double>")
+    reps, copies = metric.classes(pages)
+    assert {r["o"] for r in reps.collect()} == set(range(7))
+    assert {(r["page"], r["first"]) for r in copies.collect()} == {(i, i % 7) for i in range(7, 60)} | {(62, 0)}
+    assert "Join [v" not in copies._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_blocks_are_read_as_packs(spark):
+    """So that few rows meet, each of bounded size, though blocks are compared one by one."""
+    v = np.random.default_rng(8).normal(size=(2_000, 3))
+    reps, _ = metric.classes(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "ord long, vector array<double>"))
+    _, cells = metric.dealt(reps, 5)
+    of = metric.packs(cells, 3)
+    assert len(of) > 400 and (np.diff(of) >= 0).all() and 16 <= of.max() + 1 <= 40
+    assert np.bincount(of, cells.rows).max() <= 2_000 / 16
+    found = {(r["a"], r["b"]) for r in metric.mirror_pairs(reps, 0.999, 5).collect()}
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    assert found == {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.999), strict=True) if i < j}
+
+
 def test_documents_meet_by_short_vectors(spark):
     rng = np.random.default_rng(6)
     counts = rng.poisson(0.4, size=(90, 900)) + np.where(np.arange(900) < 3, rng.integers(0, 30, (90, 3)).repeat(300, 1), 0)
